@@ -76,3 +76,11 @@ def map_rows(df: DataFrame, source: list[str], schema: str, start: Callable[[],
             yield from done()
 
     return df.select(*dict.fromkeys([*source, text])).mapInArrow(run, schema)
+
+
+def set_aside(df: DataFrame, names: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with columns that clash with names renamed, and the way back to df's own columns."""
+    taken = {n.lower() for n in names}
+    moved = {c: f"_own_{i}" for i, c in enumerate(df.columns) if c.lower() in taken}
+    aside = df.withColumnsRenamed(moved) if moved else df
+    return aside, lambda out: out.select(*[F.col(f"`{moved.get(c, c)}`").alias(c) for c in df.columns])

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import n_words
+from claimweave.llm.common import n_words, set_aside
 from claimweave.session import without
 
 #: The weights that sources get in turn.
@@ -58,8 +58,8 @@ def uniform(seed: int, *columns: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11) / F.lit(float(1 << 53))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 8, emit: bool = False) -> DataFrame:
-    """Documents with size, source_size, target, rate, copies, taken; emit: one row per copy instead.
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 8) -> DataFrame:
+    """Documents with size, source_size, target, rate, copies, taken: one row per document.
 
     Null text: size 0. Null source: a source of its own, last. Null doc_id: drawn by text alone.
     Repeated rows: equal rows draw alike. Input columns named like an added one give way to it.
@@ -73,6 +73,11 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     draw = uniform(seed, F.col("doc_id"), F.col("text")) < F.col("rate") - whole
     copies = F.least((whole + draw.cast("int")), F.lit(int(most))).cast("int")
     out = rated.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies"))
-    if not emit:
-        return out
-    return out.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return out
+
+
+def emit_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 8) -> DataFrame:
+    """The mix itself: each document as many times as mix_sources takes it, with all its own columns."""
+    aside, back = set_aside(docs, [*ADDED, "_copy"])
+    taken = mix_sources(aside, weights, share, most, seed).where("copies > 0")
+    return back(taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))))

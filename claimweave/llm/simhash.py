@@ -18,12 +18,12 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.llm.common import map_text
 from claimweave.llm.components import components
-from claimweave.session import prepare, store, without
+from claimweave.session import prepare, store
 
 SHINGLE, RADIUS, BITS = 4, 4, 64
 HOT, BLOCK = 64, 1024
@@ -221,7 +221,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.join(ids, "_fp").select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One document of each component stays: the one with the least doc_id, with its own columns."""
-    first = near_duplicates(without(docs, ["fingerprint", "component_id"])).where("doc_id <=> component_id").select(F.col("doc_id").alias("_first")).distinct()
+def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One document of each component stays: a row with the least doc_id, with its own columns."""
+    first = near_duplicates(docs, radius).where("doc_id <=> component_id").select(F.col("doc_id").alias("_first")).distinct()
     return docs.join(first, docs["doc_id"].eqNullSafe(first["_first"]), "left_semi").dropDuplicates(["doc_id"])

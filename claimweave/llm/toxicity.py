@@ -13,10 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import as_bytes, map_rows, map_text
+from claimweave.llm.common import as_bytes, map_rows, map_text, set_aside
 from claimweave.session import prepare, without
 
 #: Hash slots, pair factors, terms that the machine keeps, documents that a kept term occurs in.
@@ -179,7 +179,7 @@ class TermRows(dict):
         return found
 
 
-def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the machine does not predict toxic, with their own columns."""
-    base = without(docs, [n for n, _ in ADDED])
-    return toxicity(docs, train(docs, labels), base.columns).where("predicted = 0").select(*docs.columns) if len(base.columns) == len(docs.columns) else docs.join(toxicity(docs, train(docs, labels), ["doc_id"]).where("predicted = 0").select("doc_id").distinct(), "doc_id", "left_semi")
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that the machine does not predict toxic, with all their own columns."""
+    aside, back = set_aside(docs, [n for n, _ in ADDED])
+    return back(toxicity(aside, train(docs.select("doc_id", "text"), labels)).where("predicted = 0"))
