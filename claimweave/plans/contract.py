@@ -1,13 +1,760 @@
-"""Contract queries of the claim-graph operators."""
+"""The contract: one named query per operator over the tables, and its SQL where SQL can say it."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from claimweave.functions import text as T
+from claimweave.functions import words as W
+from claimweave.operators import concepts, extract, graph, synth
+from claimweave.plans import api, duck
+from claimweave.sources import blocks
+from claimweave.session import table
+from claimweave.streaming import events as streams
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
 
-def connect_subjects(spark, sf_dir):
-    raise NotImplementedError
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+def r6(c) -> object:
+    return F.round(c, 6)
+
+
+# ---- text (P, F) --------------------------------------------------------------------------
+
+SENTENCES = f"select doc_id, unnest(s) as sentence, generate_subscripts(s, 1) - 1 as pos from (select doc_id, {duck.sentences('text')} as s from documents)"
+
+
+def sentence_rows(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
+
+
+@query(f"select doc_id, pos::int as pos, sentence from ({SENTENCES})")
+def sentence_split(spark, d):
+    """F1."""
+    return sentence_rows(spark, d).select("doc_id", "pos", "sentence")
+
+
+CLAUSES = f"select doc_id, pos, unnest(c) as clause, generate_subscripts(c, 1) - 1 as cpos from (select doc_id, pos, {duck.clauses('sentence')} as c from ({SENTENCES}))"
+
+
+def clause_rows(spark, d):
+    return sentence_rows(spark, d).select("doc_id", "pos", F.posexplode(T.clauses(F.col("sentence"))).alias("cpos", "clause"))
+
+
+@query(f"select doc_id, pos::int as pos, cpos::int as cpos, clause from ({CLAUSES})")
+def clause_split(spark, d):
+    """F2."""
+    return clause_rows(spark, d).select("doc_id", "pos", "cpos", "clause")
+
+
+@query(f"select doc_id, {duck.clean('text')} as cleaned, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ')) as squeezed from documents")
+def clean_texts(spark, d):
+    """P1, P2, P4."""
+    return table(spark, d, "documents").select("doc_id", T.clean(F.col("text")).alias("cleaned"), F.lower(T.squeezed(F.col("text"))).alias("squeezed"))
+
+
+@query(f"select doc_id, pos::int as pos, {duck.clause('sentence')} as clause from ({SENTENCES})")
+def clean_clauses(spark, d):
+    """P5."""
+    return sentence_rows(spark, d).select("doc_id", "pos", T.clean_clause(F.col("sentence")).alias("clause"))
+
+
+@query(f"select doc_id, len({duck.tokens('text')})::int as n_tokens, len(list_distinct({duck.tokens('text')}))::int as n_distinct, len({duck.without(duck.tokens('text'), W.STOP)})::int as n_meaningful from documents")
+def token_stats(spark, d):
+    """P12."""
+    t = T.tokens(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_distinct"), F.size(T.meaningful_tokens(F.col("text"))).alias("n_meaningful"))
+
+
+@query(f"select token, count(*) as n, count(distinct doc_id) as n_docs from (select doc_id, unnest({duck.without(duck.tokens('text'), W.STOP, W.DISCOURSE, W.WEAK)}) as token from documents) group by token")
+def content_tokens(spark, d):
+    """P12."""
+    return table(spark, d, "documents").select("doc_id", F.explode(T.content_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
+
+
+NOISE = (
+    "list_transform([regexp_extract_all(c, {tok})], lambda w: len(w) >= 12 and ((len(list_filter(w, lambda t: regexp_matches(t, '[0-9]'))) >= 4 and len(list_filter(w, lambda t: regexp_matches(t, '^[A-Z]') and not list_contains({stop}, lower(t)))) >= "
+    "greatest(5, len(list_filter(w, lambda t: regexp_matches(t, '[A-Za-z]'))) // 3) and not list_has_any(list_transform(w, lambda t: lower(t)), {aux})) or (len(list_filter(w, lambda t: regexp_matches(t, '[0-9]'))) >= 6 and "
+    "length(b) - length(regexp_replace(b, '[.!?;:,]', '', 'g')) <= 2 and not list_has_any(list_transform(w, lambda t: lower(t)), {subord}))))[1]"
+).format(tok=duck.q(W.TOKEN), stop=duck.listed(W.STOP), aux=duck.listed(W.AUXILIARY), subord=duck.listed(W.SUBORDINATE))
+CONTRACTION = duck.q(rf"(?i)\b(?:{W.phrases(W.CONTRACTION_BASES)})'(?:{W.phrases(W.CONTRACTION_ENDS)})\b")
+USABLE = (
+    f"select doc_id, pos, cpos, clause from (select *, {duck.clause('clause')} as b from ({CLAUSES})) where b <> '' and not regexp_matches(b, {CONTRACTION}) and len({duck.tokens('b')}) >= 2 "
+    f"and len({duck.without(duck.tokens('b'), W.STOP, W.DISCOURSE, W.WEAK)}) > 0 and not {NOISE.replace('(c, ', '(' + duck.clean('b') + ', ')}"
+)
+
+
+@query(f"select doc_id, pos::int as pos, cpos::int as cpos, clause from ({USABLE})")
+def usable_clauses(spark, d):
+    """P10."""
+    return clause_rows(spark, d).where(T.usable_clause(F.col("clause"))).select("doc_id", "pos", "cpos", "clause")
+
+
+LINKS = f"select doc_id, pos, regexp_extract(sentence, {duck.q(T.LINKING)}, 1) as subject, lower(regexp_extract(sentence, {duck.q(T.LINKING)}, 2)) as relation, regexp_extract(sentence, {duck.q(T.LINKING)}, 3) as predicate, sentence from ({SENTENCES}) where regexp_matches(sentence, {duck.q(T.LINKING)})"
+
+
+def link_rows(spark, d):
+    return sentence_rows(spark, d).withColumn("l", extract.linking(F.col("sentence"))).where("l.relation <> ''").select("doc_id", "pos", "l.*", "sentence")
+
+
+@query(f"select doc_id, pos::int as pos, subject, relation, predicate from ({LINKS})")
+def linking_claims(spark, d):
+    """F5."""
+    return link_rows(spark, d).drop("sentence")
+
+
+FUTURE, PAST = (duck.q(rf"\b(?:{W.phrases(v)})\b") for v in (W.FUTURE_CUES, W.PAST_CUES))
+
+
+@query(f"select doc_id, pos::int as pos, case when regexp_matches(relation || ' ' || lower(sentence), {FUTURE}) then 'future' when regexp_matches(relation || ' ' || lower(sentence), {PAST}) or regexp_matches(relation, 'ed$') then 'past' else 'present' end as tense from ({LINKS})")
+def tense_flag(spark, d):
+    """F12."""
+    return link_rows(spark, d).select("doc_id", "pos", T.tense(F.col("relation"), F.col("sentence")).alias("tense"))
+
+
+def part_sql(x: str) -> str:
+    base = f"regexp_replace({duck.clean(x)}, {duck.q(rf'(?i)[\s.·|]*(?:{W.phrases(W.TRAILING_NOISE)})\b.*$')}, '', 'g')"
+    return f"trim(regexp_replace(regexp_replace({base}, {duck.q(r'^[,.:;()\[\]\s]+|[,.:;()\[\]\s]+$')}, '', 'g'), '\\s+', ' ', 'g'), ' ')"
+
+
+PERCENT = duck.q(rf"^(?:({W.phrases(W.PERCENT_QUALIFIERS)}))?\s*(\d+(?:\.\d+)?)\s*(?:%|percent)\s+(?:of\b)?")
+QUANTIFIER = (
+    "case when regexp_matches(low, " + duck.q(rf"^(?:{W.phrases(W.QUANTIFIER_EXCLUSIONS)})\b") + ") then 'unknown' when v is not null then case when v >= 99.5 then 'all' when v > 50 then 'most' when v <= 0.5 then 'none' when v < 25 then 'few' else 'some' end "
+    + " ".join(f"when regexp_matches(low, {duck.q(rf'^(?:{W.phrases(p)})\b')}) then '{n}'" for n, p in W.QUANTIFIERS)
+    + " else 'unknown' end"
+)
+
+
+@query(
+    f"select doc_id, pos::int as pos, {QUANTIFIER} as quantifier from (select *, case when regexp_matches(how, 'less|under|below') then greatest(0.0, raw - 0.01) when regexp_matches(how, 'more|over|above') then least(100.0, raw + 0.01) else raw end as v from "
+    f"(select *, regexp_extract(low, {PERCENT}, 1) as how, try_cast(regexp_extract(low, {PERCENT}, 2) as double) as raw from (select doc_id, pos, lower({part_sql('sentence')}) as low from ({SENTENCES}))))"
+)
+def quantifier_flag(spark, d):
+    """F13."""
+    return sentence_rows(spark, d).select("doc_id", "pos", T.quantifier(F.col("sentence")).alias("quantifier"))
+
+
+@query()
+def truth_flag(spark, d):
+    """look-ahead patterns, checked against hand-worked cases in the tests."""
+    return link_rows(spark, d).select("doc_id", "pos", T.truth(F.col("sentence"), F.col("relation")).alias("truth"))
+
+
+@query(f"select doc_id, len(regexp_extract_all(text, {duck.q(r'\d[\d,]*(?:\.\d+)?')}))::int as n_numbers, list_distinct(regexp_extract_all(text, {duck.q('(?i)' + W.DATE)})).len()::int as n_dates from documents")
+def specifics_numbers(spark, d):
+    """F9 in its plain form: number and date literals."""
+    n = F.size(F.regexp_extract_all("text", F.lit(r"\d[\d,]*(?:\.\d+)?"), F.lit(0)))
+    dates = F.size(F.array_distinct(F.regexp_extract_all("text", F.lit("(?i)" + W.DATE), F.lit(0))))
+    return table(spark, d, "documents").select("doc_id", n.alias("n_numbers"), dates.alias("n_dates"))
+
+
+@query()
+def claim_specifics(spark, d):
+    """F9 in full: dates and amounts as structs."""
+    return table(spark, d, "documents").select("doc_id", F.explode(T.specifics(F.col("text"), F.col("source"))).alias("s")).select("doc_id", "s.*")
+
+
+MORPH = (
+    f"case when regexp_matches(w, '^[A-Z]') or list_contains({duck.listed(W.STOP + W.AUXILIARY)}, lower(w)) or length(w) <= 2 or not regexp_matches(lower(w), '[a-z]') then 0.0 "
+    f"when regexp_matches(lower(w), '(?:{'|'.join(W.STRONG_SUFFIXES)})$') then 0.95 when regexp_matches(lower(w), '(?:{'|'.join(W.DERIVED_SUFFIXES)})$') and length(w) > 5 then 0.8 "
+    f"when regexp_matches(lower(w), 's$') and length(w) > 4 and not regexp_matches(lower(w), '(?:{'|'.join(W.NOT_PLURAL_SUFFIXES)})$') then 0.65 else 0.0 end"
+)
+
+
+@query(f"select score::double as score, count(*) as n from (select {MORPH} as score from (select unnest(regexp_extract_all(text, {duck.q(W.TOKEN)})) as w from documents)) group by score")
+def relation_morphology(spark, d):
+    """P14."""
+    w = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(W.TOKEN), F.lit(0))).alias("w"))
+    return w.groupBy(T.relation_word_score(F.col("w")).alias("score")).agg(F.count("*").alias("n"))
+
+
+@query(f"select stem, count(*) as n from (select {duck.stem('t')} as stem from (select unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as t from documents)) group by stem")
+def token_stems(spark, d):
+    """F15."""
+    t = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(W.TARGET_TOKEN), F.lit(0))).alias("t"))
+    return t.groupBy(T.stem(F.col("t")).alias("stem")).agg(F.count("*").alias("n"))
+
+
+@query(f"select item_id, array_to_string({duck.target_tokens('text')}, ' ') as tokens, len({duck.target_tokens('text')})::int as n from benchmark")
+def target_token_lists(spark, d):
+    """F16."""
+    t = T.target_tokens(F.col("text"))
+    return table(spark, d, "benchmark").select("item_id", F.array_join(t, " ").alias("tokens"), F.size(t).alias("n"))
+
+
+@query()
+def target_acronyms(spark, d):
+    """F17, F18."""
+    rows = table(spark, d, "benchmark")
+    return rows.select("item_id", F.array_join(T.acronyms(F.col("text")), " ").alias("acronyms"), F.array_join(T.distinctive(T.target_tokens(F.col("text"))), " ").alias("distinctive"))
+
+
+TARGET = "the thre and other things"
+LEX = (
+    f"select p_partkey, p_name, case when len(a) = 0 or len(t) = 0 then 0.0 when len(a) = len(t) and n = len(a) then 1.0 when n = 0 then 0.0 when n = len(a) then 0.98 when n = len(t) then 0.9 else greatest(n / len(a), 0.8 * n / len(t)) end as score from "
+    f"(select *, len(list_intersect(a, t)) as n from (select p_partkey, p_name, {duck.target_tokens('p_name')} as a, {duck.target_tokens(duck.q('almond antique blue part'))} as t from part))"
+)
+
+
+@query(f"select p_partkey, round(score, 6) as score from ({LEX})")
+def lexical_score(spark, d):
+    """F19."""
+    return table(spark, d, "part").select("p_partkey", r6(T.lexical_score(F.col("p_name"), F.lit("almond antique blue part"))).alias("score"))
+
+
+@query(
+    f"with t as (select item_id, {duck.target_tokens('text')} as t from benchmark), e as (select item_id, unnest(t) as w, len(t) as n from t) "
+    "select a, b, round(shared / (na + nb - shared), 6) as jaccard from (select x.item_id as a, y.item_id as b, x.n as na, y.n as nb, count(*) as shared from e x join e y on x.w = y.w and x.item_id < y.item_id group by all)"
+)
+def token_jaccard(spark, d):
+    """Token-set similarity of all pairs that share a token, by one join on the token."""
+    t = table(spark, d, "benchmark").select("item_id", T.target_tokens(F.col("text")).alias("t")).select("item_id", F.size("t").alias("n"), F.explode("t").alias("w"))
+    x, y = t.select(F.col("item_id").alias("a"), F.col("n").alias("na"), "w"), t.select(F.col("item_id").alias("b"), F.col("n").alias("nb"), "w")
+    met = x.join(y, "w").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+    return met.select("a", "b", r6(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"))
+
+
+@query("select doc_id, source, text ~ '.*' as has_text, regexp_matches(text, '[0-9]|%|(^|[^\\p{L}\\p{N}_])[A-Z]{2,}($|[^\\p{L}\\p{N}_])') as cite, len(regexp_extract_all(text, " + duck.q(W.CONCRETE) + "))::int as concrete from documents")
+def cite_flags(spark, d):
+    """P17, P18."""
+    return table(spark, d, "documents").select("doc_id", "source", F.col("text").isNotNull().alias("has_text"), T.should_cite(F.col("text")).alias("cite"), T.concrete_count(F.col("text")).alias("concrete"))
+
+
+@query()
+def node_labels(spark, d):
+    """Labels and filters (back-references; checked by cases in the tests)."""
+    rows = link_rows(spark, d).withColumn("label", T.label(F.col("subject")))
+    return rows.select("doc_id", "pos", "label", T.usable_label(F.col("subject")).alias("usable"), T.usable_relation(F.col("relation")).alias("relation_ok"), T.let(F.col("label"), T.clause_like).alias("clause_like"))
+
+
+@query()
+def coordinated_parts(spark, d):
+    """F4."""
+    return link_rows(spark, d).select("doc_id", "pos", F.explode(T.coordinated(F.col("subject"))).alias("part"))
+
+
+@query()
+def extracted_claims(spark, d):
+    """Claims of all documents."""
+    c = extract.claims(blocks.document_blocks(table(spark, d, "documents")))
+    return c.select("block_id", "sent_pos", "clause_pos", "subject", "relation", "predicate", "s_quant", "p_quant", "tense", "truth", "source", F.size("c_specifics").alias("n_specifics"))
+
+
+# ---- sources (S) --------------------------------------------------------------------------
+
+HTML = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g'), ' ')"
+
+
+@query(f"select page_id, {HTML} as text from pages")
+def html_text(spark, d):
+    """S4."""
+    return table(spark, d, "pages").select("page_id", blocks.html_text(F.col("html")).alias("text"))
+
+
+@query(
+    "select page_id, case when regexp_matches(b, '^https?://[^/?#]+') then b else '' end as url, regexp_extract(b, '^(https?)://', 1) as scheme, regexp_extract(b, '^https?://([^/?#:]+)', 1) as host from (select page_id, trim(trim(url, ' '), '\"''<>[]()') as b from pages)"
+)
+def url_parts(spark, d):
+    """S5."""
+    u = blocks.clean_url(F.col("url"))
+    return table(spark, d, "pages").select("page_id", u.alias("url"), F.regexp_extract(u, "^(https?)://", 1).alias("scheme"), F.regexp_extract(u, "^https?://([^/?#:]+)", 1).alias("host"))
+
+
+@query(f"select url, count(*) as n, max(length(text)) as longest from (select url, left({HTML}, 2400) as text from pages) where length(text) >= 80 group by url")
+def page_blocks(spark, d):
+    """Page blocks of 80 to 2400 characters."""
+    b = table(spark, d, "pages").select("url", F.substring(blocks.html_text(F.col("html")), 1, 2400).alias("text")).where(F.length("text") >= 80)
+    return b.groupBy("url").agg(F.count("*").alias("n"), F.max(F.length("text")).cast("long").alias("longest"))
+
+
+@query(f"select sha256(source || chr(0) || c) as fingerprint, min(doc_id) as doc_id, count(*) as copies from (select doc_id, source, {duck.clean('text')} as c from documents) where c <> '' group by 1")
+def block_dedupe(spark, d):
+    """A10, S10."""
+    c = table(spark, d, "documents").select("doc_id", "source", T.clean(F.col("text")).alias("c")).where("c <> ''")
+    return c.groupBy(F.sha2(F.concat("source", F.lit("\u0000"), "c"), 256).alias("fingerprint")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+PLAN = "select * from (values " + ", ".join(
+    f"('{side}', '{kind}', {i}, '{t}')"
+    for side, kind, items in [
+        ("a", "target", ["urban housing", "urban housing facts", "urban housing dates amounts", "urban housing statistics figures", "urban housing history"]),
+        ("b", "target", ["rent", "rent facts", "rent dates amounts", "rent statistics figures", "rent history"]),
+        ("ab", "bridge", ["urban housing rent", "urban housing and rent", "urban housing relationship to rent", "urban housing impact on rent", "urban housing evidence rent"]),
+    ]
+    for i, t in enumerate(items)
+) + ", ('a', 'focus', 0, 'urban housing'), ('a', 'focus', 1, 'urban'), ('a', 'focus', 2, 'housing'), ('b', 'focus', 0, 'rent')) v(side, kind, ord, query)"
+
+
+@query(PLAN)
+def query_plan(spark, d):
+    """S1."""
+    return blocks.query_plan(spark, "urban  housing", "rent")
+
+
+@query("select (row_number() over (order by side, ord) - 1)::int as ord, query from (select case side when 'a' then 0 when 'b' then 1 else 2 end as side, ord, query from (" + PLAN + ") where kind <> 'focus')")
+def work_list(spark, d):
+    """S2."""
+    return blocks.work_list(blocks.query_plan(spark, "urban  housing", "rent"))
+
+
+@query(
+    "select query, place::int as place, url from (select *, row_number() over (partition by query order by provider, page_id, url) - 1 as place from (select query, url, min(provider) as provider, min_by(page_id, provider * 1000000000 + page_id) as page_id from "
+    "(select 'q' || (page_id % 3) as query, page_id, url, case when page_id % 2 = 0 then 0 else 1 end as provider from pages) group by query, url)) where place between 2 and 17"
+)
+def search_hits(spark, d):
+    """Two providers' hits, one per URL, the second page of 16 from place 2."""
+    p = table(spark, d, "pages").select(F.concat(F.lit("q"), (F.col("page_id") % 3).cast("string")).alias("query"), F.col("page_id").alias("ord"), F.lit("").alias("title"), "url", F.lit("").alias("snippet"))
+    return blocks.merged_hits(p.where("ord % 2 = 0"), p.where("ord % 2 = 1"), limit=16, offset=2).select("query", "place", "url")
+
+
+@query("select event_id, json_extract_string(props, '$.k') as k, (json_extract_string(props, '$.k') is not null) as has_k from events")
+def json_props(spark, d):
+    """F30."""
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.get_json_object("props", "$.k").isNotNull().alias("has_k"))
+
+
+# ---- structured claim graph ---------------------------------------------------------------
+
+EDGE_SQL = """(
+ select distinct 'seg:' || c_mktsegment as s, 'has' as rel, 'cust:' || c_custkey as o, 'customer|' || c_mktsegment as source, 0 as n_specifics from customer
+ union all select 'cust:' || o_custkey, 'placed', 'order:' || o_orderkey, 'orders|' || o_orderstatus, 1 from orders
+ union all select distinct 'order:' || l_orderkey, 'contains', 'part:' || l_partkey, 'lineitem|' || (l_orderkey % 7), 2 from lineitem
+ union all select distinct 'part:' || l_partkey, 'supplied_by', 'supp:' || l_suppkey, 'lineitem|supply', 0 from lineitem
+ union all select 'supp:' || s_suppkey, 'based_in', 'nation:' || n_name, 'supplier|nation', 0 from supplier join nation on s_nationkey = n_nationkey
+ union all select 'nation:' || n_name, 'within', 'region:' || r_name, 'nation|region', 1 from nation join region on n_regionkey = r_regionkey
+ union all select 'region:' || r_name, 'has', 'nation:' || n_name, 'region|nation', 0 from nation join region on n_regionkey = r_regionkey
+)"""
+
+
+def structured_edges(spark: SparkSession, d: str) -> DataFrame:
+    """edge_id, s, rel, o, source, n_specifics: the tables' keys as a claim graph."""
+    t = lambda n: table(spark, d, n)
+    node = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
+    edge = lambda df, s, rel, o, source, n: df.select(s.alias("s"), F.lit(rel).alias("rel"), o.alias("o"), source.alias("source"), F.lit(n).alias("n_specifics"))
+    nation = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    line = t("lineitem")
+    parts = [
+        edge(t("customer"), node("seg", "c_mktsegment"), "has", node("cust", "c_custkey"), F.concat(F.lit("customer|"), "c_mktsegment"), 0).distinct(),
+        edge(t("orders"), node("cust", "o_custkey"), "placed", node("order", "o_orderkey"), F.concat(F.lit("orders|"), "o_orderstatus"), 1),
+        edge(line, node("order", "l_orderkey"), "contains", node("part", "l_partkey"), F.concat(F.lit("lineitem|"), (F.col("l_orderkey") % 7).cast("string")), 2).distinct(),
+        edge(line, node("part", "l_partkey"), "supplied_by", node("supp", "l_suppkey"), F.lit("lineitem|supply"), 0).distinct(),
+        edge(t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")), node("supp", "s_suppkey"), "based_in", node("nation", "n_name"), F.lit("supplier|nation"), 0),
+        edge(nation, node("nation", "n_name"), "within", node("region", "r_name"), F.lit("nation|region"), 1),
+        edge(nation, node("region", "r_name"), "has", node("nation", "n_name"), F.lit("region|nation"), 0),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.withColumn("edge_id", F.xxhash64("s", "rel", "o"))
+
+
+def nodes(spark: SparkSession, *names: str) -> DataFrame:
+    return spark.createDataFrame([(n,) for n in names], "node string")
+
+
+SEED, GOAL = "seg:BUILDING", "region:ASIA"
+E = f"with recursive e as materialized (select * from {EDGE_SQL})"
+FWD = f"f(node) as (select '{SEED}' union select e.o from f join e on e.s = f.node)"
+BACK = f"b(node) as (select '{GOAL}' union select e.s from b join e on e.o = b.node)"
+CORE = "select e.* from e where s in (select node from f) and o in (select node from b)"
+
+
+@query(f"{E} select s, rel, o, count(*) as n, max(n_specifics)::int as n_specifics from e group by s, rel, o")
+def edge_merge(spark, d):
+    """A1 on the structured graph: edges by exact key."""
+    return structured_edges(spark, d).groupBy("s", "rel", "o").agg(F.count("*").alias("n"), F.max("n_specifics").alias("n_specifics"))
+
+
+@query(f"{E}, f(node, hops) as (select '{SEED}', 0 union select e.o, hops + 1 from f join e on e.s = f.node where hops < 3) select node, min(hops)::int as hops from f group by node")
+def reach_bounded(spark, d):
+    """G1, at most three hops."""
+    start = nodes(spark, SEED).select(F.lit(0).alias("origin"), "node")
+    return graph.reachable(structured_edges(spark, d), start, limit_hops=3).select("node", "hops")
+
+
+@query(f"{E}, {FWD} select node from f")
+def reach_all(spark, d):
+    """G1."""
+    return graph.reachable(structured_edges(spark, d), nodes(spark, SEED).select(F.lit(0).alias("origin"), "node")).select("node")
+
+
+@query(f"{E}, {FWD}, {BACK} select s, rel, o from ({CORE})")
+def route_core(spark, d):
+    """G2, J14, U3."""
+    return graph.route_core(structured_edges(spark, d), nodes(spark, SEED), nodes(spark, GOAL)).select("s", "rel", "o")
+
+
+RING = f"{E}, {FWD}, {BACK}, c as ({CORE}), n as (select s as node from c union select o from c) select s, rel, o from e where (s in (select node from n) or o in (select node from n)) and (s, rel, o) not in (select (s, rel, o) from c)"
+
+
+@query(RING)
+def context_ring(spark, d):
+    """G3."""
+    e = structured_edges(spark, d)
+    return graph.context_ring(e, graph.route_core(e, nodes(spark, SEED), nodes(spark, GOAL))).select("s", "rel", "o")
+
+
+@query(RING + " and n_specifics > 0")
+def specific_ring(spark, d):
+    """G4."""
+    e = structured_edges(spark, d)
+    return graph.context_ring(e, graph.route_core(e, nodes(spark, SEED), nodes(spark, GOAL)), True).select("s", "rel", "o")
+
+
+@query(f"{E}, {FWD}, {BACK}, c as ({CORE}) select (select count(*) from c) as kept, (select count(*) from e) - (select count(*) from c) as removed, (select count(*) from c where n_specifics > 0) as specific")
+def pruning_summary(spark, d):
+    """A14."""
+    e = structured_edges(spark, d)
+    core = graph.route_core(e, nodes(spark, SEED), nodes(spark, GOAL))
+    return e.join(core.select("edge_id", F.lit(True).alias("core")), "edge_id", "left").agg(F.count_if("core").alias("kept"), F.count_if(F.col("core").isNull()).alias("removed"), F.count_if(F.col("core") & (F.col("n_specifics") > 0)).alias("specific"))
+
+
+PAIRS = [("seg:BUILDING", "region:ASIA"), ("seg:BUILDING", "region:EUROPE"), ("seg:MACHINERY", "region:ASIA"), ("region:ASIA", "seg:MACHINERY")]
+PAIR_SQL = ", ".join(f"('{a}', '{b}')" for a, b in PAIRS)
+
+
+@query(
+    f"{E}, p(a, b) as (values {PAIR_SQL}), f(a, node) as (select distinct a, a from p union select f.a, e.o from f join e on e.s = f.node), b(b, node) as (select distinct b, b from p union select b.b, e.s from b join e on e.o = b.node), "
+    "r as (select p.a, p.b, e.* from p join f on f.a = p.a join e on e.s = f.node join b on b.b = p.b and b.node = e.o), "
+    "m as (select a, b, count(*) as n_edges, count(distinct split_part(source, '|', -1)) as n_sources, sum(n_specifics)::bigint as n_specifics, count(*) filter (n_specifics > 0) as n_specific_edges from r group by a, b), "
+    "n as (select a, b, count(distinct x) as n_nodes from (select a, b, unnest([s, o]) as x from r) group by a, b) "
+    "select m.*, n_nodes, (least(n_edges, 96) + 2.5 * least(n_sources, 16) + 1.25 * least(n_specific_edges, 48) + 0.2 * least(n_specifics, 160))::double as score from m join n using (a, b)"
+)
+def route_metrics(spark, d):
+    """A12, J12, J13."""
+    e = structured_edges(spark, d)
+    pairs = spark.createDataFrame(PAIRS, "a string, b string")
+    ahead = graph.reachable(e, pairs.select(F.col("a").alias("origin"), F.col("a").alias("node")))
+    back = graph.reachable(graph.reversed_edges(e), pairs.select(F.col("b").alias("origin"), F.col("b").alias("node")))
+    return graph.route_metrics(e, ahead, back, pairs)
+
+
+TREE = f"{E}, b(node, hops) as (select '{GOAL}', 0 union select e.s, hops + 1 from b join e on e.o = b.node where hops < 8), m as (select node, min(hops) as hops from b group by node)"
+
+
+@query(f"{TREE} select m.node, m.hops::int as hops, min(n.node) as next from m left join e on e.s = m.node left join m n on n.node = e.o and n.hops = m.hops - 1 group by m.node, m.hops")
+def goal_tree(spark, d):
+    """G5."""
+    return graph.goal_tree(structured_edges(spark, d), nodes(spark, GOAL)).select("node", "hops", "next")
+
+
+@query()
+def seeded_walks(spark, d):
+    """64 walks from three segments to one region."""
+    e = structured_edges(spark, d)
+    seeds = spark.createDataFrame([(0, "seg:BUILDING"), (1, "seg:MACHINERY"), (2, "seg:AUTOMOBILE")], "place int, node string")
+    goals = spark.createDataFrame([(0, GOAL)], "place int, node string")
+    made = graph.walks(e, graph.goal_tree(e, goals.select("node")), graph.spawn_split(64, seeds, goals))
+    return made.select("walk_id", "seed", "goal", "reason", F.array_join("path", ">").alias("path"))
+
+
+@query("select walk_id::int as walk_id, case when walk_id < 22 then 's0' when walk_id < 43 then 's1' else 's2' end as seed, 'g' || (walk_id % 2) as goal from range(64) t(walk_id)")
+def spawn_split(spark, d):
+    """W7."""
+    s = spark.createDataFrame([(0, "s0"), (1, "s1"), (2, "s2")], "place int, node string")
+    return graph.spawn_split(64, s, spark.createDataFrame([(0, "g0"), (1, "g1")], "place int, node string"))
+
+
+@query()
+def force_layout(spark, d):
+    """The nation and region graph laid out."""
+    e = structured_edges(spark, d).where("rel = 'within' or (rel = 'has' and s like 'region:%')")
+    ids = lambda c: F.xxhash64(c)
+    vectors = graph.end_nodes(e).select(ids("node").alias("node"), concepts.hashed_vector(F.col("node")).alias("vector"))
+    placed = graph.seed_positions(vectors).withColumn("graph", F.lit("nations"))
+    return graph.layout(placed, e.select(F.lit("nations").alias("graph"), ids("s").alias("s"), ids("o").alias("o"), F.lit(0.5).alias("utility"))).select("graph", "node", r6("x").alias("x"), r6("y").alias("y"), r6("z").alias("z"), "frames")
+
+
+@query(f"{E} select node, count(*) as degree from (select unnest([s, o]) as node from e) group by node")
+def degree_snapshot(spark, d):
+    """A17, S18."""
+    return graph.degrees(structured_edges(spark, d))
+
+
+@query(f"{E}, g as (select node, count(*) as degree from (select unnest([s, o]) as node from e) group by node) select round(quantile_cont(degree, 0.88), 6) as soft_max, round(quantile_cont(degree, 0.95), 6) as core, max(degree) as top, round(ln(1 + max(degree)), 6) as log_top from g")
+def degree_quantile(spark, d):
+    """A18."""
+    return graph.degrees(structured_edges(spark, d)).agg(r6(F.percentile("degree", 0.88)).alias("soft_max"), r6(F.percentile("degree", 0.95)).alias("core"), F.max("degree").alias("top"), r6(F.log1p(F.max("degree"))).alias("log_top"))
+
+
+def utility_sql(s: str, r: str, o: str) -> str:
+    sig = lambda x, n: f"least(1.0, len(list_distinct({duck.without(duck.tokens(x), W.STOP)})) / {n}.0)"
+    return f"greatest(0.0, least(1.0, 0.05 + 0.75 * ({sig(s, 8)} + {sig(o, 8)}) / 2 + 0.20 * (1 - {sig(r, 3)})))"
+
+
+@query(f"select doc_id, pos::int as pos, round({utility_sql('subject', 'relation', 'predicate')}, 6) as utility from ({LINKS})")
+def edge_utility(spark, d):
+    """A3, G11."""
+    return link_rows(spark, d).select("doc_id", "pos", r6(graph.utility(F.col("subject"), F.col("relation"), F.col("predicate"))).alias("utility"))
+
+
+@query()
+def compatible_merge(spark, d):
+    """A2 on the claims of all documents, lower-cased ends."""
+    c = link_rows(spark, d).select(F.lower("subject").alias("s"), F.col("relation").alias("rel"), F.lower("predicate").alias("o"), T.quantifier(F.col("subject")).alias("s_quant"), T.quantifier(F.col("predicate")).alias("p_quant"), T.tense(F.col("relation"), F.col("sentence")).alias("tense"), T.truth(F.col("sentence"), F.col("relation")).alias("truth"), F.lit(0.5).alias("utility"), F.array().cast(graph.SPECIFIC).alias("specifics"), F.lit("documents|d").alias("source"), F.col("sentence").alias("evidence"), F.lit(None).cast("long").alias("prev"), (F.col("doc_id") * 1000 + F.col("pos")).alias("ord"))
+    return graph.compatible_edges(graph.merged_edges(c))
+
+
+@query("select conv_id, turn, role, (select max(p.turn) from conversations p where p.conv_id = c.conv_id and p.turn < c.turn and p.role = case c.role when 'user' then 'assistant' else 'user' end) as prev_turn from conversations c")
+def provenance_asof(spark, d):
+    """The last earlier turn of the other side, as an as-of join on (conversation, role)."""
+    other = F.when(F.col("role") == "user", "assistant").otherwise("user")
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.col("role"), other.alias("wants"))
+    return graph.provenance(rows, "conv_id", "wants", "role", "turn").select("conv_id", "turn", "role", F.col("prev_ord").alias("prev_turn"))
+
+
+# ---- concepts (J, A7, F21) ----------------------------------------------------------------
+
+
+@query(
+    "with a as (select item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) as term from benchmark), d as (select doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) as term from documents), "
+    "s as (select item_id as left_id, doc_id as right_id, count(*) as overlap from a join d using (term) group by all) select left_id, right_id, overlap, place::int as place from (select *, row_number() over (partition by left_id order by overlap desc, right_id) as place from s) where place <= 96"
+)
+def benchmark_overlap(spark, d):
+    """Each benchmark item's 96 documents with the most shared terms."""
+    terms = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)).alias("terms")
+    return concepts.candidates(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), terms), table(spark, d, "documents").select(F.col("doc_id").alias("id"), terms))
+
+
+@query("select lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'), ' ')) as norm, min(p_partkey) as first_key, count(*) as n from part group by 1")
+def alias_lookup(spark, d):
+    """Normalised labels to ids."""
+    return table(spark, d, "part").groupBy(F.lower(T.squeezed(F.col("p_name"))).alias("norm")).agg(F.min("p_partkey").alias("first_key"), F.count("*").alias("n"))
+
+
+COS = "list_dot_product(a.embedding::double[], b.embedding::double[]) / (sqrt(list_dot_product(a.embedding::double[], a.embedding::double[])) * sqrt(list_dot_product(b.embedding::double[], b.embedding::double[])))"
+
+
+@query(f"select a.vec_id as a, b.vec_id as b, round({COS}, 6) as similarity from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id where {COS} >= 0.2")
+def cosine_pairs(spark, d):
+    """Pairs of one label with cosine of .2 or more."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    a, b = e.toDF("a", "label", "_a"), e.toDF("b", "label", "_b")
+    met = a.join(b, "label").where("a < b").select("a", "b", T.cosine(F.col("_a"), F.col("_b")).alias("s")).where("s >= 0.2")
+    return met.select("a", "b", r6("s").alias("similarity"))
+
+
+@query(f"select vec_id, other, similarity, place::int as place from (select a.vec_id, b.vec_id as other, round({COS}, 6) as similarity, row_number() over (partition by a.vec_id order by round({COS}, 6) desc, b.vec_id) as place from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id where a.vec_id % 20 = 0) where place <= 3")
+def cosine_topk(spark, d):
+    """The three nearest vectors of one label for each query (ids divisible by 20)."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    a, b = e.where("vec_id % 20 = 0").toDF("vec_id", "label", "_a"), e.toDF("other", "label", "_b")
+    met = a.join(b, "label").where("vec_id <> other").select("vec_id", "other", r6(T.cosine(F.col("_a"), F.col("_b"))).alias("similarity"))
+    rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("similarity"), "other"))
+    return met.withColumn("place", rank).where("place <= 3")
+
+
+@query("select label, (pos - 1)::int as pos, round(avg(v), 6) as v from (select label, unnest(embedding)::double as v, generate_subscripts(embedding, 1) as pos from embeddings) group by label, pos")
+def centroid_by_label(spark, d):
+    """A7."""
+    c = concepts.centroids(table(spark, d, "embeddings"), "label", "embedding")
+    return c.select("label", F.posexplode("centroid").alias("pos", "v")).withColumn("v", r6("v"))
+
+
+@query(
+    "with k as (select vec_id, i || ':' || case when v > 0 then '+' else '-' end as key from (select vec_id, i, v, row_number() over (partition by vec_id order by abs(v) desc, i) as r from (select vec_id, unnest(embedding) as v, generate_subscripts(embedding, 1) - 1 as i from embeddings)) where r <= 8 and v <> 0) "
+    "select x.vec_id as a, y.vec_id as b, count(*) as shared from k x join k y on x.key = y.key and x.vec_id < y.vec_id group by all having count(*) >= 4"
+)
+def blocked_pairs(spark, d):
+    """Pairs that share four or more of their eight strongest signed dimensions."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return concepts.blocked_pairs(rows, concepts.block_keys(F.lit(""), F.col("embedding")), 4)
+
+
+@query()
+def concept_resolution(spark, d):
+    """The distinct part types and brands as labels, resolved."""
+    p = table(spark, d, "part")
+    return concepts.resolve(p.select(F.col("p_type").alias("name")).distinct().unionByName(p.select(F.col("p_brand").alias("name")).distinct()))
+
+
+@query("select doc_id, source from documents where doc_id in (select doc_id from labels where quality = 1) and doc_id not in (select doc_id from labels where toxic = 1)")
+def semi_anti_refine(spark, d):
+    """Keep what is known, drop what is flagged."""
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    return docs.join(labels.where("quality = 1"), "doc_id", "left_semi").join(labels.where("toxic = 1"), "doc_id", "left_anti").select("doc_id", "source")
+
+
+@query(
+    "(select o_custkey as k, 'both' as kind from orders where o_orderstatus = 'F' intersect select o_custkey, 'both' from orders where o_orderstatus = 'O') union all (select c_custkey, 'none' from customer except select o_custkey, 'none' from orders) "
+    "union all (select k, 'any' from (select c_custkey as k from customer where c_acctbal < 0 union select o_custkey from orders where o_totalprice > 300000))"
+)
+def set_ops(spark, d):
+    """U1 to U3."""
+    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    key = lambda df, col: df.select(F.col(col).alias("k"))
+    both = key(o.where("o_orderstatus = 'F'"), "o_custkey").intersect(key(o.where("o_orderstatus = 'O'"), "o_custkey")).withColumn("kind", F.lit("both"))
+    none = key(c, "c_custkey").subtract(key(o, "o_custkey")).withColumn("kind", F.lit("none"))
+    any_ = key(c.where("c_acctbal < 0"), "c_custkey").union(key(o.where("o_totalprice > 300000"), "o_custkey")).distinct().withColumn("kind", F.lit("any"))
+    return both.unionByName(none).unionByName(any_)
+
+
+@query("select r_name, n_name, count(*) as n, round(sum(s_acctbal), 2) as balance, grouping(r_name)::int as g_region, grouping(n_name)::int as g_nation from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by rollup (r_name, n_name)")
+def rollup_summary(spark, d):
+    """Grouping sets beside the graph."""
+    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return s.rollup("r_name", "n_name").agg(F.count("*").alias("n"), F.round(F.sum("s_acctbal"), 2).alias("balance"), F.grouping("r_name").cast("int").alias("g_region"), F.grouping("n_name").cast("int").alias("g_nation"))
+
+
+# ---- ranking, windows, arguments (O, W, A15, A16) -----------------------------------------
+
+ANCHOR = "almond blue"
+
+
+@query(
+    f"with g as (select 'part:' || l_partkey as node, count(*) as degree from lineitem group by 1), t as (select p_partkey, p_name as name, degree, {duck.target_tokens('p_name')} as a, {duck.target_tokens(duck.q('part 7'))} as t from part join g on node = 'part:' || p_partkey) "
+    "select p_partkey, name, round(score, 6) as score, degree from (select *, case when len(a) = 0 then 0.0 when len(a) = len(t) and n = len(a) then 1.0 when n = 0 then 0.0 when n = len(a) then 0.98 when n = len(t) then 0.9 else greatest(n / len(a), 0.8 * n / len(t), n / len(t)) end as score from (select *, len(list_intersect(a, t)) as n from t)) "
+    "where score >= 0.34 order by score desc, degree desc, name desc, p_partkey limit 32"
+)
+def anchor_rank(spark, d):
+    """O1: the parts that best name a target."""
+    g = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("degree"))
+    n = table(spark, d, "part").join(g, F.col("p_partkey") == F.col("l_partkey")).select(F.col("p_partkey").alias("node"), F.col("p_name").alias("name"), "degree", F.lit(0.0).alias("grounding"))
+    return synth.ranked_anchors(n, "part 7").select(F.col("node").alias("p_partkey"), "name", r6("score").alias("score"), "degree")
+
+
+@query(
+    "with n as (select n_nationkey as k, count(*) as customers, sum(c_acctbal) as bal from nation join customer on c_nationkey = n_nationkey group by 1), p as (select x.k as a, y.k as b, (x.k + 1) / 30.0 as a_score, (y.k + 1) / 30.0 as b_score, x.customers as ab_edges, y.customers as ba_edges, x.customers * 1.0 as ab_score, y.customers * 0.5 as ba_score from n x join n y on x.k < y.k and x.k % 5 = y.k % 5) "
+    "select a, b, round((ab_score + ba_score) * greatest(0.25, least(a_score, b_score)), 6) as rank0 from p order by (ab_score + ba_score) * greatest(0.25, least(a_score, b_score)) desc, ab_score + ba_score desc, least(a_score, b_score) desc, a_score + b_score desc, a, b limit 4"
+)
+def pair_rank(spark, d):
+    """O2, O3: nation pairs by the nine-part rank."""
+    n = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("customers"))
+    side = lambda a: n.select(F.col("k").alias(a), F.col("customers").alias(f"_{a}"), (F.col("k") % 5).alias("block"))
+    p = side("a").join(side("b"), "block").where("a < b")
+    zero = {c: F.lit(0) for c in ("a_grounding", "b_grounding", "a_degree", "b_degree", "ab_sources", "ba_sources", "ab_specific", "ba_specific")}
+    made = p.withColumns({"a_score": (F.col("a") + 1) / 30.0, "b_score": (F.col("b") + 1) / 30.0, "ab_edges": F.col("_a"), "ba_edges": F.col("_b"), "ab_score": F.col("_a") * 1.0, "ba_score": F.col("_b") * 0.5} | zero)
+    return synth.ranked_pairs(made).select("a", "b", r6("rank.r0").alias("rank0"))
+
+
+@query(
+    "with p as (select toxic as arg, lower(source) as src, count(*) as n from documents join labels using (doc_id) group by all), a as (select arg, sum(n)::bigint as n_records, count(*) as n_sources, max(n) / sum(n) as dom from p group by arg) "
+    "select arg, n_records, n_sources, round(dom, 6) as dominant_share, round(greatest(0.45, least(least(1.0, n_sources / 3.0), greatest(0.45, 1 - greatest(0.0, dom - 1.0 / 3)))), 6) as multiplier from a"
+)
+def source_diversity(spark, d):
+    """A15, A16."""
+    r = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select(F.col("toxic").alias("arg"), "source")
+    return synth.source_diversity(r, "arg").select("arg", "n_records", "n_sources", r6("dominant_share").alias("dominant_share"), r6("multiplier").alias("multiplier"))
+
+
+@query("select user_id, text, event_id, place::int as place from (select *, row_number() over (partition by user_id order by event_id desc, text) as place from (select user_id, event_type as text, min(event_id) as event_id from events group by all)) where place <= 24")
+def recent_context_k(spark, d):
+    """The last 24 distinct contexts of each user."""
+    rows = table(spark, d, "events").select("user_id", F.col("event_type").alias("text"), F.lit("events").alias("source"), "event_id")
+    return synth.recent_context(rows, "user_id", ["event_id"]).select("user_id", "text", "event_id", "place")
+
+
+@query("select conv_id, turn, role, lag(role) over (partition by conv_id order by turn) as prev_role, count(*) over (partition by conv_id order by turn rows between 2 preceding and current row) as last3 from conversations")
+def prev_turn(spark, d):
+    """Last-N frames."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return table(spark, d, "conversations").select("conv_id", "turn", "role", F.lag("role").over(w).alias("prev_role"), F.count("*").over(w.rowsBetween(-2, 0)).alias("last3"))
+
+
+@query("select o_custkey, o_orderkey, place::int as place from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as place from orders) where place <= 18")
+def grounding_topk(spark, d):
+    """The 18 strongest edges of each node."""
+    rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
+    return table(spark, d, "orders").select("o_custkey", "o_orderkey", rank.alias("place")).where("place <= 18")
+
+
+@query("select source, row_number() over (order by first, source)::int as number from (select source || '|doc' as tag, source, min(doc_id) as first from documents group by all)")
+def source_numbers(spark, d):
+    """W8."""
+    r = table(spark, d, "documents").select(F.concat_ws("|", F.lit("doc"), F.concat("source", F.lit("/x"))).alias("source"), "doc_id")
+    return synth.source_numbers(r, ["doc_id"]).select(F.regexp_replace("source", "/x$", "").alias("source"), "number")
+
+
+@query(
+    f"with s as (select item_id, {duck.target_tokens('text')} as t from benchmark), r as (select doc_id, {duck.target_tokens('text')} as t from documents), m as (select sent_id, rec_id, n_s, n_r, count(*) as shared from (select item_id as sent_id, len(t) as n_s, unnest(t) as w from s) join (select doc_id as rec_id, len(t) as n_r, unnest(t) as w from r) using (w) group by all having count(*) >= 2), "
+    "c as (select *, greatest(shared / n_s, 0.85 * shared / n_r) as score from m) select sent_id, rec_id, shared, round(score, 6) as score, place::int as place from (select *, row_number() over (partition by sent_id order by score desc, shared desc, rec_id) as place from c where score >= 0.22) where place <= 2"
+)
+def citation_align(spark, d):
+    """The two documents that best support each benchmark text."""
+    s, r = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"), table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return synth.citations(s, r).withColumn("score", r6("score"))
+
+
+@query()
+def greedy_dedupe(spark, d):
+    """The turns of each conversation without near-duplicates."""
+    r = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("ord"), "text")
+    return synth.greedy_dedupe(r, "conv_id").select("conv_id", "ord")
+
+
+@query()
+def diverse_topk(spark, d):
+    """Three differing arguments for each conversation, longest turns first."""
+    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc(F.length("text")), "turn"))
+    a = table(spark, d, "conversations").select("conv_id", "turn", rank.alias("rank"), F.lower("text").alias("signature"), synth.mechanism(F.col("text"), "the", "and").alias("mechanism"))
+    return synth.diverse_top(a, "conv_id").select("conv_id", "turn", "pick")
+
+
+@query("select conv_id, string_agg(case when t = '' then null else t || ' [' || turn || '].' end, ' ' order by turn) as text from (select conv_id, turn, regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' '), '\\.+$', '') as t from conversations) where t <> '' group by conv_id")
+def chain_text(spark, d):
+    """F26, F27."""
+    r = table(spark, d, "conversations").select("conv_id", "turn", "text", F.col("turn").alias("number"))
+    return synth.chain_text(r, "conv_id", ["turn"])
+
+
+@query("select user_id, case when m >= 0.72 then 'strong' when m >= 0.54 then 'moderate' else 'tentative' end as label from (select user_id, (avg(value) / max(value) + count(*) / (select max(c) from (select count(*) as c from events group by user_id)) + 0.5) / 3 as m from events group by user_id)")
+def confidence_labels(spark, d):
+    """F25, P22."""
+    e = table(spark, d, "events").groupBy("user_id").agg((F.avg("value") / F.max("value") * 100).alias("support"), F.count("*").alias("n"))
+    top = e.agg(F.max("n").alias("n")).scalar()
+    return e.select("user_id", T.confidence(F.col("support"), F.col("n") / top, F.lit(0.5)).alias("label"))
+
+
+# ---- events (T) ---------------------------------------------------------------------------
+
+
+@query("select date_trunc('hour', ts) as window_start, event_type, count(*) as n, round(sum(value), 6) as total from events group by all")
+def tumbling_counts(spark, d):
+    """T5, batch side."""
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return streams.tumbling(e).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", r6("total").alias("total"))
+
+
+@query(
+    "with o as (select user_id, ts, case when ts > lag(ts) over w + interval 30 minute or lag(ts) over w is null then 1 when ts = lag(ts) over w + interval 30 minute then 1 else 0 end as fresh from events window w as (partition by user_id order by ts)), "
+    "s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from o) select user_id, min(ts) as session_start, max(ts) + interval 30 minute as session_end, count(*) as n from s group by user_id, k"
+)
+def session_counts(spark, d):
+    """T5, batch side."""
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return streams.sessions(e).select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n")
+
+
+@query("select user_id, event_id, ts, (select max(p.ts) from events p where p.user_id = e.user_id and p.event_type = 'purchase' and p.ts < e.ts) as last_purchase from events e")
+def asof_purchase(spark, d):
+    """J8, native as-of: each event's last earlier purchase of the same user, as a window."""
+    w = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(Window.unboundedPreceding, -1)
+    return table(spark, d, "events").select("user_id", "event_id", "ts", F.max(F.when(F.col("event_type") == "purchase", F.col("ts"))).over(w).alias("last_purchase"))
+
+
+@query()
+def connect_subjects(spark, d):
+    """The flagship: how two subjects connect, with numbered sources."""
+    return api.linking_slice(spark, d)
