@@ -27,7 +27,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strings(values: list[str]) -> Column:
-    return F.array(*map(F.lit, values))
+    """An array of strings as one small expression, which the optimizer folds to a literal."""
+    return F.split(F.lit("\u0001".join(values)), "\u0001")
+
+
+def one_of(text: Column, *lists: list[str]) -> Column:
+    return F.array_contains(strings([w for values in lists for w in values]), text)
 
 
 def or_empty(text: Column) -> Column:
@@ -81,9 +86,17 @@ def clean_clause(text: Column, subject: Column | None = None, predicate: Column
     return let(base, lambda t: let(F.btrim(shorter(t), F.lit(" ,:")), stopped))
 
 
-def clean_part(text: Column) -> Column:
-    """Cleaned, without what follows a noise phrase, brackets and punctuation off the ends."""
-    base = sub(clean(text), rf"(?i)[\s.·|]*(?:{W.phrases(W.TRAILING_NOISE)})\b.*$", "")
+def tidy(text: Column) -> Column:
+    """clean() of what is a part of cleaned text: blanks squeezed, edge punctuation off."""
+    return F.btrim(sub(or_empty(text), r"\s+"), F.lit(BLANKS + "|"))
+
+
+def clean_part(text: Column, cleaned: bool = False) -> Column:
+    """Cleaned, without what follows a noise phrase, brackets and punctuation off the ends.
+
+    cleaned: the text is a part of cleaned text, so only its edges are.
+    """
+    base = sub(tidy(text) if cleaned else clean(text), rf"(?i)[\s.·|]*(?:{W.phrases(W.TRAILING_NOISE)})\b.*$", "")
     return squeezed(sub(base, r"^[,.:;()\[\]\s]+|[,.:;()\[\]\s]+$", ""))
 
 
@@ -117,9 +130,9 @@ def collapse_runs(text: Column) -> Column:
     return once(once(text))
 
 
-def label(text: Column) -> Column:
+def label(text: Column, cleaned: bool = False) -> Column:
     """A node label: cleaned, noise off both ends, repeats collapsed, at most 72 characters."""
-    base = strip_leading_noise(collapse_title(clean(text)))
+    base = strip_leading_noise(collapse_title(tidy(text) if cleaned else clean(text)))
     base = F.trim(sub(base, rf"(?i)\s+(?:{W.phrases(W.TRAILING_DISCOURSE)})\b[\s,:.-]*$", ""))
     base = squeezed(collapse_runs(F.trim(sub(base, r"\s*[\[(][^\])]*$", ""))))
     return F.trim(F.substring(base, 1, W.LIMITS["label_chars"]))
@@ -152,11 +165,11 @@ def has_any(items: Column, values: list[str]) -> Column:
 
 
 def first_token_in(items: Column, values: list[str]) -> Column:
-    return F.coalesce(F.get(items, F.lit(0)).isin(*values), F.lit(False))
+    return F.coalesce(one_of(F.get(items, F.lit(0)), values), F.lit(False))
 
 
 def last_token_in(items: Column, values: list[str]) -> Column:
-    return F.coalesce(F.try_element_at(items, F.lit(-1)).isin(*values), F.lit(False))
+    return F.coalesce(one_of(F.try_element_at(items, F.lit(-1)), values), F.lit(False))
 
 
 def contraction(text: Column) -> Column:
@@ -170,12 +183,12 @@ def clause_like(name: Column) -> Column:
     return (F.size(t) >= 3) & (((F.size(t) >= 4) & aux) | (sub_ & aux) | (first_token_in(t, W.WEAK) & aux))
 
 
-def usable_label(text: Column) -> Column:
-    """Whether a text makes a node label."""
+def usable_label(text: Column, named: bool = False) -> Column:
+    """Whether a text makes a node label. named: the text is the output of label()."""
 
     def fits(name: Column) -> Column:
         low, raw, few, content = F.lower(name), tokens(name), meaningful_tokens(name), content_tokens(name)
-        amount = low.isin(*W.AMOUNT_LABELS)
+        amount = one_of(low, W.AMOUNT_LABELS)
         one = F.size(few) == 1
         word = F.get(few, F.lit(0))
         letters = F.length(sub(name, r"[^\p{L}]", ""))
@@ -186,13 +199,13 @@ def usable_label(text: Column) -> Column:
             contraction(name),
             clause_like(name),
             name.rlike(r"(?i)https?://\S+|www\.\S+|[{}|#]"),
-            low.isin(*W.GENERIC),
+            one_of(low, W.GENERIC),
             first_token_in(raw, W.GENERIC),
             first_token_in(raw, W.AUXILIARY) & ~amount,
             (F.size(raw) > 0) & (F.size(without(raw, W.TEMPORAL)) == 0),
             F.size(few) == 0,
             (F.size(content) == 0) & ~amount,
-            one & F.coalesce(word.isin(*W.DISCOURSE, *W.WEAK), F.lit(False)),
+            one & F.coalesce(one_of(word, W.DISCOURSE, W.WEAK), F.lit(False)),
             first_token_in(few, W.DISCOURSE),
             F.size(few) > W.LIMITS["label_tokens"],
             one & ((F.length(word) < 3) | word.rlike(r"^[0-9]+$")),
@@ -201,7 +214,7 @@ def usable_label(text: Column) -> Column:
         ]
         return ~reduce(lambda a, b: a | F.coalesce(b, F.lit(False)), reject, F.lit(False))
 
-    return let(label(text), fits)
+    return fits(text) if named else let(label(text), fits)
 
 
 def usable_relation(text: Column) -> Column:
@@ -224,7 +237,7 @@ def list_noise(text: Column) -> Column:
         low = F.transform(words_, F.lower)
         digits = F.size(F.filter(words_, lambda t: t.rlike("[0-9]")))
         alpha = F.filter(words_, lambda t: t.rlike("[A-Za-z]"))
-        titled = F.size(F.filter(alpha, lambda t: t.rlike("^[A-Z]") & ~F.lower(t).isin(*W.STOP)))
+        titled = F.size(F.filter(alpha, lambda t: t.rlike("^[A-Z]") & ~one_of(F.lower(t), W.STOP)))
         figures = (digits >= 4) & (titled >= F.greatest(F.lit(5), F.floor(F.size(alpha) / 3))) & ~has_any(low, W.AUXILIARY)
         bare = (digits >= 6) & (marks <= 2) & ~has_any(low, W.SUBORDINATE)
         return (F.size(words_) >= 12) & (figures | bare)
@@ -242,16 +255,16 @@ def relation_word_score(word: Column) -> Column:
     """How much a token's form looks like a relation."""
     low = F.lower(or_empty(word))
     ends = lambda values: low.rlike(rf"(?:{'|'.join(values)})$")
-    none = word.rlike("^[A-Z]") | low.isin(*W.STOP, *W.AUXILIARY) | (F.length(low) <= 2) | ~low.rlike("[a-z]")
+    none = word.rlike("^[A-Z]") | one_of(low, W.STOP, W.AUXILIARY) | (F.length(low) <= 2) | ~low.rlike("[a-z]")
     plural = low.rlike("s$") & (F.length(low) > 4) & ~ends(W.NOT_PLURAL_SUFFIXES)
     return F.when(none | word.isNull(), 0.0).when(ends(W.STRONG_SUFFIXES), 0.95).when(ends(W.DERIVED_SUFFIXES) & (F.length(low) > 5), 0.8).when(plural, 0.65).otherwise(0.0)
 
 
 def action_word(word: Column) -> Column:
-    return ~F.lower(word).isin(*W.RELATION_STOP) & (relation_word_score(word) > 0)
+    return ~one_of(F.lower(word), W.RELATION_STOP) & (relation_word_score(word) > 0)
 
 
-def amount_tail(predicate: Column, relation: Column) -> Column:
+def amount_tail(predicate: Column, relation: Column, cleaned: bool = False) -> Column:
     """A predicate that is an amount: a number within 16 characters, or after a cue."""
 
     def tail(base: Column) -> Column:
@@ -260,7 +273,7 @@ def amount_tail(predicate: Column, relation: Column) -> Column:
         linking = relation.isin("is", "are", "was", "were", "become", "becomes", "became", "has", "have", "had") & base.rlike(rf"(?i)^(?:{W.NUMBER}|{W.DATE})")
         return (base != "") & (((at > 0) & (at <= 17)) | cue | linking)
 
-    return let(clean_part(predicate), tail)
+    return let(clean_part(predicate, cleaned), tail)
 
 
 def display_source(source: Column) -> Column:
@@ -320,8 +333,8 @@ def coordinated(text: Column) -> Column:
         return F.slice(F.transform(first, lambda x: x["p"]), 1, W.LIMITS["parts"])
 
     def split(name: Column) -> Column:
-        parts = F.filter(F.transform(F.split(sub(name, by, "\u0001"), "\u0001"), label), usable_label)
-        whole = F.filter(F.array(name), usable_label)
+        parts = F.filter(F.transform(F.split(sub(name, by, "\u0001"), "\u0001"), lambda p: label(p, True)), lambda p: usable_label(p, True))
+        whole = F.filter(F.array(name), lambda n: usable_label(n, True))
         return let(let(parts, first_few), lambda some: F.when(F.size(some) > 0, some).otherwise(whole))
 
     return let(label(text), split)
@@ -334,11 +347,14 @@ def specifics(text: Column, source: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(found("date", W.DATE), amounts), lambda s: s["text"] != ""))
 
 
-def endpoint_core(text: Column, preferred: Column | None = None) -> Column:
+def endpoint_core(text: Column, preferred: Column | None = None, cleaned: bool = False) -> Column:
     """F8: an endpoint's core: specifics off, modifiers peeled, the last eight tokens."""
-    original = clean_part(text)
+    return let(clean_part(text, cleaned), lambda t: core_of(t, preferred))
+
+
+def core_of(original: Column, preferred: Column | None) -> Column:
     cue = rf"\b(?:{W.phrases(W.MODIFIER_CUES)})\b"
-    core = label(sub(sub(original, rf"(?i){W.DATE}"), rf"(?i){W.NUMBER}"))
+    core = label(sub(sub(original, rf"(?i){W.DATE}"), rf"(?i){W.NUMBER}"), True)
     core = sub(core, rf"(?i)^{cue}[^,;]{{0,120}}[,;]\s*(.+)$", "$1")
     core = sub(core, rf"(?i)^[A-Za-z]+ing\s+(?:{W.phrases(W.PARTICIPIAL_CUES)})\s+(.+)$", "$1")
     core = sub(core, rf"(?i)^(.+?)\s+{cue}\s+.+$", "$1")
@@ -357,7 +373,7 @@ def otherwise(other: Column) -> Callable[[Column], Column]:
 def shortened(text: Column) -> Column:
     """A core without prefixes, articles, quantifiers and trailing modals; at most eight tokens."""
     cue = rf"\b(?:{W.phrases(W.MODIFIER_CUES)})\b"
-    t = clean_part(text)
+    t = clean_part(text, True)
     for pattern in (
         rf"(?i)^(?:{W.phrases(W.SUBJECT_PREFIXES)})\b\s+",
         r"(?i)^(?:the|a|an)\s+",
@@ -374,7 +390,7 @@ def shortened(text: Column) -> Column:
         all_ = F.regexp_extract_all(u, F.lit(W.TOKEN), F.lit(0))
         return F.when(F.size(all_) > most, F.array_join(F.slice(all_, F.size(all_) - most + 1, most), " ")).otherwise(u)
 
-    return label(let(t, last))
+    return label(let(t, last), True)
 
 
 def truth(clause: Column, relation: Column) -> Column:
@@ -384,7 +400,7 @@ def truth(clause: Column, relation: Column) -> Column:
 
     def reached(rel: Column, before: Column, after: Column) -> Column:
         near = before.rlike(f"{neg}{gap}$") | after.rlike(f"^{gap}{neg}") | rel.rlike(neg) | before.rlike(rf"\bwithout\b{gap}$")
-        return near | (rel.isin(*W.LINKING_NEGATIONS) & after.rlike(rf"^{gap}\bwithout\b")) | rel.isin(*W.NEGATIVE_RELATIONS)
+        return near | (one_of(rel, W.LINKING_NEGATIONS) & after.rlike(rf"^{gap}\bwithout\b")) | one_of(rel, W.NEGATIVE_RELATIONS)
 
     def flag(x: Column) -> Column:
         text, rel = x["text"], x["rel"]
@@ -443,22 +459,22 @@ def stem(token: Column) -> Column:
 
 def target_tokens(text: Column, least: int = 3) -> Column:
     """F16: stems of what is no stop word and long enough (or two characters), each once."""
-    fits = lambda t: ~t.isin(*W.STOP) & ((F.length(t) >= least) | (F.length(t) == 2))
+    fits = lambda t: ~one_of(t, W.STOP) & ((F.length(t) >= least) | (F.length(t) == 2))
     raw = F.filter(F.regexp_extract_all(F.lower(or_empty(text)), F.lit(W.TARGET_TOKEN), F.lit(0)), fits)
     return F.array_distinct(F.filter(F.transform(raw, stem), lambda t: (t != "") & fits(t)))
 
 
 def acronyms(text: Column, least: int = 2, most: int = 4) -> Column:
     """initials of runs of two to four terms, each once."""
-    raw = F.filter(F.regexp_extract_all(F.lower(or_empty(text)), F.lit(W.TARGET_TOKEN), F.lit(0)), lambda t: (F.length(t) >= 3) & ~t.isin(*W.STOP))
-    initials = F.transform(F.filter(F.transform(raw, stem), lambda t: (t != "") & ~t.isin(*W.STOP)), lambda t: F.substring(t, 1, 1))
+    raw = F.filter(F.regexp_extract_all(F.lower(or_empty(text)), F.lit(W.TARGET_TOKEN), F.lit(0)), lambda t: (F.length(t) >= 3) & ~one_of(t, W.STOP))
+    initials = F.transform(F.filter(F.transform(raw, stem), lambda t: (t != "") & ~one_of(t, W.STOP)), lambda t: F.substring(t, 1, 1))
 
     def runs(letters: Column, k: int) -> Column:
         cut = F.transform(letters, lambda _, i: F.slice(letters, i + 1, k))
         return F.transform(F.filter(cut, lambda r: F.size(r) == k), lambda r: F.array_join(r, ""))
 
     every = let(initials, lambda letters: F.concat(*[runs(letters, k) for k in range(least, most + 1)]))
-    return F.array_distinct(F.filter(every, lambda a: ~a.isin(*W.STOP)))
+    return F.array_distinct(F.filter(every, lambda a: ~one_of(a, W.STOP)))
 
 
 def distinctive(items: Column) -> Column:

@@ -22,10 +22,11 @@ def hashed_vector(text: Column, dimensions: int = DIMENSIONS) -> Column:
     A model can take its place: any Column of array<double> (for example a pandas UDF).
     """
     padded = F.concat(F.lit("  "), F.lower(T.squeezed(text)), F.lit("  "))
-    grams = F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substr(padded, i, F.lit(3)))
+    grams = T.let(padded, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substr(p, i, F.lit(3))))
     slots = F.transform(grams, lambda g: F.pmod(F.xxhash64(g), F.lit(dimensions)).cast("int"))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.size(F.filter(slots, lambda s: s == d)).cast("double"))
-    return F.transform(raw, lambda v: v / F.greatest(F.sqrt(T.dot(raw, raw)), F.lit(1e-9)))
+    counted = lambda held: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.size(F.filter(held, lambda s: s == d)).cast("double"))
+    scaled = lambda raw: T.let(F.greatest(F.sqrt(T.dot(raw, raw)), F.lit(1e-9)), lambda n: F.transform(raw, lambda v: v / n))
+    return T.let(T.let(slots, counted), scaled)
 
 
 def vector_specificity(v: Column) -> Column:

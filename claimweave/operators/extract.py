@@ -52,21 +52,21 @@ def action(clause: Column) -> Column:
 
 
 def candidate(raw: Column) -> Column:
-    """A validated claim from struct<subject, relation, predicate>, or null."""
+    """A validated claim from struct<subject, relation, predicate> of cleaned text, or null."""
 
     def checked(x: Column) -> Column:
-        subject, relation, predicate = x["subject"], x["relation"], x["predicate"]
-        good = T.usable_relation(relation) & T.usable_label(subject) & T.usable_label(predicate) & (F.lower(subject) != F.lower(predicate))
+        good = T.usable_label(x["subject"], True) & T.usable_label(x["predicate"], True) & (F.lower(x["subject"]) != F.lower(x["predicate"]))
         return F.when(good, x)
 
     def built(relation: Column) -> Column:
         named = F.concat_ws(" ", relation, F.lit("amount"))
-        core = T.endpoint_core(raw["predicate"], raw["predicate"])
-        predicate = T.let(core, lambda c: F.when(T.amount_tail(raw["predicate"], relation) | c.rlike(rf"(?i)^{W.NUMBER}"), named).otherwise(c))
-        parts = [T.endpoint_core(raw["subject"], raw["subject"]).alias("subject"), relation.alias("relation"), predicate.alias("predicate")]
-        return F.struct(*parts, T.clean_part(raw["subject"]).alias("subject_raw"), T.clean_part(raw["predicate"]).alias("predicate_raw"))
+        core = T.endpoint_core(raw["predicate"], cleaned=True)
+        predicate = T.let(core, lambda c: F.when(T.amount_tail(raw["predicate"], relation, True) | c.rlike(rf"(?i)^{W.NUMBER}"), named).otherwise(c))
+        parts = [T.endpoint_core(raw["subject"], cleaned=True).alias("subject"), relation.alias("relation"), predicate.alias("predicate")]
+        made = F.struct(*parts, T.clean_part(raw["subject"], True).alias("subject_raw"), T.clean_part(raw["predicate"], True).alias("predicate_raw"))
+        return F.when(T.usable_relation(relation), T.let(made, checked))  # the cheap test first
 
-    return T.let(T.let(F.lower(T.clean_part(raw["relation"])), built), checked)
+    return T.let(F.lower(T.clean_part(raw["relation"], True)), built)
 
 
 def claims(blocks: DataFrame, parser: Column | None = None) -> DataFrame:

@@ -85,7 +85,7 @@ def reachable(edges: DataFrame, starts: DataFrame, max_rounds: int = 64, limit_h
     a table of the shared folder. Ends when no new node is found or limit_hops is reached.
     """
     spark = edges.sparkSession
-    steps = edges.select("s", "o").distinct()
+    steps = store(edges.select("s", "o").distinct(), "steps").df
     frontier = store(starts.select("origin", "node").distinct().withColumn("hops", F.lit(0)), "reach")
     levels = [frontier]
     for hop in range(1, (limit_hops or max_rounds) + 1):
@@ -102,7 +102,7 @@ def reachable(edges: DataFrame, starts: DataFrame, max_rounds: int = 64, limit_h
             one = levels[0].df
             for level in levels[1:-1]:
                 one = one.unionByName(level.df)
-            old, levels = levels[:-1], [store(one.coalesce(max(1, one.rdd.getNumPartitions() // 4)), "reach"), levels[-1]]
+            old, levels = levels[:-1], [store(one, "reach"), levels[-1]]
             for level in old:
                 discard(spark, level.path)
     out = levels[0].df
