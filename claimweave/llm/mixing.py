@@ -12,12 +12,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimweave.llm.common import n_words, set_aside
-from claimweave.session import without
+from claimweave.session import store, without
 
 #: The weights that sources get in turn.
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Share of all sizes that the mix takes, and the most times that a source may repeat.
 SHARE, MOST = 1.5, 2.0
+#: Rows of per-source targets (some 50 bytes each) that are still broadcast to the documents.
+MOST_BROADCAST = 200_000
 ADDED = ["size", "source_size", "target", "rate", "copies", "taken"]
 
 
@@ -66,8 +68,10 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     Size is the number of words; copies <= most, so no document exceeds most times its size.
     """
     sized = without(docs, ADDED).withColumn("size", n_words(F.col("text")))
-    targets = source_targets(sized.select("source", "size"), weights, share, most)
+    targets = store(source_targets(sized.select("source", "size"), weights, share, most), "targets").df
     named = targets.withColumnRenamed("source", "_mix_source")
+    if named.count() <= MOST_BROADCAST:  # else an ordinary join, which shuffles the documents by source
+        named = F.broadcast(named)
     rated = sized.join(named, sized["source"].eqNullSafe(named["_mix_source"]), "left").drop("_mix_source")
     whole = F.floor(F.col("rate"))
     draw = uniform(seed, F.col("doc_id"), F.col("text")) < F.col("rate") - whole
