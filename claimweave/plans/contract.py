@@ -211,7 +211,6 @@ def target_acronyms(spark, d):
     return rows.select("item_id", F.array_join(T.acronyms(F.col("text")), " ").alias("acronyms"), F.array_join(T.distinctive(T.target_tokens(F.col("text"))), " ").alias("distinctive"))
 
 
-TARGET = "the thre and other things"
 LEX = (
     f"select p_partkey, p_name, case when len(a) = 0 or len(t) = 0 then 0.0 when len(a) = len(t) and n = len(a) then 1.0 when n = 0 then 0.0 when n = len(a) then 0.98 when n = len(t) then 0.9 else greatest(n / len(a), 0.8 * n / len(t)) end as score from "
     f"(select *, len(list_intersect(a, t)) as n from (select p_partkey, p_name, {duck.target_tokens('p_name')} as a, {duck.target_tokens(duck.q('almond antique blue part'))} as t from part))"
@@ -620,11 +619,8 @@ def rollup_summary(spark, d):
 
 # ---- ranking, windows, arguments (O, W, A15, A16) -----------------------------------------
 
-ANCHOR = "almond blue"
-
-
 @query(
-    f"with g as (select 'part:' || l_partkey as node, count(*) as degree from lineitem group by 1), t as (select p_partkey, p_name as name, degree, {duck.target_tokens('p_name')} as a, {duck.target_tokens(duck.q('part 7'))} as t from part join g on node = 'part:' || p_partkey) "
+    f"with g as (select 'part:' || l_partkey as node, count(*) as degree from lineitem group by 1), t as (select p_partkey, p_name as name, degree, {duck.target_tokens('p_name')} as a, {duck.target_tokens(duck.q('blue bolt gear'))} as t from part join g on node = 'part:' || p_partkey) "
     "select p_partkey, name, round(score, 6) as score, degree from (select *, case when len(a) = 0 then 0.0 when len(a) = len(t) and n = len(a) then 1.0 when n = 0 then 0.0 when n = len(a) then 0.98 when n = len(t) then 0.9 else greatest(n / len(a), 0.8 * n / len(t), n / len(t)) end as score from (select *, len(list_intersect(a, t)) as n from t)) "
     "where score >= 0.34 order by score desc, degree desc, name desc, p_partkey limit 32"
 )
@@ -632,7 +628,7 @@ def anchor_rank(spark, d):
     """O1: the parts that best name a target."""
     g = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("degree"))
     n = table(spark, d, "part").join(g, F.col("p_partkey") == F.col("l_partkey")).select(F.col("p_partkey").alias("node"), F.col("p_name").alias("name"), "degree", F.lit(0.0).alias("grounding"))
-    return synth.ranked_anchors(n, "part 7").select(F.col("node").alias("p_partkey"), "name", r6("score").alias("score"), "degree")
+    return synth.ranked_anchors(n, "blue bolt gear").select(F.col("node").alias("p_partkey"), "name", r6("score").alias("score"), "degree")
 
 
 @query(
