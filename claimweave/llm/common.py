@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Texts are worked off in slices of about so many bytes, whatever an Arrow batch holds.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def n_words(text: Column) -> Column:

@@ -32,7 +32,7 @@ class WordHash(dict):
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh64_intdigest(word.lower().strip(_EDGES), 1)
         if len(word) <= 64:
-            if len(self) >= 1_000_000:
+            if len(self) >= 500_000:
                 self.clear()
             self[word] = value
         return value

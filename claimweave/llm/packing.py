@@ -27,7 +27,7 @@ from claimweave.session import prepare, store, without
 
 CAPACITY, END_ID, OPEN_BINS, GROUP_PIECES = 4096, 1, 4096, 20_000
 #: Words whose ids a worker remembers, and the longest that is.
-CACHED, CACHED_LENGTH = 1_000_000, 64
+CACHED, CACHED_LENGTH = 500_000, 64
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = "sequence_id long, offset long"
 

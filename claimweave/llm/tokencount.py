@@ -17,7 +17,7 @@ from claimweave.session import prepare, without
 
 ADDED = [("n_words", "long"), ("n_tokens", "long")]
 #: Words whose counts a worker remembers, and the longest that is, in bytes.
-CACHED, CACHED_LENGTH = 1_000_000, 64
+CACHED, CACHED_LENGTH = 500_000, 64
 
 
 def vocabulary_file(name: str = "byte_bpe_50k.tiktoken") -> str:

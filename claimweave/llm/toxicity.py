@@ -26,7 +26,7 @@ SAMPLE_PER_CLASS = 5000
 FOLDS = 5
 EDGES = bytes(set(range(33, 127)) - set(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
 BEGINNINGS = (4, 5)
-CACHED, CACHED_LENGTH = 1_000_000, 64
+CACHED, CACHED_LENGTH = 300_000, 64
 ADDED = [("score", "double"), ("predicted", "int")]
 
 
