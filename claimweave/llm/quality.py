@@ -2,12 +2,14 @@
 
 The n-gram model is counted by Spark over every document of each language (tasks add up words,
 then grams, before the shuffle), estimated by modified Kneser-Ney and kept in sorted hash
-arrays. A document's perplexity is per character; a language's band lies RANGES quartile
-ranges outside the quartiles of all its documents that pass the base rules.
+arrays. A document's perplexity is per letter: ASCII punctuation is predicted but adds no
+length, so that marks strewn over a text raise it. A language's band lies RANGES quartile ranges
+outside the quartiles of all its documents that pass the base rules.
 """
 
 from __future__ import annotations
 
+import string
 from collections import Counter
 
 import numpy as np
@@ -20,7 +22,8 @@ from claimweave.llm.kneser_ney import ORDER, Model, count_grams
 from claimweave.session import discard, prepare, store, without
 
 WINDOW, SYMBOLS = 8, b"#*$%&|<>"
-MIN_WORDS, MOST_REPEATED, RANGES = 20, 30, 10.0
+MIN_WORDS, MOST_REPEATED, RANGES = 20, 30, 3.0
+PUNCTUATION = string.punctuation.encode()
 #: The model that all executors hold has at most so many grams of its highest order; where the
 #: corpus has more, the order is lowered (an order of 1 has one gram per character and language).
 MOST_GRAMS = 2_000_000
@@ -159,7 +162,8 @@ def measured(docs: DataFrame, models: dict[str, Model], keep: list[str]) -> Data
                         total[i] = s
             for text, words, s in zip(texts, split, total, strict=True):
                 counts = text_counts(text, words)
-                out.append((*counts, -s / max(1, counts[0] + counts[1])))
+                marks = len(text) - len(text.translate(None, PUNCTUATION))
+                out.append((*counts, -s / max(1, counts[1] - marks)))
             return list(zip(*out))
 
         return work

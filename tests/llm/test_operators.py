@@ -251,6 +251,30 @@ def test_quality_edges(odd_docs, no_docs):
     assert 1 <= quality.fit(odd_docs, 5, most=60)["en"].order < 5
 
 
+def clean_words(rng, n):
+    """Words of an invented language: common short ones and rare ones of several syllables."""
+    parts = ["ka", "lo", "mi", "ne", "ru", "sto", "van", "ter", "ing", "pel", "du", "sha"]
+    return [rng.choice(["the", "of", "and", "to"]) if rng.random() < 0.3 else "".join(rng.choice(parts) for _ in range(rng.randrange(1, 5))) for _ in range(n)]
+
+
+def test_quality_bands_reject_junk_on_both_sides(spark):
+    rng, rows = random.Random(5), []
+    for i in range(600):
+        rows.append((i, " ".join(clean_words(rng, rng.randrange(30, 200))), "xx"))
+    for i in range(600, 640):
+        rows.append((i, " ".join(w + rng.choice(["###", "$$$", "%%%"]) for w in clean_words(rng, 120)), "xx"))
+    for i in range(640, 680):
+        rows.append((i, " | ".join(clean_words(rng, 120)), "xx"))
+    for i in range(680, 690):
+        rows.append((i, " ".join(rng.choice(["the", "of", "and", "to"]) for _ in range(120)), "xx"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in quality.quality_rules(docs).collect()}
+    assert not any(r["base_failed"] for r in got.values())  # only the bands can tell
+    assert all(got[i]["log_perplexity"] > got[i]["high"] and not got[i]["kept"] for i in range(600, 680))
+    assert all(got[i]["log_perplexity"] < got[i]["low"] and not got[i]["kept"] for i in range(680, 690))
+    assert sum(got[i]["kept"] for i in range(600)) >= 594
+
+
 # ---- 6 packing ----------------------------------------------------------------------------
 
 
