@@ -9,6 +9,7 @@ outside the quartiles of all its documents that pass the base rules.
 
 from __future__ import annotations
 
+import hashlib
 import string
 from collections import Counter
 
@@ -24,12 +25,13 @@ from claimweave.session import discard, prepare, store, without
 WINDOW, SYMBOLS = 8, b"#*$%&|<>"
 MIN_WORDS, MOST_REPEATED, RANGES = 20, 30, 3.0
 PUNCTUATION = string.punctuation.encode()
-#: The model that all executors hold has at most so many grams of its highest order; where the
-#: corpus has more, the order is lowered (an order of 1 has one gram per character and language).
+#: A model that all executors hold has at most so many grams of its highest order; where the
+#: corpus has more, the same probabilities are computed and looked up by joins.
 MOST_GRAMS = 2_000_000
 #: Distinct words that a task holds at a time.
 HELD_WORDS = 150_000
 STATS = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"), ("log_perplexity", "double")]
+SPREAD = [("_letters", "long"), ("_text", "binary")]
 ADDED = [n for n, _ in STATS] + ["base_failed", "kept", "low", "high"]
 
 
@@ -69,16 +71,22 @@ def corpus_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def fit(docs: DataFrame, order: int = ORDER, most: int = MOST_GRAMS) -> dict[str, Model]:
-    """A model per language from all documents, within the bound of most grams."""
-    spark = docs.sparkSession
+    """A model per language from all documents, of an order that keeps within most grams.
+
+    quality_rules doesn't lower the order: see spread_scores.
+    """
     counted = store(corpus_grams(docs, order), "grams")
-    grams = counted.df
+    models = fitted(counted.df, order, most)
+    discard(docs.sparkSession, counted.path)
+    return models
+
+
+def fitted(grams: DataFrame, order: int, most: int) -> dict[str, Model]:
     while order > 1 and grams.count() > most:
         order -= 1
         grams = grams.groupBy("lang", F.substring("gram", 2, order).alias("gram")).agg(F.sum("n").alias("n"))
     bounded = order > 1 or grams.count() <= most  # else too many languages for any model
     rows = grams.orderBy("lang", "gram").toArrow().to_pydict() if bounded else {"lang": [], "gram": [], "n": []}
-    discard(spark, counted.path)
     lang, counts = np.array(rows["lang"], dtype=object), np.array(rows["n"], dtype=np.int64)
     out = {}
     for one in dict.fromkeys(rows["lang"]):
@@ -87,6 +95,79 @@ def fit(docs: DataFrame, order: int = ORDER, most: int = MOST_GRAMS) -> dict[str
     return out
 
 
+def gram_scores(grams: DataFrame, order: int) -> DataFrame:
+    """lang, gram, log_p: what Model.fit gives the grams of the highest order, by joins over tables of any size."""
+    levels = {order: grams.select("lang", "gram", F.col("n").cast("double").alias("c"))}
+    for n in range(order - 1, 0, -1):
+        longer = levels[n + 1].groupBy("lang", F.substring("gram", 2, n).alias("gram"))
+        levels[n] = store(longer.agg(F.count("*").cast("double").alias("c")), "gram-level").df
+    lower = levels[1].groupBy("lang").agg((1 / F.greatest(F.lit(2), F.count("*") + 1)).alias("q")).withColumn("tail", F.lit(""))
+    for n in range(1, order + 1):
+        held = levels[n].withColumns({"context": F.substring("gram", 1, n - 1), "tail": F.substring("gram", 2, n - 1)})
+        seen = [F.count_if(F.col("c") == k) for k in (1, 2, 3, 4)]
+        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+        known = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0) & (F.col("n4") > 0)
+        cut = lambda k, other: F.when(known, F.least(F.greatest(k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"), F.lit(0.05)), F.lit(float(k)))).otherwise(other).alias(f"d{k}")  # noqa: E731, B023
+        cuts = levels[n].groupBy("lang").agg(*[s.alias(f"n{k}") for k, s in enumerate(seen, 1)]).select("lang", cut(1, 0.5), cut(2, 0.75), cut(3, 1.0))
+        cut_of = F.when(F.col("c") >= 3, F.col("d3")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d1"))
+        held = held.join(cuts, "lang").withColumn("cut", cut_of).drop("d1", "d2", "d3")
+        contexts = held.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.sum(F.least("cut", "c")).alias("freed"))
+        p = (F.greatest(F.col("c") - F.col("cut"), F.lit(0.0)) + F.col("freed") * F.col("q")) / F.col("total")
+        made = held.join(contexts, ["lang", "context"]).join(lower, ["lang", "tail"]).select("lang", "gram", p.alias("q"))
+        lower = store(made.withColumnRenamed("gram", "tail"), "gram-chances").df
+    return lower.select("lang", F.col("tail").alias("gram"), F.log("q").cast("float").alias("log_p"))
+
+
+def digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+def spread_scores(docs: DataFrame, grams: DataFrame, order: int) -> DataFrame:
+    """_lang, _text (digest), _score: log probability of each distinct text, where no executor can hold the model.
+
+    The documents are those that the grams were counted on, so every gram is known. Sums are
+    decimals, so that they don't depend on the order of rows.
+    """
+
+    def texts():
+        def work(batch):
+            held = batch.column(batch.schema.get_field_index("text")).cast(pa.large_binary()).to_pylist()
+            langs = batch.column(batch.schema.get_field_index("lang")).to_pylist()
+            for text, lang in zip(held, langs, strict=True):
+                words = Counter((text or b"").split())
+                name, n = digest(text or b""), len(words) + 1
+                # the row without a word counts the copies of the text
+                columns = [pa.array([lang or ""] * n), pa.array([name] * n, pa.binary()), pa.array([None, *map(digest, words)], pa.binary()), pa.array([None, *(w.decode() for w in words)], pa.string()), pa.array([1, *words.values()], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["_lang", "_text", "key", "word", "n"])
+
+        return work
+
+    def cut(batches):
+        for batch in batches:
+            made: tuple[list, ...] = ([], [], [], [])
+            for lang, key, word in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found, n = count_grams({word: 1}, order)
+                for column, values in zip(made, ([lang] * len(found), [key] * len(found), found, n.tolist()), strict=True):
+                    column.extend(values)
+                if len(made[0]) > 100_000:
+                    yield gram_batch(made)
+                    made = ([], [], [], [])
+            yield gram_batch(made)
+
+    def gram_batch(made):
+        kinds = (pa.string(), pa.binary(), pa.string(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(made, kinds, strict=True)], names=["lang", "key", "gram", "n"])
+
+    rows = store(map_rows(docs, ["lang"], "_lang string, _text binary, key binary, word string, n long", texts), "text-words").df
+    words = rows.where("word is not null").groupBy("_lang", "key").agg(F.first("word").alias("word"))
+    parts = words.select("_lang", "key", "word").mapInArrow(cut, "lang string, key binary, gram string, n long")
+    exact = lambda c: F.sum(c.cast("decimal(20,9)") * F.col("n").cast("decimal(18,0)"))
+    scored = parts.join(gram_scores(grams, order), ["lang", "gram"]).groupBy("lang", "key").agg(exact(F.col("log_p")).alias("s"))
+    scored = scored.select(F.col("lang").alias("_lang"), "key", F.col("s").cast("decimal(20,9)").alias("s"))
+    copies = F.sum(F.when(F.col("word").isNull(), F.col("n")))
+    return rows.join(scored, ["_lang", "key"], "left").groupBy("_lang", "_text").agg((F.coalesce(exact(F.col("s")).cast("double"), F.lit(0.0)) / copies).alias("_score"))
+
+
 def text_counts(text: bytes, words: list[bytes]) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of one text."""
     blanks = sum(map(text.count, (b" ", b"\t", b"\n", b"\v", b"\f", b"\r")))
@@ -127,8 +208,8 @@ def repeated_words(words: list[bytes]) -> int:
     return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
-def measured(docs: DataFrame, models: dict[str, Model], keep: list[str]) -> DataFrame:
-    """The columns in keep, then STATS: one pass over the whole texts."""
+def measured(docs: DataFrame, models: dict[str, Model], keep: list[str], more: bool = False) -> DataFrame:
+    """The columns in keep, then STATS: one pass over the whole texts. more: and _letters, _text (digest)."""
     shared = docs.sparkSession.sparkContext.broadcast(models)  # bounded by MOST_GRAMS
 
     def start():
@@ -163,27 +244,36 @@ def measured(docs: DataFrame, models: dict[str, Model], keep: list[str]) -> Data
             for text, words, s in zip(texts, split, total, strict=True):
                 counts = text_counts(text, words)
                 marks = len(text) - len(text.translate(None, PUNCTUATION))
-                out.append((*counts, -s / max(1, counts[1] - marks)))
+                letters = max(1, counts[1] - marks)
+                out.append((*counts, -s / letters, letters, digest(text)) if more else (*counts, -s / letters))
             return list(zip(*out))
 
         return work
 
-    return map_text(docs, list(dict.fromkeys([*keep, "lang"])), STATS, start)
+    return map_text(docs, list(dict.fromkeys([*keep, "lang"])), STATS + SPREAD * more, start)
 
 
-def quality_rules(docs: DataFrame, keep: list[str] | None = None, order: int = ORDER, ranges: float = RANGES) -> DataFrame:
+def quality_rules(docs: DataFrame, keep: list[str] | None = None, order: int = ORDER, ranges: float = RANGES, most: int = MOST_GRAMS) -> DataFrame:
     """Columns in keep (default all), STATS, base_failed, low, high, kept: one row per document.
 
     Null text: no words, base_failed. Null lang: a language of its own. Languages with no
     document past the base rules have no band: what passes the base rules is kept. Repeated rows
     are counted and judged each. Empty table: no rows. Input columns named like an added one
-    give way to it.
+    give way to it. Beyond most grams, executors hold no model and joins give the same scores.
     """
     prepare(docs.sparkSession)
     base = without(docs, ADDED)
-    models = fit(base, order)
+    counted = store(corpus_grams(base, order), "grams")
+    held = counted.df.count() <= most
+    models = fitted(counted.df, order, most) if held else {}
     shown = [c for c in (keep or base.columns) if c in base.columns]
-    scored = store(measured(base, models, shown).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))), "quality").df
+    found = measured(base, models, shown, more=not held)
+    if not held:
+        sums = spread_scores(base, counted.df, order)
+        same = (F.coalesce(found["lang"], F.lit("")) == sums["_lang"]) & (found["_text"] == sums["_text"])
+        found = found.join(sums, same).withColumn("log_perplexity", -F.col("_score") / F.col("_letters"))
+    scored = store(found.select(*dict.fromkeys([*shown, "lang"]), *[n for n, _ in STATS]).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))), "quality").df
+    discard(docs.sparkSession, counted.path)
     bands = perplexity_bands(scored, ranges)
     joined = scored.join(bands, F.coalesce(scored["lang"], F.lit("")) == bands["_lang"], "left").drop("_lang")
     inside = F.col("log_perplexity").between(F.col("low"), F.col("high"))

@@ -275,6 +275,15 @@ def test_quality_bands_reject_junk_on_both_sides(spark):
     assert sum(got[i]["kept"] for i in range(600)) >= 594
 
 
+def test_quality_scores_do_not_depend_on_the_number_of_grams(spark, odd_docs, some_docs):
+    docs = some_docs.unionByName(odd_docs.select(some_docs.columns))
+    plain = lambda most: sorted(map(tuple, quality.quality_rules(docs, ["doc_id", "lang"], most=most).collect()), key=repr)
+    held, spread = plain(quality.MOST_GRAMS), plain(1)
+    assert len(held) == len(spread) == docs.count() and len({r[7] for r in held}) > 100
+    for a, b in zip(held, spread, strict=True):
+        assert a == pytest.approx(b, abs=1e-5, nan_ok=True) if None not in a else [x for x in a if not isinstance(x, float)] == [x for x in b if not isinstance(x, float)]
+
+
 # ---- 6 packing ----------------------------------------------------------------------------
 
 
