@@ -8,7 +8,9 @@ similarity transform (scale, turn, shift) explains enough of its matches.
 
 So that many near-equal images do not all meet each other, images whose signature (the signs of
 64 brightness steps) links them are compared with the first of their group, and those that its
-descriptors confirm join its class. Only classes go into the tables.
+descriptors confirm join its class. Every distinct image goes into the tables with its own
+descriptors, since a member may show what the first image of its class doesn't; links within a
+class are left out.
 """
 
 from __future__ import annotations
@@ -177,7 +179,7 @@ def descriptors(media: DataFrame) -> DataFrame:
 
 
 def spread(images: DataFrame, asked: np.ndarray | None = None) -> DataFrame:
-    """A row per corner and table: image, x, y, scale, turn, d0 to d3, tab, key. asked: only keys whose bit is set."""
+    """A row per corner and table: image, head, x, y, scale, turn, d0 to d3, tab, key. asked: only keys whose bit is set."""
     shared, weights = images.sparkSession.sparkContext.broadcast(asked), 1 << np.arange(KEY_BITS)  # TABLES * 2^KEY_BITS bits
 
     def run(batches):
@@ -196,10 +198,10 @@ def spread(images: DataFrame, asked: np.ndarray | None = None) -> DataFrame:
                 corner, tab = np.indices(keys.shape)
                 use = np.ones(keys.shape, bool) if mask is None else (mask[tab, keys >> 3] >> (keys & 7).astype(np.uint8)) & 1 == 1
                 c, t, k = corner[use], tab[use], keys[use]
-                columns = [image[c], *points[c].T, *longs[c].T, t.astype(np.int32), k.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], names=["image", "x", "y", "scale", "turn", "d0", "d1", "d2", "d3", "tab", "key"])
+                columns = [image[c], np.repeat(np.asarray(part.column(3)), sizes)[c], *points[c].T, *longs[c].T, t.astype(np.int32), k.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], names=["image", "head", "x", "y", "scale", "turn", "d0", "d1", "d2", "d3", "tab", "key"])
 
-    return images.select("image", "points", "d").mapInArrow(run, f"image long, {POINT}, d0 long, d1 long, d2 long, d3 long, tab int, key int")
+    return images.select("image", "points", "d", "head").mapInArrow(run, f"image long, head long, {POINT}, d0 long, d1 long, d2 long, d3 long, tab int, key int")
 
 
 def key_bits(queries: DataFrame) -> np.ndarray:
@@ -267,7 +269,8 @@ def media_copies(media: DataFrame, queries: Column) -> DataFrame:
     bytes and of near-equal images whose descriptors match its first image. Null and damaged media
     form classes by their bytes and have no corners, so no copies; a class without any id is null.
     kind 'member': a row for every row of media. kind 'pair': class_id has a row among the queries
-    (a condition on id) and class other holds a cropped or edited copy, with so many inliers.
+    (a condition on id) and class other holds a cropped or edited copy of such a row or of the
+    class's first image, with so many inliers at most.
     Repeated rows and ids: a member row each. Empty table: no rows.
     """
     prepare(media.sparkSession)
@@ -277,24 +280,24 @@ def media_copies(media: DataFrame, queries: Column) -> DataFrame:
     first = rows.join(own, (rows["id"] == own["image"]) & (rows["digest"] == own["_d"])).select("image", "asked", "sign", "points", "d").dropDuplicates(["image"])
     images = store(first, "media-images").df
     heads = store(confirmed(images), "media-heads").df
-    asked_heads = heads.join(images.where("asked").select("image"), "image", "left_semi").select(F.col("head").alias("image")).distinct()
-    held = images.join(heads.where("image = head").select("image"), "image", "left_semi")
-    asked = spread(held.join(asked_heads, "image", "left_semi"))
+    held = images.join(heads, "image")
+    asks = held.where("asked").select(F.explode(F.array("image", "head")).alias("image")).distinct()
+    asked = spread(held.join(asks, "image", "left_semi"))
     q, r = asked.alias("q"), spread(held, key_bits(asked)).alias("r")
-    on = (F.col("q.tab") == F.col("r.tab")) & (F.col("q.key") == F.col("r.key")) & (F.col("q.image") != F.col("r.image")) & (distance("q", "r") <= NEAR)
-    named = ["q.image", "r.image", "q.x", "q.y", "q.scale", "q.turn", "r.x", "r.y", "r.scale", "r.turn"]
-    met = q.join(r, on).select(*[F.col(c).alias(n) for c, n in zip(named, ["image", "other", "qx", "qy", "qscale", "qturn", "x", "y", "scale", "turn"], strict=True)]).distinct()
-    grouped = met.groupBy("image", "other").agg(F.collect_list(F.array("qx", "qy", "qscale", "qturn", "x", "y", "scale", "turn")).alias("m")).where(F.size("m") >= LEAST_INLIERS)
+    on = (F.col("q.tab") == F.col("r.tab")) & (F.col("q.key") == F.col("r.key")) & (F.col("q.head") != F.col("r.head")) & (distance("q", "r") <= NEAR)
+    named = ["q.image", "r.image", "q.head", "r.head", "q.x", "q.y", "q.scale", "q.turn", "r.x", "r.y", "r.scale", "r.turn"]
+    met = q.join(r, on).select(*[F.col(c).alias(n) for c, n in zip(named, ["image", "other", "class_id", "class_other", "qx", "qy", "qscale", "qturn", "x", "y", "scale", "turn"], strict=True)]).distinct()
+    grouped = met.groupBy("image", "other", "class_id", "class_other").agg(F.collect_list(F.array("qx", "qy", "qscale", "qturn", "x", "y", "scale", "turn")).alias("m")).where(F.size("m") >= LEAST_INLIERS)
 
     def run(frames):
         for f in frames:
             matches = [np.stack([np.asarray(x) for x in m]) for m in f["m"]]
-            yield pd.DataFrame({"image": f["image"], "other": f["other"], "inliers": [consensus(m[:, :4], m[:, 4:]) for m in matches]}, columns=["image", "other", "inliers"])
+            yield pd.DataFrame({"class_id": f["class_id"], "other": f["class_other"], "inliers": [consensus(m[:, :4], m[:, 4:]) for m in matches]}, columns=["class_id", "other", "inliers"])
 
-    pairs = grouped.mapInPandas(run, "image long, other long, inliers int").where(F.col("inliers") >= LEAST_INLIERS)
+    pairs = grouped.mapInPandas(run, "class_id long, other long, inliers int").where(F.col("inliers") >= LEAST_INLIERS).groupBy("class_id", "other").agg(F.max("inliers").alias("inliers"))
     head_of = classes.join(heads, "image", "left").select("digest", F.coalesce("head", "image").alias("class_id"))
     members = rows.select("id", "digest").join(head_of, "digest").select(F.lit("member").alias("kind"), "id", "class_id", F.lit(None).cast("long").alias("other"), F.lit(None).cast("int").alias("inliers"))
-    return members.unionByName(pairs.select(F.lit("pair").alias("kind"), F.lit(None).cast("long").alias("id"), F.col("image").alias("class_id"), "other", "inliers"))
+    return members.unionByName(pairs.select(F.lit("pair").alias("kind"), F.lit(None).cast("long").alias("id"), "class_id", "other", "inliers"))
 
 
 def textures(vectors: DataFrame) -> DataFrame:

@@ -154,6 +154,20 @@ def test_media_finds_edited_copies(spark):
     assert media.media_copies(spark.createDataFrame([], "id long, media binary"), F.col("id") % 20 == 0).count() == 0
 
 
+def test_media_members_keep_their_own_descriptors(spark):
+    """A crop of what only a member of a class shows is linked to the class, whichever of the two asks."""
+    rng = np.random.default_rng(10)
+    first, other = media.rendered(rng.normal(size=(2, 64)), 128)
+    member = first.copy()
+    member[70:, 70:] = other[70:, 70:]
+    images = {1: first, 2: member, 3: member[72:, 72:]}
+    docs = spark.createDataFrame([(i, bytearray(media.encode(np.ascontiguousarray(x)))) for i, x in images.items()], "id long, media binary")
+    for asked, wanted in ((2, {(1, 3)}), (3, {(3, 1)})):
+        out = media.media_copies(docs, F.col("id") == asked).collect()
+        assert {r["id"]: r["class_id"] for r in out if r["kind"] == "member"} == {1: 1, 2: 1, 3: 3}
+        assert {(r["class_id"], r["other"]) for r in out if r["kind"] == "pair"} == wanted
+
+
 def test_media_recall_against_brute_force():
     """Copies that comparing all descriptors finds, and the share of them that the tables find."""
     rng = np.random.default_rng(5)
