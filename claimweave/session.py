@@ -7,6 +7,7 @@ import uuid
 from pathlib import Path
 from typing import NamedTuple
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
@@ -40,6 +41,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out to all cores if its scan has fewer partitions than they are.
+
+    Text work costs far more than moving the text; a large table has partitions enough and stays.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Stored(NamedTuple):
     """A table written to the shared folder, and where."""
 
@@ -66,15 +76,38 @@ def store(df: DataFrame, tag: str) -> Stored:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    STORED.append(path)
     return Stored(spark.read.schema(df.schema).parquet(path), path)
 
 
+#: Paths of stored tables that have not been discarded, in order.
+STORED: list[str] = []
+
+
+def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Discard the tables stored since len(STORED) was since, but those in keep: when what was made of them is stored itself."""
+    for path in [p for p in STORED[since:] if p not in keep]:
+        discard(spark, path)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a stored table that no live plan reads any more."""
+    if path in STORED:
+        STORED.remove(path)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at path, or None if there is none yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """Drop input columns whose names clash (in any case) with those an operator adds."""
     taken = {n.lower() for n in names}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from claimweave.functions import text as T
 from claimweave.functions import words as W
-from claimweave.session import shared_dir
+from claimweave.session import read_if_there, shared_dir
 
 
 def ordered_distinct(df: DataFrame, key: Column, order: list, by: list | None = None) -> DataFrame:
@@ -108,12 +108,7 @@ def cached(spark: SparkSession, rows: DataFrame, key: Column, make, name: str) -
     """
     path = f"{shared_dir(spark)}/cache-{name}"
     keyed = rows.withColumn("cache_key", F.sha2(key, 256))
-    try:
-        known = spark.read.parquet(path)
-    except Exception as error:  # the table does not exist yet
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-            raise
-        known = None
+    known = read_if_there(spark, path)
     missing = keyed if known is None else keyed.join(known.select("cache_key").distinct(), "cache_key", "left_anti")
     make(missing).write.mode("append").parquet(path)
     return spark.read.parquet(path).join(keyed.select("cache_key").distinct(), "cache_key", "left_semi")
