@@ -68,15 +68,24 @@ def clean_source(text: Column) -> Column:
     return F.btrim(normalized(text, strip_urls=False), F.lit(BLANKS))
 
 
+#: What cleaning would still change in a part of cleaned text: marks that a cut may have freed, and ends of lines.
+UNCLEAN = rf"(?i)[-<_*`~\\]|\s\s|https?://|www\.|\[(?:\d|citation|edit|note)|\((?:PDF|video|audio|archived|retrieved)|(?:{W.phrases(W.NAVIGATION)})"
+
+
+def clean_again(text: Column) -> Column:
+    """clean() of what is a part of cleaned text: the steps run only where one of them may find something."""
+    return F.when(text.rlike(UNCLEAN), clean(text)).otherwise(F.btrim(text, F.lit(BLANKS + "|")))
+
+
 def squeezed(text: Column) -> Column:
     """Blanks squeezed."""
     return F.trim(sub(or_empty(text), r"\s+"))
 
 
-def clean_clause(text: Column, subject: Column | None = None, predicate: Column | None = None) -> Column:
-    """P5: cleaned, cut at a sentence end within the limit, with a full stop; '' if nothing is left."""
+def clean_clause(text: Column, subject: Column | None = None, predicate: Column | None = None, cleaned: bool = False) -> Column:
+    """P5: cleaned, cut at a sentence end within the limit, with a full stop; '' if nothing is left. cleaned: a part of cleaned text."""
     limit = W.LIMITS["clause_chars"]
-    base = clean(text)
+    base = clean_again(text) if cleaned else clean(text)
     if subject is not None and predicate is not None:
         said = F.concat_ws(" ", subject, predicate)
         base = let(base, lambda t: F.when((t == "") & (subject != "") & (predicate != ""), said).otherwise(t))
@@ -242,13 +251,13 @@ def list_noise(text: Column) -> Column:
         bare = (digits >= 6) & (marks <= 2) & ~has_any(low, W.SUBORDINATE)
         return (F.size(words_) >= 12) & (figures | bare)
 
-    return let(F.regexp_extract_all(clean(text), F.lit(W.TOKEN), F.lit(0)), noise)
+    return let(F.regexp_extract_all(clean_again(text), F.lit(W.TOKEN), F.lit(0)), noise)
 
 
 def usable_clause(text: Column) -> Column:
-    """P10: whether a clause may hold a claim."""
+    """P10: whether a clause (a part of cleaned text) may hold a claim."""
     fits = lambda base: (base != "") & ~contraction(base) & (F.size(tokens(base)) >= 2) & ~list_noise(base) & (F.size(content_tokens(base)) > 0)
-    return let(clean_clause(text), fits)
+    return let(clean_clause(text, cleaned=True), fits)
 
 
 def relation_word_score(word: Column) -> Column:
@@ -306,18 +315,23 @@ def clamp01(x: Column) -> Column:
 # ---- F1 to F14: splitting and claim parts -------------------------------------------------
 
 
-def sentences(text: Column) -> Column:
-    """cleaned sentences, at most 96."""
+def first_of(items: Column, limit: str | None) -> Column:
+    """The first items of a parent, as many as the named limit; all of them without one."""
+    return items if limit is None else F.slice(items, 1, W.LIMITS[limit])
+
+
+def sentences(text: Column, limit: str | None = None) -> Column:
+    """cleaned sentences. limit: 'sentences' keeps the first 96, as suits a block of a page."""
     marked = sub(clean(text), r"([.!?])\s+", "$1\u0001")
-    parts = F.transform(F.split(marked, "\u0001"), lambda s: sub(clean_clause(s), r"[.!?]+$", ""))
-    return F.slice(F.filter(parts, lambda s: s != ""), 1, W.LIMITS["sentences"])
+    parts = F.transform(F.split(marked, "\u0001"), lambda s: sub(clean_clause(s, cleaned=True), r"[.!?]+$", ""))
+    return first_of(F.filter(parts, lambda s: s != ""), limit)
 
 
-def clauses(sentence: Column) -> Column:
-    """clauses of a sentence, at most 180."""
+def clauses(sentence: Column, limit: str | None = None) -> Column:
+    """clauses of a cleaned sentence. limit: 'clauses' keeps the first 180."""
     by = rf"(?i)\s*(?:;|,\s+(?:{W.phrases(W.CLAUSE_COORDINATORS)})\s+|\s+\b(?:{W.phrases(W.CLAUSE_COORDINATORS)})\b\s+)\s*"
-    parts = F.transform(F.split(sub(sentence, by, "\u0001"), "\u0001"), lambda c: sub(clean_clause(c), r"[.!?]+$", ""))
-    return F.slice(F.filter(parts, lambda c: c != ""), 1, W.LIMITS["clauses"])
+    parts = F.transform(F.split(sub(sentence, by, "\u0001"), "\u0001"), lambda c: sub(clean_clause(c, cleaned=True), r"[.!?]+$", ""))
+    return first_of(F.filter(parts, lambda c: c != ""), limit)
 
 
 LINKING = rf"(?i)^(.+?)\s+({W.phrases(W.LINKING_PHRASES)})\s+(.+)$"
@@ -506,6 +520,37 @@ def lexical_score(name: Column, target: Column, require_distinctive: bool = Fals
     return let(let(let(base, widened), overlap), score)
 
 
+def grounding_match(text: Column, target: Column) -> Column:
+    """how well a longer text names a target: 0 without a shared (distinctive) token, else the best of precision,
+    .85 of recall and the share of distinctive tokens."""
+
+    def score(x: Column) -> Column:
+        both, special = F.array_intersect(x["a"], x["t"]), x["special"]
+        hit = F.size(F.array_intersect(both, special))
+        n, missed = F.size(both), (F.size(special) > 0) & (hit == 0)
+        part = F.greatest(n / F.size(x["a"]), 0.85 * n / F.size(x["t"]), F.when(F.size(special) > 0, hit / F.size(special)).otherwise(0.0))
+        return F.when((F.size(x["a"]) == 0) | (F.size(x["t"]) == 0) | (n == 0) | missed, 0.0).otherwise(part)
+
+    base = let(F.struct(target_tokens(text).alias("a"), target_tokens(target).alias("t")), lambda x: F.struct(x["a"].alias("a"), x["t"].alias("t"), distinctive(x["t"]).alias("special")))
+    return let(base, score)
+
+
+def best_target_match(texts: Column, target: Column, queries: Column | None = None) -> Column:
+    """the best match of some texts (an array) with a target, or with related queries (an array) at .92 of theirs; 0 if there are none."""
+    own = F.transform(texts, lambda t: grounding_match(t, target))
+    if queries is not None:
+        own = F.concat(own, F.flatten(F.transform(texts, lambda t: F.transform(queries, lambda q: 0.92 * grounding_match(t, q)))))
+    return F.coalesce(F.array_max(own), F.lit(0.0))
+
+
+def format_specifics(values: Column) -> Column:
+    """A5: the texts of specifics, each once whatever its case, in order, between semicolons."""
+    texts = F.filter(F.transform(values, lambda v: squeezed(v["text"])), lambda t: t != "")
+    low = F.transform(texts, F.lower)
+    first = F.filter(F.transform(texts, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: F.array_position(low, F.lower(x["t"])) == x["i"] + 1)
+    return F.array_join(F.transform(first, lambda x: x["t"]), "; ")
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Shared share of two token sets; 0 if either is empty."""
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1)))

@@ -2,26 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimweave.functions import text as T
 from claimweave.functions import words as W
+from claimweave.session import spread
 from claimweave.sources.blocks import distinct_blocks, ordered_distinct
 
 
-def clause_rows(blocks: DataFrame) -> DataFrame:
-    """block_id, ord, source, sent_pos, clause_pos, clause: usable clauses of the first 180 of each block.
+def clause_rows(blocks: DataFrame, limited: bool = False) -> DataFrame:
+    """block_id, ord, source, sent_pos, clause_pos, clause: usable clauses of each block.
 
-    Extraction costs far more than moving its text, so blocks are dealt out to all cores first;
-    the cap is a slice of the block's own array, without a window.
+    limited (W5): of the first 96 sentences and 180 clauses, which suits blocks of a page. The cut is
+    a slice of the block's own array, without a window.
     """
-    spark = blocks.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = blocks.select("block_id", "ord", "source", "content").repartition(parts, "block_id", "ord")
-    of_sentence = lambda s, i: F.transform(T.clauses(s), lambda c, j: F.struct(i.alias("sent_pos"), j.alias("clause_pos"), c.alias("clause")))
-    every = F.flatten(F.transform(T.sentences(F.col("content")), of_sentence))
-    rows = dealt.select("block_id", "ord", "source", F.explode(F.slice(every, 1, W.LIMITS["clauses"])).alias("c")).select("block_id", "ord", "source", "c.*")
+    dealt = spread(blocks.select("block_id", "ord", "source", "content"))
+    sentence_limit, clause_limit = ("sentences", "clauses") if limited else (None, None)
+    of_sentence = lambda s, i: F.transform(T.clauses(s, clause_limit), lambda c, j: F.struct(i.alias("sent_pos"), j.alias("clause_pos"), c.alias("clause")))
+    every = F.flatten(F.transform(T.sentences(F.col("content"), sentence_limit), of_sentence))
+    rows = dealt.select("block_id", "ord", "source", F.explode(T.first_of(every, clause_limit)).alias("c")).select("block_id", "ord", "source", "c.*")
     return rows.where(T.usable_clause(F.col("clause")))
 
 
@@ -76,14 +76,16 @@ def candidate(raw: Column) -> Column:
     return T.let(F.lower(T.clean_part(raw["relation"], True)), built)
 
 
-def claims(blocks: DataFrame, parser: Column | None = None) -> DataFrame:
+def claims(blocks: DataFrame, parser: Column | None = None, limited: bool = False) -> DataFrame:
     """The claims of blocks, one per subject, relation, predicate, source and text.
 
+    limited: the limits of a page's block (W5) and of a job's claims (S12: the first 512 of a block).
+
     A clause is read by the linking pattern; only where that does not match, by its action words
     in turn (the first valid one). parser: an optional column of struct<subject, relation,
     predicate> from a dependency parser, tried first where it is not null.
     """
-    rows = clause_rows(distinct_blocks(blocks)).where(F.size(T.tokens(F.col("clause"))) >= 3)
+    rows = clause_rows(distinct_blocks(blocks), limited).where(F.size(T.tokens(F.col("clause"))) >= 3)
     rows = rows.withColumn("_link", linking(F.col("clause"))).withColumn("_acts", F.when(F.col("_link.relation") == "", action(F.col("clause"))))
     tried = F.when(F.col("_link.relation") != "", F.array(F.col("_link"))).otherwise(F.col("_acts"))
     if parser is not None:
@@ -92,7 +94,10 @@ def claims(blocks: DataFrame, parser: Column | None = None) -> DataFrame:
     first = F.aggregate(tried, none, lambda found, raw: F.when(found.isNotNull(), found).otherwise(candidate(raw)))  # stops at the first valid one
     flat = rows.select("block_id", "ord", "source", "sent_pos", "clause_pos", "clause", F.explode(F.filter(F.array(first), lambda c: c.isNotNull())).alias("c")).select("*", "c.*").drop("c")
     one = ordered_distinct(flat, F.struct(F.lower("subject").alias("a"), F.col("relation").alias("b"), F.lower("predicate").alias("c"), F.col("source").alias("d"), F.col("clause").alias("e")), [F.col("ord"), F.col("sent_pos"), F.col("clause_pos")])
-    evidence = T.clean_clause(F.col("clause"))
+    evidence = T.clean_clause(F.col("clause"), cleaned=True)
+    if limited:
+        rank = F.row_number().over(Window.partitionBy("block_id", "source").orderBy("ord", "sent_pos", "clause_pos"))
+        one = one.withColumn("_n", rank).where(F.col("_n") <= W.LIMITS["claims"]).drop("_n")
     return one.select(
         "block_id", "ord", "sent_pos", "clause_pos", "subject", "relation", "predicate",
         T.quantifier(F.col("subject_raw")).alias("s_quant"), T.quantifier(F.col("predicate_raw")).alias("p_quant"),

@@ -43,18 +43,18 @@ def clause(x: str) -> str:
     )
 
 
-def split_clean(x: str, pattern: str, by: str, most: int) -> str:
+def split_clean(x: str, pattern: str, by: str) -> str:
     marked = f"regexp_replace({x}, {q(pattern)}, {by}, 'g')"
-    return f"list_filter(list_transform(string_split({marked}, chr(1)), lambda s: regexp_replace({clause('s')}, '[.!?]+$', '')), lambda s: s <> '')[1:{most}]"
+    return f"list_filter(list_transform(string_split({marked}, chr(1)), lambda s: regexp_replace({clause('s')}, '[.!?]+$', '')), lambda s: s <> '')"
 
 
 def sentences(x: str) -> str:
-    return split_clean(clean(x), r"([.!?])\s+", "'\\1' || chr(1)", W.LIMITS["sentences"])
+    return split_clean(clean(x), r"([.!?])\s+", "'\\1' || chr(1)")
 
 
 def clauses(x: str) -> str:
     c = W.phrases(W.CLAUSE_COORDINATORS)
-    return split_clean(x, rf"(?i)\s*(?:;|,\s+(?:{c})\s+|\s+\b(?:{c})\b\s+)\s*", "chr(1)", W.LIMITS["clauses"])
+    return split_clean(x, rf"(?i)\s*(?:;|,\s+(?:{c})\s+|\s+\b(?:{c})\b\s+)\s*", "chr(1)")
 
 
 def tokens(x: str) -> str:
