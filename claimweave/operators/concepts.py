@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimweave.functions import text as T
 from claimweave.functions import words as W
-from claimweave.session import discard, store
+from claimweave.session import discard, read_if_there, store
 
 DIMENSIONS = 256
 
@@ -52,6 +53,22 @@ def centroids(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return each.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("centroid"))
 
 
+def met_on_terms(a: DataFrame, b: DataFrame, on: str = "term", block: int = 10_000) -> DataFrame:
+    """a join b on a term. Rows of b without a term of a are dropped before they move, and frequent terms are cut into blocks of b."""
+    asked = store(a, "asked-terms").df
+    terms = store(asked.select(on).distinct(), "terms").df
+    named = F.broadcast(terms) if terms.count() <= 500_000 else terms
+    held = store(b.join(named, on, "left_semi"), "held-terms").df
+    crowded = store(held.groupBy(on).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks")).where("_blocks > 1"), "crowded-terms").df
+    if crowded.isEmpty():
+        return asked.join(held, on)
+    few = F.broadcast(crowded) if crowded.count() <= 100_000 else crowded
+    blocks = F.coalesce(F.col("_blocks"), F.lit(1))
+    left = asked.join(few, on, "left").withColumn("_block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("_blocks")
+    right = held.join(few, on, "left").withColumn("_block", F.pmod(F.xxhash64(*held.columns), blocks).cast("int")).drop("_blocks")
+    return left.join(right, [on, "_block"]).drop("_block")
+
+
 def candidates(left: DataFrame, right: DataFrame, limit: int = W.LIMITS["candidates"]) -> DataFrame:
     """left_id, right_id, overlap: right rows that share terms, the most shared first, at most limit.
 
@@ -60,7 +77,7 @@ def candidates(left: DataFrame, right: DataFrame, limit: int = W.LIMITS["candida
     weight = F.col("merge_count") if "merge_count" in right.columns else F.lit(0)
     a = left.select(F.col("id").alias("left_id"), F.explode(F.array_distinct("terms")).alias("term"))
     b = right.select(F.col("id").alias("right_id"), weight.alias("merge_count"), F.explode(F.array_distinct("terms")).alias("term"))
-    shared = a.join(b, "term").groupBy("left_id", "right_id", "merge_count").agg(F.count("*").alias("overlap"))
+    shared = met_on_terms(a, b).groupBy("left_id", "right_id", "merge_count").agg(F.count("*").alias("overlap"))
     rank = F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("overlap"), F.desc("merge_count"), "right_id"))
     return shared.withColumn("place", rank).where(F.col("place") <= limit).select("left_id", "right_id", "overlap", "place")
 
@@ -72,6 +89,65 @@ def best_match(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame
     return scored.groupBy("left_id").agg(F.max(F.struct("similarity", (-F.col("right_id")).alias("n"))).alias("m")).select("left_id", (-F.col("m.n")).alias("right_id"), "m.similarity")
 
 
+def cosine_search(queries: DataFrame, rows: DataFrame, least: float | None = None, top: int | None = None, chunk: int = 10_000) -> DataFrame:
+    """J4 over all rows: id, other, similarity (six digits): for each query the rows of at least that cosine, or the top nearest.
+
+    Both sides: id, vector. The query set is worked off in chunks (the only data that goes to the
+    driver and the workers, chunk vectors at a time), each against all rows in blocks; a task keeps
+    its own nearest of each query, so that few rows meet. Rows of the query's own id are left out;
+    ties go to the least id; vectors that are null, hold a null or are all zeros have cosine 0.
+    """
+    parts = max(1, -(-queries.count() // chunk))
+    out = None
+    for k in range(parts):
+        held = queries.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == k).select("id", "vector").toArrow()
+        ids, matrix = np.asarray(held["id"].to_pylist(), dtype=np.int64), unit_rows(held["vector"].to_pylist())
+        shared = queries.sparkSession.sparkContext.broadcast((ids, matrix))
+
+        def run(batches, shared=shared):
+            ids, matrix = shared.value
+            best_s, best_i = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    part = batch.slice(at, 512)
+                    own = np.asarray(part.column(0).to_pylist(), dtype=np.int64)
+                    s = np.round(matrix @ fitted(unit_rows(part.column(1).to_pylist()), matrix.shape[1]).T, 6) + 0.0
+                    other = ids[:, None] != own[None]
+                    if top is None:
+                        q, r = np.nonzero(other & (s >= least))
+                        yield pair_batch(ids[q], own[r], s[q, r])
+                        continue
+                    best_s = np.concatenate([best_s, np.where(other, s, -np.inf)], axis=1)
+                    best_i = np.concatenate([best_i, np.broadcast_to(own, s.shape)], axis=1)
+                    order = np.lexsort((best_i, -best_s), axis=1)[:, :top]
+                    best_s, best_i = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_i, order, 1)
+            if top is not None:
+                q, r = np.nonzero(best_s > -np.inf)
+                yield pair_batch(ids[q], best_i[q, r], best_s[q, r])
+
+        found = rows.where("id is not null").select("id", "vector").mapInArrow(run, "id long, other long, similarity double")
+        out = found if out is None else out.unionByName(found)
+    if top is None:
+        return out
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other"))
+    return out.withColumn("place", rank).where(F.col("place") <= top)
+
+
+def pair_batch(ids: np.ndarray, others: np.ndarray, similarity: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(others), pa.array(similarity)], names=["id", "other", "similarity"])
+
+
+def unit_rows(vectors: list) -> np.ndarray:
+    """Vectors of one length as rows of length one, zeros where there is none."""
+    width = max((len(v) for v in vectors if v), default=1)
+    x = np.array([[0.0] * width if v is None or None in v else [*v, *[0.0] * (width - len(v))] for v in vectors], dtype=float).reshape(-1, width)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def fitted(x: np.ndarray, width: int) -> np.ndarray:
+    return x if x.shape[1] == width else np.pad(x, ((0, 0), (0, max(0, width - x.shape[1]))))[:, :width]
+
+
 def block_keys(name: Column, vector: Column, tokens: int = 6, dims: int = 8) -> Column:
     """J5: 'token:*' of the first six tokens longer than two, and 'vector:i:sign' of the eight largest dimensions."""
     words_ = F.slice(F.filter(T.tokens(name), lambda t: F.length(t) > 2), 1, tokens)
@@ -115,6 +191,21 @@ def groups(pairs: DataFrame, max_rounds: int = 30) -> DataFrame:
     raise RuntimeError(f"merges did not settle in {max_rounds} rounds")
 
 
+def interned(rows: DataFrame, text: str, order: str) -> DataFrame:
+    """Norm, literal_id, literal: one literal per normalised text: its least order value and the text that came with it."""
+    return rows.where(F.col(text).isNotNull()).groupBy(F.lower(T.squeezed(F.col(text))).alias("norm")).agg(F.min(order).alias("literal_id"), F.min_by(text, order).alias("literal"))
+
+
+def looked_up(rows: DataFrame, text: str, known: DataFrame) -> DataFrame:
+    """Rows with the literal_id of their text, null where it is not known."""
+    return rows.join(known.select(F.col("norm").alias("_norm"), "literal_id"), F.lower(T.squeezed(F.col(text))) == F.col("_norm"), "left").drop("_norm")
+
+
+def literal_of(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows (literal_id) with the text of their literal."""
+    return rows.join(known.select("literal_id", "literal"), "literal_id", "left")
+
+
 def canonical_quality(name: Column) -> Column:
     """How good a label is as the name of its concept: content tokens, then few characters."""
     return F.struct(F.size(T.content_tokens(name)).alias("content"), (-F.length(name)).alias("short"), name.alias("name"))
@@ -164,9 +255,49 @@ def resolve_in_order(labels: DataFrame) -> DataFrame:
     return labels.groupBy("group_id").applyInPandas(run, "group_id long, ord long, concept long")
 
 
-def refine(nodes: DataFrame, claims: DataFrame) -> DataFrame:
-    """Late claims whose ends are both known nodes and differ: they update, never create. nodes: label; claims: subject, predicate."""
-    known = nodes.select(F.lower("label").alias("_k"), F.col("label").alias("_label")).dropDuplicates(["_k"])
-    s = claims.withColumn("_k", F.lower("subject")).join(known, "_k").withColumn("subject", F.col("_label")).drop("_k", "_label")
-    o = s.withColumn("_k", F.lower("predicate")).join(known, "_k").withColumn("predicate", F.col("_label")).drop("_k", "_label")
-    return o.where("subject <> predicate").select(*claims.columns)
+def resolved_labels(nodes: DataFrame, labels: DataFrame, embed: Callable[[Column], Column] = hashed_vector) -> DataFrame:
+    """Norm, node: the known node of each label: that of the same text, else the nearest one that shares a block key
+    and whose cosine reaches the merge threshold of the more specific of the two. nodes: label; labels: name.
+
+    Labels without either are left out.
+    """
+    norm = lambda c: F.lower(T.squeezed(F.col(c)))
+    known = store(nodes.groupBy(norm("label").alias("norm")).agg(F.min("label").alias("node")).withColumn("vector", embed(F.col("norm"))), "known-nodes").df
+    asked = store(labels.where("name is not null").select(norm("name").alias("norm")).distinct(), "asked-labels").df
+    exact = asked.join(known.select("norm", "node"), "norm")
+    rest = asked.join(known, "norm", "left_anti").withColumn("vector", embed(F.col("norm")))
+    keyed = lambda df, *more: df.select("norm", *more, F.explode(block_keys(F.col("norm"), F.col("vector"))).alias("key"))
+    met = keyed(rest).withColumnRenamed("norm", "asked").join(keyed(known, "node"), "key").select("asked", "norm").distinct()
+    side = lambda df, n, v: df.select(F.col("norm").alias(n), F.col("vector").alias(v), merge_threshold(vector_specificity(F.col("vector"))).alias(f"need{v}"))
+    scored = met.join(side(rest, "asked", "_a"), "asked").join(side(known, "norm", "_b"), "norm").withColumn("similarity", T.cosine(F.col("_a"), F.col("_b")))
+    near = scored.where(F.col("similarity") >= F.greatest("need_a", "need_b")).groupBy("asked").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "norm")).alias("m"))
+    merged = near.select("asked", F.col("m.norm").alias("norm")).join(known.select("norm", "node"), "norm").select(F.col("asked").alias("norm"), "node")
+    return exact.unionByName(merged)
+
+
+def refine(nodes: DataFrame, claims: DataFrame, embed: Callable[[Column], Column] = hashed_vector) -> DataFrame:
+    """Late claims whose ends both resolve to known nodes and differ: they update, never create. nodes: label; claims: subject, predicate."""
+    names = claims.select(F.col("subject").alias("name")).unionByName(claims.select(F.col("predicate").alias("name")))
+    known = store(resolved_labels(nodes, names, embed), "resolved").df
+    end = lambda df, c: df.withColumn("norm", F.lower(T.squeezed(F.col(c)))).join(known, "norm").withColumn(c, F.col("node")).drop("norm", "node")
+    return end(end(claims, "subject"), "predicate").where("subject <> predicate").select(*claims.columns)
+
+
+def stored_concepts(spark: SparkSession, labels: DataFrame, path: str, embed: Callable[[Column], Column] = hashed_vector) -> DataFrame:
+    """Norm, concept_id, canonical of a concept table that survives calls.
+
+    Labels that the table at path knows keep their concept; new ones join the nearest known concept
+    as in resolved_labels, and what is left is resolved among itself and added. Each call adds one part.
+    """
+    norm = F.lower(T.squeezed(F.col("name")))
+    known = read_if_there(spark, path)
+    if known is None:
+        resolve(labels, embed).select("norm", "concept_id", "canonical").write.parquet(path)
+        return spark.read.parquet(path)
+    fresh = store(labels.where("name is not null").select("name", norm.alias("norm")).join(known.select("norm"), "norm", "left_anti"), "fresh-labels").df
+    names = known.groupBy("canonical").agg(F.min("concept_id").alias("concept_id"))
+    joined = resolved_labels(names.select(F.col("canonical").alias("label")), fresh.select("name"), embed)
+    near = store(joined.join(names, joined["node"] == names["canonical"]).select("norm", "concept_id", "canonical"), "near-labels").df
+    new = resolve(fresh.join(near, "norm", "left_anti").select("name"), embed).select("norm", "concept_id", "canonical")
+    store(near.unionByName(new), "new-concepts").df.write.mode("append").parquet(path)
+    return spark.read.parquet(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -19,18 +21,23 @@ def merged_edges(claims: DataFrame) -> DataFrame:
 
     claims: s, rel, o, s_quant, p_quant, tense, truth, utility, specifics, source, evidence,
     prev, ord. The highest utility, the union of specifics and of previous nodes, and the first
-    known source and text stay. One hash aggregate: partial before the shuffle.
+    known source and text stay. Hash aggregates, partial before the shuffle; specifics are made
+    distinct one by one before they are gathered, so an edge's list holds what it says and no more.
     """
+    key = ["s", "rel", "o", "s_quant", "p_quant", "tense", "truth"]
     known = lambda c, unknown: F.min_by(F.when(F.col(c) != unknown, F.col(c)), F.when(F.col(c) != unknown, F.col("ord")))
-    return claims.groupBy("s", "rel", "o", "s_quant", "p_quant", "tense", "truth").agg(
+    main = claims.groupBy(*key).agg(
         F.max("utility").alias("utility"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("specifics")))).alias("specifics"),
         F.coalesce(known("source", "unknown"), F.lit("unknown")).alias("source"),
         F.coalesce(known("evidence", ""), F.lit("")).alias("evidence"),
         F.array_sort(F.array_compact(F.collect_set("prev"))).alias("prev_nodes"),
         F.min("ord").alias("ord"),
         F.count("*").alias("n_claims"),
     )
+    each = claims.select(*key, F.explode("specifics").alias("x")).distinct().groupBy(*key).agg(F.array_sort(F.collect_list("x")).alias("specifics"))
+    same = [main[c].eqNullSafe(each[c]) for c in key]
+    none = F.array().cast(SPECIFIC)
+    return main.join(each, same, "left").select(*[main[c] for c in main.columns], F.coalesce(each["specifics"], none).alias("specifics"))
 
 
 def compatible_edges(edges: DataFrame) -> DataFrame:
@@ -78,17 +85,20 @@ def provenance(rows: DataFrame, source: str, subject: str, predicate: str, order
     return ends.unionByName(asks).withColumn("_last", last).where("_role = 1").select("_row.*", F.col("_last.o").alias("prev_ord"), F.col("_last.s").alias("prev_subject"))
 
 
-def reachable(edges: DataFrame, starts: DataFrame, max_rounds: int = 64, limit_hops: int | None = None) -> DataFrame:
+def reachable(edges: DataFrame, starts: DataFrame, max_rounds: int | None = None, limit_hops: int | None = None) -> DataFrame:
     """G1: origin, node, hops: all nodes that each origin's starts reach (starts: origin, node).
 
     Level by level: the frontier joins the edges, known nodes are anti-joined away, each level is
-    a table of the shared folder. Ends when no new node is found or limit_hops is reached.
+    a table of the shared folder. Ends when no new node is found or limit_hops is reached; where the
+    caller bounds the rounds and nodes are still found after them, that is an error.
     """
     spark = edges.sparkSession
     steps = store(edges.select("s", "o").distinct(), "steps").df
     frontier = store(starts.select("origin", "node").distinct().withColumn("hops", F.lit(0)), "reach")
     levels = [frontier]
-    for hop in range(1, (limit_hops or max_rounds) + 1):
+    for hop in range(1, limit_hops + 1) if limit_hops else count(1):
+        if max_rounds and hop > max_rounds:
+            raise RuntimeError(f"nodes are still found after {max_rounds} rounds")
         seen = levels[0].df
         for level in levels[1:]:
             seen = seen.unionByName(level.df)
@@ -116,7 +126,7 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.withColumns({"s": F.col("o"), "o": F.col("s")})
 
 
-def route_core(edges: DataFrame, seeds: DataFrame, goals: DataFrame, max_rounds: int = 64) -> DataFrame:
+def route_core(edges: DataFrame, seeds: DataFrame, goals: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Edges whose start some seed reaches and whose end reaches some goal (seeds, goals: node)."""
     named = lambda nodes: nodes.select(F.lit(0).alias("origin"), "node")
     ahead = reachable(edges, named(seeds), max_rounds).select(F.col("node").alias("s"))
@@ -143,6 +153,7 @@ def route_metrics(edges: DataFrame, ahead: DataFrame, back: DataFrame, pairs: Da
     """
     e = edges.select("edge_id", "s", "o", "source", "n_specifics")
     on = e.join(ahead.select(F.col("origin").alias("a"), F.col("node").alias("s")), "s").join(pairs, "a").join(back.select(F.col("origin").alias("b"), F.col("node").alias("o")), ["b", "o"])
+    on = store(on.select("a", "b", "s", "o", "source", "n_specifics"), "routes").df  # read twice
     shown = F.lower(F.rtrim(T.display_source(F.col("source"))))
     base = on.groupBy("a", "b").agg(
         F.count("*").alias("n_edges"),
@@ -155,7 +166,7 @@ def route_metrics(edges: DataFrame, ahead: DataFrame, back: DataFrame, pairs: Da
     return base.join(nodes, ["a", "b"]).withColumn("score", score.cast("double"))
 
 
-def goal_tree(edges: DataFrame, goals: DataFrame, max_rounds: int = 64) -> DataFrame:
+def goal_tree(edges: DataFrame, goals: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Goal, node, hops, next: the first node of a shortest way to the goal, ties to the least node."""
     back = reachable(reversed_edges(edges), goals.select(F.col("node").alias("origin"), "node"), max_rounds)
     near = back.select(F.col("origin"), F.col("node").alias("o"), F.col("hops").alias("near"))
@@ -184,7 +195,9 @@ def walks(edges: DataFrame, tree: DataFrame, plan: DataFrame, positions: DataFra
     back, by an exponential race with weight 1 / distance: the draw is a hash of seed, walk, hop
     and edge. What has not arrived after the last hop follows the goal tree. edges: edge_id, s, o.
     """
-    e = edges.select("edge_id", "s", "o")
+    # only edges whose end can still reach a goal; stored, since every hop reads them
+    tree = store(tree.select("goal", "node", "hops", "next"), "walk-tree").df
+    e = store(edges.select("edge_id", "s", "o").join(tree.select(F.col("node").alias("o")).distinct(), "o", "left_semi").select("edge_id", "s", "o"), "walk-edges").df
     if positions is None:
         e = e.withColumn("weight", F.lit(1.0))
     else:
@@ -211,17 +224,37 @@ def walks(edges: DataFrame, tree: DataFrame, plan: DataFrame, positions: DataFra
     return with_tails(store(now, "walks").df, e, tree)
 
 
-def with_tails(now: DataFrame, edges: DataFrame, tree: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """Walks that have not arrived follow the goal tree to the end."""
+def with_tails(now: DataFrame, edges: DataFrame, tree: DataFrame) -> DataFrame:
+    """Walks that have not arrived follow the goal tree to the end: each step is one nearer."""
     least = edges.groupBy("s", "o").agg(F.min("edge_id").alias("edge_id"))
-    for _ in range(max_rounds):
+    while True:
         live, done = now.where("reason = 'alive'"), now.where("reason <> 'alive'")
         if live.isEmpty():
             return done
         step = live.withColumn("node", F.element_at("path", -1)).join(tree.select("goal", "node", "next"), ["goal", "node"]).join(least.select(F.col("s").alias("node"), F.col("o").alias("next"), "edge_id"), ["node", "next"])
         moved = step.select("walk_id", "seed", "goal", F.concat("path", F.array("next")).alias("path"), F.concat("edge_ids", F.array("edge_id")).alias("edge_ids"), F.when(F.col("next") == F.col("goal"), "endpoint").otherwise("alive").alias("reason"))
         now = store(moved.unionByName(done), "walks").df
-    return now
+
+
+def edge_states(edges: DataFrame, packed: DataFrame) -> DataFrame:
+    """Edges with their state (s_quant, p_quant, tense, truth), where it is missing that of the packed record of the same edge_id."""
+    state = ["s_quant", "p_quant", "tense", "truth"]
+    theirs = packed.select("edge_id", *[F.col(c).alias(f"_{c}") for c in state])
+    return edges.join(theirs, "edge_id", "left").select(*[F.coalesce(F.col(c), F.col(f"_{c}")).alias(c) if c in state else F.col(c) for c in edges.columns])
+
+
+def endpoint_of(node: Column, subject: Column | None = None, predicate: Column | None = None) -> Column:
+    """What an edge (s, o) holds for the end at which a node stands: the subject's value, the predicate's, or null.
+
+    Without values: the node's name there.
+    """
+    return F.when(node == F.col("s"), F.col("s") if subject is None else subject).when(node == F.col("o"), F.col("o") if predicate is None else predicate)
+
+
+def pruning_summary(edges: DataFrame, core: DataFrame) -> DataFrame:
+    """Kept, removed, specific: edges in the core, outside it, and in it with specifics."""
+    marked = edges.join(core.select("edge_id", F.lit(True).alias("_core")).distinct(), "edge_id", "left")
+    return marked.agg(F.count_if("_core").alias("kept"), F.count_if(F.col("_core").isNull()).alias("removed"), F.count_if(F.col("_core") & (F.col("n_specifics") > 0)).alias("specific"))
 
 
 def walk_stats(walk_rows: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from claimweave.functions import text as T
 from claimweave.functions import words as W
+from claimweave.operators.concepts import met_on_terms
+from claimweave.session import spread, store
 
 
 def name_quality(name: Column) -> Column:
@@ -74,6 +76,81 @@ def grounding_texts(edges: DataFrame, limit: int = W.LIMITS["grounding"]) -> Dat
     return each.withColumn("place", rank).where(F.col("place") <= limit)
 
 
+def grounding_scores(edges: DataFrame, target: str, limit: int = W.LIMITS["grounding"]) -> DataFrame:
+    """Node, grounding: the best lexical score against a target over the evidence of a node's strongest edges."""
+    said = grounding_texts(edges, limit).where("evidence <> ''")
+    return said.groupBy("node").agg(F.max(T.lexical_score(F.col("evidence"), F.lit(target), True)).alias("grounding"))
+
+
+def specific_context(edges: DataFrame, chosen: DataFrame | None = None, limit: int = 4) -> DataFrame:
+    """Node, edge_id, text, source, place: the most specific citable evidence at each node, chosen edges (node, edge_id) left out.
+
+    edges: edge_id, s, o, rel, source, evidence, n_specifics (numbers and dates of the edge) and, if
+    there, n_predicate (those of its end). Order: specifics of the end, of the edge, concrete details
+    of the text, length, then text. Rows with nothing specific drop out.
+    """
+    end = F.col("n_predicate") if "n_predicate" in edges.columns else F.lit(0)
+    text = F.when(F.col("evidence") != "", F.col("evidence")).otherwise(F.concat_ws(" ", "s", "rel", "o"))
+    rows = edges.where(T.citable(F.col("source"))).select(F.explode(F.array("s", "o")).alias("node"), "edge_id", "source", F.concat(F.regexp_replace(T.squeezed(text), r"\.+$", ""), F.lit(".")).alias("text"), F.col("n_specifics").cast("long").alias("n_specifics"), end.cast("long").alias("n_end"))
+    rows = rows.withColumn("n_text", T.concrete_count(F.col("text")).cast("long")).where("n_end > 0 or n_specifics > 0 or n_text > 0")
+    if chosen is not None:
+        rows = rows.join(chosen.select("node", "edge_id").distinct(), ["node", "edge_id"], "left_anti")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n_end"), F.desc("n_specifics"), F.desc("n_text"), F.desc(F.length("text")), F.desc("text"), "edge_id"))
+    return rows.withColumn("place", rank).where(F.col("place") <= limit).select("node", "edge_id", "text", "source", "place")
+
+
+def record_key(text: Column, source: Column) -> Column:
+    """What makes two records the same: the word tokens of the text and the shown source."""
+    return F.struct(F.array_join(T.tokens(T.squeezed(text)), " ").alias("t"), F.lower(F.regexp_replace(T.display_source(source), "/+$", "")).alias("s"))
+
+
+def context_without_path(context: DataFrame, path: DataFrame, key: str) -> DataFrame:
+    """Context records (key, text, source) whose text and source are not among the key's path records."""
+    there = path.select(F.col(key).alias("_key"), record_key(F.col("text"), F.col("source")).alias("_record")).distinct()
+    return context.join(there, (F.col(key) == F.col("_key")) & (record_key(F.col("text"), F.col("source")) == F.col("_record")), "left_anti")
+
+
+def path_order(records: DataFrame, key: str, target_a: str, target_b: str, limit: int = W.LIMITS["path_records"]) -> DataFrame:
+    """The path records of each key in order of use: those that name both sides, B, A, with concrete details, many of them, short ones; at most limit."""
+    a, b = T.target_tokens(F.lit(target_a), 2), T.target_tokens(F.lit(target_b), 2)
+    hits = lambda t: F.size(F.array_intersect("_t", t)) > 0
+    rows = records.withColumn("_t", T.target_tokens(F.col("text"), 2)).withColumns({"_a": hits(a), "_b": hits(b), "_n": T.concrete_count(F.col("text"))})
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.col("_a") & F.col("_b")), F.desc("_b"), F.desc("_a"), F.desc(F.col("_n") > 0), F.desc("_n"), F.size("_t"), "text"))
+    return rows.withColumn("place", rank).where(F.col("place") <= limit).select(*records.columns, "place")
+
+
+def context_order(context: DataFrame, path: DataFrame, key: str, target_a: str, target_b: str, limit: int = 3 * W.LIMITS["path_records"]) -> DataFrame:
+    """The context records of each key that name side B, by what they share with its path and the targets; at most limit.
+
+    path: key, text. A key's path is a few records, so their tokens are one array.
+    """
+    a, b = T.target_tokens(F.lit(target_a), 2), T.target_tokens(F.lit(target_b), 2)
+    said = path.select(key, F.explode(T.target_tokens(F.col("text"), 2)).alias("t")).groupBy(key).agg(F.collect_set("t").alias("_path"))
+    n = lambda t: F.size(F.array_intersect("_t", t))
+    rows = context.join(said, key, "left").withColumn("_t", T.target_tokens(F.col("text"), 2))
+    rows = rows.withColumns({"_a": n(a), "_b": n(b), "_p": F.coalesce(n(F.col("_path")), F.lit(0)), "_n": T.concrete_count(F.col("text"))}).where("_b > 0")
+    order = [F.desc(F.col("_a") > 0), F.desc(F.col("_p") > 0), F.desc("_p"), F.desc(F.col("_a") + F.col("_b")), F.desc(F.col("_n") > 0), F.desc("_n"), F.size("_t"), "text"]
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("place") <= limit).select(*context.columns, "place")
+
+
+def successful(payloads: DataFrame, least: float = W.MATCH) -> DataFrame:
+    """Payloads that reached their end; if there is none, those that match both targets and name A well enough.
+
+    payloads: endpoint_reached, match_a, match_b, lexical_a.
+    """
+    fits = F.when(F.coalesce(F.col("endpoint_reached"), F.lit(False)), 0).when((F.col("match_a") >= least) & (F.col("match_b") >= least) & (F.col("lexical_a") >= least), 1)
+    tiers = payloads.withColumn("_tier", fits).where("_tier is not null")
+    return tiers.where(F.col("_tier") == tiers.agg(F.min("_tier").alias("m")).scalar()).drop("_tier")
+
+
+def notes(rows: DataFrame, key: str, order: list[str], keep: int = W.LIMITS["notes"]) -> DataFrame:
+    """The last keep distinct notes of each key, in the order in which each first came. rows: key, text and the order columns."""
+    first = rows.where("text <> ''").groupBy(key, "text").agg(F.min(F.struct(*order)).alias("_at"))
+    back = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_at"), F.desc("text")))
+    kept = first.withColumn("_back", back).where(F.col("_back") <= keep)
+    return kept.select(key, "text", F.row_number().over(Window.partitionBy(key).orderBy("_at", "text")).alias("place"))
+
+
 def near_duplicate(a: set, b: set) -> bool:
     """Token sets of four or more that overlap by .72 of the smaller or .60 of the union."""
     both = len(a & b)
@@ -126,20 +203,29 @@ def mechanism(path_text: Column, target_a: str, target_b: str) -> Column:
     return F.filter(F.array_except(T.target_tokens(path_text, 2), named), lambda t: ~t.rlike("^[0-9]+$"))
 
 
+def numbered(rows: DataFrame, order: list, name: str, parts: int = 64) -> DataFrame:
+    """rows with their place (from 1) in a total order, without one task for all: ranges are sorted, and each adds the rows before it."""
+    made = store(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges").df
+    counts = made.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each of the parts
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_before")
+    return made.join(F.broadcast(before), "_part").withColumn(name, place.cast("int")).drop("_part", "_before")
+
+
 def source_numbers(records: DataFrame, order: list[str]) -> DataFrame:
     """Source, number: citable sources by where they first come. records: source and the order columns."""
     first = records.where(T.citable(F.col("source"))).groupBy(T.display_source(F.col("source")).alias("source")).agg(F.min(F.struct(*order)).alias("_at"))
-    return first.select("source", F.row_number().over(Window.orderBy("_at", "source")).alias("number"))
+    return numbered(first, [F.col("_at"), F.col("source")], "number").select("source", "number")
 
 
 def citations(sentences: DataFrame, records: DataFrame, limit: int = 2) -> DataFrame:
     """sent_id, rec_id, shared, score, place: the records that best support each sentence.
 
     Both sides: id, text. A record needs two shared tokens and max(precision, .85 recall) of .22;
-    one equi-join on the token finds the candidates.
+    one equi-join on the token finds the candidates, over the tokens that occur among the sentences.
     """
     t = lambda df, i, n: df.select(F.col("id").alias(i), T.target_tokens(F.col("text")).alias("t")).select(i, F.size("t").alias(n), F.explode("t").alias("term"))
-    met = t(sentences, "sent_id", "n_s").join(t(records, "rec_id", "n_r"), "term").groupBy("sent_id", "rec_id", "n_s", "n_r").agg(F.count("*").alias("shared")).where("shared >= 2")
+    met = met_on_terms(t(sentences, "sent_id", "n_s"), t(spread(records), "rec_id", "n_r")).groupBy("sent_id", "rec_id", "n_s", "n_r").agg(F.count("*").alias("shared")).where("shared >= 2")
     scored = met.withColumn("score", F.greatest(F.col("shared") / F.col("n_s"), 0.85 * F.col("shared") / F.col("n_r"))).where("score >= 0.22")
     rank = F.row_number().over(Window.partitionBy("sent_id").orderBy(F.desc("score"), F.desc("shared"), "rec_id"))
     return scored.withColumn("place", rank).where(F.col("place") <= limit).select("sent_id", "rec_id", "shared", "score", "place")
@@ -153,6 +239,29 @@ def chain_text(records: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "_said"))), lambda x: x["_said"]), " ").alias("text"))
 
 
+def cited(text: str, refs: dict[int, list[int]]) -> str:
+    """a report's sentences with the references of the records that support them, where they have none.
+
+    refs: sentence number (in order of sentences_of) to source numbers. Headings stay as they are.
+    """
+    n, out = 0, []
+    for paragraph in text.split("\n\n"):
+        said = []
+        for sentence in sentences_of(paragraph):
+            marks = " ".join(f"[{r}]" for r in refs.get(n, []))
+            n += 1
+            if marks and not re.search(r"\[\d+\](?:\s*\[\d+\])*\s*[.!?]?$", sentence):
+                sentence = f"{sentence[:-1].rstrip()} {marks}{sentence[-1]}" if sentence[-1] in ".!?" else f"{sentence} {marks}."
+            said.append(sentence)
+        out.append(" ".join(said) if said else paragraph.strip())
+    return "\n\n".join(out)
+
+
+def sentences_of(paragraph: str) -> list[str]:
+    """The sentences of a paragraph; a heading has none."""
+    return [] if paragraph.lstrip().startswith("#") else [s.strip() for s in re.split(r"(?<=[.!?])\s+", paragraph.strip()) if s.strip()]
+
+
 def polished(report: str, sources: list[tuple[int, str]]) -> str:
     """a report text without template headings, labels and pipeline words, its sources listed anew.
 

@@ -12,7 +12,7 @@ from claimweave.functions import words as W
 from claimweave.operators import concepts, extract, graph, synth
 from claimweave.plans import api, duck
 from claimweave.sources import blocks
-from claimweave.session import table
+from claimweave.session import spread, table
 from claimweave.streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,13 +41,18 @@ def r6(c) -> object:
     return F.round(c, 6)
 
 
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents for work on their texts: a table of one file is dealt out to all cores."""
+    return spread(table(spark, d, "documents"))
+
+
 # ---- text (P, F) --------------------------------------------------------------------------
 
 SENTENCES = f"select doc_id, unnest(s) as sentence, generate_subscripts(s, 1) - 1 as pos from (select doc_id, {duck.sentences('text')} as s from documents)"
 
 
 def sentence_rows(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
+    return documents(spark, d).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
 
 
 @query(f"select doc_id, pos::int as pos, sentence from ({SENTENCES})")
@@ -72,7 +77,7 @@ def clause_split(spark, d):
 @query(f"select doc_id, {duck.clean('text')} as cleaned, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ')) as squeezed from documents")
 def clean_texts(spark, d):
     """P1, P2, P4."""
-    return table(spark, d, "documents").select("doc_id", T.clean(F.col("text")).alias("cleaned"), F.lower(T.squeezed(F.col("text"))).alias("squeezed"))
+    return documents(spark, d).select("doc_id", T.clean(F.col("text")).alias("cleaned"), F.lower(T.squeezed(F.col("text"))).alias("squeezed"))
 
 
 @query(f"select doc_id, pos::int as pos, {duck.clause('sentence')} as clause from ({SENTENCES})")
@@ -85,13 +90,13 @@ def clean_clauses(spark, d):
 def token_stats(spark, d):
     """P12."""
     t = T.tokens(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_distinct"), F.size(T.meaningful_tokens(F.col("text"))).alias("n_meaningful"))
+    return documents(spark, d).select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_distinct"), F.size(T.meaningful_tokens(F.col("text"))).alias("n_meaningful"))
 
 
 @query(f"select token, count(*) as n, count(distinct doc_id) as n_docs from (select doc_id, unnest({duck.without(duck.tokens('text'), W.STOP, W.DISCOURSE, W.WEAK)}) as token from documents) group by token")
 def content_tokens(spark, d):
     """P12."""
-    return table(spark, d, "documents").select("doc_id", F.explode(T.content_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
+    return documents(spark, d).select("doc_id", F.explode(T.content_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 
 
 NOISE = (
@@ -167,13 +172,13 @@ def specifics_numbers(spark, d):
     """F9 in its plain form: number and date literals."""
     n = F.size(F.regexp_extract_all("text", F.lit(r"\d[\d,]*(?:\.\d+)?"), F.lit(0)))
     dates = F.size(F.array_distinct(F.regexp_extract_all("text", F.lit("(?i)" + W.DATE), F.lit(0))))
-    return table(spark, d, "documents").select("doc_id", n.alias("n_numbers"), dates.alias("n_dates"))
+    return documents(spark, d).select("doc_id", n.alias("n_numbers"), dates.alias("n_dates"))
 
 
 @query()
 def claim_specifics(spark, d):
     """F9 in full: dates and amounts as structs."""
-    return table(spark, d, "documents").select("doc_id", F.explode(T.specifics(F.col("text"), F.col("source"))).alias("s")).select("doc_id", "s.*")
+    return documents(spark, d).select("doc_id", F.explode(T.specifics(F.col("text"), F.col("source"))).alias("s")).select("doc_id", "s.*")
 
 
 MORPH = (
@@ -186,14 +191,14 @@ MORPH = (
 @query(f"select score::double as score, count(*) as n from (select {MORPH} as score from (select unnest(regexp_extract_all(text, {duck.q(W.TOKEN)})) as w from documents)) group by score")
 def relation_morphology(spark, d):
     """P14."""
-    w = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(W.TOKEN), F.lit(0))).alias("w"))
+    w = documents(spark, d).select(F.explode(F.regexp_extract_all("text", F.lit(W.TOKEN), F.lit(0))).alias("w"))
     return w.groupBy(T.relation_word_score(F.col("w")).alias("score")).agg(F.count("*").alias("n"))
 
 
 @query(f"select stem, count(*) as n from (select {duck.stem('t')} as stem from (select unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as t from documents)) group by stem")
 def token_stems(spark, d):
     """F15."""
-    t = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(W.TARGET_TOKEN), F.lit(0))).alias("t"))
+    t = documents(spark, d).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(W.TARGET_TOKEN), F.lit(0))).alias("t"))
     return t.groupBy(T.stem(F.col("t")).alias("stem")).agg(F.count("*").alias("n"))
 
 
@@ -238,7 +243,7 @@ def token_jaccard(spark, d):
 @query("select doc_id, source, text ~ '.*' as has_text, regexp_matches(text, '[0-9]|%|(^|[^\\p{L}\\p{N}_])[A-Z]{2,}($|[^\\p{L}\\p{N}_])') as cite, len(regexp_extract_all(text, " + duck.q(W.CONCRETE) + "))::int as concrete from documents")
 def cite_flags(spark, d):
     """P17, P18."""
-    return table(spark, d, "documents").select("doc_id", "source", F.col("text").isNotNull().alias("has_text"), T.should_cite(F.col("text")).alias("cite"), T.concrete_count(F.col("text")).alias("concrete"))
+    return documents(spark, d).select("doc_id", "source", F.col("text").isNotNull().alias("has_text"), T.should_cite(F.col("text")).alias("cite"), T.concrete_count(F.col("text")).alias("concrete"))
 
 
 @query()
@@ -281,18 +286,30 @@ def url_parts(spark, d):
     return table(spark, d, "pages").select("page_id", u.alias("url"), F.regexp_extract(u, "^(https?)://", 1).alias("scheme"), F.regexp_extract(u, "^https?://([^/?#:]+)", 1).alias("host"))
 
 
-@query(f"select url, count(*) as n, max(length(text)) as longest from (select url, left({HTML}, 2400) as text from pages) where length(text) >= 80 group by url")
+@query(
+    "with h as (select 'q' || (page_id % 3) as query, page_id as ord, case when regexp_matches(b, '^https?://[^/?#]+') then b else '' end as url, left(t, 2400) as content from "
+    f"(select page_id, trim(trim(url, ' '), '\"''<>[]()') as b, {HTML} as t from pages)), f as (select *, row_number() over (partition by query, url, left(content, 512) order by ord) as copy from h where content <> ''), "
+    "n as (select *, row_number() over (partition by query order by ord, url) as n from f where copy = 1) select query, ord, url, case when url <> '' then url else 'unknown' end as source, content from n where n <= 16"
+)
 def page_blocks(spark, d):
-    """Page blocks of 80 to 2400 characters."""
-    b = table(spark, d, "pages").select("url", F.substring(blocks.html_text(F.col("html")), 1, 2400).alias("text")).where(F.length("text") >= 80)
-    return b.groupBy("url").agg(F.count("*").alias("n"), F.max(F.length("text")).cast("long").alias("longest"))
+    """The first sixteen distinct blocks of each query's pages, at most 2400 characters of text, with their source tags."""
+    query_of = F.concat(F.lit("q"), (F.col("page_id") % 3).cast("string"))
+    text = blocks.html_text(F.col("html"))
+    hits = table(spark, d, "pages").select(query_of.alias("query"), F.col("page_id").alias("ord"), "url", F.lit("").alias("title"), text.alias("page_text"), text.alias("snippet"))
+    return blocks.hit_blocks(hits)
 
 
-@query(f"select sha256(source || chr(0) || c) as fingerprint, min(doc_id) as doc_id, count(*) as copies from (select doc_id, source, {duck.clean('text')} as c from documents) where c <> '' group by 1")
+@query(
+    f"select min(block_id) as block_id, url, min_by(source, block_id) as source from (select doc_id as block_id, '' as url, source, {duck.clean('text')} as c, sha256(source || chr(0) || {duck.clean('text')}) as k from documents union all "
+    f"select 1000000000 + page_id, case when regexp_matches(b, '^https?://[^/?#]+') then b else '' end, 'pages', {duck.clean('html')}, case when regexp_matches(b, '^https?://[^/?#]+') then sha256({duck.clean('html')}) else sha256('pages' || chr(0) || {duck.clean('html')}) end from (select *, trim(trim(url, ' '), '\"''<>[]()') as b from pages)) "
+    "where c <> '' group by url, k"
+)
 def block_dedupe(spark, d):
-    """A10, S10."""
-    c = table(spark, d, "documents").select("doc_id", "source", T.clean(F.col("text")).alias("c")).where("c <> ''")
-    return c.groupBy(F.sha2(F.concat("source", F.lit("\u0000"), "c"), 256).alias("fingerprint")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    """Blocks of documents (by source and text) and pages (by URL and text), each once."""
+    made = documents(spark, d).select(F.col("doc_id").alias("block_id"), F.col("doc_id").alias("ord"), F.lit("").alias("url"), "source", F.col("text").alias("content"))
+    p = F.lit(1_000_000_000) + F.col("page_id")
+    pages = table(spark, d, "pages").select(p.alias("block_id"), p.alias("ord"), blocks.clean_url(F.col("url")).alias("url"), F.lit("pages").alias("source"), F.col("html").alias("content"))
+    return blocks.distinct_blocks(made.unionByName(pages)).select("block_id", "url", "source")
 
 
 PLAN = "select * from (values " + ", ".join(
@@ -328,10 +345,17 @@ def search_hits(spark, d):
     return blocks.merged_hits(p.where("ord % 2 = 0"), p.where("ord % 2 = 1"), limit=16, offset=2).select("query", "place", "url")
 
 
-@query("select event_id, json_extract_string(props, '$.k') as k, (json_extract_string(props, '$.k') is not null) as has_k from events")
+COMMAND = "case when event_id % 3 = 0 then '{\"id\": \"' || event_id || '\", \"target_a\": \"' || event_type || '\", \"target_b\": \"user ' || user_id || '\"}' when event_id % 3 = 1 then event_type || ' | user ' || user_id else event_type end"
+
+
+@query(
+    f"select event_id, json_extract_string(props, '$.k') as k, case when c like '{{%' then json_extract_string(c, '$.id') end as id, case when c like '{{%' then json_extract_string(c, '$.target_a') else trim(split_part(c, '|', 1), ' ') end as target_a, "
+    f"case when c like '{{%' then json_extract_string(c, '$.target_b') else trim(split_part(c, '|', 2), ' ') end as target_b from (select *, {COMMAND} as c from events)"
+)
 def json_props(spark, d):
-    """F30."""
-    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.get_json_object("props", "$.k").isNotNull().alias("has_k"))
+    """JSON properties, and commands in both forms read back."""
+    rows = table(spark, d, "events").withColumn("c", F.expr(COMMAND))
+    return rows.select("event_id", F.get_json_object("props", "$.k").alias("k"), blocks.command(F.col("c")).alias("x")).select("event_id", "k", "x.id", "x.target_a", "x.target_b")
 
 
 # ---- structured claim graph ---------------------------------------------------------------
@@ -380,10 +404,28 @@ BACK = f"b(node) as (select '{GOAL}' union select e.s from b join e on e.o = b.n
 CORE = "select e.* from e where s in (select node from f) and o in (select node from b)"
 
 
-@query(f"{E} select s, rel, o, count(*) as n, max(n_specifics)::int as n_specifics from e group by s, rel, o")
+ORDER_CLAIMS = "select 'cust:' || o_custkey as s, 'placed' as rel, 'prio:' || o_orderpriority as o, 'unknown' as s_quant, 'one' as p_quant, 'past' as tense, case when o_orderstatus = 'F' then 1 else 0 end as truth, o_totalprice / 1e6 as utility, case when o_orderkey % 2 = 0 then 'unknown' else 'orders|' || o_orderstatus end as source, case when o_orderkey % 3 = 0 then '' else 'order ' || o_orderkey end as evidence, case when o_orderkey % 4 = 0 then null else o_orderkey % 8 end as prev, o_orderkey as ord, o_orderstatus as status, o_orderdate as day from orders"
+
+
+@query(
+    f"with c as ({ORDER_CLAIMS}), k as (select s, o, truth, count(*) as n_claims, min(ord) as first, round(max(utility), 6) as utility, coalesce(arg_min(source, ord) filter (source <> 'unknown'), 'unknown') as source, coalesce(arg_min(evidence, ord) filter (evidence <> ''), '') as evidence, "
+    "coalesce(array_to_string(list_sort(list_distinct(list(prev) filter (prev is not null))), ','), '') as prev_nodes from c group by all), "
+    "x as (select s, o, truth, string_agg(t, ',' order by t) as specifics from (select distinct s, o, truth, status as t from c) group by all) select s, o, truth::int as truth, n_claims, first, utility, source, evidence, prev_nodes, specifics from k join x using (s, o, truth)"
+)
 def edge_merge(spark, d):
-    """A1 on the structured graph: edges by exact key."""
-    return structured_edges(spark, d).groupBy("s", "rel", "o").agg(F.count("*").alias("n"), F.max("n_specifics").alias("n_specifics"))
+    """Orders as claims, merged to one edge per exact key."""
+    o = table(spark, d, "orders")
+    key = F.col("o_orderkey")
+    text = lambda a, c: F.concat(F.lit(a), F.col(c).cast("string"))
+    claims = o.select(
+        text("cust:", "o_custkey").alias("s"), F.lit("placed").alias("rel"), text("prio:", "o_orderpriority").alias("o"), F.lit("unknown").alias("s_quant"), F.lit("one").alias("p_quant"), F.lit("past").alias("tense"),
+        F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).cast("tinyint").alias("truth"), (F.col("o_totalprice") / 1e6).alias("utility"),
+        F.array(F.struct(F.lit("status").alias("kind"), F.col("o_orderstatus").alias("text"), F.lit("orders").alias("source"))).alias("specifics"),
+        F.when(key % 2 == 0, "unknown").otherwise(text("orders|", "o_orderstatus")).alias("source"), F.when(key % 3 == 0, "").otherwise(text("order ", "o_orderkey")).alias("evidence"),
+        F.when(key % 4 != 0, key % 8).alias("prev"), key.alias("ord"),
+    )
+    m = graph.merged_edges(claims)
+    return m.select("s", "o", F.col("truth").cast("int").alias("truth"), "n_claims", F.col("ord").alias("first"), r6("utility").alias("utility"), "source", "evidence", F.array_join(F.transform("prev_nodes", lambda x: x.cast("string")), ",").alias("prev_nodes"), F.array_join(F.transform("specifics", lambda x: x["text"]), ",").alias("specifics"))
 
 
 @query(f"{E}, f(node, hops) as (select '{SEED}', 0 union select e.o, hops + 1 from f join e on e.s = f.node where hops < 3) select node, min(hops)::int as hops from f group by node")
@@ -426,8 +468,7 @@ def specific_ring(spark, d):
 def pruning_summary(spark, d):
     """A14."""
     e = structured_edges(spark, d)
-    core = graph.route_core(e, nodes(spark, SEED), nodes(spark, GOAL))
-    return e.join(core.select("edge_id", F.lit(True).alias("core")), "edge_id", "left").agg(F.count_if("core").alias("kept"), F.count_if(F.col("core").isNull()).alias("removed"), F.count_if(F.col("core") & (F.col("n_specifics") > 0)).alias("specific"))
+    return graph.pruning_summary(e, graph.route_core(e, nodes(spark, SEED), nodes(spark, GOAL)))
 
 
 PAIRS = [("seg:BUILDING", "region:ASIA"), ("seg:BUILDING", "region:EUROPE"), ("seg:MACHINERY", "region:ASIA"), ("region:ASIA", "seg:MACHINERY")]
@@ -537,32 +578,33 @@ def benchmark_overlap(spark, d):
     return concepts.candidates(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), terms), table(spark, d, "documents").select(F.col("doc_id").alias("id"), terms))
 
 
-@query("select lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'), ' ')) as norm, min(p_partkey) as first_key, count(*) as n from part group by 1")
+@query("with n as (select lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'), ' ')) as norm, p_partkey, p_name from part), i as (select norm, min(p_partkey) as id, arg_min(p_name, p_partkey) as text from n group by norm) select p_partkey, i.id as literal_id, i.text as literal from n join i using (norm)")
 def alias_lookup(spark, d):
-    """Normalised labels to ids."""
-    return table(spark, d, "part").groupBy(F.lower(T.squeezed(F.col("p_name"))).alias("norm")).agg(F.min("p_partkey").alias("first_key"), F.count("*").alias("n"))
+    """Literals interned by normalised text, and each part's looked up and back."""
+    part = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("name"))
+    known = concepts.interned(part, "name", "p_partkey")
+    return concepts.literal_of(concepts.looked_up(part, "name", known), known).select("p_partkey", "literal_id", "literal")
 
 
 COS = "list_dot_product(a.embedding::double[], b.embedding::double[]) / (sqrt(list_dot_product(a.embedding::double[], a.embedding::double[])) * sqrt(list_dot_product(b.embedding::double[], b.embedding::double[])))"
 
 
-@query(f"select a.vec_id as a, b.vec_id as b, round({COS}, 6) as similarity from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id where {COS} >= 0.2")
+def vectors(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
+@query(f"select a.vec_id as a, b.vec_id as b, round({COS}, 6) as similarity from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0 and round({COS}, 6) >= 0.2")
 def cosine_pairs(spark, d):
-    """Pairs of one label with cosine of .2 or more."""
-    e = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
-    a, b = e.toDF("a", "label", "_a"), e.toDF("b", "label", "_b")
-    met = a.join(b, "label").where("a < b").select("a", "b", T.cosine(F.col("_a"), F.col("_b")).alias("s")).where("s >= 0.2")
-    return met.select("a", "b", r6("s").alias("similarity"))
+    """For each query (ids divisible by 20) all rows with a cosine of .2 or more."""
+    v = vectors(spark, d)
+    return concepts.cosine_search(v.where("id % 20 = 0"), v, least=0.2).select(F.col("id").alias("a"), F.col("other").alias("b"), "similarity")
 
 
-@query(f"select vec_id, other, similarity, place::int as place from (select a.vec_id, b.vec_id as other, round({COS}, 6) as similarity, row_number() over (partition by a.vec_id order by round({COS}, 6) desc, b.vec_id) as place from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id where a.vec_id % 20 = 0) where place <= 3")
+@query(f"select vec_id, other, similarity, place::int as place from (select a.vec_id, b.vec_id as other, round({COS}, 6) as similarity, row_number() over (partition by a.vec_id order by round({COS}, 6) desc, b.vec_id) as place from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0) where place <= 3")
 def cosine_topk(spark, d):
-    """The three nearest vectors of one label for each query (ids divisible by 20)."""
-    e = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
-    a, b = e.where("vec_id % 20 = 0").toDF("vec_id", "label", "_a"), e.toDF("other", "label", "_b")
-    met = a.join(b, "label").where("vec_id <> other").select("vec_id", "other", r6(T.cosine(F.col("_a"), F.col("_b"))).alias("similarity"))
-    rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("similarity"), "other"))
-    return met.withColumn("place", rank).where("place <= 3")
+    """The three nearest vectors of all for each query (ids divisible by 20)."""
+    v = vectors(spark, d)
+    return concepts.cosine_search(v.where("id % 20 = 0"), v, top=3).select(F.col("id").alias("vec_id"), "other", "similarity", "place")
 
 
 @query("select label, (pos - 1)::int as pos, round(avg(v), 6) as v from (select label, unnest(embedding)::double as v, generate_subscripts(embedding, 1) as pos from embeddings) group by label, pos")
@@ -625,24 +667,28 @@ def rollup_summary(spark, d):
     "where score >= 0.34 order by score desc, degree desc, name desc, p_partkey limit 32"
 )
 def anchor_rank(spark, d):
-    """O1: the parts that best name a target."""
+    """O1: the parts that best name a target; a part's texts are its name, so grounding adds nothing (see connect for it)."""
     g = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("degree"))
     n = table(spark, d, "part").join(g, F.col("p_partkey") == F.col("l_partkey")).select(F.col("p_partkey").alias("node"), F.col("p_name").alias("name"), "degree", F.lit(0.0).alias("grounding"))
     return synth.ranked_anchors(n, "blue bolt gear").select(F.col("node").alias("p_partkey"), "name", r6("score").alias("score"), "degree")
 
 
 @query(
-    "with n as (select n_nationkey as k, count(*) as customers, sum(c_acctbal) as bal from nation join customer on c_nationkey = n_nationkey group by 1), p as (select x.k as a, y.k as b, (x.k + 1) / 30.0 as a_score, (y.k + 1) / 30.0 as b_score, x.customers as ab_edges, y.customers as ba_edges, x.customers * 1.0 as ab_score, y.customers * 0.5 as ba_score from n x join n y on x.k < y.k and x.k % 5 = y.k % 5) "
-    "select a, b, round((ab_score + ba_score) * greatest(0.25, least(a_score, b_score)), 6) as rank0 from p order by (ab_score + ba_score) * greatest(0.25, least(a_score, b_score)) desc, ab_score + ba_score desc, least(a_score, b_score) desc, a_score + b_score desc, a, b limit 4"
+    "with n as (select c_nationkey as k, count(*) as n, count(distinct c_mktsegment) as segs, count(*) filter (c_acctbal < 0) as neg, round(avg(c_acctbal) / 10000, 6) as bal from customer group by 1), "
+    "p as (select x.k as a, y.k as b, (x.k + 1) / 30.0::double as sa, (y.k + 1) / 30.0::double as sb, x.n as na, y.n as nb, x.segs + y.segs as r2, x.neg + y.neg as r3, x.bal as ga, y.bal as gb from n x join n y on x.k < y.k), "
+    "r as (select a, b, ((na + nb * 0.5) * greatest(0.25, least(sa, sb)))::double as r0, (na + nb * 0.5)::double as r1, r2::double as r2, r3::double as r3, 1.0::double as r4, least(sa, sb) as r5, sa + sb as r6, ga + gb as r7, (na + nb)::double as r8 from p) "
+    "select a, b, round(r0, 6) as r0, round(r1, 6) as r1, r2, r3, r4, round(r5, 6) as r5, round(r6, 6) as r6, round(r7, 6) as r7, r8 from r order by r.r0 desc, r.r1 desc, r.r2 desc, r.r3 desc, r.r4 desc, r.r5 desc, r.r6 desc, r.r7 desc, r.r8 desc, a, b limit 4"
 )
 def pair_rank(spark, d):
-    """O2, O3: nation pairs by the nine-part rank."""
-    n = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("customers"))
-    side = lambda a: n.select(F.col("k").alias(a), F.col("customers").alias(f"_{a}"), (F.col("k") % 5).alias("block"))
-    p = side("a").join(side("b"), "block").where("a < b")
-    zero = {c: F.lit(0) for c in ("a_grounding", "b_grounding", "a_degree", "b_degree", "ab_sources", "ba_sources", "ab_specific", "ba_specific")}
-    made = p.withColumns({"a_score": (F.col("a") + 1) / 30.0, "b_score": (F.col("b") + 1) / 30.0, "ab_edges": F.col("_a"), "ba_edges": F.col("_b"), "ab_score": F.col("_a") * 1.0, "ba_score": F.col("_b") * 0.5} | zero)
-    return synth.ranked_pairs(made).select("a", "b", r6("rank.r0").alias("rank0"))
+    """O2, O3: all pairs of nations by the nine-part rank. Nations are a fixed small table."""
+    c = table(spark, d, "customer")
+    n = c.groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("n"), F.count_distinct("c_mktsegment").alias("segs"), F.count_if(F.col("c_acctbal") < 0).alias("neg"), r6(F.avg("c_acctbal") / 10000).alias("bal"))
+    x, y = (F.broadcast(n.select([F.col(k).alias(f"{k}_{s}") for k in n.columns])) for s in "ab")
+    pairs = x.join(y, F.col("k_a") < F.col("k_b")).withColumnsRenamed({"k_a": "a", "k_b": "b"})
+    side = lambda s: {f"{s}_score": (F.col(s) + 1) / 30.0, f"{s}_grounding": F.col(f"bal_{s}"), f"{s}_degree": F.col(f"n_{s}")}
+    way = lambda w, s, part: {f"{w}_edges": F.col(f"n_{s}"), f"{w}_score": F.col(f"n_{s}") * part, f"{w}_sources": F.col(f"segs_{s}"), f"{w}_specific": F.col(f"neg_{s}")}
+    best = synth.ranked_pairs(pairs.withColumns(side("a") | side("b") | way("ab", "a", 1.0) | way("ba", "b", 0.5)))
+    return best.select("a", "b", *[r6(f"rank.r{i}").alias(f"r{i}") for i in range(9)])
 
 
 @query(
@@ -669,11 +715,76 @@ def prev_turn(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", "role", F.lag("role").over(w).alias("prev_role"), F.count("*").over(w.rowsBetween(-2, 0)).alias("last3"))
 
 
-@query("select o_custkey, o_orderkey, place::int as place from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as place from orders) where place <= 18")
+ORDER_EDGES = "select 'cust:' || o_custkey as s, 'placed' as rel, 'prio:' || o_orderpriority as o, o_orderkey as edge_id, o_totalprice / 1e6 as utility, case when o_orderkey % 5 = 0 then '' else 'Order ' || o_orderkey || ' of ' || o_orderdate::varchar || '..' end as evidence, case when o_orderkey % 7 = 0 then 'unknown' else 'tpch|orders/' || o_orderstatus end as source, (o_orderkey % 3)::int as n_specifics from orders"
+
+
+def order_edges(spark, d):
+    key, text = F.col("o_orderkey"), lambda a, c: F.concat(F.lit(a), F.col(c).cast("string"))
+    said = F.concat(F.lit("Order "), key.cast("string"), F.lit(" of "), F.col("o_orderdate").cast("string"), F.lit(".."))
+    return table(spark, d, "orders").select(text("cust:", "o_custkey").alias("s"), F.lit("placed").alias("rel"), text("prio:", "o_orderpriority").alias("o"), key.alias("edge_id"), (F.col("o_totalprice") / 1e6).alias("utility"), F.when(key % 5 == 0, "").otherwise(said).alias("evidence"), F.when(key % 7 == 0, "unknown").otherwise(text("tpch|orders/", "o_orderstatus")).alias("source"), (key % 3).cast("int").alias("n_specifics"))
+
+
+@query(f"select node, edge_id, evidence, place::int as place from (select node, edge_id, evidence, row_number() over (partition by node order by utility desc, edge_id) as place from (select unnest([s, o]) as node, edge_id, utility, evidence from ({ORDER_EDGES}))) where place <= 18")
 def grounding_topk(spark, d):
-    """The 18 strongest edges of each node."""
-    rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
-    return table(spark, d, "orders").select("o_custkey", "o_orderkey", rank.alias("place")).where("place <= 18")
+    """The evidence of the 18 strongest edges of each node."""
+    return synth.grounding_texts(order_edges(spark, d)).select("node", "edge_id", "evidence", "place")
+
+
+@query(
+    f"with e as (select unnest([s, o]) as node, edge_id, source, regexp_replace(case when evidence <> '' then evidence else s || ' ' || rel || ' ' || o end, '\\.+$', '') || '.' as text, n_specifics from ({ORDER_EDGES}) where source <> 'unknown'), "
+    f"r as (select *, len(regexp_extract_all(text, {duck.q(W.CONCRETE)})) as n from e where edge_id % 10 <> 1) select node, edge_id, text, place::int as place from (select *, row_number() over (partition by node order by n_specifics desc, n desc, length(text) desc, text desc, edge_id) as place from r where n_specifics > 0 or n > 0) where place <= 4"
+)
+def specific_context(spark, d):
+    """The four most specific citable texts at each node, edges already used left out."""
+    e = order_edges(spark, d)
+    used = e.where("edge_id % 10 = 1").select(F.explode(F.array("s", "o")).alias("node"), "edge_id")
+    return synth.specific_context(e, used).select("node", "edge_id", "text", "place")
+
+
+@query("with r as (select conv_id, turn, text, case role when 'user' then 'Chat|x.org/u/' else 'Chat|x.org/a' end as source from conversations), k as (select *, lower(regexp_replace(trim(split_part(source, '|', -1), ' '), '/+$', '')) as ks, array_to_string(regexp_extract_all(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ')), " + duck.q(W.TOKEN) + "), ' ') as kt from r) select conv_id, turn from k where turn > 2 and not exists (select 1 from k p where p.conv_id = k.conv_id and p.turn <= 2 and p.kt = k.kt and p.ks = k.ks)")
+def context_minus_path(spark, d):
+    """The later turns of each conversation whose text and source are not among its first ones."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), F.when(F.col("role") == "user", "Chat|x.org/u/").otherwise("Chat|x.org/a").alias("source"))
+    return synth.context_without_path(rows.where("turn > 2"), rows.where("turn <= 2"), "conv_id").select("conv_id", "turn")
+
+
+SIDES = duck.target_tokens(duck.q("the time people"), 2), duck.target_tokens(duck.q("water and work"), 2)
+
+
+@query(
+    f"with r as (select conv_id, turn, text, {duck.target_tokens('text', 2)} as t, {SIDES[0]} as ta, {SIDES[1]} as tb, len(regexp_extract_all(text, {duck.q(W.CONCRETE)})) as n from conversations), k as (select *, len(list_intersect(t, ta)) > 0 as a, len(list_intersect(t, tb)) > 0 as b from r) "
+    "select conv_id, turn, place::int as place from (select *, row_number() over (partition by conv_id order by (a and b) desc, b desc, a desc, (n > 0) desc, n desc, len(t), text) as place from k) where place <= 6"
+)
+def path_order(spark, d):
+    """The turns of each conversation in the order of path records."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    return synth.path_order(rows, "conv_id", "the time people", "water and work").select("conv_id", "turn", "place")
+
+
+@query("with f as (select user_id, event_type || ' ' || (event_id % 50) as text, min(event_id) as first from events group by all), b as (select *, row_number() over (partition by user_id order by first desc, text desc) as back from f) select user_id, text, row_number() over (partition by user_id order by first, text)::int as place from b where back <= 40")
+def rolling_notes(spark, d):
+    """The last forty distinct notes of each user, in order."""
+    rows = table(spark, d, "events").select("user_id", F.concat_ws(" ", "event_type", (F.col("event_id") % 50).cast("string")).alias("text"), "event_id")
+    return synth.notes(rows, "user_id", ["event_id"]).select("user_id", "text", "place")
+
+
+MATCH_T = duck.target_tokens(duck.q("almond antique blue part"))
+
+
+@query(
+    f"with b as (select p_partkey, {duck.target_tokens('p_name')} as a, {MATCH_T} as t from part), k as (select *, list_intersect(a, t) as hit, case when len(t) <= 3 then t else list_transform(list_reverse_sort(list_transform(t, lambda x: lpad(length(x)::varchar, 4, '0') || x))[1:3], lambda x: x[5:]) end as special from b) "
+    "select p_partkey, round(case when len(a) = 0 or len(hit) = 0 or len(list_intersect(hit, special)) = 0 then 0.0 else greatest(len(hit) / len(a), 0.85 * len(hit) / len(t), len(list_intersect(hit, special)) / len(special)) end, 6) as score from k"
+)
+def target_match(spark, d):
+    """parts against a target and no related queries."""
+    return table(spark, d, "part").select("p_partkey", r6(T.best_target_match(F.array("p_name"), F.lit("almond antique blue part"))).alias("score"))
+
+
+@query("with p as (select o_orderkey, o_orderstatus = 'X' as endpoint, o_totalprice / 500000 as a, (o_custkey % 100) / 100.0 as b, (o_orderkey % 10) / 10.0 as l from orders) select o_orderkey from p where a >= 0.34 and b >= 0.34 and l >= 0.34")
+def payload_success(spark, d):
+    """No order reaches the end, so those that match both sides succeed."""
+    rows = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderstatus") == "X").alias("endpoint_reached"), (F.col("o_totalprice") / 500000).alias("match_a"), ((F.col("o_custkey") % 100) / 100.0).alias("match_b"), ((F.col("o_orderkey") % 10) / 10.0).alias("lexical_a"))
+    return synth.successful(rows).select("o_orderkey")
 
 
 @query("select source, row_number() over (order by first, source)::int as number from (select source || '|doc' as tag, source, min(doc_id) as first from documents group by all)")
