@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import map_text
+from claimweave.llm.common import map_text, set_aside
 from claimweave.llm.components import components
 from claimweave.session import prepare, store
 
@@ -204,6 +204,18 @@ def forest(left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
     return np.array(out, dtype=np.int64).reshape(-1, 2)
 
 
+def print_components(prints: DataFrame, radius: int) -> DataFrame:
+    """_fp, least: the least of the column first over all fingerprints that links reach. prints: a stored table of _fp, first.
+
+    Written between the steps, so that a component's or fingerprint's rows are no fixed partition
+    and the join can be split where they are many.
+    """
+    found = store(components(linked(prints.select("_fp"), radius)), "print-components").df
+    label = store(prints.join(found, prints["_fp"] == found["node"], "left").select("_fp", "first", F.coalesce("component", "_fp").alias("_class")), "print-classes").df
+    least = store(label.groupBy("_class").agg(F.min("first").alias("least")), "class-least").df
+    return store(label.select("_fp", "_class").join(least, "_class").select("_fp", "least"), "print-least").df
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: one row per document.
 
@@ -214,14 +226,22 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     prepare(docs.sparkSession)
     rows = store(fingerprints(docs, ["doc_id"]), "prints").df
     prints = store(rows.groupBy("_fp").agg(F.min("doc_id").alias("first")), "distinct-prints").df
-    found = components(linked(prints.select("_fp"), radius))
-    label = prints.join(found, prints["_fp"] == found["node"], "left").select("_fp", "first", F.coalesce("component", "_fp").alias("_class"))
-    least = label.groupBy("_class").agg(F.min("first").alias("component_id"))
-    ids = label.join(least, "_class").select("_fp", "component_id")
-    return rows.join(ids, "_fp").select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+    least = print_components(prints, radius)
+    return rows.join(least, "_fp").select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One document of each component stays: a row with the least doc_id, with its own columns."""
-    first = near_duplicates(docs, radius).where("doc_id <=> component_id").select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["_first"]), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each component stays, with its own columns: one of the least doc_id, null ids last.
+
+    Null and wordless texts are one component. Rows of one doc_id with texts of different
+    components, or without id, stay each; of equal rows one stays. Empty table: no rows.
+    """
+    prepare(docs.sparkSession)
+    aside, back = set_aside(docs, ["_row", "_fp"])
+    numbered = aside.withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in aside.columns]))
+    rows = store(fingerprints(numbered, ["doc_id", "_row"]), "prints").df
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
+    prints = store(rows.groupBy("_fp").agg(first), "distinct-prints").df
+    kept = print_components(prints, radius).select(F.col("least.doc_id").alias("_id"), F.col("least._row").alias("_kept")).distinct()
+    one = numbered.join(kept, numbered["doc_id"].eqNullSafe(F.col("_id")) & (numbered["_row"] == F.col("_kept")), "left_semi")
+    return back(one.dropDuplicates(["doc_id", "_row"]).drop("_row"))
