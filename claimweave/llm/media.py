@@ -1,10 +1,11 @@
 """Media columns: local image descriptors find cropped or edited copies.
 
-An image gives corners at several scales; each corner gets the direction of its intensity
-centroid and DESCRIPTOR_BITS binary tests turned by it. Distinct images are indexed by tables
-of KEY_BITS bits each of the descriptors; queries meet them in an equi-join per table whose
-condition checks the full Hamming distance, and a pair of images counts as a copy if one
-similarity transform (scale, turn, shift) explains enough of its matches.
+An image gives all corners at several scales; each corner gets the direction of its intensity
+centroid and DESCRIPTOR_BITS binary tests turned by it. Distinct images (by digest) are indexed by
+TABLES tables of KEY_BITS bits each of the descriptors; queries meet them in an equi-join per table
+whose condition checks the full Hamming distance, and a pair of images counts as a copy if one
+similarity transform (scale, turn, shift) explains enough of its matches. Keys that very many
+corners share are met in blocks, so no task holds such a key.
 
 So that many near-equal images do not all meet each other, images whose signature (the signs of
 64 brightness steps) links them are compared with the first of their group, and those that its
@@ -16,28 +17,32 @@ class are left out.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.llm.components import components
 from claimweave.llm.simhash import linked
-from claimweave.session import prepare, store
+from claimweave.session import discard, prepare, store
 
-SIDE, SCALES, CORNERS, RADIUS, EDGE = 64, (1.0, 0.8, 0.64), 12, 8, 10
-DESCRIPTOR_BITS, TABLES, KEY_BITS, NEAR = 256, 10, 22, 32
+#: Side of a rendered texture, scales, most corners of a scale (all of a picture of SIDE pixels), patch radius, border.
+SIDE, SCALES, CORNERS, RADIUS, EDGE = 64, (1.0, 0.8, 0.64), 40, 8, 10
+DESCRIPTOR_BITS, TABLES, KEY_BITS, NEAR = 256, 24, 44, 48
 LEAST_INLIERS, SLACK = 5, 3.0
 #: Signature bits that may differ within a group of near-equal images.
 SIGN_RADIUS = 6
+#: Bits of the mask of asked keys per table; rows of one key that a block holds; images worked on at a time.
+MASK_BITS, BLOCK, SLICE = 23, 2048, 256
+#: Rows of (image, class) that differ which are still broadcast to the images.
+MOST_BROADCAST = 200_000
 _rng = np.random.default_rng(4)
 #: Pairs of points about as far along the corner's direction: turned that way, their order is a fair coin.
 TESTS = _rng.uniform(-RADIUS, RADIUS, (DESCRIPTOR_BITS, 4)) / 1.15
 TESTS[:, 2] = TESTS[:, 0] + _rng.normal(0, 1.0, DESCRIPTOR_BITS)
 KEYS = np.stack([_rng.choice(DESCRIPTOR_BITS, KEY_BITS, replace=False) for _ in range(TABLES)])
-POINT = "x float, y float, scale float, turn float"
 
 
 def rendered(vectors: np.ndarray, side: int = SIDE) -> np.ndarray:
@@ -154,62 +159,86 @@ def signatures(images: np.ndarray) -> np.ndarray:
     return np.packbits((seen[:, :, 1:] > seen[:, :, :-1]).reshape(len(images), 64), axis=1, bitorder="little").view("<i8").reshape(-1)
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of SLICE rows, whatever the session's batch size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def descriptors(media: DataFrame) -> DataFrame:
-    """id, digest, sign, points (x, y, scale, turn of each corner in turn), d (four longs each): one row per row of media.
+    """id, digest, sign, points (float32 x, y, scale, turn of each corner), d (32 bytes each): a row per row of media.
 
-    A task describes equal bytes once. No shuffle.
+    A task describes equal bytes once in a while. No shuffle.
     """
 
     def run(batches):
-        known: dict[bytes, tuple] = {}
-        for batch in batches:
+        known: dict[str, tuple] = {}
+        for batch in sliced(batches):
             held = [m or b"" for m in batch.column(1).to_pylist()]
-            digests = [hashlib.sha256(m).digest() for m in held]
-            new = {d: m for d, m in zip(digests, held, strict=True) if d not in known}
-            if len(known) > 2000:
+            digests = [hashlib.sha256(m).hexdigest()[:32] for m in held]
+            if len(known) > 4 * SLICE:
                 known.clear()
-                new = dict(zip(digests, held, strict=True))
+            new = {d: m for d, m in zip(digests, held, strict=True) if d not in known}
             for d, (points, bits, sign) in zip(new, described(list(new.values())), strict=True):
-                known[d] = (points.reshape(-1), np.packbits(bits, axis=1, bitorder="little").view("<i8").reshape(-1), int(sign))
+                known[d] = (points.astype("<f4").tobytes(), np.packbits(bits, axis=1, bitorder="little").tobytes(), int(sign))
             rows = [known[d] for d in digests]
-            made = [pa.array([d.hex() for d in digests]), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.list_(pa.float32())), pa.array([r[1] for r in rows], pa.list_(pa.int64()))]
+            made = [pa.array(digests), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["id", "digest", "sign", "points", "d"])
 
-    return media.select("id", "media").mapInArrow(run, "id long, digest string, sign long, points array<float>, d array<long>")
+    return media.select("id", "media").mapInArrow(run, "id long, digest string, sign long, points binary, d binary")
+
+
+def corner_keys(bits: np.ndarray) -> np.ndarray:
+    """The key of each corner (row) in each table (column)."""
+    weights = 1 << np.arange(KEY_BITS, dtype=np.int64)
+    return np.stack([bits[:, k].astype(np.int64) @ weights for k in KEYS], axis=1)
+
 
+def mask_slot(keys: np.ndarray) -> np.ndarray:
+    """Which bit of a table's mask stands for a key."""
+    with np.errstate(over="ignore"):
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - MASK_BITS)).astype(np.int64)
 
-def spread(images: DataFrame, asked: np.ndarray | None = None) -> DataFrame:
-    """A row per corner and table: image, head, x, y, scale, turn, d0 to d3, tab, key. asked: only keys whose bit is set."""
-    shared, weights = images.sparkSession.sparkContext.broadcast(asked), 1 << np.arange(KEY_BITS)  # TABLES * 2^KEY_BITS bits
+
+def spread(images: DataFrame, asked: np.ndarray | None = None, keys_only: bool = False) -> DataFrame:
+    """A row per corner and table: key (with the table's number) and tab, slot (keys_only) or n, h, c (the corner), d0 to d3.
+
+    images: n, h (numbers of an image and of its class's first), d. asked: only keys whose bit of the mask is set.
+    """
+    shared = images.sparkSession.sparkContext.broadcast(asked)  # TABLES * 2^MASK_BITS bits
+    names = ["key"] + (["tab", "slot"] if keys_only else ["n", "h", "c", "d0", "d1", "d2", "d3"])
 
     def run(batches):
         mask = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                sizes = np.array([len(p) // 4 for p in part.column(1).to_pylist()], dtype=np.int64)
-                if not sizes.sum():
-                    continue
-                points = np.concatenate([np.asarray(p.values) for p in part.column(1)]).reshape(-1, 4)
-                longs = np.concatenate([np.asarray(d.values) for d in part.column(2)]).reshape(-1, 4)
-                image = np.repeat(np.asarray(part.column(0)), sizes)
-                bits = np.unpackbits(np.ascontiguousarray(longs).view(np.uint8), axis=1, bitorder="little")
-                keys = (bits[:, KEYS].astype(np.int64) * weights).sum(axis=2)
-                corner, tab = np.indices(keys.shape)
-                use = np.ones(keys.shape, bool) if mask is None else (mask[tab, keys >> 3] >> (keys & 7).astype(np.uint8)) & 1 == 1
-                c, t, k = corner[use], tab[use], keys[use]
-                columns = [image[c], np.repeat(np.asarray(part.column(3)), sizes)[c], *points[c].T, *longs[c].T, t.astype(np.int32), k.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], names=["image", "head", "x", "y", "scale", "turn", "d0", "d1", "d2", "d3", "tab", "key"])
-
-    return images.select("image", "points", "d", "head").mapInArrow(run, f"image long, head long, {POINT}, d0 long, d1 long, d2 long, d3 long, tab int, key int")
-
-
-def key_bits(queries: DataFrame) -> np.ndarray:
-    """Which keys of each table the queries have: TABLES * 2^KEY_BITS bits, whatever the number of queries."""
-    byte = F.shiftright("key", 3)
-    rows = queries.groupBy("tab", byte.alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, key & 7)")).alias("bits")).toArrow()
-    mask = np.zeros((TABLES, 1 << (KEY_BITS - 3)), np.uint8)
-    mask[np.asarray(rows["tab"]), np.asarray(rows["byte"])] = np.asarray(rows["bits"])
+        for part in sliced(batches):
+            held = part.column(2).to_pylist()
+            longs = np.frombuffer(b"".join(held), "<i8").reshape(-1, 4)
+            if not len(longs):
+                continue
+            sizes = np.array([len(d) // 32 for d in held])
+            keys = corner_keys(np.unpackbits(longs.view(np.uint8), axis=1, bitorder="little"))
+            slots = mask_slot(keys)
+            corner, tab = np.indices(keys.shape)
+            use = np.ones(keys.shape, bool) if mask is None else (mask[tab, slots >> 6] >> (slots & 63).astype(np.uint64)) & np.uint64(1) == 1
+            columns = [keys[use] * TABLES + tab[use]]
+            if keys_only:
+                columns += [tab[use].astype(np.int32), slots[use].astype(np.int32)]
+            else:
+                c = corner[use]
+                own = np.arange(len(longs)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                columns += [np.repeat(np.asarray(part.column(0)), sizes)[c], np.repeat(np.asarray(part.column(1)), sizes)[c], own[c].astype(np.int32), *longs[c].T]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], names=names)
+
+    schema = "key long, " + ("tab int, slot int" if keys_only else "n long, h long, c int, d0 long, d1 long, d2 long, d3 long")
+    return images.select("n", "h", "d").mapInArrow(run, schema)
+
+
+def asked_mask(keys: DataFrame) -> np.ndarray:
+    """Which mask bits of each table the queries' keys have: TABLES * 2^MASK_BITS bits, whatever the number of queries."""
+    rows = keys.groupBy("tab", F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, slot & 63)")).alias("bits")).toArrow()
+    mask = np.zeros((TABLES, 1 << (MASK_BITS - 6)), np.uint64)
+    mask[np.asarray(rows["tab"]), np.asarray(rows["word"])] = np.asarray(rows["bits"]).view(np.uint64)
     return mask
 
 
@@ -217,15 +246,27 @@ def distance(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(f"{a}.d{i}").bitwiseXOR(F.col(f"{b}.d{i}"))) for i in (1, 2, 3)), F.bit_count(F.col(f"{a}.d0").bitwiseXOR(F.col(f"{b}.d0"))))
 
 
+def first_table(a: str, b: str) -> Column:
+    """Whether a matched key's table is the first of those in which two descriptors meet, so that each pair counts once."""
+    out = F.lit(True)
+    for t, bits in enumerate(KEYS[:-1]):
+        words = np.zeros(4, np.uint64)
+        for k in bits.tolist():
+            words[k >> 6] |= np.uint64(1 << (k & 63))
+        apart = [F.col(f"{a}.d{i}").bitwiseXOR(F.col(f"{b}.d{i}")).bitwiseAND(F.lit(int(w))) for i, w in enumerate(words.view(np.int64))]
+        out = out & ((F.col(f"{a}.key") % TABLES <= t) | (apart[0].bitwiseOR(apart[1]).bitwiseOR(apart[2]).bitwiseOR(apart[3]) != 0))
+    return out
+
+
 def consensus(one: np.ndarray, two: np.ndarray, slack: float = SLACK) -> int:
     """Most distinct corners that one similarity transform, taken from a match, carries onto their partners.
 
     one, two: x, y, scale, turn of the two corners of each match.
     """
-    matches, q, r = one, one[:, :2].astype(float), two[:, :2].astype(float)
+    q, r = one[:, :2].astype(float), two[:, :2].astype(float)
     grow, turn = two[:, 2].astype(float) / one[:, 2], two[:, 3].astype(float) - one[:, 3]
     best = 0
-    for k in range(len(matches)):
+    for k in range(len(q)):
         c, s = grow[k] * np.cos(turn[k]), grow[k] * np.sin(turn[k])
         d = q - q[k]
         moved = np.stack([c * d[:, 0] - s * d[:, 1], s * d[:, 0] + c * d[:, 1]], axis=1) + r[k]
@@ -235,82 +276,160 @@ def consensus(one: np.ndarray, two: np.ndarray, slack: float = SLACK) -> int:
     return best
 
 
+def small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if it has few rows; a stored table, as it is counted."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
 def confirmed(images: DataFrame) -> DataFrame:
-    """image, head: the first image of an image's signature group where descriptors confirm it as a copy, else itself."""
-    seen = images.where(F.size("points") > 0)
-    signs = store(seen.groupBy(F.col("sign").alias("_fp")).agg(F.min("image").alias("first")), "signs").df
+    """n, h, head: the first image of an image's signature group, where that is another and descriptors confirm it as a copy."""
+    seen = images.where(F.length("d") > 0).select("image", "n", "sign")
+    signs = store(seen.groupBy(F.col("sign").alias("_fp")).agg(F.min(F.struct("image", "n")).alias("first")), "signs").df
     found = components(linked(signs.select("_fp"), SIGN_RADIUS))
-    root = signs.join(found, signs["_fp"] == found["node"], "left").select("_fp", "first", F.coalesce("component", "_fp").alias("root"))
-    heads = root.join(root.groupBy("root").agg(F.min("first").alias("head")), "root").select("_fp", "head")
-    proposed = seen.join(heads, seen["sign"] == heads["_fp"]).where("image <> head").select("image", "head", "points", "d")
-    pairs = proposed.join(images.select(F.col("image").alias("head"), F.col("points").alias("hp"), F.col("d").alias("hd")), "head")
+    root = store(signs.join(found, signs["_fp"] == found["node"], "left").select("_fp", "first", F.coalesce("component", "_fp").alias("root")), "sign-roots").df
+    least = store(root.groupBy("root").agg(F.min("first").alias("head")), "sign-heads").df
+    heads = root.join(least, "root").select("_fp", "head")
+    # only images of larger groups, and their descriptors, move
+    proposed = store(seen.join(heads, seen["sign"] == heads["_fp"]).select("n", F.col("head.n").alias("h"), F.col("head.image").alias("head")).where("n <> h"), "proposed").df
+    own = images.join(small(proposed), "n").select("n", "h", "head", "points", "d")
+    theirs = images.join(small(store(proposed.select(F.col("h").alias("n")).distinct(), "proposed").df), "n", "left_semi")
+    pairs = own.join(theirs.select(F.col("n").alias("h"), F.col("points").alias("hp"), F.col("d").alias("hd")), "h").select("n", "h", "head", "points", "d", "hp", "hd")
 
-    def run(frames):
-        for f in frames:
-            same = [alike(*(np.asarray(x) for x in row)) for row in zip(f["points"], f["d"], f["hp"], f["hd"], strict=True)]
-            yield f.loc[same, ["image", "head"]]
+    def run(batches):
+        for part in sliced(batches):
+            same = [alike(*row) for row in zip(*(part.column(k).to_pylist() for k in (3, 4, 5, 6)), strict=True)]
+            yield part.select([0, 1, 2]).filter(pa.array(same, pa.bool_()))
 
-    good = pairs.mapInPandas(run, "image long, head long")
-    return images.select("image").join(good, "image", "left").select("image", F.coalesce("head", "image").alias("head"))
+    return pairs.mapInArrow(run, "n long, h long, head string")
 
 
-def alike(points: np.ndarray, d: np.ndarray, other_points: np.ndarray, other_d: np.ndarray) -> bool:
+def alike(points: bytes, d: bytes, other_points: bytes, other_d: bytes) -> bool:
     """Whether near descriptors of two images agree on one transform."""
-    p, r = points.reshape(-1, 4), other_points.reshape(-1, 4)
-    a, b = (np.ascontiguousarray(x.astype("<i8")).view("<u8").reshape(-1, 4) for x in (d, other_d))
+    p, r = (np.frombuffer(x, "<f4").reshape(-1, 4) for x in (points, other_points))
+    a, b = (np.frombuffer(x, "<u8").reshape(-1, 4) for x in (d, other_d))
     i, j = np.nonzero(np.bitwise_count(a[:, None] ^ b[None]).sum(axis=2) <= NEAR)
     return len(i) >= LEAST_INLIERS and consensus(p[i], r[j]) >= LEAST_INLIERS
 
 
+def met_in_blocks(asked: DataFrame, held: DataFrame, counts: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Both sides with blk: keys of over block rows are cut into blocks, each pair of which meets once.
+
+    counts: key, n_asked, n_held. A crowded key's rows of one side are dealt by image, and
+    repeated for each block of the other side; all other rows have block 0.
+    """
+    cut = lambda n: F.ceil(F.col(n) / block).cast("int")
+    crowded = store(counts.where((F.col("n_asked") > block) | (F.col("n_held") > block)).select("key", cut("n_asked").alias("down"), cut("n_held").alias("across")), "crowded-keys").df
+    if crowded.isEmpty():
+        return asked.withColumn("blk", F.lit(0)), held.withColumn("blk", F.lit(0))
+    crowded = small(crowded)
+    one = lambda n: F.coalesce(F.col(n), F.lit(1))
+    own = lambda n: F.pmod(F.xxhash64("n", "c"), one(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), one(n) - 1))
+    q = asked.join(crowded, "key", "left").withColumn("_y", every("across")).withColumn("blk", own("down") * one("across") + F.col("_y"))
+    r = held.join(crowded, "key", "left").withColumn("_y", every("down")).withColumn("blk", F.col("_y") * one("across") + own("across"))
+    return q.drop("_y", "down", "across"), r.drop("_y", "down", "across")
+
+
+def matches(asking: DataFrame, held: DataFrame) -> DataFrame:
+    """n, other, h, g, m: pairs of images of two classes with LEAST_INLIERS near corners or more, and those (corner, corner)."""
+    asked_keys = spread(asking, keys_only=True)
+    mask = asked_mask(asked_keys)
+    number = lambda keys, name: keys.groupBy("key").agg(F.count("*").alias(name))
+    counts = number(asked_keys, "n_asked").join(number(spread(held, mask, keys_only=True), "n_held"), "key")
+    q, r = met_in_blocks(spread(asking), spread(held, mask), counts)
+    on = (F.col("q.key") == F.col("r.key")) & (F.col("q.blk") == F.col("r.blk")) & (F.col("q.h") != F.col("r.h")) & (distance("q", "r") <= NEAR) & first_table("q", "r")
+    named = {"n": "q.n", "other": "r.n", "h": "q.h", "g": "r.h", "c": "q.c", "k": "r.c"}
+    met = q.alias("q").join(r.alias("r"), on).select(*[F.col(c).alias(n) for n, c in named.items()])
+    return met.groupBy("n", "other", "h", "g").agg(F.collect_list(F.struct("c", "k")).alias("m")).where(F.size("m") >= LEAST_INLIERS)
+
+
+def agreeing(matched: DataFrame, asking: DataFrame, held: DataFrame) -> DataFrame:
+    """h, g, inliers: the classes of matched images whose corners one transform explains."""
+    corners = lambda df, n, p: df.select(F.col("n").alias(n), F.col("points").alias(p))
+    rows = corners(held, "other", "r").join(small(matched), "other").join(corners(asking, "n", "q"), "n").select("h", "g", "q", "r", "m")
+
+    def run(batches):
+        for part in sliced(batches):
+            inliers = []
+            for q, r, m in zip(*(part.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                i, j = np.array([(x["c"], x["k"]) for x in m]).T
+                inliers.append(consensus(np.frombuffer(q, "<f4").reshape(-1, 4)[i], np.frombuffer(r, "<f4").reshape(-1, 4)[j]))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(inliers, pa.int32())], names=["h", "g", "inliers"])
+
+    return rows.mapInArrow(run, "h long, g long, inliers int").where(F.col("inliers") >= LEAST_INLIERS).groupBy("h", "g").agg(F.max("inliers").alias("inliers"))
+
+
 def media_copies(media: DataFrame, queries: Column) -> DataFrame:
     """kind, id, class_id, other, inliers: membership of every row, and copies among the classes of the queries.
 
-    media: id, media (bytes of encode()). A class, named by its first id, holds the rows of equal
-    bytes and of near-equal images whose descriptors match its first image. Null and damaged media
-    form classes by their bytes and have no corners, so no copies; a class without any id is null.
+    media: id, media (bytes of encode()). A class, named by the digest of its first image, holds
+    the rows of equal bytes and of near-equal images whose descriptors match that image. Null and
+    damaged media form classes by their bytes and have no corners, so no copies.
     kind 'member': a row for every row of media. kind 'pair': class_id has a row among the queries
     (a condition on id) and class other holds a cropped or edited copy of such a row or of the
     class's first image, with so many inliers at most.
-    Repeated rows and ids: a member row each. Empty table: no rows.
+    Repeated rows and ids: a member row each; one id on two images: in two classes. Empty table: no
+    rows. Other columns are not read, whatever their names.
+    """
+    spark = prepare(media.sparkSession)
+    rows = store(descriptors(media).withColumn("_asked", F.coalesce(queries, F.lit(False))), "descriptors")
+    # equal digests have equal descriptors: any of them will do
+    first = rows.df.groupBy(F.col("digest").alias("image")).agg(F.max("_asked").alias("asked"), F.first("sign").alias("sign"), F.first("points").alias("points"), F.first("d").alias("d"))
+    images = store(first.withColumn("n", F.monotonically_increasing_id()), "media-images")
+    ids = store(rows.df.select("id", F.col("digest").alias("image")), "media-ids").df
+    discard(spark, rows.path)
+    heads = small(store(confirmed(images.df), "media-heads").df)
+    held = images.df.join(heads, "n", "left").select("n", F.coalesce("h", "n").alias("h"), "asked", "points", "d")
+    asks = store(held.where("asked").select(F.explode(F.array("n", "h")).alias("n")).distinct(), "media-asks").df
+    asking = store(held.join(small(asks), "n", "left_semi"), "media-asking").df
+    pairs = agreeing(store(matches(asking, held), "media-matches").df, asking, held)
+    names = store(images.df.join(heads, "n", "left").select("n", "image", F.coalesce("head", "image").alias("class_id")), "media-classes").df
+    name = lambda n, out: names.select(F.col("n").alias(n), F.col("image").alias(out))
+    found = store(pairs.join(name("h", "class_id"), "h").join(name("g", "other"), "g").select(F.lit("pair").alias("kind"), F.lit(None).cast("long").alias("id"), "class_id", "other", "inliers"), "media-pairs").df
+    discard(spark, images.path)
+    members = ids.join(names, "image").select(F.lit("member").alias("kind"), "id", "class_id", F.lit(None).cast("string").alias("other"), F.lit(None).cast("int").alias("inliers"))
+    return members.unionByName(found)
+
+
+#: Edits that the query plants: a strong crop, a milder one, a quarter turn, dimming, noise, another scale.
+EDITS = ("crop", "trim", "turn", "dim", "noise", "scale")
+
+
+def edited(image: np.ndarray, edit: str) -> np.ndarray:
+    """A copy of a grey picture of SIDE pixels, edited."""
+    x = image.astype(float)
+    if edit == "crop":  # five eighths of each side
+        return image[SIDE // 8 : SIDE * 3 // 4, SIDE // 8 : SIDE * 3 // 4]
+    if edit == "trim":
+        return image[SIDE // 16 : SIDE * 7 // 8, SIDE // 10 : SIDE * 15 // 16]
+    if edit == "turn":
+        return np.ascontiguousarray(np.rot90(image))
+    if edit == "dim":
+        return np.round(x * 0.6 + 60)
+    if edit == "noise":
+        return np.round(np.clip(x + np.random.default_rng(int(x.sum())).normal(0, 12, x.shape), 0, 255))
+    return np.round(resized(x[None], SIDE * 5 // 4, SIDE * 5 // 4, 1.25)[0])
+
+
+def textures(vectors: DataFrame, every: int = 20) -> DataFrame:
+    """id, media, edit: each embedding rendered as a texture, and planted copies.
+
+    vectors: vec_id, embedding. Of each id divisible by every, an edited copy (its edit by id)
+    stands beside it with id -1 - id. Null vectors, and vectors that hold a null, give null media
+    and no copy; shorter vectors are filled up with zeros. Empty table: no rows.
     """
-    prepare(media.sparkSession)
-    rows = store(descriptors(media).withColumn("_asked", F.coalesce(queries, F.lit(False))), "descriptors").df
-    classes = store(rows.groupBy("digest").agg(F.min("id").alias("image"), F.max("_asked").alias("asked")), "media-classes").df
-    own = classes.select(F.col("digest").alias("_d"), "image", "asked")
-    first = rows.join(own, (rows["id"] == own["image"]) & (rows["digest"] == own["_d"])).select("image", "asked", "sign", "points", "d").dropDuplicates(["image"])
-    images = store(first, "media-images").df
-    heads = store(confirmed(images), "media-heads").df
-    held = images.join(heads, "image")
-    asks = held.where("asked").select(F.explode(F.array("image", "head")).alias("image")).distinct()
-    asked = spread(held.join(asks, "image", "left_semi"))
-    q, r = asked.alias("q"), spread(held, key_bits(asked)).alias("r")
-    on = (F.col("q.tab") == F.col("r.tab")) & (F.col("q.key") == F.col("r.key")) & (F.col("q.head") != F.col("r.head")) & (distance("q", "r") <= NEAR)
-    named = ["q.image", "r.image", "q.head", "r.head", "q.x", "q.y", "q.scale", "q.turn", "r.x", "r.y", "r.scale", "r.turn"]
-    met = q.join(r, on).select(*[F.col(c).alias(n) for c, n in zip(named, ["image", "other", "class_id", "class_other", "qx", "qy", "qscale", "qturn", "x", "y", "scale", "turn"], strict=True)]).distinct()
-    grouped = met.groupBy("image", "other", "class_id", "class_other").agg(F.collect_list(F.array("qx", "qy", "qscale", "qturn", "x", "y", "scale", "turn")).alias("m")).where(F.size("m") >= LEAST_INLIERS)
-
-    def run(frames):
-        for f in frames:
-            matches = [np.stack([np.asarray(x) for x in m]) for m in f["m"]]
-            yield pd.DataFrame({"class_id": f["class_id"], "other": f["class_other"], "inliers": [consensus(m[:, :4], m[:, 4:]) for m in matches]}, columns=["class_id", "other", "inliers"])
-
-    pairs = grouped.mapInPandas(run, "class_id long, other long, inliers int").where(F.col("inliers") >= LEAST_INLIERS).groupBy("class_id", "other").agg(F.max("inliers").alias("inliers"))
-    head_of = classes.join(heads, "image", "left").select("digest", F.coalesce("head", "image").alias("class_id"))
-    members = rows.select("id", "digest").join(head_of, "digest").select(F.lit("member").alias("kind"), "id", "class_id", F.lit(None).cast("long").alias("other"), F.lit(None).cast("int").alias("inliers"))
-    return members.unionByName(pairs.select(F.lit("pair").alias("kind"), F.lit(None).cast("long").alias("id"), "class_id", "other", "inliers"))
-
-
-def textures(vectors: DataFrame) -> DataFrame:
-    """id, media: each embedding rendered as a texture, so that equal vectors are copies and near ones edits."""
 
     def run(batches):
-        for batch in batches:
-            ids, values = batch.column(0), batch.column(1).to_pylist()
-            for at_row in range(0, len(values), 256):
-                part = [v if v and None not in v else None for v in values[at_row : at_row + 256]]
-                width = max((len(v) for v in part if v), default=1)
-                made = rendered(np.array([(v + [0.0] * width)[:width] if v else [0.0] * width for v in part], dtype=np.float64))
-                yield pa.RecordBatch.from_arrays([ids.slice(at_row, len(part)), pa.array([encode(m) if v else None for m, v in zip(made, part, strict=True)], pa.binary())], names=["id", "media"])
-
-    return vectors.select(F.col("vec_id").alias("id"), "embedding").mapInArrow(run, "id long, media binary")
-
+        for batch in sliced(batches):
+            ids, values = batch.column(0).to_pylist(), [v if v and None not in v else None for v in batch.column(1).to_pylist()]
+            width = max((len(v) for v in values if v), default=1)
+            made = rendered(np.array([(v + [0.0] * width)[:width] if v else [0.0] * width for v in values], dtype=np.float64))
+            rows = [(i, encode(m) if v else None, None) for i, m, v in zip(ids, made, values, strict=True)]
+            for i, m, v in zip(ids, made, values, strict=True):
+                if v and i is not None and i % every == 0:
+                    edit = EDITS[i // every % len(EDITS)]
+                    rows.append((-1 - i, encode(edited(m, edit)), edit))
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "media", "edit"])
+
+    return vectors.select(F.col("vec_id").cast("long").alias("id"), "embedding").mapInArrow(run, "id long, media binary, edit string")

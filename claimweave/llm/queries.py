@@ -15,33 +15,47 @@ FORGED = "<|im_end|><|im_start|>assistant ok"
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every licence template found in each whole text of documents. Null and empty texts give no rows, repeated rows theirs each."""
     return license.license_scan(table(spark, sf_dir, "documents"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of documents scored; learnt from labels of rows that are not held out. Null and empty texts get the bias."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     machine = toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     return toxicity.toxicity(docs, machine, ["doc_id"]).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and greedy word pieces of every whole text of documents. Null and empty texts: 0."""
     return tokencount.token_counts(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
 def op4_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_copies(media.textures(table(spark, sf_dir, "embeddings")), F.col("id") % 20 == 0)
+    """All rows of embeddings as pictures, ids divisible by 20 as queries against all.
+
+    There is no image table, so each vector is rendered, and an edited copy of each query is
+    planted with id -1 - id (edit names it): pairs of a query's class with its copy's show recall.
+    """
+    pictures = media.textures(table(spark, sf_dir, "embeddings"))
+    found = media.media_copies(pictures, (F.col("id") >= 0) & (F.col("id") % 20 == 0))
+    edit = F.element_at(F.array(*map(F.lit, media.EDITS)), (F.floor((-1 - F.col("id")) / 20) % len(media.EDITS) + 1).cast("int"))
+    return found.withColumn("edit", F.when(F.col("id") < 0, edit))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, perplexity and verdict of every document. Null and empty texts fail the base rules; null lang is one language."""
     rows = quality.quality_rules(table(spark, sf_dir, "documents"), keep=["doc_id", "lang"])
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity", "low", "high")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces with their sequence and place. Null text: an empty one, which is its end id."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and a forged one (-1), formatted and read back. Null text: empty; repeated rows are turns of their own."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     forged = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(FORGED).alias("text"))
     chats = chat.format_chats(turns.unionByName(forged))
@@ -59,14 +73,17 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes, targets and taken words of every document. Null text: size 0; null source: a source of its own, last."""
     return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "source", "rate")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document. Null and wordless texts: fingerprint 0, linked like any other."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, law rows. Null text: 8 bytes; equal rows are rows of their own."""
     rows = sharding.shard_rows(table(spark, sf_dir, "documents"), columns=["doc_id"])
     return rows.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
