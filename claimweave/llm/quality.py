@@ -1,171 +1,38 @@
 """Quality rules: exact text counts, then language-specific perplexity bands.
 
-The n-gram model is counted by Spark over every document of each language (tasks add up words,
-then grams, before the shuffle), estimated by modified Kneser-Ney and kept in sorted hash
-arrays. A document's perplexity is per letter: ASCII punctuation is predicted but adds no
-length, so that marks strewn over a text raise it. A language's band lies RANGES quartile ranges
-outside the quartiles of all its documents that pass the base rules.
+The n-gram model is counted by Spark over every document of each language, estimated there by
+modified Kneser-Ney and kept in sorted hash arrays. A document's perplexity is per letter: blanks
+and ASCII punctuation are predicted but add no length, so that marks strewn over a text raise it.
+A language's band lies RANGES quartile ranges on either side of the median of all its documents
+that pass the base rules, wider for short texts, whose mean varies more.
 """
 
 from __future__ import annotations
 
 import hashlib
 import string
-from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import map_rows, map_text, set_aside
-from claimweave.llm.kneser_ney import ORDER, Model, count_grams
+from claimweave.llm.common import map_text, set_aside
+from claimweave.llm.kneser_ney import ORDER, UNIT, Model, collected, corpus_grams, estimated
 from claimweave.session import discard, prepare, store, without
 
 WINDOW, SYMBOLS = 8, b"#*$%&|<>"
 MIN_WORDS, MOST_REPEATED, RANGES = 20, 30, 3.0
-PUNCTUATION = string.punctuation.encode()
-#: A model that all executors hold has at most so many grams of its highest order; where the
-#: corpus has more, the same probabilities are computed and looked up by joins.
-MOST_GRAMS = 2_000_000
-#: Distinct words that a task holds at a time.
-HELD_WORDS = 150_000
-STATS = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"), ("log_perplexity", "double")]
-SPREAD = [("_letters", "long"), ("_text", "binary")]
-ADDED = [n for n, _ in STATS] + ["base_failed", "kept", "low", "high"]
-
-
-def corpus_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """lang, gram, n: counts of the highest-order grams over all documents; null lang is ''."""
-
-    def start():
-        held: dict[str, Counter] = {}
-
-        def flush():
-            for lang, words in held.items():
-                grams, counts = count_grams(words, order)
-                for at in range(0, len(grams), 100_000):
-                    part = grams[at : at + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array([g.encode("utf-8", "replace").decode() for g in part], pa.string()), pa.array(counts[at : at + 100_000], pa.int64())], names=["lang", "gram", "n"])
-            held.clear()
-
-        def work(batch):
-            texts = batch.column(batch.schema.get_field_index("text")).cast(pa.large_binary()).to_pylist()
-            langs = batch.column(batch.schema.get_field_index("lang")).to_pylist()
-            for text, lang in zip(texts, langs, strict=True):
-                if text:
-                    held.setdefault(lang or "", Counter()).update(text.split())
-            if sum(map(len, held.values())) > HELD_WORDS:
-                yield from decoded(flush)
-
-        def decoded(then):
-            for lang, words in held.items():
-                held[lang] = Counter({w.decode(): n for w, n in words.items()})
-            yield from then()
-
-        work.done = lambda: decoded(flush)
-        return work
-
-    part = map_rows(docs, ["lang"], "lang string, gram string, n long", start)
-    return part.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
-def fit(docs: DataFrame, order: int = ORDER, most: int = MOST_GRAMS) -> dict[str, Model]:
-    """A model per language from all documents, of an order that keeps within most grams.
-
-    quality_rules doesn't lower the order: see spread_scores.
-    """
-    counted = store(corpus_grams(docs, order), "grams")
-    models = fitted(counted.df, order, most)
-    discard(docs.sparkSession, counted.path)
-    return models
-
-
-def fitted(grams: DataFrame, order: int, most: int) -> dict[str, Model]:
-    while order > 1 and grams.count() > most:
-        order -= 1
-        grams = grams.groupBy("lang", F.substring("gram", 2, order).alias("gram")).agg(F.sum("n").alias("n"))
-    bounded = order > 1 or grams.count() <= most  # else too many languages for any model
-    rows = grams.orderBy("lang", "gram").toArrow().to_pydict() if bounded else {"lang": [], "gram": [], "n": []}
-    lang, counts = np.array(rows["lang"], dtype=object), np.array(rows["n"], dtype=np.int64)
-    out = {}
-    for one in dict.fromkeys(rows["lang"]):
-        at = np.flatnonzero(lang == one)
-        out[one] = Model.fit([rows["gram"][i] for i in at.tolist()], counts[at], order)
-    return out
-
-
-def gram_scores(grams: DataFrame, order: int) -> DataFrame:
-    """lang, gram, log_p: what Model.fit gives the grams of the highest order, by joins over tables of any size."""
-    levels = {order: grams.select("lang", "gram", F.col("n").cast("double").alias("c"))}
-    for n in range(order - 1, 0, -1):
-        longer = levels[n + 1].groupBy("lang", F.substring("gram", 2, n).alias("gram"))
-        levels[n] = store(longer.agg(F.count("*").cast("double").alias("c")), "gram-level").df
-    lower = levels[1].groupBy("lang").agg((1 / F.greatest(F.lit(2), F.count("*") + 1)).alias("q")).withColumn("tail", F.lit(""))
-    for n in range(1, order + 1):
-        held = levels[n].withColumns({"context": F.substring("gram", 1, n - 1), "tail": F.substring("gram", 2, n - 1)})
-        seen = [F.count_if(F.col("c") == k) for k in (1, 2, 3, 4)]
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-        known = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0) & (F.col("n4") > 0)
-        cut = lambda k, other: F.when(known, F.least(F.greatest(k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"), F.lit(0.05)), F.lit(float(k)))).otherwise(other).alias(f"d{k}")  # noqa: E731, B023
-        cuts = levels[n].groupBy("lang").agg(*[s.alias(f"n{k}") for k, s in enumerate(seen, 1)]).select("lang", cut(1, 0.5), cut(2, 0.75), cut(3, 1.0))
-        cut_of = F.when(F.col("c") >= 3, F.col("d3")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d1"))
-        held = held.join(cuts, "lang").withColumn("cut", cut_of).drop("d1", "d2", "d3")
-        contexts = held.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.sum(F.least("cut", "c")).alias("freed"))
-        p = (F.greatest(F.col("c") - F.col("cut"), F.lit(0.0)) + F.col("freed") * F.col("q")) / F.col("total")
-        made = held.join(contexts, ["lang", "context"]).join(lower, ["lang", "tail"]).select("lang", "gram", p.alias("q"))
-        lower = store(made.withColumnRenamed("gram", "tail"), "gram-chances").df
-    return lower.select("lang", F.col("tail").alias("gram"), F.log("q").cast("float").alias("log_p"))
-
-
-def digest(data: bytes) -> bytes:
-    return hashlib.blake2b(data, digest_size=16).digest()
-
-
-def spread_scores(docs: DataFrame, grams: DataFrame, order: int) -> DataFrame:
-    """_lang, _text (digest), _score: log probability of each distinct text, where no executor can hold the model.
-
-    The documents are those that the grams were counted on, so every gram is known. Sums are
-    decimals, so that they don't depend on the order of rows.
-    """
-
-    def texts():
-        def work(batch):
-            held = batch.column(batch.schema.get_field_index("text")).cast(pa.large_binary()).to_pylist()
-            langs = batch.column(batch.schema.get_field_index("lang")).to_pylist()
-            for text, lang in zip(held, langs, strict=True):
-                words = Counter((text or b"").split())
-                name, n = digest(text or b""), len(words) + 1
-                # the row without a word counts the copies of the text
-                columns = [pa.array([lang or ""] * n), pa.array([name] * n, pa.binary()), pa.array([None, *map(digest, words)], pa.binary()), pa.array([None, *(w.decode() for w in words)], pa.string()), pa.array([1, *words.values()], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["_lang", "_text", "key", "word", "n"])
-
-        return work
-
-    def cut(batches):
-        for batch in batches:
-            made: tuple[list, ...] = ([], [], [], [])
-            for lang, key, word in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found, n = count_grams({word: 1}, order)
-                for column, values in zip(made, ([lang] * len(found), [key] * len(found), found, n.tolist()), strict=True):
-                    column.extend(values)
-                if len(made[0]) > 100_000:
-                    yield gram_batch(made)
-                    made = ([], [], [], [])
-            yield gram_batch(made)
-
-    def gram_batch(made):
-        kinds = (pa.string(), pa.binary(), pa.string(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(made, kinds, strict=True)], names=["lang", "key", "gram", "n"])
-
-    rows = store(map_rows(docs, ["lang"], "_lang string, _text binary, key binary, word string, n long", texts), "text-words").df
-    words = rows.where("word is not null").groupBy("_lang", "key").agg(F.first("word").alias("word"))
-    parts = words.select("_lang", "key", "word").mapInArrow(cut, "lang string, key binary, gram string, n long")
-    exact = lambda c: F.sum(c.cast("decimal(20,9)") * F.col("n").cast("decimal(18,0)"))
-    scored = parts.join(gram_scores(grams, order), ["lang", "gram"]).groupBy("lang", "key").agg(exact(F.col("log_p")).alias("s"))
-    scored = scored.select(F.col("lang").alias("_lang"), "key", F.col("s").cast("decimal(20,9)").alias("s"))
-    copies = F.sum(F.when(F.col("word").isNull(), F.col("n")))
-    return rows.join(scored, ["_lang", "key"], "left").groupBy("_lang", "_text").agg((F.coalesce(exact(F.col("s")).cast("double"), F.lit(0.0)) / copies).alias("_score"))
+#: A band is wider by the root of 1 + SHORT / number of words.
+SHORT = 400.0
+#: Bytes that add no length to a text.
+NO_LETTERS = string.punctuation.encode() + b" \t\n\r\v\f"
+#: Entries of a model that a worker holds at a time; a larger model goes over the texts in parts.
+MODEL_ENTRIES = 8_000_000
+#: Languages whose bands are still broadcast.
+MOST_LANGUAGES = 100_000
+STATS = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long")]
+SCORE = [("_letters", "long"), ("_sum", "long"), ("_text", "binary")]
+ADDED = [n for n, _ in STATS] + ["log_perplexity", "base_failed", "kept", "low", "high"]
 
 
 def text_counts(text: bytes, words: list[bytes]) -> tuple[int, int, int, int, int]:
@@ -208,88 +75,119 @@ def repeated_words(words: list[bytes]) -> int:
     return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
-def measured(docs: DataFrame, models: dict[str, Model], keep: list[str], more: bool = False) -> DataFrame:
-    """The columns in keep, then STATS: one pass over the whole texts. more: and _letters, _text (digest)."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)  # bounded by MOST_GRAMS
+def measured(docs: DataFrame, models: dict[str, Model], keep: list[str]) -> DataFrame:
+    """The columns in keep, STATS, _letters, _sum (log probability in millionths) and _text (digest): one pass over the whole texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(models)  # MODEL_ENTRIES at most
 
     def start():
-        known: dict[str, dict[bytes, float]] = {}
-
-        def scores(lang: str, split: list[list[bytes]]) -> list[float]:
-            model, have = shared.value.get(lang), known.setdefault(lang, {})
-            if model is None:
-                return [0.0] * len(split)
-            new: set[bytes] = set()
-            for words in split:
-                new.update(set(words).difference(have))
-            if len(have) + len(new) > 3 * HELD_WORDS:
-                have.clear()
-                new = set().union(*split)
-            fresh = sorted(new)
-            for at in range(0, len(fresh), 20_000):
-                part = fresh[at : at + 20_000]
-                have.update(zip(part, model.score([w.decode() for w in part]).tolist(), strict=True))
-            return [sum(map(have.__getitem__, words)) for words in split]
-
         def work(texts, batch):
-            langs = [x or "" for x in batch.column(batch.schema.get_field_index("lang")).to_pylist()]
-            out, total = [], [0.0] * len(texts)
             split = [t.split() for t in texts]
-            for lang in dict.fromkeys(langs):
-                rows = [i for i, x in enumerate(langs) if x == lang]
-                for at in range(0, len(rows), 512):
-                    some = rows[at : at + 512]
-                    for i, s in zip(some, scores(lang, [split[i] for i in some]), strict=True):
-                        total[i] = s
-            for text, words, s in zip(texts, split, total, strict=True):
-                counts = text_counts(text, words)
-                marks = len(text) - len(text.translate(None, PUNCTUATION))
-                letters = max(1, counts[1] - marks)
-                out.append((*counts, -s / letters, letters, digest(text)) if more else (*counts, -s / letters))
+            sums = log_sums(shared.value, [b" ".join(w) for w in split], batch, True)
+            out = [(*text_counts(t, w), max(1, len(t.translate(None, NO_LETTERS))), s, digest(t)) for t, w, s in zip(texts, split, sums, strict=True)]
             return list(zip(*out))
 
         return work
 
-    return map_text(docs, list(dict.fromkeys([*keep, "lang"])), STATS + SPREAD * more, start)
+    return map_text(docs, list(dict.fromkeys([*keep, "lang"])), STATS + SCORE, start)
+
+
+def log_sums(models: dict[str, Model], texts: list[bytes], batch, back_off: bool) -> list[int]:
+    """The log probability of each text by its language's model; 0 without one."""
+    langs = [x or "" for x in batch.column(batch.schema.get_field_index("lang")).to_pylist()]
+    out = [0] * len(texts)
+    for lang in dict.fromkeys(langs):
+        if lang in models:
+            rows = [i for i, x in enumerate(langs) if x == lang and texts[i]]
+            for i, s in zip(rows, models[lang].score([texts[i] for i in rows], back_off).tolist(), strict=True):
+                out[i] = s
+    return out
+
 
+def digest(text: bytes) -> bytes:
+    return hashlib.blake2b(text, digest_size=16).digest()
 
-def quality_rules(docs: DataFrame, keep: list[str] | None = None, order: int = ORDER, ranges: float = RANGES, most: int = MOST_GRAMS) -> DataFrame:
-    """Columns in keep (default all), STATS, base_failed, low, high, kept: one row per document.
 
-    Null text: no words, base_failed. Null lang: a language of its own. Languages with no
-    document past the base rules have no band: what passes the base rules is kept. Repeated rows
-    are counted and judged each. Empty table: no rows. Input columns named like an added one
-    give way to it. Beyond most grams, executors hold no model and joins give the same scores.
+def summed_in_parts(docs: DataFrame, probs: DataFrame, order: int, parts: int) -> DataFrame:
+    """_lang, _text, _sum where no worker may hold the model: each part of its grams goes over the texts by itself.
+
+    The grams were counted on these documents, so each position's gram is in just one part.
+    """
+    top, of = probs.where(F.col("n") == order), F.pmod(F.xxhash64("gram"), F.lit(parts))
+    passes = None
+    for k in range(parts):
+        models = collected(top.where(of == k), top.limit(0).select("lang", "n", F.col("gram").alias("context"), F.col("log_p").alias("log_rest")), order)
+        shared = docs.sparkSession.sparkContext.broadcast(models)
+
+        def start(shared=shared):
+            return lambda texts, batch: [log_sums(shared.value, [b" ".join(t.split()) for t in texts], batch, False), [digest(t) for t in texts]]
+
+        part = map_text(docs, ["lang"], [("_sum", "long"), ("_text", "binary")], start)
+        one = store(part.groupBy(F.coalesce("lang", F.lit("")).alias("_lang"), "_text").agg(F.first("_sum").alias("_sum")), "part-sums").df
+        shared.destroy()
+        passes = one if passes is None else passes.unionByName(one)
+    return passes.groupBy("_lang", "_text").agg(F.sum("_sum").alias("_part_sum"))
+
+
+def quality_rules(docs: DataFrame, keep: list[str] | None = None, order: int = ORDER, ranges: float = RANGES, entries: int = MODEL_ENTRIES) -> DataFrame:
+    """Columns in keep (default all), STATS, log_perplexity, base_failed, low, high, kept: one row per document.
+
+    Null text: no words, base_failed. Null lang is read as '': one language with empty names.
+    Languages with no document past the base rules have no band: what passes the base rules is
+    kept. Bytes that are no UTF-8 count as they are. Repeated rows are counted and judged each.
+    Empty table: no rows. Input columns named like an added one give way to it. The model has the
+    same order at any size; beyond so many entries its parts go over the texts one by one.
     """
-    prepare(docs.sparkSession)
-    base = without(docs, ADDED)
-    counted = store(corpus_grams(base, order), "grams")
-    held = counted.df.count() <= most
-    models = fitted(counted.df, order, most) if held else {}
+    spark = prepare(docs.sparkSession)
+    base = without(docs, ADDED + [n for n, _ in SCORE])
+    counted = store(corpus_grams(base, order), "gram-counts")
+    probs, rests = estimated(counted.df, order)
+    parts = -(-(probs.count() + rests.count()) // entries)
     shown = [c for c in (keep or base.columns) if c in base.columns]
-    found = measured(base, models, shown, more=not held)
-    if not held:
-        sums = spread_scores(base, counted.df, order)
-        same = (F.coalesce(found["lang"], F.lit("")) == sums["_lang"]) & (found["_text"] == sums["_text"])
-        found = found.join(sums, same).withColumn("log_perplexity", -F.col("_score") / F.col("_letters"))
-    scored = store(found.select(*dict.fromkeys([*shown, "lang"]), *[n for n, _ in STATS]).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))), "quality").df
-    discard(docs.sparkSession, counted.path)
-    bands = perplexity_bands(scored, ranges)
-    joined = scored.join(bands, F.coalesce(scored["lang"], F.lit("")) == bands["_lang"], "left").drop("_lang")
+    found = measured(base, collected(probs, rests, order) if parts < 2 else {}, shown)
+    if parts > 1:
+        sums = summed_in_parts(base, probs, order, parts)
+        found = found.join(sums.withColumnRenamed("_text", "_of"), (F.coalesce(found["lang"], F.lit("")) == F.col("_lang")) & (found["_text"] == F.col("_of"))).withColumn("_sum", F.col("_part_sum"))
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+    score = -F.col("_sum") / UNIT / F.col("_letters")
+    scored = store(found.select(*dict.fromkeys([*shown, "lang"]), *[n for n, _ in STATS], score.alias("log_perplexity"), failed.alias("base_failed")), "quality").df
+    discard(spark, counted.path)
+    bands = few_languages(perplexity_bands(scored, ranges))
+    joined = scored.join(bands, F.coalesce(scored["lang"], F.lit("")) == bands["_lang"], "left")
+    joined = joined.withColumns({"low": F.col("_middle") - wider() * F.col("_reach"), "high": F.col("_middle") + wider() * F.col("_reach")})
     inside = F.col("log_perplexity").between(F.col("low"), F.col("high"))
     out = joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
-    return out.select(*shown, *[n for n, _ in STATS], "base_failed", "low", "high", "kept")
+    return out.select(*shown, *[n for n, _ in STATS], "log_perplexity", "base_failed", "low", "high", "kept")
+
+
+def few_languages(df: DataFrame) -> DataFrame:
+    """A table of a row a language, stored, with a broadcast hint if it is small: documents need not move to join it."""
+    held = store(df, "languages").df
+    return F.broadcast(held) if held.count() <= MOST_LANGUAGES else held
+
+
+def wider():
+    """How much wider a band is for a text of few words."""
+    return F.sqrt(1 + SHORT / F.greatest(F.col("n_words"), F.lit(1)))
 
 
 def perplexity_bands(scored: DataFrame, ranges: float = RANGES) -> DataFrame:
-    """_lang, low, high from the quartiles of a histogram over all documents past the base rules."""
-    cells = scored.where("not base_failed").groupBy(F.coalesce("lang", F.lit("")).alias("_lang"), F.round("log_perplexity", 3).alias("x")).agg(F.count("*").alias("n"))
-    q = cells.groupBy("_lang").agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.75)), F.col("n")).alias("q"))
-    spread = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(0.01)) * ranges
-    return q.select("_lang", (F.col("q")[0] - spread).alias("low"), (F.col("q")[1] + spread).alias("high"))
+    """_lang, _middle, _reach: the median, and ranges quartile ranges of the deviations in units of their width.
+
+    Both from histograms (cells of a thousandth) over all documents past the base rules.
+    """
+    good = scored.where("not base_failed").select(F.coalesce("lang", F.lit("")).alias("_lang"), "log_perplexity", "n_words")
+    cells = lambda df, x: df.groupBy("_lang", F.round(x, 3).alias("x")).agg(F.count("*").alias("n")).groupBy("_lang")
+    middle = few_languages(cells(good, F.col("log_perplexity")).agg(F.percentile("x", F.lit(0.5), F.col("n")).alias("_middle")))
+    apart = good.join(middle, "_lang").withColumn("apart", (F.col("log_perplexity") - F.col("_middle")) / wider())
+    q = cells(apart, F.col("apart")).agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.75)), F.col("n")).alias("q"))
+    return middle.join(q, "_lang").select("_lang", "_middle", (F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(0.005)) * ranges).alias("_reach"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with all their own columns, clashing names included."""
-    aside, back = set_aside(docs, ADDED)
+    """The documents that the rules keep, with all their own columns, clashing names included.
+
+    Null, empty and short texts go with the base rules; repeated rows stay or go together; an
+    empty table gives none. See quality_rules.
+    """
+    aside, back = set_aside(docs, ADDED + [n for n, _ in SCORE])
     return back(quality_rules(aside).where("kept"))
