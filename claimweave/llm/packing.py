@@ -3,15 +3,17 @@
 Documents become token ids, longer ones are cut at the capacity, and pieces are packed by
 bounded-space online best fit: a fixed number of bins is open at a time, a bitset holds their
 free space, a piece goes to the bin with the least room that takes it, and the fullest bin
-closes first when one too many is open. Pieces are dealt into groups by hash, and each group
-is packed by itself, longest pieces first, so no task holds more than a group.
+closes first when one too many is open. Pieces are dealt into groups by hash, and each group is a
+stream of its own in hash order, so no task holds more than a group. A stream is read in runs
+of RUN pieces, the longest of a run first: with OPEN_BINS bins that takes about one sequence in a
+thousand more than their tokens need, and the plain hash order one in two hundred.
 """
 
 from __future__ import annotations
 
 import json
-import os
 import unicodedata
+import os
 import zlib
 from array import array
 
@@ -25,11 +27,11 @@ from pyspark.sql import functions as F
 from claimweave.llm.common import map_rows
 from claimweave.session import prepare, store, without
 
-CAPACITY, END_ID, OPEN_BINS, GROUP_PIECES = 4096, 1, 4096, 20_000
+CAPACITY, END_ID, OPEN_BINS, RUN, GROUP_PIECES = 4096, 1, 64, 500, 20_000
 #: Words whose ids a worker remembers, and the longest that is.
 CACHED, CACHED_LENGTH = 500_000, 64
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = "sequence_id long, offset long"
+PACKED = "sequence_id long, offset long, closed_early boolean"
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -63,12 +65,12 @@ class WordEncoder(dict):
     straight from the tokenizer's pattern to its BPE model; all others through the tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, form: str):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(form)
         form = json.loads(self.tokenizer.to_str())
         steps = form["pre_tokenizer"].get("pretokenizers", [{}]) if form["pre_tokenizer"] else [{}]
         self.pattern, self.parts = None, Parts(self.tokenizer)
@@ -110,11 +112,13 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
     """
     prepare(docs.sparkSession)
     path = path or tokenizer_file()
+    with open(path, encoding="utf-8") as file:  # on the driver; workers get the bytes
+        form = docs.sparkSession.sparkContext.broadcast(file.read())
     tail = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
     schema = PIECE + (", ids array<int>" if with_ids else "")
 
     def start():
-        encoder = WordEncoder(path)
+        encoder = WordEncoder(form.value)
 
         def work(batch):
             ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
@@ -135,10 +139,10 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
     return map_rows(docs, ["doc_id"], schema, start)
 
 
-def best_fit(lengths: list[int], capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> tuple[list[int], list[int]]:
-    """Bin and offset of each piece, in the order given (the online order)."""
+def best_fit(lengths: list[int], capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> tuple[list[int], list[int], set[int]]:
+    """Bin and offset of each piece, in the order given (the online order), and the bins that closed with room left."""
     free_bits, by_free, used, opened, n = 0, [[] for _ in range(capacity + 1)], [], 0, 0
-    bins, offsets = [], []
+    bins, offsets, early = [], [], set()
     for size in lengths:
         fits = free_bits >> size
         if fits:
@@ -161,33 +165,41 @@ def best_fit(lengths: list[int], capacity: int = CAPACITY, open_bins: int = OPEN
             free_bits |= 1 << free
         if opened > open_bins:  # the fullest closes
             full = (free_bits & -free_bits).bit_length() - 1
-            by_free[full].pop()
+            early.add(by_free[full].pop())
             if not by_free[full]:
                 free_bits &= ~(1 << full)
             opened -= 1
-    return bins, offsets
+    return bins, offsets, early
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """Pieces with sequence_id and offset: no sequence over capacity, offsets gapless from 0.
+def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, group_pieces: int = GROUP_PIECES, run_pieces: int = RUN) -> DataFrame:
+    """Pieces with sequence_id, offset, closed_early: no sequence over capacity, offsets gapless from 0.
 
-    pieces: doc_id, piece, length and whatever else; stored or otherwise repeatable. Groups hold
-    about group_pieces pieces whatever the number of documents. Empty table: no rows.
+    pieces: doc_id, piece, length and whatever else; a stored table, so that its rows keep their
+    numbers. Groups hold about group_pieces pieces whatever the number of documents, equal rows
+    included. closed_early: the sequence had room when it closed as the fullest of too many.
+    Empty table: no rows. Input columns named like an added one give way to it.
     """
-    base = without(pieces, ["sequence_id", "offset", "_group"])
+    base = without(pieces, ["sequence_id", "offset", "closed_early", "_group", "_turn"])
     groups = max(1, -(-base.count() // group_pieces))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", " + PACKED
     ordered = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in base.columns]
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", *ordered], ascending=[False] + [True] * len(ordered), kind="stable").drop(columns="_group")
-        bins, offsets = best_fit(frame["length"].tolist(), capacity, open_bins)
-        return frame.assign(sequence_id=np.array(bins, dtype="int64") + (int(key[0]) << 40), offset=np.array(offsets, dtype="int64"))
+        frame = frame.sort_values(["_turn", *ordered], kind="stable").drop(columns=["_group", "_turn"])
+        turn = np.lexsort((-frame["length"].to_numpy(), np.arange(len(frame)) // run_pieces))
+        frame = frame.iloc[turn]
+        bins, offsets, early = best_fit(frame["length"].tolist(), capacity, open_bins)
+        return frame.assign(sequence_id=np.array(bins, dtype="int64") + (int(key[0]) << 40), offset=np.array(offsets, dtype="int64"), closed_early=[b in early for b in bins])
 
-    group = F.pmod(F.xxhash64(*[F.col(c) for c in ordered]), F.lit(groups)).cast("int")
-    return base.withColumn("_group", group).repartition(groups, "_group").groupBy("_group").applyInPandas(run, schema)
+    turn = F.xxhash64(*[F.col(c) for c in ordered], F.monotonically_increasing_id())  # equal rows part
+    dealt = base.withColumn("_turn", turn).withColumn("_group", F.pmod(F.xxhash64("_turn"), F.lit(groups)).cast("int"))
+    return dealt.repartition(groups, "_group").groupBy("_group").applyInPandas(run, schema)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int | None = END_ID, open_bins: int = OPEN_BINS, with_ids: bool = False) -> DataFrame:
-    """Tokenize, cut and pack whole documents: token_pieces, stored once, then pack."""
+    """Tokenize, cut and pack whole documents: token_pieces, stored once, then pack.
+
+    Null and empty texts, repeated rows, empty tables and clashing columns: see token_pieces.
+    """
     return pack(store(token_pieces(docs, path, capacity, end_id, with_ids), "pieces").df, capacity, open_bins)
