@@ -2,17 +2,26 @@
 
 Sizes are added up per source (map-side first, so a source with a third of all rows costs
 one row a task), targets follow by water-filling over the per-source sums, and each document
-is taken floor(rate) times plus once more with probability rate - floor(rate). The draw is a
-hash of seed, doc_id and text, so reruns and retried tasks agree.
+is taken floor(rate) times plus once more with probability rate - floor(rate): a coin from a hash
+of seed, doc_id and text, so reruns and retried tasks agree.
+
+The coins of a source are not independent, or one long document would decide over it. Documents
+are put into strata by size (powers of two), the long ones first. What the coins of longer strata
+took beyond or below their share changes the probability of all shorter ones, whose expectation
+stays rate - floor(rate), and within a stratum the documents of the lowest hashes are taken up to
+the length wanted. So a source misses its target by about its shortest documents, unless its
+longest outweigh all others. Only sums by source, stratum and CELLS ranges of the hash are needed.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimweave.llm.common import n_words, set_aside
-from claimweave.session import store, without
+from claimweave.session import prepare, store, without
 
 #: The weights that sources get in turn.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -20,6 +29,8 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2.0
 #: Rows of per-source targets (some 50 bytes each) that are still broadcast to the documents.
 MOST_BROADCAST = 200_000
+#: Ranges of the hash that a stratum's sizes are added up by: a source has at most 64 * CELLS sums.
+CELLS = 2048
 ADDED = ["size", "source_size", "target", "rate", "copies", "taken"]
 
 
@@ -60,28 +71,84 @@ def uniform(seed: int, *columns: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11) / F.lit(float(1 << 53))
 
 
+def stratum(size: Column) -> Column:
+    """The power of two below a size; -1 for 0."""
+    return F.when(size > 0, F.floor(F.log2(size.cast("double")) + 1e-9)).otherwise(-1).cast("int")
+
+
+def thresholds(sized: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
+    """source, stratum, threshold: a document is taken once more if its number lies below.
+
+    sized: source, size, _u. One grouped task a source over at most 64 * CELLS sums.
+    """
+    cell = F.floor(F.col("_u") * CELLS).cast("int")
+    sums = sized.groupBy("source", stratum(F.col("size")).alias("stratum"), cell.alias("cell")).agg(F.sum("size").alias("size"), F.min("_u").alias("least"), F.max("_u").alias("most"))
+    rated = sums.join(targets.select(F.col("source").alias("_s"), "rate"), sums["source"].eqNullSafe(F.col("_s"))).drop("_s")
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        share = float(frame["rate"].iloc[0]) % 1.0
+        rest, out = float(frame["size"].sum()), []
+        wanted = share * rest
+        for level, own in sorted(frame.groupby("stratum"), key=lambda x: -x[0]):
+            own = own.sort_values("cell")
+            size = own["size"].to_numpy(dtype=float)
+            total = size.sum()
+            if level < 0 or not total:
+                out.append((level, share))
+                continue
+            chance = min(1.0, max(0.0, wanted / rest))
+            cut, took = cut_at(size, own["least"].to_numpy(), own["most"].to_numpy(), chance * total)
+            out.append((level, cut))
+            wanted, rest = wanted - took, rest - total
+        return pd.DataFrame({"source": frame["source"].iloc[0], "stratum": [x for x, _ in out], "threshold": [c for _, c in out]}).astype({"stratum": "int32"})
+
+    return rated.groupBy("source").applyInPandas(run, "source string, stratum int, threshold double")
+
+
+def cut_at(size: np.ndarray, least: np.ndarray, most: np.ndarray, wanted: float) -> tuple[float, float]:
+    """The number below which cells (in order) hold about the wanted size, and what it takes.
+
+    A cell of one document is taken whole with the wanted part as its chance (the coin is the tail
+    of its hash); of a cell of several, the part that is wanted, as if they were spread evenly over it.
+    """
+    before = np.cumsum(size) - size
+    at = int(np.searchsorted(before, wanted, side="right")) - 1
+    if at < 0:
+        return 0.0, 0.0
+    part = min(1.0, (wanted - before[at]) / size[at])
+    if least[at] == most[at]:
+        part = float(least[at] * 2.0**40 % 1 < part)
+        return (float(np.nextafter(most[at], 2)), before[at] + size[at]) if part else (float(least[at]), before[at])
+    return float(least[at] + part * (np.nextafter(most[at], 2) - least[at])), before[at] + part * size[at]
+
+
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 8) -> DataFrame:
     """Documents with size, source_size, target, rate, copies, taken: one row per document.
 
     Null text: size 0. Null source: a source of its own, last. Null doc_id: drawn by text alone.
-    Repeated rows: equal rows draw alike. Input columns named like an added one give way to it.
-    Size is the number of words; copies <= most, so no document exceeds most times its size.
+    Repeated rows: equal rows draw alike. Empty table: no rows. Input columns named like an added
+    one give way to it. Size is the number of words; a target is at most most times its source's
+    size, so copies <= ceil(most), and no document exceeds most times its size where most is whole.
     """
-    sized = without(docs, ADDED).withColumn("size", n_words(F.col("text")))
-    targets = store(source_targets(sized.select("source", "size"), weights, share, most), "targets").df
-    named = targets.withColumnRenamed("source", "_mix_source")
-    if named.count() <= MOST_BROADCAST:  # else an ordinary join, which shuffles the documents by source
+    prepare(docs.sparkSession)
+    sized = without(docs, [*ADDED, "_u", "stratum", "threshold"]).withColumns({"size": n_words(F.col("text")), "_u": uniform(seed, F.col("doc_id"), F.col("text"))})
+    narrow = store(sized.select(F.col("source").cast("string").alias("source"), "size", "_u"), "sizes").df
+    targets = store(source_targets(narrow, weights, share, most), "targets").df
+    cuts = store(thresholds(narrow, targets, seed).join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), "thresholds").df
+    named = cuts.withColumnsRenamed({"source": "_mix_source", "stratum": "_stratum"})
+    if named.count() <= MOST_BROADCAST:  # else an ordinary join, which shuffles the documents by source and stratum
         named = F.broadcast(named)
-    rated = sized.join(named, sized["source"].eqNullSafe(named["_mix_source"]), "left").drop("_mix_source")
-    whole = F.floor(F.col("rate"))
-    draw = uniform(seed, F.col("doc_id"), F.col("text")) < F.col("rate") - whole
-    copies = F.least((whole + draw.cast("int")), F.lit(int(most))).cast("int")
-    out = rated.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies"))
-    return out
+    rated = sized.join(named, sized["source"].eqNullSafe(named["_mix_source"]) & (stratum(F.col("size")) == F.col("_stratum")), "left")
+    copies = (F.floor(F.col("rate")) + (F.col("_u") < F.col("threshold")).cast("int")).cast("int")
+    return rated.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).drop("_mix_source", "_stratum", "threshold", "_u")
 
 
 def emit_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 8) -> DataFrame:
-    """The mix itself: each document as many times as mix_sources takes it, with all its own columns."""
+    """The mix itself: each document as many times as mix_sources takes it, with all its own columns.
+
+    Documents without words are taken by their coin alone. Nulls, repeated rows, empty tables and
+    clashing columns: see mix_sources.
+    """
     aside, back = set_aside(docs, [*ADDED, "_copy"])
     taken = mix_sources(aside, weights, share, most, seed).where("copies > 0")
     return back(taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))))
