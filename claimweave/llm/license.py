@@ -10,6 +10,8 @@ share of the template's shingles that stand together in the text.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -20,8 +22,8 @@ from claimweave.llm.license_templates import TEMPLATES
 from claimweave.session import prepare
 
 SHINGLE, LEAST, BANDS = 5, 0.8, 12
-#: Templates are held by every worker; more than this many are refused.
-MOST_TEMPLATES = 5000
+#: Templates that a worker holds at a time; more are scanned in parts of so many.
+HELD_TEMPLATES = 5000
 _EDGES = b"\"'()[]{}<>.,;:!?*#-_/\\|"
 FOUND = "doc_id long, template int, license string, containment double, first_word long, matched long"
 
@@ -52,6 +54,12 @@ def shingles(text: bytes, known: WordHash) -> np.ndarray:
         return (out ^ (out >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
 
 
+def spelled(text: bytes) -> list[tuple]:
+    """The shingles of shingles() as tuples of words."""
+    plain = [w.lower().strip(_EDGES) for w in text.split()]
+    return [tuple(plain[k : k + SHINGLE]) for k in range(max(1, len(plain) - SHINGLE + 1))] if plain else []
+
+
 def size_class(n: int) -> int:
     return 1 << max(0, (max(2, n) // 2).bit_length() - 1)
 
@@ -66,16 +74,15 @@ class Scanner:
     """The band tables of all templates, and the scan of a text."""
 
     def __init__(self, templates: list[tuple[str, str]]):
-        if len(templates) > MOST_TEMPLATES:
-            raise ValueError(f"more than {MOST_TEMPLATES} templates")
         self.known = WordHash()
         self.names = [n for n, _ in templates]
-        self.sets, self.orders = [], []
+        self.sets, self.orders, self.words = [], [], []
         tables: dict[tuple[int, int], dict[int, set[int]]] = {}
         for t, (_, text) in enumerate(templates):
             own = shingles(text.encode(), self.known)
             self.sets.append(np.unique(own))
             self.orders.append(len(own))
+            self.words.append(spelled(text.encode()))
             if not len(own):
                 continue
             size = size_class(len(own))
@@ -129,6 +136,13 @@ class Scanner:
                 best, first = len(held), int(at[left])
         return (best / len(wanted), first, best) if best >= least * len(wanted) else None
 
+    def spelt_alike(self, text: list[tuple], t: int, first: int, least: float) -> tuple[float, int, int] | None:
+        """What verify found, counted again by the words themselves: hashes may meet by chance."""
+        wanted, n = self.words[t], self.orders[t]
+        wanted = set(wanted)
+        best = len(wanted.intersection(text[first : first + n + n // 2]))
+        return (best / len(wanted), first, best) if best >= least * len(wanted) else None
+
     def scan(self, texts: list[bytes], least: float = LEAST) -> list[tuple[int, int, float, int, int]]:
         """(text, template, containment, first word, matched shingles) of what is found."""
         each = [shingles(t, self.known) for t in texts]
@@ -136,26 +150,41 @@ class Scanner:
         if not sum(sizes):
             return []
         met = self.candidates(np.concatenate(each), np.repeat(np.arange(len(texts)), sizes))
-        found = ((i, t, self.verify(each[i], t, least)) for i, t in sorted(met))
-        return [(i, t, *v) for i, t, v in found if v]
+        found, spelt = [], {}
+        for i, t in sorted(met):
+            v = self.verify(each[i], t, least)
+            if v:
+                spelt = spelt if i in spelt else {i: spelled(texts[i])}
+                v = self.spelt_alike(spelt[i], t, v[1], least)
+            if v:
+                found.append((i, t, *v))
+        return found
 
 
 def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least: float = LEAST) -> DataFrame:
     """doc_id, template, license, containment, first_word, matched: a row per document and template found in it.
 
-    One pass over the whole texts, no shuffle. Null, empty and wordless texts: no rows. Repeated
-    rows give theirs each. Empty table: no rows. Only doc_id and text are read.
+    One pass over the whole texts for each HELD_TEMPLATES templates, no shuffle. Null, empty and
+    wordless texts: no rows. Repeated rows give theirs each. Empty table: no rows. Only doc_id and
+    text are read.
     """
     prepare(docs.sparkSession)
     chosen = list(TEMPLATES if templates is None else templates)
+    parts = [scanned(docs, chosen[at : at + HELD_TEMPLATES], at, least) for at in range(0, max(1, len(chosen)), HELD_TEMPLATES)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def scanned(docs: DataFrame, chosen: list[tuple[str, str]], number: int, least: float) -> DataFrame:
+    """license_scan for templates that are numbered from number on."""
+    held = docs.sparkSession.sparkContext.broadcast(chosen)  # HELD_TEMPLATES at most
 
     def start():
-        scanner = Scanner(chosen)
+        scanner = Scanner(held.value)
 
         def work(batch):
             ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
             found = scanner.scan(as_bytes(batch.column(batch.schema.get_field_index("text"))), least)
-            rows = [(ids[i], t, scanner.names[t], *v) for i, t, *v in found]
+            rows = [(ids[i], number + t, scanner.names[t], *v) for i, t, *v in found]
             kinds = {"doc_id": pa.int64(), "template": pa.int32(), "license": pa.string(), "containment": pa.float64(), "first_word": pa.int64(), "matched": pa.int64()}
             columns = list(zip(*rows)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))

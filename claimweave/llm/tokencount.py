@@ -28,7 +28,7 @@ def vocabulary_file(name: str = "byte_bpe_50k.tiktoken") -> str:
 
 
 def read_vocabulary(path: str) -> list[bytes]:
-    """The byte strings of a ranks file: one base64 string and one rank a line."""
+    """The byte strings of a ranks file: one base64 string and one rank a line. Read on the driver."""
     with open(path, "rb") as lines:
         return [base64.b64decode(line.split()[0]) for line in lines if line.strip()]
 
@@ -108,10 +108,11 @@ def token_counts(docs: DataFrame, path: str | None = None, keep: list[str] | Non
     columns named like an added one give way to it.
     """
     prepare(docs.sparkSession)
-    path, base = path or vocabulary_file(), without(docs, [n for n, _ in ADDED])
+    base = without(docs, [n for n, _ in ADDED])
+    pieces = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path or vocabulary_file()))  # the size of one vocabulary file
 
     def start():
-        known = LongestMatch(read_vocabulary(path))
+        known = LongestMatch(pieces.value)
 
         def work(texts, _):
             split = [t.split() for t in texts]

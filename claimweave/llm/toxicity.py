@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 from claimweave.llm.common import as_bytes, map_rows, map_text, set_aside
 from claimweave.session import prepare, without
 
-#: Hash slots, pair factors, terms that the machine keeps, documents that a kept term occurs in.
-SLOTS, RANK, KEPT_TERMS, LEAST_DOCS = 1 << 22, 4, 1500, 4
-#: The bound of the training sample: so many labelled rows of each class, by hash of doc_id.
-SAMPLE_PER_CLASS = 5000
+#: Hash slots, pair factors, documents that a kept term occurs in.
+SLOTS, RANK, LEAST_DOCS = 1 << 22, 4, 4
+#: The machine's size: terms kept for what they say alone, and for what they say beside one of the ANCHORS strongest.
+KEPT_TERMS, KEPT_PARTNERS, ANCHORS = 1500, 100, 64
+#: The bound of the training sample: so many labelled rows of each class, by hash of doc_id, and distinct terms of a row.
+SAMPLE_PER_CLASS, SAMPLE_TERMS = 5000, 20_000
 FOLDS = 5
 EDGES = bytes(set(range(33, 127)) - set(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
 BEGINNINGS = (4, 5)
@@ -64,12 +66,46 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def fit(held: list[np.ndarray], toxic: np.ndarray, prior: float, steps: int = 200, seed: int = 2) -> Machine:
+def partner_gain(which: np.ndarray, text: np.ndarray, toxic: np.ndarray, anchors: np.ndarray, n_terms: int) -> np.ndarray:
+    """How much each term tells texts with an anchor apart, at best: terms that say nothing alone may do so in pairs."""
+    best = np.zeros(n_terms)
+    order = np.argsort(which, kind="stable")
+    starts = np.searchsorted(which[order], np.arange(n_terms + 1))
+    bounds = np.searchsorted(text, np.arange(len(toxic) + 1))
+    for anchor in anchors.tolist():
+        mine = text[order[starts[anchor] : starts[anchor + 1]]]
+        n_on = int(toxic[mine].sum())
+        on, off = np.zeros(n_terms), np.zeros(n_terms)
+        for t in mine.tolist():
+            (on if toxic[t] else off)[which[bounds[t] : bounds[t + 1]]] += 1
+        odds = np.log((on + 0.5) / (n_on + 1)) - np.log((off + 0.5) / (len(mine) - n_on + 1))
+        gain = np.where(on + off >= LEAST_DOCS, np.abs(odds) * np.sqrt(on + off), 0)
+        gain[anchor] = 0
+        best = np.maximum(best, gain)
+    return best
+
+
+def chosen_terms(which: np.ndarray, text: np.ndarray, toxic: np.ndarray, n_terms: int) -> np.ndarray:
+    """The terms that the machine keeps: by log odds times the root of their count, alone and beside the strongest toxic ones."""
+    n_toxic = int(toxic.sum())
+    on = np.bincount(which, weights=toxic[text], minlength=n_terms)
+    off = np.bincount(which, minlength=n_terms) - on
+    odds = np.log((on + 0.5) / (n_toxic + 1)) - np.log((off + 0.5) / (len(toxic) - n_toxic + 1))
+    gain = np.where(on + off >= LEAST_DOCS, np.abs(odds) * np.sqrt(on + off), 0)
+    best = np.argsort(-gain, kind="stable")[:KEPT_TERMS]
+    best = best[gain[best] > 0]
+    anchors = best[odds[best] > 0][:ANCHORS]
+    pair = partner_gain(which, text, toxic, anchors, n_terms)
+    pair[best] = 0
+    more = np.argsort(-pair, kind="stable")[:KEPT_PARTNERS]
+    return np.concatenate([best, more[pair[more] > 0]])
+
+
+def fit(held: list[np.ndarray], toxic: np.ndarray, prior: float, steps: int = 60, seed: int = 2) -> Machine:
     """Full-batch Adam on the logistic loss, classes weighted alike, L2 on weights and factors.
 
-    Terms are kept by the size of their log odds times their document count. prior: the share of
-    toxic rows among all labelled ones; it moves the bias back from the balanced sample. With
-    one class only, or no rows, the machine is a constant: the prior.
+    prior: the share of toxic rows among all labelled ones: with one class only, or no rows, the
+    machine is that constant. Otherwise a score of one half means as likely under either class.
     """
     n_toxic = int(toxic.sum())
     bias_of = float(np.log(max(prior, 1e-4) / max(1 - prior, 1e-4)))
@@ -78,12 +114,7 @@ def fit(held: list[np.ndarray], toxic: np.ndarray, prior: float, steps: int = 20
     slots = np.concatenate(held)
     text = np.repeat(np.arange(len(held)), [len(h) for h in held])
     names, which = np.unique(slots, return_inverse=True)
-    on = np.bincount(which, weights=toxic[text])
-    off = np.bincount(which) - on
-    odds = np.log((on + 0.5) / (n_toxic + 1)) - np.log((off + 0.5) / (len(toxic) - n_toxic + 1))
-    gain = np.where(on + off >= LEAST_DOCS, np.abs(odds) * np.sqrt(on + off), 0)
-    best = np.argsort(-gain, kind="stable")[:KEPT_TERMS]
-    best = best[gain[best] > 0]
+    best = chosen_terms(which, text, toxic, len(names))
     row = np.full(len(names), -1)
     row[best] = np.arange(len(best))
     x = np.zeros((len(held), len(best)), dtype=np.float32)
@@ -112,18 +143,23 @@ def held_out(doc_id) -> object:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Machine:
-    """Fit on at most per_class rows of each class, not held out; labels join by doc_id only."""
+    """Fit on at most per_class rows of each class, not held out; labels join by doc_id only.
+
+    Of rows that repeat a labelled doc_id one text is read, and of a text at most SAMPLE_TERMS
+    distinct terms. Null labels and ids are left out; a document labelled twice is toxic if one says so.
+    """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("_toxic")).where(~held_out(F.col("doc_id")))
     share = known.agg(F.avg("_toxic")).first()[0] or 0.0
     draw = F.xxhash64(F.lit(2), "doc_id")
     chosen = known.where("_toxic = 1").orderBy(draw, "doc_id").limit(per_class).unionByName(known.where("_toxic = 0").orderBy(draw, "doc_id").limit(per_class))
     sample = docs.join(F.broadcast(chosen), "doc_id")  # 2 * per_class rows at most
+    sample = sample.groupBy("doc_id", "_toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
 
     def start():
         def work(batch):
             marks = batch.column(batch.schema.get_field_index("_toxic"))
             texts = as_bytes(batch.column(batch.schema.get_field_index("text")))
-            slots = [np.unique(np.fromiter((s for w in set(t.split()) for s in terms_of(w)), dtype=np.int32)) for t in texts]
+            slots = [np.unique(np.fromiter((s for w in set(t.split()) for s in terms_of(w)), dtype=np.int32))[:SAMPLE_TERMS] for t in texts]
             ids = batch.column(batch.schema.get_field_index("doc_id"))
             yield pa.RecordBatch.from_arrays([ids, pa.array(slots, pa.list_(pa.int32())), marks], names=["doc_id", "slots", "toxic"])
 
@@ -142,7 +178,7 @@ def toxicity(docs: DataFrame, machine: Machine, keep: list[str] | None = None) -
     Empty table: no rows. Input columns named like an added one give way to it.
     """
     prepare(docs.sparkSession)
-    shared, base = docs.sparkSession.sparkContext.broadcast(machine), without(docs, [n for n, _ in ADDED])  # KEPT_TERMS rows at most
+    shared, base = docs.sparkSession.sparkContext.broadcast(machine), without(docs, [n for n, _ in ADDED])  # KEPT_TERMS + KEPT_PARTNERS rows at most
 
     def start():
         known = TermRows(shared.value.rows)
@@ -180,6 +216,10 @@ class TermRows(dict):
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the machine does not predict toxic, with all their own columns."""
+    """The documents that the machine does not predict toxic, with all their own columns.
+
+    The machine learns from labelled rows among docs. Null and empty texts get its bias; repeated
+    rows stay or go together; without labels of both classes it is a constant; an empty table gives none.
+    """
     aside, back = set_aside(docs, [n for n, _ in ADDED])
     return back(toxicity(aside, train(docs.select("doc_id", "text"), labels)).where("predicted = 0"))
