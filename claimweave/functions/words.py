@@ -65,6 +65,8 @@ NEGATIVE_RELATIONS = (
 LINKING_NEGATIONS = ["am", "are", "be", "became", "become", "becomes", "had", "has", "have", "is", "was", "were", "will be", "will have"]
 NEGATION_PROTOTYPES = "not absence lack denial failure unable excluded prevented".split()
 NEGATION_PREFIXES = "un non anti dis in im ir il".split()
+NEGATION_SUFFIXES = ["less"]
+NEGATION_TERMS = "false unsupported unproven insufficient inadequate invalid impossible unlikely unavailable".split()
 QUANTIFIER_EXCLUSIONS = ["all time", "one time"]
 CORE_QUANTIFIERS = "all some many most several few one none both either".split()
 QUANTIFIERS = [
@@ -102,7 +104,7 @@ BRIDGE_QUERIES = ["{a} {b}", "{a} and {b}", "{a} relationship to {b}", "{a} impa
 LIMITS = {
     "queries": 5, "blocks": 16, "min_block_chars": 80, "max_block_chars": 2400, "sentences": 96, "clauses": 180, "claims": 512, "label_chars": 72,
     "label_tokens": 8, "clause_chars": 360, "parts": 4, "expansions": 8, "negation_chars": 72, "candidates": 96, "context": 24, "notes": 40, "grounding": 18,
-    "hops": 12, "pairs": 4, "arguments": 3, "path_records": 6, "ui_edges": 12000,
+    "hops": 12, "pairs": 4, "arguments": 3, "path_records": 6,
 }
 MERGE_LOW, MERGE_HIGH, MATCH, DIVERSITY, DUP_OVERLAP, DUP_JACCARD, SEMANTIC_NEGATION = 0.84, 0.97, 0.34, 0.72, 0.72, 0.60, 0.74
 SEED_SCALE, SEED_JITTER, PARENT_PULL = 420.0, 60.0, 0.15

@@ -30,6 +30,29 @@ def hashed_vector(text: Column, dimensions: int = DIMENSIONS) -> Column:
     return T.let(T.let(slots, counted), scaled)
 
 
+def semantic_negation(clause: Column, relation: Column, embed: Callable[[Column], Column], least: float = W.SEMANTIC_NEGATION) -> Column:
+    """whether a word near the relation is formed like a negation (un-, non-, -less, ...) and means one.
+
+    embed: a real embedder of words; hashed trigrams only know words of the same letters. Near: within
+    the reach of a negation before and after the relation. Null or missing relation: false.
+    """
+    far = W.LIMITS["negation_chars"]
+    formed = rf"^(?:{W.phrases(W.NEGATION_PREFIXES)})[a-z]{{3,}}$|^[a-z]+(?:{W.phrases(W.NEGATION_SUFFIXES)})$|^(?:{W.phrases(W.NEGATION_TERMS)})$"
+    prototypes = F.transform(T.strings(W.NEGATION_PROTOTYPES), embed)
+
+    def near(x: Column) -> Column:
+        low, rel = x["text"], x["rel"]
+        at = F.when(rel == "", 0).otherwise(F.instr(low, rel))
+        return F.when(at > 0, F.substr(low, F.greatest(at - far, F.lit(1)), F.length(rel) + 2 * far)).otherwise("")
+
+    def means(token: Column) -> Column:
+        return T.let(embed(token), lambda v: F.exists(prototypes, lambda p: T.cosine(v, p) >= least))
+
+    base = F.struct(F.lower(T.clean(clause)).alias("text"), F.lower(T.clean_part(relation)).alias("rel"))
+    tokens = F.filter(T.tokens(T.let(base, near)), lambda t: (F.length(t) >= 4) & ~T.one_of(t, W.STOP) & t.rlike(formed))
+    return F.exists(tokens, means)
+
+
 def vector_specificity(v: Column) -> Column:
     """.8 * half (a unit vector) + .2 * share of zeros."""
     zeros = F.size(F.filter(v, lambda x: x == 0)) / F.greatest(F.size(v), F.lit(1))

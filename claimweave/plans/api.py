@@ -11,16 +11,16 @@ from pyspark.sql import functions as F
 from claimweave.functions import text as T
 from claimweave.functions import words as W
 from claimweave.operators import concepts, extract, graph, synth
-from claimweave.session import store, table
+from claimweave.session import spread, store, table
 from claimweave.sources import blocks
 
 
 def linking_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rank, side, subject, relation, predicate, score, source_ref, evidence of the linking claims about two subjects.
 
-    The subjects are the two English content tokens in most documents (ties by token).
+    The subjects are the two content tokens in most documents (ties by token), whatever the language.
     """
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
+    docs = spread(table(spark, sf_dir, "documents"))
     clauses = extract.clause_rows(blocks.document_blocks(docs))
     claims = store(clauses.withColumn("l", extract.linking(F.col("clause"))).where("l.relation <> ''").select("block_id", "sent_pos", "clause_pos", "source", "clause", "l.*"), "linking").df
     words_ = docs.select("doc_id", F.explode(F.array_distinct(T.content_tokens(F.col("text")))).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
@@ -32,11 +32,10 @@ def linking_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = (F.col("score_a") >= W.MATCH) & (F.col("score_b") >= W.MATCH)
     side = F.when(both, "both").when(F.col("score_a") >= W.MATCH, "a").otherwise("b")
     numbers = kept.groupBy(F.col("source").alias("_src")).agg(F.min(F.struct("block_id", "sent_pos", "clause_pos")).alias("at"))
-    numbers = numbers.select("_src", F.row_number().over(Window.orderBy("at")).alias("source_ref"))
-    order = Window.orderBy(F.desc(both), F.desc(F.greatest("score_a", "score_b")), "block_id", "sent_pos", "clause_pos")
-    return kept.join(numbers, kept["source"] == numbers["_src"]).select(
-        F.row_number().over(order).alias("rank"), side.alias("side"), "subject", "relation", "predicate", F.round(F.greatest("score_a", "score_b"), 6).alias("score"), "source_ref", F.col("clause").alias("evidence")
-    )
+    numbers = synth.numbered(numbers, [F.col("at")], "source_ref").select("_src", "source_ref")
+    rows = kept.join(numbers, kept["source"] == numbers["_src"]).withColumns({"_both": both, "_best": F.greatest("score_a", "score_b"), "side": side})
+    order = [F.desc("_both"), F.desc("_best"), F.col("block_id"), F.col("sent_pos"), F.col("clause_pos")]
+    return synth.numbered(rows, order, "rank").select("rank", "side", "subject", "relation", "predicate", F.round("_best", 6).alias("score"), "source_ref", F.col("clause").alias("evidence"))
 
 
 @dataclass
@@ -51,11 +50,16 @@ class Connection:
     report: str
 
 
-def claim_edges(claims: DataFrame, embed=None) -> DataFrame:
-    """Claims with resolved ends, merged to edges: edge_id, s, rel, o, ..., n_specifics."""
+def claim_edges(claims: DataFrame, embed=None, concept_path: str | None = None) -> DataFrame:
+    """Claims with resolved ends, merged to edges: edge_id, s, rel, o, ..., n_specifics.
+
+    concept_path (S11): a concept table that survives calls, read and added to.
+    """
     norm = lambda c: F.lower(T.squeezed(F.col(c)))
     names = claims.select(F.col("subject").alias("name")).unionByName(claims.select(F.col("predicate").alias("name")))
-    known = store(concepts.resolve(names, embed or concepts.hashed_vector), "concepts").df
+    embed = embed or concepts.hashed_vector
+    made = concepts.stored_concepts(claims.sparkSession, names, concept_path, embed) if concept_path else concepts.resolve(names, embed)
+    known = store(made.select("norm", "canonical"), "concepts").df
     end = lambda c, out: known.select(F.col("norm").alias(f"_{c}"), F.col("canonical").alias(out))
     place = F.col("ord") * 1_000_000 + F.col("sent_pos") * 1000 + F.col("clause_pos")
     rows = claims.withColumns({"_subject": norm("subject"), "_predicate": norm("predicate"), "place": place}).join(end("subject", "s"), "_subject").join(end("predicate", "o"), "_predicate").where("s <> o")
@@ -67,19 +71,30 @@ def claim_edges(claims: DataFrame, embed=None) -> DataFrame:
     return merged.withColumns({"edge_id": F.xxhash64("s", "rel", "o", "s_quant", "p_quant", "tense", "truth"), "n_specifics": F.size("specifics")})
 
 
-def connect(spark: SparkSession, target_a: str, target_b: str, source_blocks: DataFrame, more_edges: DataFrame | None = None, n_walks: int = 64, writer: Callable[[str], str] | None = None) -> Connection:
+def connect(spark: SparkSession, target_a: str, target_b: str, source_blocks: DataFrame, more_edges: DataFrame | None = None, n_walks: int = 64, writer: Callable[[str], str] | None = None, later_blocks: DataFrame | None = None, concept_path: str | None = None) -> Connection:
     """S19, then extraction, merging, anchors, routes, walks, arguments and a report.
 
     source_blocks: block_id, ord, url, source, content. more_edges: further edges (s, rel, o,
-    source, evidence, utility, n_specifics, edge_id), for example from relational tables. Only the
+    source, evidence, utility, n_specifics, edge_id), for example from relational tables.
+    later_blocks (T3): blocks of a second search pass; their claims update edges between known
+    nodes and make no new ones. concept_path (S11): a concept table that survives calls. Only the
     anchors (at most 64), the chosen pairs (4) and the picked arguments (3) come to the driver.
     """
     blocks.check_command(target_a, target_b)
     named = ["edge_id", "s", "rel", "o", "source", "evidence", "utility", "n_specifics"]
-    edges = claim_edges(extract.expanded(store(extract.claims(source_blocks), "claims").df)).select(*named)
+    claims = store(extract.expanded(store(extract.claims(source_blocks), "claims").df), "expanded").df
+    if later_blocks is not None:
+        ends = claims.select(F.col("subject").alias("label")).unionByName(claims.select(F.col("predicate").alias("label"))).distinct()
+        late = extract.expanded(store(extract.claims(later_blocks), "late-claims").df)
+        claims = claims.unionByName(concepts.refine(ends, late))
+    edges = claim_edges(claims, concept_path=concept_path).select(*named)
     edges = store(edges if more_edges is None else edges.unionByName(more_edges.select(*named)), "edges").df
-    nodes = graph.degrees(edges).select("node", F.col("node").alias("name"), "degree", F.lit(0.0).alias("grounding"))
-    best = lambda own, other, side: synth.ranked_anchors(nodes, own, other).withColumn("side", F.lit(side))
+    degrees = store(graph.degrees(edges), "degrees").df
+
+    def best(own: str, other: str, side: str) -> DataFrame:
+        grounded = degrees.join(synth.grounding_scores(edges, own), "node", "left").select("node", F.col("node").alias("name"), "degree", F.coalesce("grounding", F.lit(0.0)).alias("grounding"))
+        return synth.ranked_anchors(grounded, own, other).withColumn("side", F.lit(side))
+
     anchors = store(best(target_a, target_b, "a").unionByName(best(target_b, target_a, "b")), "anchors").df
     seeds = anchors.where("side = 'a'").select("node", "score", "degree")
     goals = anchors.where("side = 'b'").select("node", "score", "degree")
@@ -129,13 +144,37 @@ def argue(edges: DataFrame, walked: DataFrame, target_a: str, target_b: str, wri
     a, b = T.target_tokens(F.lit(target_a), 2), T.target_tokens(F.lit(target_b), 2)
     tokens_ = T.target_tokens(F.col("path_text"), 2)
     hits = lambda t: F.size(F.array_intersect(tokens_, t)) / F.greatest(F.size(t), F.lit(1))
-    rows = texts.join(support, "arg").withColumns({"match_a": hits(a), "match_b": hits(b), "case": F.lit(0), "signature": F.lower("path_text"), "mechanism": synth.mechanism(F.col("path_text"), target_a, target_b)})
+    rows = texts.join(support, "arg").withColumns({"endpoint_reached": F.lit(True), "match_a": hits(a), "match_b": hits(b), "lexical_a": T.grounding_match(F.col("path_text"), F.lit(target_a))})
+    rows = synth.successful(rows).withColumns({"case": F.lit(0), "signature": F.lower("path_text"), "mechanism": synth.mechanism(F.col("path_text"), target_a, target_b)})
     rank = F.row_number().over(Window.partitionBy("case").orderBy(F.desc(F.col("match_a") + F.col("match_b")), F.desc("concrete"), F.desc("n_sources"), F.desc("support_score"), F.desc("steps"), "arg"))
     rows = rows.withColumns({"rank": rank, "label": T.confidence(F.col("support_score"), F.col("match_a"), F.col("match_b"))})
     picked = store(synth.diverse_top(rows.select("case", "arg", "rank", "label", "signature", "mechanism", "support_score"), "case"), "picked").df
-    mine = said.join(picked.select("arg", "pick"), "arg")
-    numbers = synth.source_numbers(mine.select("source", "pick", "hop"), ["pick", "hop"])
-    chained = synth.chain_text(mine.withColumn("_shown", T.display_source(F.col("source"))).join(numbers.select(F.col("source").alias("_shown"), "number"), "_shown", "left").select("arg", "hop", "text", "number"), "arg", ["hop"])
+    mine = said.join(picked.select("arg", "pick"), "arg").select("arg", "pick", "hop", "edge_id", "text", "source")
+    # The best path records, then specific context at the path's nodes that is not on it
+    path = synth.path_order(mine, "arg", target_a, target_b).withColumn("hop", F.col("place")).drop("place")
+    at = mine.join(edges.select("edge_id", "s", "o"), "edge_id").select("arg", "pick", "edge_id", F.explode(F.array("s", "o")).alias("node")).distinct()
+    near = edges.join(at.select(F.col("node").alias("s")).distinct(), "s", "left_semi").unionByName(edges.join(at.select(F.col("node").alias("o")).distinct(), "o", "left_semi").select(*edges.columns)).dropDuplicates(["edge_id"])
+    found = synth.specific_context(near, at).join(at.select("arg", "pick", "node").distinct(), "node").select("arg", "pick", "edge_id", "text", "source").distinct()
+    context = synth.context_order(synth.context_without_path(found, path, "arg"), path, "arg", target_a, target_b).withColumn("hop", F.col("place") + 1000).drop("place")
+    records = store(path.select("arg", "pick", "hop", "text", "source").unionByName(context.select("arg", "pick", "hop", "text", "source")), "records").df
+    numbers = store(synth.source_numbers(records.select("source", "pick", "hop"), ["pick", "hop"]), "source-numbers").df
+    numbered = records.withColumn("_shown", T.display_source(F.col("source"))).join(numbers.select(F.col("source").alias("_shown"), "number"), "_shown", "left")
+    chained = synth.chain_text(numbered.select("arg", "hop", "text", "number"), "arg", ["hop"])
     shown = [(r["label"], r["text"]) for r in picked.join(chained, "arg").orderBy("pick").select("label", "text").collect()]  # three rows at most
     sources = [(r["number"], r["source"]) for r in numbers.orderBy("number").limit(64).collect()]
-    return picked, synth.template_report(target_a, target_b, shown, sources, writer)
+    prose = (lambda draft: with_citations(writer(draft), numbered)) if writer else None
+    return picked, synth.template_report(target_a, target_b, shown, sources, prose)
+
+
+def with_citations(report: str, records: DataFrame) -> str:
+    """the sentences of a report with the sources of the records that support them (records: text, number)."""
+    spark = records.sparkSession
+    said = [(i, s) for i, s in enumerate(s for p in report.split("\n\n") for s in synth.sentences_of(p))]
+    if not said:
+        return report
+    known = records.where("number is not null").groupBy("number").agg(F.array_join(F.collect_set("text"), " ").alias("text")).select(F.col("number").cast("long").alias("id"), "text")
+    found = synth.citations(spark.createDataFrame(said, "id long, text string"), known).orderBy("sent_id", "place").collect()  # two for each sentence of a report
+    refs: dict[int, list[int]] = {}
+    for r in found:
+        refs.setdefault(r["sent_id"], []).append(r["rec_id"])
+    return synth.cited(report, refs)

@@ -175,7 +175,12 @@ def specifics_numbers(spark, d):
     return documents(spark, d).select("doc_id", n.alias("n_numbers"), dates.alias("n_dates"))
 
 
-@query()
+FOUND = {kind: f"list_transform(regexp_extract_all(text, {duck.q('(?i)' + pattern)}), lambda t: {part_sql('t')})" for kind, pattern in (("date", W.DATE), ("amount", W.NUMBER))}
+
+
+@query(
+    f"select distinct doc_id, kind, text, source from (select doc_id, 'date' as kind, unnest({FOUND['date']}) as text, source from documents union all select doc_id, 'amount', unnest({FOUND['amount']}), source from documents) where text <> '' and not (kind = 'amount' and regexp_matches(text, {duck.q('^' + W.YEAR + '$')}))"
+)
 def claim_specifics(spark, d):
     """F9 in full: dates and amounts as structs."""
     return documents(spark, d).select("doc_id", F.explode(T.specifics(F.col("text"), F.col("source"))).alias("s")).select("doc_id", "s.*")
@@ -209,7 +214,10 @@ def target_token_lists(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.array_join(t, " ").alias("tokens"), F.size(t).alias("n"))
 
 
-@query()
+@query(
+    f"with r as (select item_id, {duck.acronyms('text')} as a, {duck.target_tokens('text')} as t from benchmark) "
+    f"select item_id, array_to_string({duck.ordered_distinct('a')}, ' ') as acronyms, array_to_string(case when len(t) <= 3 then t else list_transform(list_reverse_sort(list_transform(t, lambda x: lpad(length(x)::varchar, 4, '0') || x))[1:3], lambda x: x[5:]) end, ' ') as \"distinctive\" from r"
+)
 def target_acronyms(spark, d):
     """F17, F18."""
     rows = table(spark, d, "benchmark")
@@ -804,14 +812,32 @@ def citation_align(spark, d):
     return synth.citations(s, r).withColumn("score", r6("score"))
 
 
-@query()
+DEDUPE_TOKENS = duck.target_tokens("regexp_replace(text, '\\[\\d+\\]', '', 'g')")
+ALIKE = f"len(s) >= 4 and len(t.t) >= 4 and len(list_intersect(s, t.t)) > 0 and (len(list_intersect(s, t.t)) / least(len(s), len(t.t)) >= {W.DUP_OVERLAP} or len(list_intersect(s, t.t)) / (len(s) + len(t.t) - len(list_intersect(s, t.t))) >= {W.DUP_JACCARD})"
+
+
+@query(
+    f"with recursive t as (select conv_id, turn, {DEDUPE_TOKENS} as t, row_number() over (partition by conv_id order by turn) as k from conversations), "
+    f"r as (select conv_id, turn, k, case when len(t) > 0 then [t] else [] end as kept, true as keep from t where k = 1 union all select t.conv_id, t.turn, t.k, case when len(list_filter(r.kept, lambda s: {ALIKE})) = 0 and len(t.t) > 0 then list_append(r.kept, t.t) else r.kept end, len(list_filter(r.kept, lambda s: {ALIKE})) = 0 from r join t on t.conv_id = r.conv_id and t.k = r.k + 1) "
+    'select conv_id, turn as "ord" from r where keep'
+)
 def greedy_dedupe(spark, d):
     """The turns of each conversation without near-duplicates."""
     r = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("ord"), "text")
     return synth.greedy_dedupe(r, "conv_id").select("conv_id", "ord")
 
 
-@query()
+MECHANISM = f"list_filter({duck.target_tokens('text', 2)}, lambda x: not list_contains({duck.target_tokens(duck.q('the and'), 2)}, x) and not regexp_matches(x, '^[0-9]+$'))"
+NEAR = f"len(t.m) > 0 and len(s) > 0 and len(list_intersect(s, t.m)) / (len(s) + len(t.m) - len(list_intersect(s, t.m))) >= {W.DIVERSITY}"
+TAKEN = f"(len(r.signs) < {W.LIMITS['arguments']} and not list_contains(r.signs, t.sign) and (t.pass = 2 or len(list_filter(r.sets, lambda s: {NEAR})) = 0))"
+
+
+@query(
+    f"with recursive a as (select conv_id, turn, lower(text) as sign, {MECHANISM} as m, row_number() over (partition by conv_id order by length(text) desc, turn) as k, count(*) over (partition by conv_id) as n from conversations), "
+    "t as (select conv_id, turn, sign, m, k, 1 as pass from a union all select conv_id, turn, sign, m, k + n, 2 from a), "
+    f"r as (select conv_id, turn, k, [sign] as signs, [m] as sets, true as took from t where k = 1 union all select t.conv_id, t.turn, t.k, case when {TAKEN} then list_append(r.signs, t.sign) else r.signs end, case when {TAKEN} then list_append(r.sets, t.m) else r.sets end, {TAKEN} from r join t on t.conv_id = r.conv_id and t.k = r.k + 1) "
+    "select conv_id, turn, len(signs)::int as pick from r where took"
+)
 def diverse_topk(spark, d):
     """Three differing arguments for each conversation, longest turns first."""
     rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc(F.length("text")), "turn"))
@@ -861,7 +887,24 @@ def asof_purchase(spark, d):
     return table(spark, d, "events").select("user_id", "event_id", "ts", F.max(F.when(F.col("event_type") == "purchase", F.col("ts"))).over(w).alias("last_purchase"))
 
 
-@query()
+MOST_SAID = f"select token from (select doc_id, unnest(list_distinct({duck.without(duck.tokens('text'), W.STOP, W.DISCOURSE, W.WEAK)})) as token from documents) group by token order by count(*) desc, token limit 1"
+
+
+def named_sql(target: str) -> str:
+    """lexical_score of said against a one-word target."""
+    t = duck.target_tokens(target)
+    made = f"[{{'a': list_distinct(list_concat(tokens, list_intersect(short, {t}))), 't': {t}}}]"
+    counted = f"list_transform({made}, lambda x: {{'n': len(list_intersect(x.a, x.t)), 'a': len(x.a), 't': len(x.t)}})"
+    return f"list_transform({counted}, lambda c: case when c.a = 0 or c.t = 0 then 0.0 when c.a = c.t and c.n = c.a then 1.0 when c.n = 0 then 0.0 when c.n = c.a then 0.98 when c.n = c.t then 0.9 else greatest(c.n / c.a, 0.8 * c.n / c.t) end)[1]"
+
+
+@query(
+    f"with u as ({USABLE}), l as (select doc_id, pos, cpos, clause, regexp_extract(clause, {duck.q(T.LINKING)}, 1) as subject, lower(regexp_extract(clause, {duck.q(T.LINKING)}, 2)) as relation, regexp_extract(clause, {duck.q(T.LINKING)}, 3) as predicate from u where regexp_matches(clause, {duck.q(T.LINKING)})), "
+    f"s as (select l.*, d.source, ({MOST_SAID}) as ta, ({MOST_SAID} offset 1) as tb, subject || ' ' || predicate as said from l join documents d using (doc_id)), k as (select *, {duck.target_tokens('said')} as tokens, {duck.acronyms('said')} as short from s), "
+    f"c as (select *, {named_sql('ta')} as sa, {named_sql('tb')} as sb from k), f as (select *, sa >= {W.MATCH} and sb >= {W.MATCH} as two, greatest(sa, sb) as best, source || '|doc=' || doc_id as src from c where sa >= {W.MATCH} or sb >= {W.MATCH}), "
+    "n as (select src, row_number() over (order by place) as source_ref from (select src, min((doc_id, pos, cpos)) as place from f group by src)) "
+    f"select row_number() over (order by two desc, best desc, doc_id, pos, cpos)::int as rank, case when two then 'both' when sa >= {W.MATCH} then 'a' else 'b' end as side, subject, relation, predicate, round(best, 6) as score, source_ref::int as source_ref, clause as evidence from f join n using (src)"
+)
 def connect_subjects(spark, d):
     """The flagship: how two subjects connect, with numbered sources."""
     return api.linking_slice(spark, d)

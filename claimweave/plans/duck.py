@@ -81,6 +81,15 @@ def stem(t: str) -> str:
     return " ".join(out)
 
 
+def acronyms(x: str) -> str:
+    """Initials of runs of two to four terms of an expression that is evaluated once."""
+    stop = listed(W.STOP)
+    raw = f"list_filter(regexp_extract_all(lower(coalesce({x}, '')), {q(W.TARGET_TOKEN)}), lambda t: length(t) >= 3 and not list_contains({stop}, t))"
+    initials = f"list_transform(list_filter(list_transform({raw}, lambda t: {stem('t')}), lambda t: t <> '' and not list_contains({stop}, t)), lambda t: t[1])"
+    runs = ", ".join(f"list_transform(range(1, greatest(1, len(i) - {k} + 2)::bigint), lambda p: array_to_string(i[p:p + {k} - 1], ''))" for k in (2, 3, 4))
+    return f"list_transform([{initials}], lambda i: list_filter(list_concat({runs}), lambda a: not list_contains({stop}, a)))[1]"
+
+
 def ordered_distinct(x: str) -> str:
     return f"list_transform([{x}], lambda l: list_filter(l, lambda t, i: list_position(l, t) = i))[1]"
 

@@ -59,6 +59,23 @@ def html_text(html: Column) -> Column:
     return T.squeezed(t)
 
 
+#: Parts of a page that hold no running text.
+ASIDE = ["script", "style", "noscript", "svg", "nav", "header", "footer", "aside", "form", "table", "button", "select"]
+
+
+def main_text(html: Column) -> Column:
+    """A page's main text: what stands in its article or main element if it has one, without navigation, forms, tables and comments.
+
+    Entities and blanks as in html_text. Nested elements of one kind end at the first end tag.
+    """
+    bare = F.regexp_replace(T.or_empty(html), r"(?s)<!--.*?-->", " ")
+    for name in ASIDE:
+        bare = F.regexp_replace(bare, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>", " ")
+    inner = lambda name: F.regexp_extract(bare, rf"(?is)<{name}\b[^>]*>(.*)</{name}\s*>", 1)
+    body = F.coalesce(*[F.when(inner(n) != "", inner(n)) for n in ("article", "main", "body")], bare)
+    return html_text(body)
+
+
 def clean_url(url: Column) -> Column:
     """A URL without quotes and brackets, '' unless it is http(s) with a host."""
     bare = F.btrim(F.trim(T.or_empty(url)), F.lit("\"'<>[]()"))
@@ -83,6 +100,12 @@ def hit_blocks(hits: DataFrame, prefer_snippets: bool = False) -> DataFrame:
     return one.withColumn("_n", rank).where(F.col("_n") <= W.LIMITS["blocks"]).drop("_n")
 
 
+def limited_blocks(blocks: DataFrame, most: int = W.LIMITS["max_block_chars"]) -> DataFrame:
+    """Blocks cut into successive ones of at most most characters, at blanks where there are any: ord counts on within a block."""
+    cut = F.regexp_extract_all(F.col("content"), F.lit(rf"(?s)\S.{{0,{most - 2}}}\S(?=\s|$)|\S{{1,{most}}}"), F.lit(0))
+    return blocks.select("block_id", F.col("ord").alias("_ord"), "url", "source", F.posexplode(cut).alias("_part", "content")).select("block_id", (F.col("_ord") * 100_000 + F.col("_part")).alias("ord"), "url", "source", "content")
+
+
 def document_blocks(docs: DataFrame) -> DataFrame:
     """Documents as blocks: block_id, ord, url, source, content."""
     return docs.select(F.col("doc_id").alias("block_id"), F.col("doc_id").alias("ord"), F.lit("").alias("url"), F.concat_ws("|", F.col("source"), F.concat(F.lit("doc="), F.col("doc_id"))).alias("source"), T.or_empty(F.col("text")).alias("content"))
