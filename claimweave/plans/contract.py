@@ -558,11 +558,20 @@ def edge_utility(spark, d):
     return link_rows(spark, d).select("doc_id", "pos", r6(graph.utility(F.col("subject"), F.col("relation"), F.col("predicate"))).alias("utility"))
 
 
+def state_claims(spark, d):
+    """The linking claims of all documents, lower-cased ends, with their states."""
+    end = lambda c: F.lower(c)
+    return link_rows(spark, d).select(
+        end("subject").alias("s"), F.col("relation").alias("rel"), end("predicate").alias("o"), T.quantifier(F.col("subject")).alias("s_quant"), T.quantifier(F.col("predicate")).alias("p_quant"),
+        T.tense(F.col("relation"), F.col("sentence")).alias("tense"), T.truth(F.col("sentence"), F.col("relation")).alias("truth"), F.lit(0.5).alias("utility"), F.array().cast(graph.SPECIFIC).alias("specifics"),
+        F.lit("documents|d").alias("source"), F.col("sentence").alias("evidence"), F.lit(None).cast("long").alias("prev"), (F.col("doc_id") * 100_000 + F.col("pos")).alias("ord"),
+    )
+
+
 @query()
 def compatible_merge(spark, d):
-    """A2 on the claims of all documents, lower-cased ends."""
-    c = link_rows(spark, d).select(F.lower("subject").alias("s"), F.col("relation").alias("rel"), F.lower("predicate").alias("o"), T.quantifier(F.col("subject")).alias("s_quant"), T.quantifier(F.col("predicate")).alias("p_quant"), T.tense(F.col("relation"), F.col("sentence")).alias("tense"), T.truth(F.col("sentence"), F.col("relation")).alias("truth"), F.lit(0.5).alias("utility"), F.array().cast(graph.SPECIFIC).alias("specifics"), F.lit("documents|d").alias("source"), F.col("sentence").alias("evidence"), F.lit(None).cast("long").alias("prev"), (F.col("doc_id") * 1000 + F.col("pos")).alias("ord"))
-    return graph.compatible_edges(graph.merged_edges(c))
+    """A2 on the claims of all documents."""
+    return graph.compatible_edges(graph.merged_edges(state_claims(spark, d)))
 
 
 @query("select conv_id, turn, role, (select max(p.turn) from conversations p where p.conv_id = c.conv_id and p.turn < c.turn and p.role = case c.role when 'user' then 'assistant' else 'user' end) as prev_turn from conversations c")

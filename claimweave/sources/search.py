@@ -26,7 +26,7 @@ def parse_hits(query: str, body: str) -> list[tuple]:
     try:
         _, titles, snippets, urls = json.loads(body)[:4]
         return [(query, i, str(t), str(u), str(s), None) for i, (t, s, u) in enumerate(zip(titles, snippets, urls, strict=False)) if u]
-    except (ValueError, TypeError) as error:
+    except (ValueError, TypeError, LookupError) as error:
         return [(query, None, None, None, None, f"no hits in the answer: {error}")]
 
 

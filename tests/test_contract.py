@@ -37,11 +37,6 @@ def test_query_equals_sql(spark, duck, name):
     assert mine == sorted((tuple(plain(r[i]) for i in at) for r in other.fetchall()), key=repr)
 
 
-def test_queries_without_sql_give_rows(spark):
-    for name in set(contract.queries()) - set(contract.oracle_sql()) - {"extracted_claims", "force_layout"}:
-        assert contract.queries()[name](spark, SF).limit(1).count() == 1, name
-
-
 def test_connect_reports_a_route(spark):
     text = "Rent control is a price ceiling. A price ceiling is a housing shortage cause. A housing shortage cause is urban sprawl. Urban sprawl is a commute problem."
     blocks = spark.createDataFrame([(1, 1, "", "doc|site.org/1", text), (2, 2, "", "doc|site.org/2", "Urban sprawl is a rent control topic. Rent control is urban sprawl.")], "block_id long, ord long, url string, source string, content string")
