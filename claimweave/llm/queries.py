@@ -92,5 +92,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_token_counts, op4_media_copies, op5_quality_rules, op6_packing, op7_chat_format, op8_mixing, op9_simhash, op10_sharding)}
 
 
+#: op7 once more: escapes double each backslash and put one into each "<|"; marks are those of the default template.
+_ESCAPED = "replace(replace({0}, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|')"
+OP7_SQL = f"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '{FORGED}' union all select -1, 1, 'assistant', '{FORGED}'),
+e as (select *, length({_ESCAPED.format("text")}) + length(replace({_ESCAPED.format("role")}, chr(10), '<' || chr(92) || '+')) + length('<|im_start|>') + 1 + length('<|im_end|>') + 1 as chars from t),
+c as (select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text) as said,
+  coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn nulls first, role, text), '') as learnt,
+  sum(chars)::bigint as formatted_chars, string_agg(role, ',' order by turn nulls first, role, text) || ',' as roles from e group by conv_id)
+select conv_id, n_turns, sha256(said) as turns_sha256, length(learnt) as loss_chars, sha256(learnt) as loss_sha256, formatted_chars,
+  regexp_matches(roles, '^(system,)?user,(tool,)*assistant,((user|tool),(tool,)*assistant,)*$') as valid from c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where there is any: the others hash, tokenize or learn, and are tested against brute force."""
+    return {"op7_chat_format": OP7_SQL}
