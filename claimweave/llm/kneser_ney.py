@@ -149,9 +149,9 @@ class Table:
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         order = np.argsort(keys)
         self.keys, self.values = keys[order], values[order].astype(np.int32)
-        self.shift = 64 - max(1, int(2 * len(keys)).bit_length())
-        beginnings = np.arange((1 << (64 - self.shift)) + 1, dtype=np.float64)
-        self.starts = np.searchsorted(self.keys >> np.uint64(self.shift), beginnings[:-1].astype(np.uint64)).astype(np.int32) if len(keys) else np.zeros(len(beginnings) - 1, np.int32)
+        self.shift = 64 - max(1, int(len(keys)).bit_length())
+        beginnings = np.arange(1 << (64 - self.shift), dtype=np.uint64)
+        self.starts = np.searchsorted(self.keys >> np.uint64(self.shift), beginnings).astype(np.int32)
 
     def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each hash is held, and its value (0 if not)."""
@@ -210,12 +210,13 @@ def collected(probs: DataFrame, rests: DataFrame, order: int = ORDER) -> dict[st
     """A model per language from tables whose size the caller has bounded."""
 
     def tables(df: DataFrame, gram: str, value: str) -> dict[str, Table]:
-        rows = df.orderBy("lang").toArrow().combine_chunks()
-        lang = rows["lang"].to_numpy(zero_copy_only=False)
-        keys = hashed(rows[gram].to_numpy().view(np.uint64), rows["n"].to_numpy().astype(np.uint64))
-        values = rows[value].to_numpy()
-        cuts = np.flatnonzero(lang[1:] != lang[:-1]) + 1 if len(lang) else []
-        return {lang[at[0]]: Table(keys[at], values[at]) for at in np.split(np.arange(len(lang)), cuts) if len(at)}
+        # no Python object a row: the driver holds packed arrays only
+        rows = df.select("lang", F.col("n").cast("tinyint"), gram, value).toArrow()
+        named = rows["lang"].combine_chunks().dictionary_encode()
+        names, codes = named.dictionary.to_pylist(), named.indices.to_numpy()
+        keys, values = hashed(rows[gram].to_numpy().view(np.uint64), rows["n"].to_numpy()), rows[value].to_numpy()
+        return {name: Table(keys[own], values[own]) for k, name in enumerate(names) for own in [codes == k]}
 
     grams, contexts = tables(probs, "gram", "log_p"), tables(rests, "context", "log_rest")
+    pa.default_memory_pool().release_unused()
     return {lang: Model(order, t, contexts.get(lang, Table(np.zeros(0, np.uint64), np.zeros(0)))) for lang, t in grams.items()}

@@ -66,14 +66,20 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
+def counted(values: np.ndarray, size: int) -> np.ndarray:
+    """How often each number occurs, worked out in pieces: no wide copy of a long column."""
+    out = np.zeros(size, np.int64)
+    for at in range(0, len(values), 500_000):
+        out += np.bincount(values[at : at + 500_000], minlength=size)
+    return out
+
+
 def partner_gain(which: np.ndarray, text: np.ndarray, toxic: np.ndarray, anchors: np.ndarray, n_terms: int) -> np.ndarray:
     """How much each term tells texts with an anchor apart, at best: terms that say nothing alone may do so in pairs."""
     best = np.zeros(n_terms)
-    order = np.argsort(which, kind="stable")
-    starts = np.searchsorted(which[order], np.arange(n_terms + 1))
     bounds = np.searchsorted(text, np.arange(len(toxic) + 1))
     for anchor in anchors.tolist():
-        mine = text[order[starts[anchor] : starts[anchor + 1]]]
+        mine = text[which == anchor]
         n_on = int(toxic[mine].sum())
         on, off = np.zeros(n_terms), np.zeros(n_terms)
         for t in mine.tolist():
@@ -88,8 +94,8 @@ def partner_gain(which: np.ndarray, text: np.ndarray, toxic: np.ndarray, anchors
 def chosen_terms(which: np.ndarray, text: np.ndarray, toxic: np.ndarray, n_terms: int) -> np.ndarray:
     """The terms that the machine keeps: by log odds times the root of their count, alone and beside the strongest toxic ones."""
     n_toxic = int(toxic.sum())
-    on = np.bincount(which, weights=toxic[text], minlength=n_terms)
-    off = np.bincount(which, minlength=n_terms) - on
+    on = counted(which[(toxic == 1)[text]], n_terms)
+    off = counted(which, n_terms) - on
     odds = np.log((on + 0.5) / (n_toxic + 1)) - np.log((off + 0.5) / (len(toxic) - n_toxic + 1))
     gain = np.where(on + off >= LEAST_DOCS, np.abs(odds) * np.sqrt(on + off), 0)
     best = np.argsort(-gain, kind="stable")[:KEPT_TERMS]
@@ -111,9 +117,16 @@ def fit(held: list[np.ndarray], toxic: np.ndarray, prior: float, steps: int = 60
     bias_of = float(np.log(max(prior, 1e-4) / max(1 - prior, 1e-4)))
     if not n_toxic or n_toxic == len(toxic):
         return Machine({}, np.zeros(0), np.zeros((0, RANK)), bias_of)
-    slots = np.concatenate(held)
-    text = np.repeat(np.arange(len(held)), [len(h) for h in held])
-    names, which = np.unique(slots, return_inverse=True)
+    often = np.zeros(SLOTS, np.int64)
+    for h in held:
+        often[h] += 1
+    names = np.flatnonzero(often >= LEAST_DOCS)  # no other term can be kept
+    place = np.full(SLOTS, -1, np.int32)
+    place[names] = np.arange(len(names))
+    kept = [p[p >= 0] for p in (place[h] for h in held)]
+    which = np.concatenate(kept)
+    text = np.repeat(np.arange(len(held), dtype=np.int32), [len(k) for k in kept])
+    del kept, often, place
     best = chosen_terms(which, text, toxic, len(names))
     row = np.full(len(names), -1)
     row[best] = np.arange(len(best))
@@ -167,8 +180,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
 
     rows = map_rows(sample, ["doc_id", "_toxic"], "doc_id long, slots array<int>, toxic int", start).toArrow()
     order = np.argsort(np.array(rows["doc_id"].to_pylist(), dtype=np.int64), kind="stable")
-    held, toxic = [np.asarray(h.values, dtype=np.int64) for h in rows["slots"]], np.asarray(rows["toxic"].to_pylist(), dtype=np.int64)
-    return fit([held[i] for i in order], toxic[order], share)
+    held, toxic = [np.asarray(h.values) for h in rows["slots"]], np.asarray(rows["toxic"].to_pylist(), dtype=np.int64)
+    machine = fit([held[i] for i in order], toxic[order], share)
+    del held, rows
+    pa.default_memory_pool().release_unused()
+    return machine
 
 
 def toxicity(docs: DataFrame, machine: Machine, keep: list[str] | None = None) -> DataFrame:
