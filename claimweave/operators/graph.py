@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -88,37 +89,47 @@ def provenance(rows: DataFrame, source: str, subject: str, predicate: str, order
 def reachable(edges: DataFrame, starts: DataFrame, max_rounds: int | None = None, limit_hops: int | None = None) -> DataFrame:
     """G1: origin, node, hops: all nodes that each origin's starts reach (starts: origin, node).
 
-    Level by level: the frontier joins the edges, known nodes are anti-joined away, each level is
-    a table of the shared folder. Ends when no new node is found or limit_hops is reached; where the
-    caller bounds the rounds and nodes are still found after them, that is an error.
+    Ends when no new node is found or limit_hops is reached; where the caller bounds the rounds and
+    nodes are still found after them, that is an error.
     """
-    spark = edges.sparkSession
-    steps = store(edges.select("s", "o").distinct(), "steps").df
-    frontier = store(starts.select("origin", "node").distinct().withColumn("hops", F.lit(0)), "reach")
-    levels = [frontier]
+    steps = store(edges.select(F.lit(True).alias("ahead"), "s", "o").distinct(), "steps").df
+    return levels(steps, starts.select(F.lit(True).alias("ahead"), "origin", "node"), max_rounds, limit_hops).drop("ahead")
+
+
+def reachable_both_ways(edges: DataFrame, starts: DataFrame, ends: DataFrame, max_rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """G1 forwards from starts and backwards from ends (both: origin, node), in the same rounds: half as many, and the edges are read once."""
+    one = store(edges.select("s", "o").distinct(), "steps").df
+    steps = one.select(F.lit(True).alias("ahead"), "s", "o").unionByName(one.select(F.lit(False).alias("ahead"), F.col("o").alias("s"), F.col("s").alias("o")))
+    way = lambda df, ahead: df.select(F.lit(ahead).alias("ahead"), "origin", "node")
+    found = levels(steps, way(starts, True).unionByName(way(ends, False)), max_rounds)
+    return found.where("ahead").drop("ahead"), found.where("not ahead").drop("ahead")
+
+
+def levels(steps: DataFrame, starts: DataFrame, max_rounds: int | None = None, limit_hops: int | None = None) -> DataFrame:
+    """ahead, origin, node, hops, level by level: the frontier joins the steps (ahead, s, o) and known nodes are anti-joined away.
+
+    Each level is a table of the shared folder.
+    """
+    spark, key = steps.sparkSession, ["ahead", "origin", "node"]
+    frontier = store(starts.select(*key).distinct().withColumn("hops", F.lit(0)), "reach")
+    held = [frontier]
     for hop in range(1, limit_hops + 1) if limit_hops else count(1):
         if max_rounds and hop > max_rounds:
             raise RuntimeError(f"nodes are still found after {max_rounds} rounds")
-        seen = levels[0].df
-        for level in levels[1:]:
-            seen = seen.unionByName(level.df)
-        new = frontier.df.join(steps, frontier.df["node"] == steps["s"]).select("origin", F.col("o").alias("node")).distinct().join(seen.select("origin", "node"), ["origin", "node"], "left_anti")
+        seen = reduce(DataFrame.unionByName, [level.df for level in held])
+        on = (frontier.df["node"] == steps["s"]) & (frontier.df["ahead"] == steps["ahead"])
+        new = frontier.df.join(steps, on).select(frontier.df["ahead"], "origin", F.col("o").alias("node")).distinct().join(seen.select(*key), key, "left_anti")
         frontier = store(new.withColumn("hops", F.lit(hop)), "reach")
         if frontier.df.isEmpty():
             discard(spark, frontier.path)
             break
-        levels.append(frontier)
-        if len(levels) > 8:  # few tables to read back, however many levels
-            one = levels[0].df
-            for level in levels[1:-1]:
-                one = one.unionByName(level.df)
-            old, levels = levels[:-1], [store(one, "reach"), levels[-1]]
+        held.append(frontier)
+        if len(held) > 8:  # few tables to read back, however many levels
+            old = held[:-1]
+            held = [store(reduce(DataFrame.unionByName, [level.df for level in old]), "reach"), frontier]
             for level in old:
                 discard(spark, level.path)
-    out = levels[0].df
-    for level in levels[1:]:
-        out = out.unionByName(level.df)
-    return out
+    return reduce(DataFrame.unionByName, [level.df for level in held])
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
@@ -129,8 +140,8 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
 def route_core(edges: DataFrame, seeds: DataFrame, goals: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Edges whose start some seed reaches and whose end reaches some goal (seeds, goals: node)."""
     named = lambda nodes: nodes.select(F.lit(0).alias("origin"), "node")
-    ahead = reachable(edges, named(seeds), max_rounds).select(F.col("node").alias("s"))
-    back = reachable(reversed_edges(edges), named(goals), max_rounds).select(F.col("node").alias("o"))
+    ahead, back = reachable_both_ways(edges, named(seeds), named(goals), max_rounds)
+    ahead, back = ahead.select(F.col("node").alias("s")), back.select(F.col("node").alias("o"))
     return edges.join(ahead, "s", "left_semi").join(back, "o", "left_semi").select(*edges.columns)
 
 

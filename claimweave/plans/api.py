@@ -120,8 +120,7 @@ def best_pairs(edges: DataFrame, seeds: DataFrame, goals: DataFrame) -> DataFram
     """The four best pairs of anchors with a route one way or the other."""
     both = seeds.select("node").unionByName(goals.select("node")).distinct()
     starts = both.select(F.col("node").alias("origin"), "node")
-    ahead = store(graph.reachable(edges, starts), "ahead").df
-    back = store(graph.reachable(graph.reversed_edges(edges), starts), "back").df
+    ahead, back = graph.reachable_both_ways(edges, starts, starts)
     # anchors meet by reachability, not by a product: a pair exists if one's reach holds the other
     hit = ahead.select(F.col("origin").alias("x"), F.col("node").alias("y")).where("x <> y")
     a, b = seeds.select(F.col("node").alias("a")), goals.select(F.col("node").alias("b"))
