@@ -235,7 +235,7 @@ def spread(images: DataFrame, asked: np.ndarray | None = None, keys_only: bool =
 
 
 def asked_mask(keys: DataFrame) -> np.ndarray:
-    """Which mask bits of each table the queries' keys have: TABLES * 2^MASK_BITS bits, whatever the number of queries."""
+    """Which mask bits of each table some keys (tab, slot) have: TABLES * 2^MASK_BITS bits, whatever their number."""
     rows = keys.groupBy("tab", F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, slot & 63)")).alias("bits")).toArrow()
     mask = np.zeros((TABLES, 1 << (MASK_BITS - 6)), np.uint64)
     mask[np.asarray(rows["tab"]), np.asarray(rows["word"])] = np.asarray(rows["bits"]).view(np.uint64)
@@ -331,12 +331,16 @@ def met_in_blocks(asked: DataFrame, held: DataFrame, counts: DataFrame, block: i
 
 
 def matches(asking: DataFrame, held: DataFrame) -> DataFrame:
-    """n, other, h, g, m: pairs of images of two classes with LEAST_INLIERS near corners or more, and those (corner, corner)."""
+    """n, other, h, g, m: pairs of images of two classes with LEAST_INLIERS near corners or more, and those (corner, corner).
+
+    Descriptors move only with keys that two corners or more have, one of them asked.
+    """
     asked_keys = spread(asking, keys_only=True)
-    mask = asked_mask(asked_keys)
-    number = lambda keys, name: keys.groupBy("key").agg(F.count("*").alias(name))
-    counts = number(asked_keys, "n_asked").join(number(spread(held, mask, keys_only=True), "n_held"), "key")
-    q, r = met_in_blocks(spread(asking), spread(held, mask), counts)
+    number = lambda keys, name: keys.groupBy("key", "tab", "slot").agg(F.count("*").alias(name))
+    mine, all_ = number(asked_keys, "n_asked"), number(spread(held, asked_mask(asked_keys), keys_only=True), "n_held")
+    shared = store(mine.join(all_, ["key", "tab", "slot"]).where("n_held > 1"), "shared-keys").df
+    mask = asked_mask(shared)
+    q, r = met_in_blocks(spread(asking, mask), spread(held, mask), shared)
     on = (F.col("q.key") == F.col("r.key")) & (F.col("q.blk") == F.col("r.blk")) & (F.col("q.h") != F.col("r.h")) & (distance("q", "r") <= NEAR) & first_table("q", "r")
     named = {"n": "q.n", "other": "r.n", "h": "q.h", "g": "r.h", "c": "q.c", "k": "r.c"}
     met = q.alias("q").join(r.alias("r"), on).select(*[F.col(c).alias(n) for n, c in named.items()])
