@@ -25,37 +25,52 @@ def clause_rows(blocks: DataFrame, limited: bool = False) -> DataFrame:
     return rows.where(T.usable_clause(F.col("clause")))
 
 
+#: What every linking clause holds; the whole pattern tries all its beginnings.
+HAS_LINK = rf"(?i)\s(?:{W.phrases(W.LINKING_PHRASES)})\s"
+
+
 def linking(clause: Column) -> Column:
     """struct<subject, relation, predicate> of 'S is P', empty strings where it does not match."""
-    part = lambda k: F.regexp_extract(clause, T.LINKING, k)
-    return F.struct(part(1).alias("subject"), F.lower(part(2)).alias("relation"), part(3).alias("predicate"))
+    marked = F.when(clause.rlike(HAS_LINK), F.regexp_replace(clause, T.LINKING, "$1\u0001$2\u0001$3")).otherwise("")
+    part = lambda p, k: F.when(F.size(p) == 3, F.get(p, F.lit(k))).otherwise("")
+    return T.let(F.split(marked, "\u0001"), lambda p: F.struct(part(p, 0).alias("subject"), F.lower(part(p, 1)).alias("relation"), part(p, 2).alias("predicate")))
 
 
+#: How every action word ends; the whole test is dearer.
+ENDS = rf"(?i)(?:{'|'.join([*W.STRONG_SUFFIXES, *W.DERIVED_SUFFIXES, 's'])})$"
+
 
 def action(clause: Column) -> Column:
     """array of struct<subject, relation, predicate>, one per action word, those after the last break first."""
-    found = F.regexp_extract_all(clause, F.lit(W.TOKEN), F.lit(0))
-    marked = F.split(F.regexp_replace(clause, W.TOKEN, "\u0001$0\u0002"), "\u0001")  # [0] is what precedes the first token
-    place = F.aggregate(
-        marked,
-        F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("at")),
-        lambda acc, p: F.struct((acc["n"] + F.length(F.replace(p, F.lit("\u0002"), F.lit("")))).alias("n"), F.concat(acc["at"], F.array(acc["n"])).alias("at")),
-    )["at"]
+    none = F.array().cast("array<struct<subject:string,relation:string,predicate:string>>")
     last = lambda c: F.when(F.locate(c, clause) > 0, F.length(clause) - F.locate(c, F.reverse(clause))).otherwise(-1)
-    cut = F.greatest(last(","), last(";"))
-    n = F.size(found)
-    every = F.transform(found, lambda t, i: F.struct((F.element_at(place, i + 2) <= cut).alias("late"), F.element_at(place, i + 2).alias("start"), t.alias("token"), i.alias("i")))
-    acts = F.array_sort(F.filter(every, lambda x: (x["i"] >= 1) & (x["i"] < n - 1) & T.action_word(x["token"])))
-    return F.when(n < 3, F.array().cast("array<struct<subject:string,relation:string,predicate:string>>")).otherwise(
-        F.transform(
-            acts,
+
+    def acts_of(found: Column) -> Column:
+        inner = lambda x: (x["i"] >= 1) & (x["i"] < F.size(found) - 1)
+        every = F.transform(found, lambda t, i: F.struct(t.alias("token"), i.alias("i")))
+        return F.filter(every, lambda x: inner(x) & x["token"].rlike(ENDS) & T.action_word(x["token"]))
+
+    def placed(acts: Column) -> Column:
+        """Where they start: what precedes the first token, then each token with what follows it."""
+        pieces = F.split(F.regexp_replace(clause, W.TOKEN, "\u0001$0\u0002"), "\u0001")
+        cut = F.greatest(last(","), last(";"))
+
+        def started(m: Column) -> Column:
+            start = lambda x: F.aggregate(F.slice(m, 1, x["i"] + 1), F.lit(0), lambda n, p: n + F.length(p)) - x["i"]
+            made = F.transform(acts, lambda x: F.struct(start(x).alias("start"), x["token"].alias("token"), x["i"].alias("i")))
+            return F.array_sort(F.transform(made, lambda x: F.struct((x["start"] <= cut).alias("late"), x["start"].alias("start"), x["token"].alias("token"), x["i"].alias("i"))))
+
+        return F.transform(
+            T.let(pieces, started),
             lambda x: F.struct(
                 F.substr(clause, F.lit(1), x["start"]).alias("subject"),
                 F.lower(x["token"]).alias("relation"),
                 F.substr(clause, x["start"] + F.length(x["token"]) + 1).alias("predicate"),
             ),
         )
-    )
+
+    acts = T.let(F.regexp_extract_all(clause, F.lit(W.TOKEN), F.lit(0)), acts_of)
+    return T.let(acts, lambda a: F.when(F.size(a) == 0, none).otherwise(placed(a)))
 
 
 def candidate(raw: Column) -> Column:
