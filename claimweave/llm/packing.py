@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import unicodedata
 import os
+import string
 import zlib
 from array import array
 
@@ -28,8 +29,10 @@ from claimweave.llm.common import map_rows
 from claimweave.session import prepare, store, without
 
 CAPACITY, END_ID, OPEN_BINS, RUN, GROUP_PIECES = 4096, 1, 64, 500, 20_000
-#: Words whose ids a worker remembers, and the longest that is.
-CACHED, CACHED_LENGTH = 500_000, 64
+#: Words whose ids a worker remembers in each of two generations, and the longest that is.
+CACHED, CACHED_LENGTH = 250_000, 64
+#: Marks that the pattern splits off the end of a word of letters.
+MARKS = frozenset(string.punctuation) - {"'"}
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = "sequence_id long, offset long, closed_early boolean"
 
@@ -41,8 +44,27 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class Parts(dict):
-    """Ids of what the tokenizer's pattern finds in lower-case text; each is worked out once."""
+class Remembered(dict):
+    """What was worked out for words of late: when the dict is full it becomes the older generation, which words in use leave."""
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict = {}
+
+    def __missing__(self, word: str) -> bytes:
+        code = self.older.get(word)
+        if code is None:
+            code = self.worked_out(word)
+        if len(word) <= CACHED_LENGTH:
+            if len(self) >= CACHED:
+                self.older = dict(self)
+                self.clear()
+            self[word] = code
+        return code
+
+
+class Parts(Remembered):
+    """Ids of what the tokenizer's pattern finds in lower-case text."""
 
     def __init__(self, tokenizer):
         super().__init__()
@@ -50,18 +72,16 @@ class Parts(dict):
         self.shown = {b: chr(b) for b in [*range(33, 127), *range(161, 173), *range(174, 256)]}
         self.shown |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in self.shown)}
 
-    def __missing__(self, part: str) -> bytes:
+    def worked_out(self, part: str) -> bytes:
         shown = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.shown)
-        code = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-        remember(self, part, code)
-        return code
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
 
-class WordEncoder(dict):
+class WordEncoder(Remembered):
     """Little-endian unsigned 32-bit ids of white-space-delimited words.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its
-    words in turn, and a worker encodes each word it meets once. Words of plain Latin text go
+    words in turn, and a worker encodes each word once in a while. Words of plain Latin text go
     straight from the tokenizer's pattern to its BPE model; all others through the tokenizer.
     """
 
@@ -76,26 +96,23 @@ class WordEncoder(dict):
         self.pattern, self.parts = None, Parts(self.tokenizer)
         if [n["type"] for n in (form["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and [p.get("type") for p in steps] == ["Split", "ByteLevel"]:
             self.pattern = regex.compile(steps[0]["pattern"]["Regex"])
+        #: Whether a run of letters is one part, and a mark after it another.
+        self.by_letters = bool(self.pattern) and r"|[\p{L}]+|" in self.pattern.pattern and self.pattern.findall("it's,") == ["it", "'s", ","]
 
-    def __missing__(self, word: str) -> bytes:
+    def worked_out(self, word: str) -> bytes:
         if self.pattern and (word.isascii() or (max(word) < "\u0250" and unicodedata.is_normalized("NFC", word))) and "<|" not in word:
-            code = b"".join(map(self.parts.__getitem__, self.pattern.findall(word.lower())))
-        else:
-            code = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        remember(self, word, code)
-        return code
+            low = word.lower()
+            if self.by_letters and low.isalpha():
+                return self.parts.worked_out(low)
+            if self.by_letters and low[-1:] in MARKS and low[:-1].isalpha():
+                return self[word[:-1]] + self.parts[low[-1]]
+            return b"".join(map(self.parts.__getitem__, self.pattern.findall(low)))
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, words(text)))
 
 
-def remember(known: dict, word: str, code: bytes) -> None:
-    if len(word) <= CACHED_LENGTH:
-        if len(known) >= CACHED:
-            known.clear()
-        known[word] = code
-
-
 def words(text: str) -> list[str]:
     """Split at ASCII white space, which the tokenizer drops; empty strings may occur."""
     for c in "\n\t\r\v\f":
