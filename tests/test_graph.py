@@ -1,5 +1,7 @@
 """Golden graphs, walks, layout, merges."""
 
+import uuid
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -150,7 +152,8 @@ def test_sources(spark):
     hits = spark.createDataFrame([("q", 0, "T", "http://a.b/x", "short", "y" * 100), ("q", 1, "U", "http://a.b/z", "s" * 90, "")], "query string, ord int, title string, url string, snippet string, page_text string")
     b = blocks.hit_blocks(hits).orderBy("ord").collect()
     assert [(r["source"], len(r["content"])) for r in b] == [("T|http://a.b/x", 100), ("U|http://a.b/z", 90)]
-    assert search.parse_hits("q", '["q", ["t"], ["s"], ["u"]]') == [("q", 0, "t", "u", "s")] and search.parse_hits("q", "nonsense") == []
+    assert search.parse_hits("q", '["q", ["t"], ["s"], ["u"]]') == [("q", 0, "t", "u", "s", None)]
+    assert [r[:5] for r in search.parse_hits("q", "nonsense")] == [("q", None, None, None, None)] and search.parse_hits("q", "nonsense")[0][5]
     c = spark.createDataFrame([('{"id": "1", "target_a": "x", "target_b": "y"}',), ("x | y",)], "d string").select(blocks.command(F.col("d")).alias("c")).select("c.*").collect()
     assert [(r["target_a"], r["target_b"]) for r in c] == [("x", "y"), ("x", "y")]
     with pytest.raises(ValueError):
@@ -166,7 +169,7 @@ def test_cache_and_results(spark, tmp_path):
         made.append(missing.count())
         return missing.withColumn("v", F.upper("k"))
 
-    name = f"t{tmp_path.name}"
+    name = uuid.uuid4().hex  # the shared folder may outlive a run
     assert blocks.cached(spark, rows, F.col("k"), make, name).count() == 2
     more = rows.unionByName(spark.createDataFrame([("c",)], "k string"))
     assert {r["v"] for r in blocks.cached(spark, more, F.col("k"), make, name).collect()} == {"A", "B", "C"} and made == [2, 1]
