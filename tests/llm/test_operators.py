@@ -599,14 +599,19 @@ def test_mixing_comes_near_targets(spark, sf, most):
 
 
 def test_mixing_keeps_each_probability(spark):
-    """Over many seeds every document, the longest too, is taken at its source's rate."""
-    docs = spark.createDataFrame([(i, "w " * n, "s") for i, n in enumerate([900, 300, 300, 120, 60, 60, 30, 30, 20, 10, 10, 8, 5, 4, 3, 2, 1, 1])], "doc_id long, text string, source string")
-    taken, seeds = Counter(), 120
-    for seed in range(seeds):
-        for r in mixing.mix_sources(docs, share=0.4, seed=seed).select("doc_id", "copies").collect():
-            taken[r["doc_id"]] += r["copies"]
-    # the longest outweighs all others together at times, so theirs may be off by what it leaves them
-    assert abs(taken[0] / seeds - 0.4) < 0.15 and all(abs(n / seeds - 0.4) < 0.2 for n in taken.values())
+    """Over many sources of the same lengths every document, the longest too, is taken at the rate."""
+    lengths = [900, 300, 300, 120, 60, 60, 30, 30, 20, 10, 10, 8, 5, 4, 3, 2, 1, 1]
+    docs = spark.createDataFrame([(100 * s + i, "w " * n, f"s{s:03}") for s in range(400) for i, n in enumerate(lengths)], "doc_id long, text string, source string")
+    rows = mixing.mix_sources(docs, weights=(1.0,), share=0.4).select("doc_id", "copies", "size", "source", "target").collect()
+    taken = Counter()
+    for r in rows:
+        taken[r["doc_id"] % 100] += r["copies"]
+    assert all(abs(taken[i] / 400 - 0.4) < 0.1 for i in range(len(lengths)))
+    words_of = Counter()
+    for r in rows:
+        words_of[r["source"]] += r["size"] * r["copies"]
+    # the longest document is nearly half of its source; the others make up for it where they can
+    assert sum(abs(words_of[s] - 0.4 * sum(lengths)) < 0.1 * sum(lengths) for s in words_of) > 200
 
 
 def test_mixing_takes_other_bounds(spark, some_docs):
