@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
+
+from claimweave.session import STORED, shared_dir
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -35,11 +39,26 @@ def once_each(events: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Run a stream over what is there and return its result table; the end of the query is the quiet test."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Run a stream over what is there and return its result table; the end of the query is the quiet test.
+
+    Each micro-batch is a part of a table in the shared folder, so no result goes to the driver; mode
+    complete keeps the last one, and a batch that is tried again replaces its own part.
+    """
+    spark = stream.sparkSession
+    path = f"{shared_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
+    last: list[int] = []
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        last[:] = [number]
+
+    writer = stream.writeStream.foreachBatch(add).outputMode(mode).trigger(availableNow=True)
+    (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start().awaitTermination()
+    if not last:
+        return spark.createDataFrame([], stream.schema)
+    STORED.append(path)
+    made = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(path)
+    return (made.where(F.col("batch") == last[0]) if mode == "complete" else made).drop("batch")
 
 
 class EdgeState(StatefulProcessor):
