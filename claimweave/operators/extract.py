@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from claimweave.functions import text as T
 from claimweave.functions import words as W
-from claimweave.session import spread
 from claimweave.sources.blocks import distinct_blocks, ordered_distinct
 
 
@@ -17,7 +16,7 @@ def clause_rows(blocks: DataFrame, limited: bool = False) -> DataFrame:
     limited (W5): of the first 96 sentences and 180 clauses, which suits blocks of a page. The cut is
     a slice of the block's own array, without a window.
     """
-    dealt = spread(blocks.select("block_id", "ord", "source", "content"))
+    dealt = blocks.select("block_id", "ord", "source", "content")
     sentence_limit, clause_limit = ("sentences", "clauses") if limited else (None, None)
     of_sentence = lambda s, i: F.transform(T.clauses(s, clause_limit), lambda c, j: F.struct(i.alias("sent_pos"), j.alias("clause_pos"), c.alias("clause")))
     every = F.flatten(F.transform(T.sentences(F.col("content"), sentence_limit), of_sentence))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from claimweave.functions import text as T
 from claimweave.functions import words as W
 from claimweave.operators.concepts import met_on_terms
-from claimweave.session import spread, store
+from claimweave.session import store
 
 
 def name_quality(name: Column) -> Column:
@@ -225,7 +225,7 @@ def citations(sentences: DataFrame, records: DataFrame, limit: int = 2) -> DataF
     one equi-join on the token finds the candidates, over the tokens that occur among the sentences.
     """
     t = lambda df, i, n: df.select(F.col("id").alias(i), T.target_tokens(F.col("text")).alias("t")).select(i, F.size("t").alias(n), F.explode("t").alias("term"))
-    met = met_on_terms(t(sentences, "sent_id", "n_s"), t(spread(records), "rec_id", "n_r")).groupBy("sent_id", "rec_id", "n_s", "n_r").agg(F.count("*").alias("shared")).where("shared >= 2")
+    met = met_on_terms(t(sentences, "sent_id", "n_s"), t(records, "rec_id", "n_r")).groupBy("sent_id", "rec_id", "n_s", "n_r").agg(F.count("*").alias("shared")).where("shared >= 2")
     scored = met.withColumn("score", F.greatest(F.col("shared") / F.col("n_s"), 0.85 * F.col("shared") / F.col("n_r"))).where("score >= 0.22")
     rank = F.row_number().over(Window.partitionBy("sent_id").orderBy(F.desc("score"), F.desc("shared"), "rec_id"))
     return scored.withColumn("place", rank).where(F.col("place") <= limit).select("sent_id", "rec_id", "shared", "score", "place")

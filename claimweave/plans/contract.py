@@ -270,7 +270,7 @@ def coordinated_parts(spark, d):
 @query()
 def extracted_claims(spark, d):
     """Claims of all documents."""
-    c = extract.claims(blocks.document_blocks(table(spark, d, "documents")))
+    c = extract.claims(blocks.document_blocks(documents(spark, d)))
     return c.select("block_id", "sent_pos", "clause_pos", "subject", "relation", "predicate", "s_quant", "p_quant", "tense", "truth", "source", F.size("c_specifics").alias("n_specifics"))
 
 
@@ -592,7 +592,7 @@ def provenance_asof(spark, d):
 def benchmark_overlap(spark, d):
     """Each benchmark item's 96 documents with the most shared terms."""
     terms = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)).alias("terms")
-    return concepts.candidates(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), terms), table(spark, d, "documents").select(F.col("doc_id").alias("id"), terms))
+    return concepts.candidates(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), terms), documents(spark, d).select(F.col("doc_id").alias("id"), terms))
 
 
 @query("with n as (select lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'), ' ')) as norm, p_partkey, p_name from part), i as (select norm, min(p_partkey) as id, arg_min(p_name, p_partkey) as text from n group by norm) select p_partkey, i.id as literal_id, i.text as literal from n join i using (norm)")
@@ -817,7 +817,7 @@ def source_numbers(spark, d):
 )
 def citation_align(spark, d):
     """The two documents that best support each benchmark text."""
-    s, r = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"), table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    s, r = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"), documents(spark, d).select(F.col("doc_id").alias("id"), "text")
     return synth.citations(s, r).withColumn("score", r6("score"))
 
 

@@ -42,7 +42,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df dealt out to all cores if its scan has fewer partitions than they are.
+    """df, a scan without a shuffle (whose partitions can be told without running it), dealt out to all cores if it has fewer partitions.
 
     Text work costs far more than moving the text; a large table has partitions enough and stays.
     """
