@@ -32,6 +32,8 @@ MOST_BROADCAST = 200_000
 #: Ranges of the hash that a stratum's sizes are added up by: a source has at most 64 * CELLS sums.
 CELLS = 2048
 ADDED = ["size", "source_size", "target", "rate", "copies", "taken"]
+#: Columns that it works with.
+WORKED = ["_u", "_again", "stratum", "threshold", "_stratum", "_mix_source"]
 
 
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -126,13 +128,21 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     """Documents with size, source_size, target, rate, copies, taken: one row per document.
 
     Null text: size 0. Null source: a source of its own, last. Null doc_id: drawn by text alone.
-    Repeated rows: equal rows draw alike. Empty table: no rows. Input columns named like an added
+    Repeated rows: each draws for itself, by its place in the table. Empty table: no rows. Input columns named like an added
     one give way to it. Size is the number of words; a target is at most most times its source's
     size, so copies <= ceil(most), and no document exceeds most times its size where most is whole.
     """
     prepare(docs.sparkSession)
-    sized = without(docs, [*ADDED, "_u", "stratum", "threshold"]).withColumns({"size": n_words(F.col("text")), "_u": uniform(seed, F.col("doc_id"), F.col("text"))})
-    narrow = store(sized.select(F.col("source").cast("string").alias("source"), "size", "_u"), "sizes").df
+    sized = without(docs, [*ADDED, *WORKED]).withColumns({"size": n_words(F.col("text")), "_u": uniform(seed, F.col("doc_id"), F.col("text"))})
+    columns = [F.col("source").cast("string").alias("source"), "size", "_u"]
+    narrow = store(sized.select(*columns), "sizes").df
+    again = store(narrow.groupBy("_u").agg(F.count("*").alias("n")).where("n > 1").select(F.col("_u").alias("_again")), "repeated").df
+    if not again.isEmpty():
+        few = F.broadcast(again) if again.count() <= MOST_BROADCAST else again
+        place = uniform(seed + 1, F.col("_u"), F.monotonically_increasing_id())
+        marked = sized.join(few, sized["_u"] == F.col("_again"), "left")
+        sized = marked.withColumn("_u", F.when(F.col("_again").isNull(), F.col("_u")).otherwise(place)).drop("_again")
+        narrow = store(sized.select(*columns), "sizes").df
     targets = store(source_targets(narrow, weights, share, most), "targets").df
     cuts = store(thresholds(narrow, targets, seed).join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), "thresholds").df
     named = cuts.withColumnsRenamed({"source": "_mix_source", "stratum": "_stratum"})
@@ -149,6 +159,6 @@ def emit_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     Documents without words are taken by their coin alone. Nulls, repeated rows, empty tables and
     clashing columns: see mix_sources.
     """
-    aside, back = set_aside(docs, [*ADDED, "_copy"])
+    aside, back = set_aside(docs, [*ADDED, *WORKED, "_copy"])
     taken = mix_sources(aside, weights, share, most, seed).where("copies > 0")
     return back(taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))))
