@@ -614,6 +614,12 @@ def test_mixing_keeps_each_probability(spark):
     assert sum(abs(words_of[s] - 0.4 * sum(lengths)) < 0.1 * sum(lengths) for s in words_of) > 200
 
 
+def test_mixing_splits_one_row_repeated(spark):
+    docs = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one two three four").alias("text"), F.lit("s").alias("source"))
+    taken = [mixing.mix_sources(docs, share=share).agg(F.sum("taken")).first()[0] for share in (1.3, 1.3, 0.25)]
+    assert taken[0] == taken[1] and abs(taken[0] - 1.3 * 12_000) < 0.02 * 12_000 and abs(taken[2] - 3_000) < 0.02 * 12_000
+
+
 def test_mixing_takes_other_bounds(spark, some_docs):
     rows = mixing.mix_sources(some_docs, share=2.5, most=2.5).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("w"), F.max("copies").alias("c")).collect()
     assert all(abs(r["t"] - r["w"]) <= 0.03 * r["w"] + 2 and r["c"] <= 3 for r in rows)
