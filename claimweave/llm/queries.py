@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm import chat, license, media, mixing, packing, quality, sharding, simhash, tokencount, toxicity
+from claimweave.llm import chat, html_text, license, media, merkle, mixing, oracles, packing, quality, repair, sharding, simhash, tokencount, toxicity
 from claimweave.session import table
 
 #: A conversation that tries to forge control strings; -1 is no conversation's number.
@@ -88,8 +88,24 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, verified after tampering. Nulls are hashed as '-'; equal rows are leaves of their own."""
+    rows = merkle.proofs(table(spark, sf_dir, "documents").select(*merkle.FIELDS))
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation after damage: its faults and the cheapest edits. Nulls: one space; rows by turn, nulls first."""
+    return repair.repair(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page. Null html: empty; repeated rows stay."""
+    return html_text.extract_pages(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_token_counts, op4_media_copies, op5_quality_rules, op6_packing, op7_chat_format, op8_mixing, op9_simhash, op10_sharding)}
+    return {f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_token_counts, op4_media_copies, op5_quality_rules, op6_packing, op7_chat_format, op8_mixing, op9_simhash, op10_sharding, op11_merkle_manifest, op12_conversation_repair, op13_html_extraction)}
 
 
 #: op7 once more: escapes double each backslash and put one into each "<|"; marks are those of the default template.
@@ -108,4 +124,4 @@ select conv_id, n_turns, sha256(said) as turns_sha256, length(learnt) as loss_ch
 
 def oracle_sql() -> dict[str, str]:
     """SQL where there is any: the others hash, tokenize or learn, and are tested against brute force."""
-    return {"op7_chat_format": OP7_SQL}
+    return {"op7_chat_format": OP7_SQL, "op11_merkle_manifest": oracles.OP11_SQL, "op12_conversation_repair": oracles.OP12_SQL, "op13_html_extraction": oracles.OP13_SQL}
