@@ -1,9 +1,12 @@
 """Chat formatting: a declarative template, a finite-state machine over roles, segments with loss flags.
 
-DataFrame functions only. Texts are escaped so that no control string can be forged:
-first each backslash is doubled, then the backslash is put into each "<|". After that a
-"<" is followed by an odd run of backslashes and "|" only where "<|" stood, so the way back
-is exact. Role names take the same escapes, and line feeds in them become "<\\+".
+DataFrame functions only. Texts are escaped so that no control string can be forged, whatever the
+template's marks are: first each backslash is doubled, then a backslash is put after the first
+character of each pair that a mark begins with ("<|" in the default template). After that a single
+backslash stands between two such characters only where the pair stood, so the way back is exact.
+A mark of one character, or of two equal ones, is told by that character, which becomes three
+others around a single backslash. Role names take the same escapes, and those of the mark that
+ends a role ("\\n", which becomes "<\\+").
 """
 
 from __future__ import annotations
@@ -34,24 +37,49 @@ class Template:
     )
     final: tuple[str, ...] = field(default=("answered",))
 
+    def __post_init__(self):
+        """Marks must be there, hold no backslash, and what stands before a text mustn't run into the end mark."""
+        for mark in (self.start, self.after_role, self.end):
+            if not mark or "\\" in mark:
+                raise ValueError(f"a template's marks can't be empty or hold a backslash: {mark!r}")
+        for before in (self.start, self.after_role):
+            if self.end in before or any(self.end.startswith(before[k:]) for k in range(len(before))):
+                raise ValueError(f"the end mark {self.end!r} would begin in {before!r}")
+
 
 CHATML = Template()
 
 
-def escape(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))
+def escapes(*marks: str) -> list[tuple[str, str]]:
+    """What to replace, and by what, in order, so that none of the marks can occur in a text."""
+    pairs = list(dict.fromkeys(m[:2] for m in marks if len(m) > 1 and m[0] != m[1]))
+    singles = list(dict.fromkeys(m[0] for m in marks if len(m) == 1 or m[0] == m[1]))
+    # what is put in must not make up a pair with what stands beside it
+    around = next(c for c in "<=~^_" if c not in singles and c not in {p[1] for p in pairs})
+    codes = [c for c in "+-*/.,;:ABCDEFGH" if c not in singles and c not in {p[0] for p in pairs}]
+    return [("\\", "\\\\")] + [(p, f"{p[0]}\\{p[1]}") for p in pairs if p[0] not in singles and p[1] not in singles] + [(c, f"{around}\\{code}") for c, code in zip(singles, codes, strict=False)]
+
+
+def escape(text: Column, template: Template = CHATML) -> Column:
+    return replaced(text, escapes(template.start, template.end))
+
+
+def unescape(text: Column, template: Template = CHATML) -> Column:
+    return replaced(text, [(b, a) for a, b in reversed(escapes(template.start, template.end))])
 
 
-def unescape(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("<\\|"), F.lit("<|")), F.lit("\\\\"), F.lit("\\"))
+def escape_role(role: Column, template: Template = CHATML) -> Column:
+    return replaced(role, escapes(template.start, template.end, template.after_role))
 
 
-def escape_role(role: Column) -> Column:
-    return F.replace(escape(role), F.lit("\n"), F.lit("<\\+"))
+def unescape_role(role: Column, template: Template = CHATML) -> Column:
+    return replaced(role, [(b, a) for a, b in reversed(escapes(template.start, template.end, template.after_role))])
 
 
-def unescape_role(role: Column) -> Column:
-    return unescape(F.replace(role, F.lit("<\\+"), F.lit("\n")))
+def replaced(text: Column, pairs: list[tuple[str, str]]) -> Column:
+    for a, b in pairs:
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
 
 
 def next_state(template: Template, state: Column, role: Column) -> Column:
@@ -79,7 +107,7 @@ def format_chats(turns: DataFrame, template: Template = CHATML) -> DataFrame:
         ).alias("t"),
     )
     chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    head = lambda t: F.concat(F.lit(template.start), escape_role(t["role"]), F.lit(template.after_role))
+    head = lambda t: F.concat(F.lit(template.start), escape_role(t["role"], template), F.lit(template.after_role))
     segment = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
     no = F.lit(False)
     segments = F.flatten(
@@ -87,7 +115,7 @@ def format_chats(turns: DataFrame, template: Template = CHATML) -> DataFrame:
             "turns",
             lambda t: F.array(
                 segment(head(t), no),
-                segment(escape(t["text"]), t["role"].isin(*template.loss_roles)),
+                segment(escape(t["text"], template), t["role"].isin(*template.loss_roles)),
                 segment(F.lit(template.end), no),
             ),
         )
@@ -110,8 +138,8 @@ def read_back(formatted: Column, template: Template = CHATML) -> Column:
     return F.transform(
         parts,
         lambda p: F.struct(
-            unescape_role(F.substr(body(p), F.lit(1), cut(p) - 1)).alias("role"),
-            unescape(F.substr(body(p), cut(p) + len(template.after_role))).alias("text"),
+            unescape_role(F.substr(body(p), F.lit(1), cut(p) - 1), template).alias("role"),
+            unescape(F.substr(body(p), cut(p) + len(template.after_role)), template).alias("text"),
         ),
     )
 

@@ -84,3 +84,24 @@ def set_aside(df: DataFrame, names: list[str]) -> tuple[DataFrame, Callable[[Dat
     moved = {c: f"_own_{i}" for i, c in enumerate(df.columns) if c.lower() in taken}
     aside = df.withColumnsRenamed(moved) if moved else df
     return aside, lambda out: out.select(*[F.col(f"`{moved.get(c, c)}`").alias(c) for c in df.columns])
+
+
+def holds_map(kind: T.DataType) -> bool:
+    """Whether values of a type hold a map (or a variant), which can't be hashed or compared."""
+    if isinstance(kind, T.ArrayType):
+        return holds_map(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(holds_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, (T.MapType, T.VariantType))
+
+
+def hashable(df: DataFrame, but: tuple[str, ...] = ()) -> list[Column]:
+    """The columns of df (but some), those that can't be hashed as JSON."""
+    kept = [f for f in df.schema.fields if f.name not in but]
+    return [F.to_json(F.struct(F.col(f"`{f.name}`"))) if holds_map(f.dataType) else F.col(f"`{f.name}`") for f in kept]
+
+
+def row_key(columns: list[Column], seed: int = 1) -> Column:
+    """128 bits of hash that stand for a row of these values: 32 hex digits."""
+    digits = [F.lpad(F.hex(F.xxhash64(F.lit(k), *columns)), 16, "0") for k in (seed, seed + 1000)]
+    return F.concat(*digits)

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,14 +29,16 @@ from claimweave.llm.components import components
 from claimweave.llm.simhash import linked
 from claimweave.session import discard, prepare, store
 
-#: Side of a rendered texture, scales, most corners of a scale (all of a picture of SIDE pixels), patch radius, border.
-SIDE, SCALES, CORNERS, RADIUS, EDGE = 64, (1.0, 0.8, 0.64), 40, 8, 10
+#: Side of a rendered texture, scales, patch radius, border.
+SIDE, SCALES, RADIUS, EDGE = 64, (1.0, 0.8, 0.64), 8, 10
 DESCRIPTOR_BITS, TABLES, KEY_BITS, NEAR = 256, 24, 44, 48
 LEAST_INLIERS, SLACK = 5, 3.0
 #: Signature bits that may differ within a group of near-equal images.
 SIGN_RADIUS = 6
-#: Bits of the mask of asked keys per table; rows of one key that a block holds; images worked on at a time.
-MASK_BITS, BLOCK, SLICE = 23, 2048, 256
+#: Bits of the mask of asked keys per table; rows of one key that a block holds; images, and their bytes, worked on at a time.
+MASK_BITS, BLOCK, SLICE, SLICE_BYTES = 23, 2048, 256, 1 << 20
+#: Pixels and corners described at a time; pairs of descriptors compared at a time; transforms tried first.
+PIXELS, AT_ONCE, PAIRS_AT_ONCE, FIRST_TRIES = 64 * SIDE * SIDE, 4096, 1 << 20, 256
 #: Rows of (image, class) that differ which are still broadcast to the images.
 MOST_BROADCAST = 200_000
 _rng = np.random.default_rng(4)
@@ -97,6 +100,16 @@ def largest_near(values: np.ndarray) -> np.ndarray:
     return np.max([p[:, :, k : k + w] for k in range(5)], axis=0)
 
 
+def turned_tests(small: np.ndarray, n: np.ndarray, y: np.ndarray, x: np.ndarray, dy: np.ndarray, dx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The direction of each corner's intensity centroid, and its binary tests turned by it."""
+    h, w = small.shape[1:]
+    patch = small[n[:, None], y[:, None] + dy, x[:, None] + dx]
+    turn = np.arctan2(patch @ dy, patch @ dx)
+    c, s = np.cos(turn)[:, None], np.sin(turn)[:, None]
+    spot = lambda u, v: small[n[:, None], np.rint(y[:, None] + s * u + c * v).astype(int).clip(0, h - 1), np.rint(x[:, None] + c * u - s * v).astype(int).clip(0, w - 1)]
+    return turn, spot(TESTS[:, 0], TESTS[:, 1]) < spot(TESTS[:, 2], TESTS[:, 3])
+
+
 def describe(images: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each image of one shape: corners (x, y, scale, turn) in its own coordinates, and their bits."""
     points, bits, owner = [], [], []
@@ -111,20 +124,14 @@ def describe(images: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         inner = np.zeros((h, w), bool)
         inner[EDGE:-EDGE, EDGE:-EDGE] = True
         n, y, x = np.nonzero((strength >= largest_near(strength)) & (strength > 1.0) & inner)
-        order = np.lexsort((x, y, -strength[n, y, x], n))
-        n, y, x = n[order], y[order], x[order]
-        rank = np.arange(len(n)) - np.searchsorted(n, n)
-        n, y, x = n[rank < CORNERS], y[rank < CORNERS], x[rank < CORNERS]
         dy, dx = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
         disc = dy**2 + dx**2 <= RADIUS**2
         dy, dx = dy[disc], dx[disc]
-        patch = small[n[:, None], y[:, None] + dy, x[:, None] + dx]
-        turn = np.arctan2(patch @ dy, patch @ dx)
-        c, s = np.cos(turn)[:, None], np.sin(turn)[:, None]
-        spot = lambda u, v: small[n[:, None], np.rint(y[:, None] + s * u + c * v).astype(int).clip(0, h - 1), np.rint(x[:, None] + c * u - s * v).astype(int).clip(0, w - 1)]  # noqa: E731, B023
-        bits.append(spot(TESTS[:, 0], TESTS[:, 1]) < spot(TESTS[:, 2], TESTS[:, 3]))
-        points.append(np.stack([x / scale, y / scale, np.full(len(x), 1 / scale), turn], axis=1).astype(np.float32))
-        owner.append(n)
+        for at in range(0, len(n), AT_ONCE):
+            turn, found = turned_tests(small, n[at : at + AT_ONCE], y[at : at + AT_ONCE], x[at : at + AT_ONCE], dy, dx)
+            bits.append(found)
+            points.append(np.stack([x[at : at + AT_ONCE] / scale, y[at : at + AT_ONCE] / scale, np.full(len(turn), 1 / scale), turn], axis=1).astype(np.float32))
+            owner.append(n[at : at + AT_ONCE])
     if not owner:
         return [(np.zeros((0, 4), np.float32), np.zeros((0, DESCRIPTOR_BITS), bool))] * len(images)
     owner, points, bits = np.concatenate(owner), np.concatenate(points), np.concatenate(bits)
@@ -140,10 +147,11 @@ def described(media: list[bytes | None]) -> list[tuple[np.ndarray, np.ndarray, i
     shapes: dict[tuple, list[int]] = {}
     for i, image in enumerate(images):
         shapes.setdefault(image.shape, []).append(i)
-    for rows in shapes.values():
-        for k in range(0, len(rows), 64):
-            stack = np.stack([images[i] for i in rows[k : k + 64]])
-            for i, found, sign in zip(rows[k : k + 64], describe(stack), signatures(stack), strict=True):
+    for (h, w), rows in shapes.items():
+        many = max(1, min(64, PIXELS // max(1, h * w)))
+        for k in range(0, len(rows), many):
+            stack = np.stack([images[i] for i in rows[k : k + many]])
+            for i, found, sign in zip(rows[k : k + many], describe(stack), signatures(stack), strict=True):
                 out[i] = (*found, sign)
     return out
 
@@ -159,11 +167,15 @@ def signatures(images: np.ndarray) -> np.ndarray:
     return np.packbits((seen[:, :, 1:] > seen[:, :, :-1]).reshape(len(images), 64), axis=1, bitorder="little").view("<i8").reshape(-1)
 
 
-def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of SLICE rows, whatever the session's batch size."""
+def sliced(batches: Iterator[pa.RecordBatch], *heavy: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of SLICE rows, or fewer if their heavy columns hold over SLICE_BYTES, whatever the session's batch size."""
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
-            yield batch.slice(at, SLICE)
+        size = sum((pc.fill_null(pc.binary_length(batch.column(k)), 0).to_numpy(zero_copy_only=False) for k in heavy), np.zeros(batch.num_rows, np.int64))
+        at = 0
+        while at < batch.num_rows:
+            rows = max(1, int(np.searchsorted(np.cumsum(size[at : at + SLICE]), SLICE_BYTES, side="right")))
+            yield batch.slice(at, rows)
+            at += rows
 
 
 def descriptors(media: DataFrame) -> DataFrame:
@@ -174,7 +186,7 @@ def descriptors(media: DataFrame) -> DataFrame:
 
     def run(batches):
         known: dict[str, tuple] = {}
-        for batch in sliced(batches):
+        for batch in sliced(batches, 1):
             held = [m or b"" for m in batch.column(1).to_pylist()]
             digests = [hashlib.sha256(m).hexdigest()[:32] for m in held]
             if len(known) > 4 * SLICE:
@@ -211,7 +223,7 @@ def spread(images: DataFrame, asked: np.ndarray | None = None, keys_only: bool =
 
     def run(batches):
         mask = shared.value
-        for part in sliced(batches):
+        for part in sliced(batches, 2):
             held = part.column(2).to_pylist()
             longs = np.frombuffer(b"".join(held), "<i8").reshape(-1, 4)
             if not len(longs):
@@ -261,12 +273,17 @@ def first_table(a: str, b: str) -> Column:
 def consensus(one: np.ndarray, two: np.ndarray, slack: float = SLACK) -> int:
     """Most distinct corners that one similarity transform, taken from a match, carries onto their partners.
 
-    one, two: x, y, scale, turn of the two corners of each match.
+    one, two: x, y, scale, turn of the two corners of each match. Of more than FIRST_TRIES matches
+    evenly spaced ones are tried first, and the others only until LEAST_INLIERS agree: whether they
+    do is exact, how many then is the most among those tried.
     """
     q, r = one[:, :2].astype(float), two[:, :2].astype(float)
     grow, turn = two[:, 2].astype(float) / one[:, 2], two[:, 3].astype(float) - one[:, 3]
     best = 0
-    for k in range(len(q)):
+    first = np.unique(np.linspace(0, max(0, len(q) - 1), min(len(q), FIRST_TRIES)).astype(int))
+    for at, k in enumerate(np.concatenate([first, np.setdiff1d(np.arange(len(q)), first)])):
+        if at >= FIRST_TRIES and best >= LEAST_INLIERS:
+            break
         c, s = grow[k] * np.cos(turn[k]), grow[k] * np.sin(turn[k])
         d = q - q[k]
         moved = np.stack([c * d[:, 0] - s * d[:, 1], s * d[:, 0] + c * d[:, 1]], axis=1) + r[k]
@@ -296,7 +313,7 @@ def confirmed(images: DataFrame) -> DataFrame:
     pairs = own.join(theirs.select(F.col("n").alias("h"), F.col("points").alias("hp"), F.col("d").alias("hd")), "h").select("n", "h", "head", "points", "d", "hp", "hd")
 
     def run(batches):
-        for part in sliced(batches):
+        for part in sliced(batches, 3, 4, 5, 6):
             same = [alike(*row) for row in zip(*(part.column(k).to_pylist() for k in (3, 4, 5, 6)), strict=True)]
             yield part.select([0, 1, 2]).filter(pa.array(same, pa.bool_()))
 
@@ -307,7 +324,9 @@ def alike(points: bytes, d: bytes, other_points: bytes, other_d: bytes) -> bool:
     """Whether near descriptors of two images agree on one transform."""
     p, r = (np.frombuffer(x, "<f4").reshape(-1, 4) for x in (points, other_points))
     a, b = (np.frombuffer(x, "<u8").reshape(-1, 4) for x in (d, other_d))
-    i, j = np.nonzero(np.bitwise_count(a[:, None] ^ b[None]).sum(axis=2) <= NEAR)
+    step = max(1, PAIRS_AT_ONCE // max(1, len(b)))
+    near = [(i + at, j) for at in range(0, len(a), step) for i, j in [np.nonzero(np.bitwise_count(a[at : at + step, None] ^ b[None]).sum(axis=2) <= NEAR)]]
+    i, j = (np.concatenate([x[k] for x in near]) if near else np.zeros(0, int) for k in (0, 1))
     return len(i) >= LEAST_INLIERS and consensus(p[i], r[j]) >= LEAST_INLIERS
 
 
@@ -353,7 +372,7 @@ def agreeing(matched: DataFrame, asking: DataFrame, held: DataFrame) -> DataFram
     rows = corners(held, "other", "r").join(small(matched), "other").join(corners(asking, "n", "q"), "n").select("h", "g", "q", "r", "m")
 
     def run(batches):
-        for part in sliced(batches):
+        for part in sliced(batches, 2, 3):
             inliers = []
             for q, r, m in zip(*(part.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
                 i, j = np.array([(x["c"], x["k"]) for x in m]).T

@@ -3,7 +3,9 @@
 Sizes are added up per source (map-side first, so a source with a third of all rows costs
 one row a task), targets follow by water-filling over the per-source sums, and each document
 is taken floor(rate) times plus once more with probability rate - floor(rate): a coin from a hash
-of seed, doc_id and text, so reruns and retried tasks agree.
+of seed, doc_id and text, so reruns and retried tasks agree, however the table is cut into files
+and partitions. Rows that share both get coins from all their columns, and k equal rows k coins, from
+the numbers below k: which of them falls to which row makes no difference.
 
 The coins of a source are not independent, or one long document would decide over it. Documents
 are put into strata by size (powers of two), the long ones first. What the coins of longer strata
@@ -20,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import n_words, set_aside
+from claimweave.llm.common import hashable, n_words, row_key, set_aside
 from claimweave.session import prepare, store, without
 
 #: The weights that sources get in turn.
@@ -31,9 +33,11 @@ SHARE, MOST = 1.5, 2.0
 MOST_BROADCAST = 200_000
 #: Ranges of the hash that a stratum's sizes are added up by: a source has at most 64 * CELLS sums.
 CELLS = 2048
+#: Equal rows that one task writes.
+TWINS = 10_000
 ADDED = ["size", "source_size", "target", "rate", "copies", "taken"]
 #: Columns that it works with.
-WORKED = ["_u", "_again", "stratum", "threshold", "_stratum", "_mix_source"]
+WORKED = ["_u", "_key", "_n", "_at", "_block", "stratum", "threshold", "_stratum", "_mix_source"]
 
 
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -124,25 +128,36 @@ def cut_at(size: np.ndarray, least: np.ndarray, most: np.ndarray, wanted: float)
     return float(least[at] + part * (np.nextafter(most[at], 2) - least[at])), before[at] + part * size[at]
 
 
+def each_twin(rows: DataFrame, seed: int, block: int = TWINS) -> DataFrame:
+    """Each row _n times, with a _u for each; blocks of them are dealt out before they are written."""
+    blocks = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / block)))).repartition("_key", "_block")
+    first = F.col("_block") * block
+    every = blocks.withColumn("_at", F.explode(F.sequence(first, F.least(first + block, F.col("_n")) - 1)))
+    return every.withColumn("_u", uniform(seed + 1, F.col("_u"), F.col("_key"), F.col("_at"))).drop("_at", "_block", "_n")
+
+
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 8) -> DataFrame:
     """Documents with size, source_size, target, rate, copies, taken: one row per document.
 
     Null text: size 0. Null source: a source of its own, last. Null doc_id: drawn by text alone.
-    Repeated rows: each draws for itself, by its place in the table. Empty table: no rows. Input columns named like an added
-    one give way to it. Size is the number of words; a target is at most most times its source's
-    size, so copies <= ceil(most), and no document exceeds most times its size where most is whole.
+    Repeated rows: each draws for itself. Columns may be of any type, maps as well. Empty table: no rows.
+    Input columns named like an added one give way to it. Size is the number of words; a target is
+    at most most times its source's size, so copies <= ceil(most), and no document exceeds most
+    times its size where most is whole.
     """
     prepare(docs.sparkSession)
-    sized = without(docs, [*ADDED, *WORKED]).withColumns({"size": n_words(F.col("text")), "_u": uniform(seed, F.col("doc_id"), F.col("text"))})
-    columns = [F.col("source").cast("string").alias("source"), "size", "_u"]
+    rows = without(docs, [*ADDED, *WORKED])
+    own = [*rows.columns, "size"]
+    sized = rows.withColumns({"size": n_words(F.col("text")), "_u": uniform(seed, F.col("doc_id"), F.col("text")), "_key": row_key(hashable(rows), seed)})
+    columns = [F.col("source").cast("string").alias("source"), "size", "_u", "_key"]
     narrow = store(sized.select(*columns), "sizes").df
-    again = store(narrow.groupBy("_u").agg(F.count("*").alias("n")).where("n > 1").select(F.col("_u").alias("_again")), "repeated").df
+    again = store(narrow.groupBy("_u").agg(F.count("*").alias("_n")).where("_n > 1").select("_u"), "repeated").df
     if not again.isEmpty():
-        few = F.broadcast(again) if again.count() <= MOST_BROADCAST else again
-        place = uniform(seed + 1, F.col("_u"), F.monotonically_increasing_id())
-        marked = sized.join(few, sized["_u"] == F.col("_again"), "left")
-        sized = marked.withColumn("_u", F.when(F.col("_again").isNull(), F.col("_u")).otherwise(place)).drop("_again")
-        narrow = store(sized.select(*columns), "sizes").df
+        again = F.broadcast(again) if again.count() <= MOST_BROADCAST else again
+        part = lambda df, how: df.join(again, "_u", how)
+        one = lambda df, names: part(df, "left_semi").groupBy("_key").agg(F.count("*").alias("_n"), *[F.first(F.col(f"`{c}`")).alias(c) for c in [*names, "_u"]])
+        narrow = store(part(narrow, "left_anti").unionByName(each_twin(one(narrow, ["source", "size"]), seed)), "sizes").df
+        sized = part(sized, "left_anti").unionByName(each_twin(one(sized, own), seed))
     targets = store(source_targets(narrow, weights, share, most), "targets").df
     cuts = store(thresholds(narrow, targets, seed).join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), "thresholds").df
     named = cuts.withColumnsRenamed({"source": "_mix_source", "stratum": "_stratum"})
@@ -150,7 +165,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
         named = F.broadcast(named)
     rated = sized.join(named, sized["source"].eqNullSafe(named["_mix_source"]) & (stratum(F.col("size")) == F.col("_stratum")), "left")
     copies = (F.floor(F.col("rate")) + (F.col("_u") < F.col("threshold")).cast("int")).cast("int")
-    return rated.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).drop("_mix_source", "_stratum", "threshold", "_u")
+    return rated.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).drop("_mix_source", "_stratum", "threshold", "_u", "_key")
 
 
 def emit_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 8) -> DataFrame:

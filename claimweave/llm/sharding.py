@@ -108,18 +108,17 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: int = 10, columns: l
 
     Null text: size 8, checksum of no bytes. Repeated rows are rows of their own and part like all
     others. Empty input: no rows. Input columns named like an added one give way to it. columns:
-    those of docs to return (default all); the others don't cross the exchanges.
+    those of docs to return (default all), of any type; the others don't cross the exchanges.
     """
     spark = prepare(docs.sparkSession)
     base = without(docs, ADDED)
     shown = columns or base.columns
     text = F.coalesce(F.col("text"), F.lit(""))
-    every = [F.col(f"`{c}`") for c in base.columns]
     keyed = base.select(
         *[F.col(f"`{c}`") for c in shown],
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(F.lit(seed), *every, F.monotonically_increasing_id()).alias("_deal"),
+        F.xxhash64(F.lit(seed), "doc_id", "text", F.monotonically_increasing_id()).alias("_deal"),
     )
     keyed = store(keyed.withColumn("_part", F.pmod(F.xxhash64("_deal"), F.lit(PARTITIONS)).cast("int")), "keyed").df
     counted = {r["_part"]: r["n"] for r in keyed.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # PARTITIONS rows at most

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import map_text, set_aside
+from claimweave.llm.common import hashable, map_text, row_key, set_aside
 from claimweave.llm.components import components
 from claimweave.session import prepare, store
 
@@ -234,11 +234,12 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row of each component stays, with its own columns: one of the least doc_id, null ids last.
 
     Null and wordless texts are one component. Rows of one doc_id with texts of different
-    components, or without id, stay each; of equal rows one stays. Empty table: no rows.
+    components, or without id, stay each; of equal rows one stays. Columns may be of any type, maps
+    as well. Empty table: no rows.
     """
     prepare(docs.sparkSession)
     aside, back = set_aside(docs, ["_row", "_fp"])
-    numbered = aside.withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in aside.columns]))
+    numbered = aside.withColumn("_row", row_key(hashable(aside)))
     rows = store(fingerprints(numbered, ["doc_id", "_row"]), "prints").df
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
     prints = store(rows.groupBy("_fp").agg(first), "distinct-prints").df

@@ -17,14 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.llm.common import as_bytes, map_rows, map_text, set_aside
-from claimweave.session import prepare, without
+from claimweave.session import discard, prepare, store, without
 
 #: Hash slots, pair factors, documents that a kept term occurs in.
 SLOTS, RANK, LEAST_DOCS = 1 << 22, 4, 4
 #: The machine's size: terms kept for what they say alone, and for what they say beside one of the ANCHORS strongest.
 KEPT_TERMS, KEPT_PARTNERS, ANCHORS = 1500, 100, 64
-#: The bound of the training sample: so many labelled rows of each class, by hash of doc_id, and distinct terms of a row.
-SAMPLE_PER_CLASS, SAMPLE_TERMS = 5000, 20_000
+#: The bound of the training sample: so many labelled rows of each class, by hash of doc_id.
+SAMPLE_PER_CLASS = 5000
 FOLDS = 5
 EDGES = bytes(set(range(33, 127)) - set(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
 BEGINNINGS = (4, 5)
@@ -158,8 +158,9 @@ def held_out(doc_id) -> object:
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Machine:
     """Fit on at most per_class rows of each class, not held out; labels join by doc_id only.
 
-    Of rows that repeat a labelled doc_id one text is read, and of a text at most SAMPLE_TERMS
-    distinct terms. Null labels and ids are left out; a document labelled twice is toxic if one says so.
+    Of rows that repeat a labelled doc_id one text is read, whole. Only terms of LEAST_DOCS rows or
+    more, which alone can be kept, come to the driver; which they are is a bit for each slot. Null
+    labels and ids are left out; a document labelled twice is toxic if one says so.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("_toxic")).where(~held_out(F.col("doc_id")))
     share = known.agg(F.avg("_toxic")).first()[0] or 0.0
@@ -172,13 +173,27 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
         def work(batch):
             marks = batch.column(batch.schema.get_field_index("_toxic"))
             texts = as_bytes(batch.column(batch.schema.get_field_index("text")))
-            slots = [np.unique(np.fromiter((s for w in set(t.split()) for s in terms_of(w)), dtype=np.int32))[:SAMPLE_TERMS] for t in texts]
+            slots = [np.unique(np.fromiter((s for w in set(t.split()) for s in terms_of(w)), dtype=np.int32)) for t in texts]
             ids = batch.column(batch.schema.get_field_index("doc_id"))
             yield pa.RecordBatch.from_arrays([ids, pa.array(slots, pa.list_(pa.int32())), marks], names=["doc_id", "slots", "toxic"])
 
         return work
 
-    rows = map_rows(sample, ["doc_id", "_toxic"], "doc_id long, slots array<int>, toxic int", start).toArrow()
+    held_terms = store(map_rows(sample, ["doc_id", "_toxic"], "doc_id long, slots array<int>, toxic int", start), "sample-terms")
+    often = held_terms.df.select(F.explode("slots").alias("slot")).groupBy("slot").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS)
+    words = often.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, slot & 63)")).alias("bits")).toArrow()
+    mask = np.zeros(SLOTS // 64, np.uint64)
+    mask[np.asarray(words["at"])] = np.asarray(words["bits"]).view(np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(mask)  # SLOTS bits
+
+    def frequent(batches):
+        for batch in batches:
+            slots = (np.asarray(h.values) for h in batch.column(1))
+            held = [h[(shared.value[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1) == 1] for h in slots]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.list_(pa.int32())), batch.column(2)], names=["doc_id", "slots", "toxic"])
+
+    rows = held_terms.df.mapInArrow(frequent, "doc_id long, slots array<int>, toxic int").toArrow()
+    discard(docs.sparkSession, held_terms.path)
     order = np.argsort(np.array(rows["doc_id"].to_pylist(), dtype=np.int64), kind="stable")
     held, toxic = [np.asarray(h.values) for h in rows["slots"]], np.asarray(rows["toxic"].to_pylist(), dtype=np.int64)
     machine = fit([held[i] for i in order], toxic[order], share)
