@@ -104,7 +104,7 @@ BRIDGE_QUERIES = ["{a} {b}", "{a} and {b}", "{a} relationship to {b}", "{a} impa
 LIMITS = {
     "queries": 5, "blocks": 16, "min_block_chars": 80, "max_block_chars": 2400, "sentences": 96, "clauses": 180, "claims": 512, "label_chars": 72,
     "label_tokens": 8, "clause_chars": 360, "parts": 4, "expansions": 8, "negation_chars": 72, "candidates": 96, "context": 24, "notes": 40, "grounding": 18,
-    "hops": 12, "pairs": 4, "arguments": 3, "path_records": 6,
+    "hops": 12, "chain_steps": 20, "pairs": 4, "arguments": 3, "path_records": 6,
 }
 MERGE_LOW, MERGE_HIGH, MATCH, DIVERSITY, DUP_OVERLAP, DUP_JACCARD, SEMANTIC_NEGATION = 0.84, 0.97, 0.34, 0.72, 0.72, 0.60, 0.74
 SEED_SCALE, SEED_JITTER, PARENT_PULL = 420.0, 60.0, 0.15

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from claimweave.functions import text as T
 from claimweave.functions import words as W
+from claimweave.operators.joins import met_on_terms
+from claimweave.operators.similar import cosine_above, overlap_pairs
 from claimweave.session import discard, read_if_there, store
 
 DIMENSIONS = 256
@@ -76,22 +78,6 @@ def centroids(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return each.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("centroid"))
 
 
-def met_on_terms(a: DataFrame, b: DataFrame, on: str = "term", block: int = 10_000) -> DataFrame:
-    """a join b on a term. Rows of b without a term of a are dropped before they move, and frequent terms are cut into blocks of b."""
-    asked = store(a, "asked-terms").df
-    terms = store(asked.select(on).distinct(), "terms").df
-    named = F.broadcast(terms) if terms.count() <= 500_000 else terms
-    held = store(b.join(named, on, "left_semi"), "held-terms").df
-    crowded = store(held.groupBy(on).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks")).where("_blocks > 1"), "crowded-terms").df
-    if crowded.isEmpty():
-        return asked.join(held, on)
-    few = F.broadcast(crowded) if crowded.count() <= 100_000 else crowded
-    blocks = F.coalesce(F.col("_blocks"), F.lit(1))
-    left = asked.join(few, on, "left").withColumn("_block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("_blocks")
-    right = held.join(few, on, "left").withColumn("_block", F.pmod(F.xxhash64(*held.columns), blocks).cast("int")).drop("_blocks")
-    return left.join(right, [on, "_block"]).drop("_block")
-
-
 def candidates(left: DataFrame, right: DataFrame, limit: int = W.LIMITS["candidates"]) -> DataFrame:
     """left_id, right_id, overlap: right rows that share terms, the most shared first, at most limit.
 
@@ -181,18 +167,23 @@ def block_keys(name: Column, vector: Column, tokens: int = 6, dims: int = 8) ->
 
 def blocked_pairs(rows: DataFrame, keys: Column, least_shared: int = 1) -> DataFrame:
     """A, b, shared: pairs (a < b) that share at least so many block keys. rows: id."""
-    e = rows.select("id", F.explode(F.array_distinct(keys)).alias("key"))
-    a, b = e.select(F.col("id").alias("a"), "key"), e.select(F.col("id").alias("b"), "key")
-    return a.join(b, "key").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least_shared)
+    return overlap_pairs(rows, keys, least_shared)
 
 
 def similar_labels(rows: DataFrame, least_shared: int = 1) -> DataFrame:
-    """Pairs of rows (id, name, vector) whose cosine reaches the merge threshold of the less specific one."""
-    made = rows.withColumn("need", merge_threshold(vector_specificity(F.col("vector"))))
-    pairs = blocked_pairs(made, block_keys(F.col("name"), F.col("vector")), least_shared)
-    side = lambda k: made.select(F.col("id").alias(k), F.col("vector").alias(f"_{k}"), F.col("need").alias(f"need_{k}"))
-    scored = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("similarity", T.cosine(F.col("_a"), F.col("_b")))
-    return scored.where(F.col("similarity") >= F.least("need_a", "need_b")).select("a", "b", "similarity")
+    """Pairs of rows (id, name, vector) that share block keys and whose cosine reaches the merge threshold of the less specific one.
+
+    The pairs of enough cosine are found first: few share what that takes, while any block key is
+    shared by a constant part of all rows.
+    """
+    keys = block_keys(F.col("name"), F.col("vector"))
+    made = store(rows.select("id", "vector", merge_threshold(vector_specificity(F.col("vector"))).alias("need"), F.transform(keys, lambda k: F.xxhash64(k)).alias("keys")), "label-needs").df
+    least = made.agg(F.min("need")).first()[0]
+    if least is None:
+        return made.select(F.col("id").alias("a"), F.col("id").alias("b"), F.col("need").alias("similarity")).limit(0)
+    side = lambda k: made.select(F.col("id").alias(k), F.col("need").alias(f"need_{k}"), F.col("keys").alias(f"keys_{k}"))
+    near = cosine_above(made.select("id", "vector"), None, least).join(side("a"), "a").join(side("b"), "b")
+    return near.where((F.col("similarity") >= F.least("need_a", "need_b")) & (F.size(F.array_intersect("keys_a", "keys_b")) >= least_shared)).select("a", "b", "similarity")
 
 
 def groups(pairs: DataFrame, max_rounds: int = 30) -> DataFrame:
@@ -289,10 +280,12 @@ def resolved_labels(nodes: DataFrame, labels: DataFrame, embed: Callable[[Column
     asked = store(labels.where("name is not null").select(norm("name").alias("norm")).distinct(), "asked-labels").df
     exact = asked.join(known.select("norm", "node"), "norm")
     rest = asked.join(known, "norm", "left_anti").withColumn("vector", embed(F.col("norm")))
-    keyed = lambda df, *more: df.select("norm", *more, F.explode(block_keys(F.col("norm"), F.col("vector"))).alias("key"))
-    met = keyed(rest).withColumnRenamed("norm", "asked").join(keyed(known, "node"), "key").select("asked", "norm").distinct()
-    side = lambda df, n, v: df.select(F.col("norm").alias(n), F.col("vector").alias(v), merge_threshold(vector_specificity(F.col("vector"))).alias(f"need{v}"))
-    scored = met.join(side(rest, "asked", "_a"), "asked").join(side(known, "norm", "_b"), "norm").withColumn("similarity", T.cosine(F.col("_a"), F.col("_b")))
+    made = lambda df: store(df.select(F.col("norm").alias("id"), "vector", merge_threshold(vector_specificity(F.col("vector"))).alias("need"), block_keys(F.col("norm"), F.col("vector")).alias("keys")), "needs").df
+    ours, theirs = made(rest), made(known)
+    least = ours.unionByName(theirs).agg(F.min("need")).first()[0] or 1.0
+    side = lambda df, k: df.select(F.col("id").alias(k), F.col("need").alias(f"need_{k}"), F.col("keys").alias(f"keys_{k}"))
+    scored = cosine_above(ours, theirs, least).join(side(ours, "a"), "a").join(side(theirs, "b"), "b").where(F.arrays_overlap("keys_a", "keys_b"))
+    scored = scored.select(F.col("a").alias("asked"), F.col("b").alias("norm"), "similarity", "need_a", "need_b")
     near = scored.where(F.col("similarity") >= F.greatest("need_a", "need_b")).groupBy("asked").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "norm")).alias("m"))
     merged = near.select("asked", F.col("m.norm").alias("norm")).join(known.select("norm", "node"), "norm").select(F.col("asked").alias("norm"), "node")
     return exact.unionByName(merged)

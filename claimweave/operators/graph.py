@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import count
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from claimweave.functions import text as T
 from claimweave.functions import words as W
+from claimweave.operators.joins import last_before
 from claimweave.session import discard, store
 
 SPECIFIC = "array<struct<kind:string,text:string,source:string>>"
@@ -48,22 +50,28 @@ def compatible_edges(edges: DataFrame) -> DataFrame:
     ord. Each bucket is folded by one grouped task; buckets hold the distinct states of one pair.
     """
     state = ["s_quant", "p_quant", "tense", "truth"]
-    schema = edges.select("s", "rel", "o", *state, "utility", "ord", "n_claims").schema
+    mine = F.row_number().over(Window.partitionBy("s", "rel", "o").orderBy("ord", *state))  # the groups need that shuffle anyhow
+    placed = edges.select("s", "rel", "o", *state, "utility", mine.alias("place"), "n_claims")
+    schema = placed.schema
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         kept: list[dict] = []
         blank = lambda v: v is None or v == "unknown" or v != v
-        for row in frame.sort_values("ord", kind="stable").to_dict("records"):
+        for row in frame.sort_values("place", kind="stable").to_dict("records"):
             fits = [k for k in kept if all(blank(k[c]) or blank(row[c]) or k[c] == row[c] for c in state)]
             if not fits:
                 kept.append(row)
                 continue
-            into = max(fits, key=lambda k: (sum(not blank(k[c]) for c in state), -k["ord"]))
+            into = max(fits, key=lambda k: (sum(not blank(k[c]) for c in state), -k["place"]))
             into.update({c: row[c] if blank(into[c]) else into[c] for c in state})
             into["utility"], into["n_claims"] = max(into["utility"], row["utility"]), into["n_claims"] + row["n_claims"]
         return pd.DataFrame(kept, columns=frame.columns)
 
-    return edges.select(*schema.names).groupBy("s", "rel", "o").applyInPandas(run, schema)
+    folded = placed.groupBy("s", "rel", "o").applyInPandas(run, schema)
+    key = ["s", "rel", "o", "place"]
+    orders = edges.select(*[(mine if c == "place" else F.col(c)).alias(f"_{c}") for c in key], "ord")
+    same = [folded[c].eqNullSafe(orders[f"_{c}"]) for c in key]
+    return folded.join(orders, same).select("s", "rel", "o", *state, "utility", "ord", "n_claims")
 
 
 def utility(subject: Column, relation: Column, predicate: Column, specifics: Column | None = None) -> Column:
@@ -77,13 +85,15 @@ def utility(subject: Column, relation: Column, predicate: Column, specifics: Col
 def provenance(rows: DataFrame, source: str, subject: str, predicate: str, order: str) -> DataFrame:
     """prev_ord, prev_subject: the last earlier row of the source whose predicate is this row's subject.
 
-    An as-of join as one window over both roles: no join of all pairs.
+    An as-of join as one scan over ranges of both roles: no join of all pairs, no task for a hot key.
     """
-    ends = rows.select(F.col(source).alias("_src"), F.col(predicate).alias("_key"), F.col(order).alias("_ord"), F.lit(0).alias("_role"), F.struct(F.col(order).alias("o"), F.col(subject).alias("s")).alias("_was"), F.lit(None).cast(rows.select(F.struct(*[F.col(c) for c in rows.columns])).schema[0].dataType).alias("_row"))
-    asks = rows.select(F.col(source).alias("_src"), F.col(subject).alias("_key"), F.col(order).alias("_ord"), F.lit(1).alias("_role"), F.lit(None).cast(ends.schema["_was"].dataType).alias("_was"), F.struct(*[F.col(c) for c in rows.columns]).alias("_row"))
-    earlier = Window.partitionBy("_src", "_key").orderBy("_ord").rangeBetween(Window.unboundedPreceding, -1)
-    last = F.max_by("_was", F.col("_was.o")).over(earlier)
-    return ends.unionByName(asks).withColumn("_last", last).where("_role = 1").select("_row.*", F.col("_last.o").alias("prev_ord"), F.col("_last.s").alias("prev_subject"))
+    said = F.struct(F.col(order).alias("o"), F.col(subject).alias("s"))
+    whole = F.struct(*[F.col(c) for c in rows.columns])
+    kind = rows.select(whole).schema[0].dataType
+    asks = rows.select(F.col(source).alias("_src"), F.col(subject).alias("_key"), F.col(order).alias("_ord"), whole.alias("_own"), F.lit(None).cast(rows.select(said).schema[0].dataType).alias("_says"))
+    says = rows.select(F.col(source).alias("_src"), F.col(predicate).alias("_key"), F.col(order).alias("_ord"), F.lit(None).cast(kind).alias("_own"), said.alias("_says"))
+    found = last_before(asks.unionByName(says), ["_src", "_key"], "_ord", F.col("_says")).where("_own is not null")
+    return found.select("_own.*", F.col("_last.o").alias("prev_ord"), F.col("_last.s").alias("prev_subject"))
 
 
 def reachable(edges: DataFrame, starts: DataFrame, max_rounds: int | None = None, limit_hops: int | None = None) -> DataFrame:
@@ -132,6 +142,54 @@ def levels(steps: DataFrame, starts: DataFrame, max_rounds: int | None = None, l
     return reduce(DataFrame.unionByName, [level.df for level in held])
 
 
+class Masks(NamedTuple):
+    """What many origins reach: origins (origin, word, bit), and for each node a row a word whose mask has the bits of those that reach it."""
+
+    origins: DataFrame
+    ahead: DataFrame
+    back: DataFrame
+
+
+def reach_masks(edges: DataFrame, starts: DataFrame, ends: DataFrame, max_rounds: int | None = None) -> Masks:
+    """G1, J12 for many origins at once (starts, ends: origin, node): 64 origins are one long, and a level is one bit_or a node.
+
+    Only bits that are new to a node go on. Without a bound of rounds it runs to the fixed point.
+    """
+    names = store(starts.select("origin").unionByName(ends.select("origin")).distinct(), "origins").df
+    origins = store(names.withColumn("_n", F.monotonically_increasing_id()).select("origin", F.shiftright("_n", 6).alias("word"), (F.col("_n") % 64).cast("int").alias("bit")), "origins").df
+    one = store(edges.select("s", "o").distinct(), "steps").df
+    steps = one.select(F.lit(True).alias("ahead"), "s", "o").unionByName(one.select(F.lit(False).alias("ahead"), F.col("o").alias("s"), F.col("s").alias("o")))
+    way = lambda df, ahead: df.join(origins, "origin").select(F.lit(ahead).alias("ahead"), "word", "node", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit")).alias("mask"))
+    found = mask_levels(steps, way(starts, True).unionByName(way(ends, False)), max_rounds)
+    return Masks(origins, found.where("ahead").drop("ahead"), found.where("not ahead").drop("ahead"))
+
+
+def mask_levels(steps: DataFrame, starts: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """ahead, word, node, mask: the fixed point of passing masks along the steps (ahead, s, o)."""
+    spark, key = steps.sparkSession, ["ahead", "word", "node"]
+    frontier = store(starts.groupBy(*key).agg(F.bit_or("mask").alias("mask")), "masks")
+    held = [frontier]
+    together = lambda levels: reduce(DataFrame.unionByName, [level.df for level in levels]).groupBy(*key).agg(F.bit_or("mask").alias("mask"))
+    for hop in count(1):
+        if max_rounds and hop > max_rounds:
+            raise RuntimeError(f"nodes are still found after {max_rounds} rounds")
+        on = (frontier.df["node"] == steps["s"]) & (frontier.df["ahead"] == steps["ahead"])
+        met = frontier.df.join(steps, on).groupBy(frontier.df["ahead"], "word", F.col("o").alias("node")).agg(F.bit_or("mask").alias("mask"))
+        known = together(held).withColumnRenamed("mask", "_known")
+        fresh = met.join(known, key, "left").withColumn("mask", F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("_known", F.lit(0).cast("long"))))).drop("_known")
+        frontier = store(fresh.where("mask <> 0"), "masks")
+        if frontier.df.isEmpty():
+            discard(spark, frontier.path)
+            break
+        held.append(frontier)
+        if len(held) > 4:  # one row a node again, however many levels
+            old = held[:-1]
+            held = [store(together(old), "masks"), frontier]
+            for level in old:
+                discard(spark, level.path)
+    return together(held)
+
+
 def reversed_edges(edges: DataFrame) -> DataFrame:
     """The same edges the other way."""
     return edges.withColumns({"s": F.col("o"), "o": F.col("s")})
@@ -164,6 +222,23 @@ def route_metrics(edges: DataFrame, ahead: DataFrame, back: DataFrame, pairs: Da
     """
     e = edges.select("edge_id", "s", "o", "source", "n_specifics")
     on = e.join(ahead.select(F.col("origin").alias("a"), F.col("node").alias("s")), "s").join(pairs, "a").join(back.select(F.col("origin").alias("b"), F.col("node").alias("o")), ["b", "o"])
+    return metrics_of(on)
+
+
+def masked_metrics(edges: DataFrame, reach: Masks, pairs: DataFrame) -> DataFrame:
+    """A12, J12 as route_metrics, for any number of pairs: an edge meets the masks of its ends once, and lists the pairs whose bits both have."""
+    number = lambda c: reach.origins.select(F.col("origin").alias(c), F.col("word").alias(f"word_{c}"), F.col("bit").alias(f"bit_{c}"))
+    listed = pairs.select("a", "b").distinct().join(number("a"), "a").join(number("b"), "b").groupBy("word_a", "word_b").agg(F.collect_list(F.struct("a", "b", "bit_a", "bit_b")).alias("_pairs"))
+    listed = store(listed, "pair-lists").df  # 4096 pairs a row at most
+    at = lambda masks, c, node: masks.select(F.col("word").alias(f"word_{c}"), F.col("node").alias(node), F.col("mask").alias(f"mask_{c}"))
+    met = edges.select("edge_id", "s", "o", "source", "n_specifics").join(at(reach.ahead, "a", "s"), "s").join(at(reach.back, "b", "o"), "o")
+    met = met.join(F.broadcast(listed) if listed.count() <= 1000 else listed, ["word_a", "word_b"])
+    both = F.filter("_pairs", lambda p: (F.getbit(F.col("mask_a"), p["bit_a"]) == 1) & (F.getbit(F.col("mask_b"), p["bit_b"]) == 1))
+    return metrics_of(met.select("s", "o", "source", "n_specifics", F.explode(both).alias("p")).select("p.a", "p.b", "s", "o", "source", "n_specifics"))
+
+
+def metrics_of(on: DataFrame) -> DataFrame:
+    """A, b, n_edges, n_sources, n_specifics, n_specific_edges, n_nodes, score of the edges (a, b, s, o, source, n_specifics) on each pair's route."""
     on = store(on.select("a", "b", "s", "o", "source", "n_specifics"), "routes").df  # read twice
     shown = F.lower(F.rtrim(T.display_source(F.col("source"))))
     base = on.groupBy("a", "b").agg(

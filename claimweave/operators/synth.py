@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from claimweave.functions import text as T
 from claimweave.functions import words as W
-from claimweave.operators.concepts import met_on_terms
+from claimweave.operators.joins import met_on_terms
 from claimweave.session import store
 
 

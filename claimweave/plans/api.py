@@ -61,7 +61,7 @@ def claim_edges(claims: DataFrame, embed=None, concept_path: str | None = None)
     made = concepts.stored_concepts(claims.sparkSession, names, concept_path, embed) if concept_path else concepts.resolve(names, embed)
     known = store(made.select("norm", "canonical"), "concepts").df
     end = lambda c, out: known.select(F.col("norm").alias(f"_{c}"), F.col("canonical").alias(out))
-    place = F.col("ord") * 1_000_000 + F.col("sent_pos") * 1000 + F.col("clause_pos")
+    place = F.struct("ord", "sent_pos", "clause_pos")
     rows = claims.withColumns({"_subject": norm("subject"), "_predicate": norm("predicate"), "place": place}).join(end("subject", "s"), "_subject").join(end("predicate", "o"), "_predicate").where("s <> o")
     use = graph.utility(F.col("s"), F.col("relation"), F.col("o"), F.col("specifics"))
     rows = rows.withColumn("specifics", F.array_distinct(F.concat("s_specifics", "p_specifics", "c_specifics"))).withColumns({"rel": F.col("relation"), "utility": use})
@@ -120,24 +120,33 @@ def best_pairs(edges: DataFrame, seeds: DataFrame, goals: DataFrame) -> DataFram
     """The four best pairs of anchors with a route one way or the other."""
     both = seeds.select("node").unionByName(goals.select("node")).distinct()
     starts = both.select(F.col("node").alias("origin"), "node")
-    ahead, back = graph.reachable_both_ways(edges, starts, starts)
-    # anchors meet by reachability, not by a product: a pair exists if one's reach holds the other
-    hit = ahead.select(F.col("origin").alias("x"), F.col("node").alias("y")).where("x <> y")
+    reach = graph.reach_masks(edges, starts, starts)
+    # anchors meet by reachability, not by a product: a pair exists if one's bit is in the other's mask
     a, b = seeds.select(F.col("node").alias("a")), goals.select(F.col("node").alias("b"))
+    masks = reach.ahead.join(both, "node", "left_semi").join(reach.origins, "word").where(F.getbit(F.col("mask"), F.col("bit")) == 1)
+    hit = masks.select(F.col("origin").alias("x"), F.col("node").alias("y")).where("x <> y")
+    hit = store(hit, "hits").df
     there = hit.select(F.col("x").alias("a"), F.col("y").alias("b")).join(a, "a", "left_semi").join(b, "b", "left_semi")
     home = hit.select(F.col("y").alias("a"), F.col("x").alias("b")).join(a, "a", "left_semi").join(b, "b", "left_semi")
-    metric = lambda pairs, p: graph.route_metrics(edges, ahead, back, pairs).select("a", "b", *[F.col(c).alias(f"{p}_{n}") for c, n in (("n_edges", "edges"), ("score", "score"), ("n_sources", "sources"), ("n_specific_edges", "specific"))])
+    metric = lambda pairs, p: graph.masked_metrics(edges, reach, pairs).select("a", "b", *[F.col(c).alias(f"{p}_{n}") for c, n in (("n_edges", "edges"), ("score", "score"), ("n_sources", "sources"), ("n_specific_edges", "specific"))])
     ab, ba = metric(there, "ab"), metric(home.select(F.col("b").alias("a"), F.col("a").alias("b")), "ba").select(F.col("b").alias("a"), F.col("a").alias("b"), "ba_edges", "ba_score", "ba_sources", "ba_specific")
     rows = ab.join(ba, ["a", "b"], "full").na.fill(0)
     side = lambda df, p: df.select(F.col("node").alias(p), F.col("score").alias(f"{p}_score"), F.col("score").alias(f"{p}_grounding"), F.col("degree").alias(f"{p}_degree"))
     return synth.ranked_pairs(rows.join(side(seeds, "a"), "a").join(side(goals, "b"), "b"))
 
 
+def chain_steps(said: DataFrame, most: int = W.LIMITS["chain_steps"]) -> DataFrame:
+    """The steps (arg, hop) of each argument's chain: of a longer one the first and the last most."""
+    last = said.groupBy(F.col("arg").alias("_arg")).agg(F.max("hop").alias("_last"))
+    far = F.col("_last") - F.col("hop")
+    return said.join(last, said["arg"] == last["_arg"]).where((F.col("hop") == 0) | (far < most)).drop("_arg", "_last")
+
+
 def argue(edges: DataFrame, walked: DataFrame, target_a: str, target_b: str, writer: Callable[[str], str] | None) -> tuple[DataFrame, str]:
     """Walks to ranked, differing arguments and a report."""
     steps = walked.where("reason = 'endpoint'").select("route", "walk_id", F.posexplode("edge_ids").alias("hop", "edge_id"))
     said = steps.join(edges.select("edge_id", "source", F.when(F.col("evidence") != "", F.col("evidence")).otherwise(F.concat_ws(" ", "s", "rel", "o")).alias("text")), "edge_id").withColumn("arg", F.concat_ws(":", "route", F.col("walk_id").cast("string")))
-    said = store(said.where(F.col("hop") < W.LIMITS["hops"]), "said").df
+    said = store(chain_steps(said), "said").df
     support = synth.source_diversity(said, "arg")
     texts = said.groupBy("arg").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("hop", "text"))), lambda x: x["text"]), " ").alias("path_text"), F.sum(T.concrete_count(F.col("text"))).alias("concrete"), F.count("*").alias("steps"))
     a, b = T.target_tokens(F.lit(target_a), 2), T.target_tokens(F.lit(target_b), 2)
@@ -160,7 +169,7 @@ def argue(edges: DataFrame, walked: DataFrame, target_a: str, target_b: str, wri
     numbered = records.withColumn("_shown", T.display_source(F.col("source"))).join(numbers.select(F.col("source").alias("_shown"), "number"), "_shown", "left")
     chained = synth.chain_text(numbered.select("arg", "hop", "text", "number"), "arg", ["hop"])
     shown = [(r["label"], r["text"]) for r in picked.join(chained, "arg").orderBy("pick").select("label", "text").collect()]  # three rows at most
-    sources = [(r["number"], r["source"]) for r in numbers.orderBy("number").limit(64).collect()]
+    sources = [(r["number"], r["source"]) for r in numbers.orderBy("number").collect()]  # at most one for each record of three arguments
     prose = (lambda draft: with_citations(writer(draft), numbered)) if writer else None
     return picked, synth.template_report(target_a, target_b, shown, sources, prose)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from claimweave.functions import text as T
 from claimweave.functions import words as W
-from claimweave.operators import concepts, extract, graph, synth
+from claimweave.operators import concepts, extract, graph, joins, synth
 from claimweave.plans import api, duck
 from claimweave.sources import blocks
 from claimweave.session import spread, store, table
@@ -495,8 +495,7 @@ def route_metrics(spark, d):
     e = structured_edges(spark, d)
     pairs = spark.createDataFrame(PAIRS, "a string, b string")
     start = lambda c: pairs.select(F.col(c).alias("origin"), F.col(c).alias("node"))
-    ahead, back = graph.reachable_both_ways(e, start("a"), start("b"))
-    return graph.route_metrics(e, ahead, back, pairs)
+    return graph.masked_metrics(e, graph.reach_masks(e, start("a"), start("b")), pairs)
 
 
 TREE = f"{E}, b(node, hops) as (select '{GOAL}', 0 union select e.s, hops + 1 from b join e on e.o = b.node where hops < 8), m as (select node, min(hops) as hops from b group by node)"
@@ -564,7 +563,7 @@ def state_claims(spark, d):
     return link_rows(spark, d).select(
         end("subject").alias("s"), F.col("relation").alias("rel"), end("predicate").alias("o"), T.quantifier(F.col("subject")).alias("s_quant"), T.quantifier(F.col("predicate")).alias("p_quant"),
         T.tense(F.col("relation"), F.col("sentence")).alias("tense"), T.truth(F.col("sentence"), F.col("relation")).alias("truth"), F.lit(0.5).alias("utility"), F.array().cast(graph.SPECIFIC).alias("specifics"),
-        F.lit("documents|d").alias("source"), F.col("sentence").alias("evidence"), F.lit(None).cast("long").alias("prev"), (F.col("doc_id") * 100_000 + F.col("pos")).alias("ord"),
+        F.lit("documents|d").alias("source"), F.col("sentence").alias("evidence"), F.lit(None).cast("long").alias("prev"), F.struct("doc_id", "pos").alias("ord"),
     )
 
 
@@ -891,9 +890,10 @@ def session_counts(spark, d):
 
 @query("select user_id, event_id, ts, (select max(p.ts) from events p where p.user_id = e.user_id and p.event_type = 'purchase' and p.ts < e.ts) as last_purchase from events e")
 def asof_purchase(spark, d):
-    """J8, native as-of: each event's last earlier purchase of the same user, as a window."""
-    w = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(Window.unboundedPreceding, -1)
-    return table(spark, d, "events").select("user_id", "event_id", "ts", F.max(F.when(F.col("event_type") == "purchase", F.col("ts"))).over(w).alias("last_purchase"))
+    """J8, as-of: each event's last earlier purchase of the same user, by one scan over ranges of users and times."""
+    rows = table(spark, d, "events").select("user_id", "event_id", "event_type", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    found = joins.last_before(rows, ["user_id"], "at", F.when(F.col("event_type") == "purchase", F.col("ts")))
+    return found.select("user_id", "event_id", "ts", F.col("_last").alias("last_purchase"))
 
 
 MOST_SAID = f"select token from (select doc_id, unnest(list_distinct({duck.without(duck.tokens('text'), W.STOP, W.DISCOURSE, W.WEAK)})) as token from documents) group by token order by count(*) desc, token limit 1"
