@@ -54,7 +54,7 @@ def entries(vector: Column, ranks: list[int]) -> Column:
     """A unit vector's values that aren't 0, rarest dimension first: array<struct<r, v>>."""
     norm = F.sqrt(T.dot(vector, vector))
     rank = F.array(*map(F.lit, ranks))
-    scaled = T.let(norm, lambda n: F.transform(vector, lambda v, i: F.struct(F.element_at(rank, i + 1).alias("r"), F.when(n > 0, v / n).otherwise(F.lit(0.0)).alias("v"))))
+    scaled = T.let(norm, lambda n: F.transform(vector, lambda v, i: F.struct(F.try_element_at(rank, i + 1).alias("r"), F.when(n > 0, v / n).otherwise(F.lit(0.0)).alias("v"))))
     return F.array_sort(F.filter(scaled, lambda e: e["v"] != 0))
 
 
