@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from claimweave.functions import text as T
 from claimweave.functions import words as W
-from claimweave.operators.joins import met_on_terms
+from claimweave.operators.joins import best_overlaps
 from claimweave.operators.similar import cosine_above, overlap_pairs
 from claimweave.session import discard, read_if_there, store
 
@@ -81,14 +81,11 @@ def centroids(rows: DataFrame, key: str, vector: str) -> DataFrame:
 def candidates(left: DataFrame, right: DataFrame, limit: int = W.LIMITS["candidates"]) -> DataFrame:
     """left_id, right_id, overlap: right rows that share terms, the most shared first, at most limit.
 
-    left, right: id, terms (arrays); right may have merge_count. One equi-join on the term.
+    left, right: id, terms (arrays); right may have merge_count.
     """
-    weight = F.col("merge_count") if "merge_count" in right.columns else F.lit(0)
-    a = left.select(F.col("id").alias("left_id"), F.explode(F.array_distinct("terms")).alias("term"))
-    b = right.select(F.col("id").alias("right_id"), weight.alias("merge_count"), F.explode(F.array_distinct("terms")).alias("term"))
-    shared = met_on_terms(a, b).groupBy("left_id", "right_id", "merge_count").agg(F.count("*").alias("overlap"))
-    rank = F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("overlap"), F.desc("merge_count"), "right_id"))
-    return shared.withColumn("place", rank).where(F.col("place") <= limit).select("left_id", "right_id", "overlap", "place")
+    weighed = right.select("id", "terms", (F.col("merge_count") if "merge_count" in right.columns else F.lit(0)).alias("weight"))
+    found = best_overlaps(left.select("id", "terms"), weighed, limit, lambda shared, n_left, n_right: shared * 1.0)
+    return found.select("left_id", "right_id", F.col("shared").alias("overlap"), "place")
 
 
 def best_match(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:

@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimweave.functions import text as T
 from claimweave.functions import words as W
-from claimweave.operators.joins import met_on_terms
+from claimweave.operators.joins import best_overlaps
 from claimweave.session import store
 
 
@@ -221,14 +222,17 @@ def source_numbers(records: DataFrame, order: list[str]) -> DataFrame:
 def citations(sentences: DataFrame, records: DataFrame, limit: int = 2) -> DataFrame:
     """sent_id, rec_id, shared, score, place: the records that best support each sentence.
 
-    Both sides: id, text. A record needs two shared tokens and max(precision, .85 recall) of .22;
-    one equi-join on the token finds the candidates, over the tokens that occur among the sentences.
+    Both sides: id, text. A record needs two shared tokens and max(precision, .85 recall) of .22.
     """
-    t = lambda df, i, n: df.select(F.col("id").alias(i), T.target_tokens(F.col("text")).alias("t")).select(i, F.size("t").alias(n), F.explode("t").alias("term"))
-    met = met_on_terms(t(sentences, "sent_id", "n_s"), t(records, "rec_id", "n_r")).groupBy("sent_id", "rec_id", "n_s", "n_r").agg(F.count("*").alias("shared")).where("shared >= 2")
-    scored = met.withColumn("score", F.greatest(F.col("shared") / F.col("n_s"), 0.85 * F.col("shared") / F.col("n_r"))).where("score >= 0.22")
-    rank = F.row_number().over(Window.partitionBy("sent_id").orderBy(F.desc("score"), F.desc("shared"), "rec_id"))
-    return scored.withColumn("place", rank).where(F.col("place") <= limit).select("sent_id", "rec_id", "shared", "score", "place")
+    terms = lambda df: df.select("id", T.target_tokens(F.col("text")).alias("terms"))
+    found = best_overlaps(terms(sentences), terms(records), limit, support_of, 2, 0.22)
+    return found.select(F.col("left_id").alias("sent_id"), F.col("right_id").alias("rec_id"), "shared", "score", "place")
+
+
+def support_of(shared, n_said, n_known):
+    """How well a record supports a sentence: the greater of precision and .85 recall, for Columns and arrays."""
+    precision, recall = shared / n_said, 0.85 * shared / n_known
+    return F.greatest(precision, recall) if isinstance(shared, Column) else np.maximum(precision, recall)
 
 
 def chain_text(records: DataFrame, key: str, order: list[str]) -> DataFrame:

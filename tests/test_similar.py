@@ -132,3 +132,28 @@ def test_masks_reach_what_each_origin_reaches(spark):
     plain = graph.route_metrics(frame, graph.reachable(frame, starts), graph.reachable(graph.reversed_edges(frame), starts), pairs)
     columns = plain.columns
     assert sorted(map(tuple, graph.masked_metrics(frame, reach, pairs).select(*columns).collect())) == sorted(map(tuple, plain.collect()))
+
+
+@pytest.mark.parametrize("most", [2_000_000, 0])
+@pytest.mark.parametrize("small", [False, True])
+def test_best_overlaps_by_index_and_by_terms(spark, monkeypatch, most, small):
+    rng = random.Random(5)
+    left = [(i, [f"w{min(int(rng.expovariate(0.1)), 60)}" for _ in range(rng.randrange(0, 12))]) for i in range(40)] + [(40, None), (41, [])]
+    right = [(i, [f"w{min(int(rng.expovariate(0.1)), 60)}" for _ in range(rng.randrange(0, 40))], rng.randrange(3)) for i in range(300)] + [(300, None, 0), (301, ["w0", "w0", "w1"], 1)]
+    monkeypatch.setattr(joins, "MOST_INDEXED", most)
+    if small:
+        monkeypatch.setattr(joins, "HELD", 50)
+    from claimweave.operators.synth import support_of
+
+    want = set()
+    for i, t in left:
+        s, found = set(t or []), []
+        for j, u, w in right:
+            r = set(u or [])
+            n = len(s & r)
+            if n >= 2 and max(n / len(s), 0.85 * n / len(r)) >= 0.22:
+                found.append((-max(n / len(s), 0.85 * n / len(r)), -n, -w, j))
+        want |= {(i, x[3], -x[1], round(-x[0], 9), place) for place, x in enumerate(sorted(found)[:3], 1)}
+    a, b = spark.createDataFrame(left, "id long, terms array<string>"), spark.createDataFrame(right, "id long, terms array<string>, weight long")
+    got = joins.best_overlaps(a, b, 3, support_of, 2, 0.22).collect()
+    assert {(r["left_id"], r["right_id"], r["shared"], round(r["score"], 9), r["place"]) for r in got} == want
