@@ -23,18 +23,21 @@ def name_quality(name: Column) -> Column:
     return F.when((t == 0) | T.clause_like(name), 0.0).otherwise(base * F.when(F.length(name) > 56, 0.75).otherwise(1.0))
 
 
-def ranked_anchors(nodes: DataFrame, target: str, opposite: str = "", limit: int = 32) -> DataFrame:
-    """O1: node, name, score, name_score, degree of the nodes that best name a target. nodes: node, name, degree, grounding.
+def ranked_anchors(nodes: DataFrame, target: str, opposite: str = "", limit: int = 32, embed: Callable[[Column], Column] | None = None) -> DataFrame:
+    """O1: node, name, score, name_score, lexical_score, vector_score, degree of the nodes that best name a target.
 
-    grounding (a score from surrounding texts, 0 if none) counts .65; nodes that name the other side drop out.
+    nodes: node, name, degree, grounding (a score from surrounding texts, 0 if none), which counts .65;
+    nodes that name the other side drop out. embed: an embedder of texts, for the cosine of name and
+    target beside what their words share; only names that pass by their words are embedded.
     """
     name = F.col("name")
     own, other = T.lexical_score(name, F.lit(target), True), T.lexical_score(name, F.lit(opposite))
     lexical = F.greatest(own, F.col("grounding"))
-    score = F.greatest(own, 0.65 * lexical) * name_quality(name)
-    rows = nodes.withColumns({"name_score": own, "lexical_score": lexical, "score": score, "_other": other if opposite else F.lit(0.0)})
-    kept = rows.where((F.col("score") >= W.MATCH) & (F.col("lexical_score") >= W.MATCH) & ~((F.col("_other") >= 0.9) & (F.col("name_score") < 0.5))).drop("_other")
-    return kept.orderBy(F.desc("score"), F.desc("name_score"), F.desc("degree"), F.desc("name"), "node").limit(limit)
+    rows = nodes.withColumns({"name_score": own, "lexical_score": lexical, "_other": other if opposite else F.lit(0.0)})
+    rows = rows.where((F.col("lexical_score") >= W.MATCH) & ~((F.col("_other") >= 0.9) & (F.col("name_score") < 0.5))).drop("_other")
+    vector = T.cosine(embed(name), embed(F.lit(target))) if embed else F.lit(0.0)
+    rows = rows.withColumn("vector_score", vector).withColumn("score", F.greatest("name_score", "vector_score", 0.65 * F.col("lexical_score")) * name_quality(name))
+    return rows.where(F.col("score") >= W.MATCH).orderBy(F.desc("score"), F.desc("name_score"), F.desc("degree"), F.desc("name"), "node").limit(limit)
 
 
 def ranked_pairs(pairs: DataFrame, limit: int = W.LIMITS["pairs"]) -> DataFrame:
@@ -42,6 +45,7 @@ def ranked_pairs(pairs: DataFrame, limit: int = W.LIMITS["pairs"]) -> DataFrame:
 
     pairs: a, b, a_score, b_score, a_grounding, b_grounding, a_degree, b_degree, and there and back:
     ab_edges, ba_edges, ab_score, ba_score, ab_sources, ba_sources, ab_specific, ba_specific (0 if no route).
+    With a greater limit the next best follow, for diagnostics.
     """
     route = F.col("ab_score") + F.col("ba_score")
     floor = F.least("a_score", "b_score")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimweave.functions import text as T
@@ -48,6 +48,8 @@ class Connection:
     walks: DataFrame
     arguments: DataFrame
     report: str
+    #: The pairs that were chosen, and the next best, with what ranked them.
+    pairs: DataFrame | None = None
 
 
 def claim_edges(claims: DataFrame, embed=None, concept_path: str | None = None) -> DataFrame:
@@ -71,7 +73,7 @@ def claim_edges(claims: DataFrame, embed=None, concept_path: str | None = None)
     return merged.withColumns({"edge_id": F.xxhash64("s", "rel", "o", "s_quant", "p_quant", "tense", "truth"), "n_specifics": F.size("specifics")})
 
 
-def connect(spark: SparkSession, target_a: str, target_b: str, source_blocks: DataFrame, more_edges: DataFrame | None = None, n_walks: int = 64, writer: Callable[[str], str] | None = None, later_blocks: DataFrame | None = None, concept_path: str | None = None) -> Connection:
+def connect(spark: SparkSession, target_a: str, target_b: str, source_blocks: DataFrame, more_edges: DataFrame | None = None, n_walks: int = 64, writer: Callable[[str], str] | None = None, later_blocks: DataFrame | None = None, concept_path: str | None = None, embed: Callable[[Column], Column] = concepts.hashed_vector) -> Connection:
     """S19, then extraction, merging, anchors, routes, walks, arguments and a report.
 
     source_blocks: block_id, ord, url, source, content. more_edges: further edges (s, rel, o,
@@ -87,23 +89,15 @@ def connect(spark: SparkSession, target_a: str, target_b: str, source_blocks: Da
         ends = claims.select(F.col("subject").alias("label")).unionByName(claims.select(F.col("predicate").alias("label"))).distinct()
         late = extract.expanded(store(extract.claims(later_blocks), "late-claims").df)
         claims = claims.unionByName(concepts.refine(ends, late))
-    edges = claim_edges(claims, concept_path=concept_path).select(*named)
+    edges = claim_edges(claims, embed, concept_path).select(*named)
     edges = store(edges if more_edges is None else edges.unionByName(more_edges.select(*named)), "edges").df
-    degrees = store(graph.degrees(edges), "degrees").df
-
-    def best(own: str, other: str, side: str) -> DataFrame:
-        grounded = degrees.join(synth.grounding_scores(edges, own), "node", "left").select("node", F.col("node").alias("name"), "degree", F.coalesce("grounding", F.lit(0.0)).alias("grounding"))
-        return synth.ranked_anchors(grounded, own, other).withColumn("side", F.lit(side))
-
-    anchors = store(best(target_a, target_b, "a").unionByName(best(target_b, target_a, "b")), "anchors").df
-    seeds = anchors.where("side = 'a'").select("node", "score", "degree")
-    goals = anchors.where("side = 'b'").select("node", "score", "degree")
-    pairs = best_pairs(edges, seeds, goals)
-    chosen = store(pairs, "pairs").df
-    ends = [(r["a"], r["b"]) for r in chosen.select("a", "b").collect()]  # four rows at most
+    anchors = store(anchors_of(edges, target_a, target_b, embed), "anchors").df
+    pairs = store(best_pairs(edges, *sides_of(anchors)), "pairs").df
+    chosen = pairs.where("selected")
+    ends = [(r["a"], r["b"]) for r in chosen.orderBy("place").select("a", "b").collect()]  # four rows at most
     if not ends:
         none = spark.createDataFrame([], "walk_id int, seed string, goal string, path array<string>, edge_ids array<bigint>, reason string")
-        return Connection(edges, edges.limit(0), anchors, none, none, synth.template_report(target_a, target_b, [], []))
+        return Connection(edges, edges.limit(0), anchors, none, none, synth.template_report(target_a, target_b, [], []), pairs)
     node = lambda names: spark.createDataFrame([(i, n) for i, n in enumerate(dict.fromkeys(names))], "place int, node string")
     a, b = node([x for x, _ in ends]), node([y for _, y in ends])
     core = store(graph.route_core(edges, a, b).unionByName(graph.route_core(edges, b, a)).dropDuplicates(["edge_id"]), "core").df
@@ -113,11 +107,39 @@ def connect(spark: SparkSession, target_a: str, target_b: str, source_blocks: Da
         made.append(graph.walks(core, tree, graph.spawn_split(n_walks // 2, start, end)).withColumn("route", F.lit(route)))
     walked = store(made[0].unionByName(made[1]), "walked").df
     arguments, report = argue(edges, walked, target_a, target_b, writer)
-    return Connection(edges, core, anchors, walked, arguments, report)
+    return Connection(edges, core, anchors, walked, arguments, report, pairs)
+
 
+def anchors_of(edges: DataFrame, target_a: str, target_b: str, embed: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Side (a, b), node, name, score, name_score, lexical_score, vector_score, degree: the nodes that best name each subject.
 
-def best_pairs(edges: DataFrame, seeds: DataFrame, goals: DataFrame) -> DataFrame:
-    """The four best pairs of anchors with a route one way or the other."""
+    edges: s, o, and if there, evidence and utility, by which a node is grounded in its strongest texts.
+    """
+    degrees = store(graph.degrees(edges), "degrees").df
+
+    def best(own: str, other: str, side: str) -> DataFrame:
+        named = degrees.select("node", F.col("node").alias("name"), "degree")
+        if "evidence" in edges.columns:
+            named = named.join(synth.grounding_scores(edges, own), "node", "left").withColumn("grounding", F.coalesce("grounding", F.lit(0.0)))
+        else:
+            named = named.withColumn("grounding", F.lit(0.0))
+        found = synth.ranked_anchors(named, own, other, embed=embed)
+        return found.select(F.lit(side).alias("side"), "node", "name", "score", "name_score", "lexical_score", "vector_score", "degree")
+
+    return best(target_a, target_b, "a").unionByName(best(target_b, target_a, "b"))
+
+
+def sides_of(anchors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The anchors of each side, with their grounding: the better of name and texts."""
+    side = lambda s: anchors.where(F.col("side") == s).select("node", "score", F.col("lexical_score").alias("grounding"), "degree")
+    return side("a"), side("b")
+
+
+def best_pairs(edges: DataFrame, seeds: DataFrame, goals: DataFrame, more: int = 8) -> DataFrame:
+    """The four best pairs of anchors with a route one way or the other (selected), and the next more of them.
+
+    seeds, goals: node, score, grounding, degree.
+    """
     both = seeds.select("node").unionByName(goals.select("node")).distinct()
     starts = both.select(F.col("node").alias("origin"), "node")
     reach = graph.reach_masks(edges, starts, starts)
@@ -131,8 +153,10 @@ def best_pairs(edges: DataFrame, seeds: DataFrame, goals: DataFrame) -> DataFram
     metric = lambda pairs, p: graph.masked_metrics(edges, reach, pairs).select("a", "b", *[F.col(c).alias(f"{p}_{n}") for c, n in (("n_edges", "edges"), ("score", "score"), ("n_sources", "sources"), ("n_specific_edges", "specific"))])
     ab, ba = metric(there, "ab"), metric(home.select(F.col("b").alias("a"), F.col("a").alias("b")), "ba").select(F.col("b").alias("a"), F.col("a").alias("b"), "ba_edges", "ba_score", "ba_sources", "ba_specific")
     rows = ab.join(ba, ["a", "b"], "full").na.fill(0)
-    side = lambda df, p: df.select(F.col("node").alias(p), F.col("score").alias(f"{p}_score"), F.col("score").alias(f"{p}_grounding"), F.col("degree").alias(f"{p}_degree"))
-    return synth.ranked_pairs(rows.join(side(seeds, "a"), "a").join(side(goals, "b"), "b"))
+    side = lambda df, p: df.select(F.col("node").alias(p), F.col("score").alias(f"{p}_score"), F.col("grounding").alias(f"{p}_grounding"), F.col("degree").alias(f"{p}_degree"))
+    ranked = synth.ranked_pairs(rows.join(side(seeds, "a"), "a").join(side(goals, "b"), "b"), W.LIMITS["pairs"] + more)
+    place = F.row_number().over(Window.orderBy(F.desc("rank"), "a", "b"))  # twelve rows
+    return ranked.withColumn("place", place).withColumn("selected", F.col("place") <= W.LIMITS["pairs"])
 
 
 def chain_steps(said: DataFrame, most: int = W.LIMITS["chain_steps"]) -> DataFrame:

@@ -498,6 +498,47 @@ def route_metrics(spark, d):
     return graph.masked_metrics(e, graph.reach_masks(e, start("a"), start("b")), pairs)
 
 
+TARGETS = ("seg building", "region asia")
+
+
+def anchor_sql(side: str, own: str, other: str) -> str:
+    """One side's anchors of the structured graph, named by their own names."""
+    score = lambda t: f"(case when len(k) = 0 then 0.0 when len(k) = len({t}) and len(list_intersect(k, {t})) = len(k) then 1.0 when len(list_intersect(k, {t})) = 0 then 0.0 when len(list_intersect(k, {t})) = len(k) then 0.98 when len(list_intersect(k, {t})) = len({t}) then 0.9 else greatest(len(list_intersect(k, {t})) / len(k), 0.8 * len(list_intersect(k, {t})) / len({t}), len(list_intersect(k, {t})) / len({t})) end)"
+    return (
+        f"(select '{side}' as side, node, degree, score from (select *, {score('t')} as score, {score('o')} as other from (select node, degree, {duck.target_tokens('node')} as k, {duck.target_tokens(duck.q(own))} as t, {duck.target_tokens(duck.q(other))} as o from deg)) "
+        f"where score >= {W.MATCH} and not (other >= 0.9 and score < 0.5) order by score desc, degree desc, node desc limit 32)"
+    )
+
+
+ANCHORS = f"{E}, deg as (select node, count(*) as degree from (select unnest([s, o]) as node from e) group by node), anc as materialized ({anchor_sql('a', *TARGETS)} union all {anchor_sql('b', *TARGETS[::-1])})"
+
+
+@query(f"{ANCHORS} select side, node, round(score, 6) as score, degree from anc")
+def connect_anchors(spark, d):
+    """O1 as connect() does it: the nodes of the graph that best name each subject."""
+    return api.anchors_of(structured_edges(spark, d), *TARGETS).select("side", "node", r6("score").alias("score"), "degree")
+
+
+@query(
+    f"{ANCHORS}, f(a, node) as (select node, node from anc union select f.a, e.o from f join e on e.s = f.node), "
+    "ways as (select x.node as a, y.node as b from anc x join anc y on x.side <> y.side and x.node <> y.node join f on f.a = x.node and f.node = y.node), "
+    "b(b, node) as (select node, node from anc union select b.b, e.s from b join e on e.o = b.node), "
+    "r as (select p.a, p.b, e.* from ways p join f on f.a = p.a join e on e.s = f.node join b on b.b = p.b and b.node = e.o), "
+    "m as (select a, b, count(*) as n_edges, count(distinct split_part(source, '|', -1)) as n_sources, sum(n_specifics)::bigint as n_specifics, count(*) filter (n_specifics > 0) as n_specific_edges from r group by a, b), "
+    "w as (select *, (least(n_edges, 96) + 2.5 * least(n_sources, 16) + 1.25 * least(n_specific_edges, 48) + 0.2 * least(n_specifics, 160))::double as score from m), "
+    "k as (select x.node as a, y.node as b, coalesce(t.score, 0) + coalesce(h.score, 0) as route, coalesce(t.n_sources, 0) + coalesce(h.n_sources, 0) as srcs, coalesce(t.n_specific_edges, 0) + coalesce(h.n_specific_edges, 0) as spec, "
+    "(t.n_edges > 0 and h.n_edges > 0) as two, least(x.score, y.score) as low, x.score + y.score as total, x.degree + y.degree as deg from anc x join anc y on x.side = 'a' and y.side = 'b' and x.node <> y.node left join w t on t.a = x.node and t.b = y.node left join w h on h.a = y.node and h.b = x.node "
+    "where t.a is not null or h.a is not null), "
+    "o as (select *, row_number() over (order by route * greatest(0.25, low) desc, route desc, srcs desc, spec desc, coalesce(two, false) desc, low desc, total desc, total desc, deg desc, a, b) as place from k) "
+    "select a, b, place::int as place, place <= 4 as selected, round(route * greatest(0.25, low), 6) as rank_score, round(route, 6) as route_score, srcs::bigint as n_sources, spec::bigint as n_specific, round(total, 6) as grounding from o where place <= 12"
+)
+def connect_pairs(spark, d):
+    """O2, J12 as connect() does it: the pairs of anchors by the nine-part rank, chosen ones and the next best."""
+    e = structured_edges(spark, d)
+    found = api.best_pairs(e, *api.sides_of(store(api.anchors_of(e, *TARGETS), "anchors").df))
+    return found.select("a", "b", "place", "selected", r6("rank.r0").alias("rank_score"), r6("rank.r1").alias("route_score"), F.col("rank.r2").cast("long").alias("n_sources"), F.col("rank.r3").cast("long").alias("n_specific"), r6("rank.r7").alias("grounding"))
+
+
 TREE = f"{E}, b(node, hops) as (select '{GOAL}', 0 union select e.s, hops + 1 from b join e on e.o = b.node where hops < 8), m as (select node, min(hops) as hops from b group by node)"
 
 
