@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from claimweave.functions import text as T
 from claimweave.functions import words as W
+from claimweave.operators.dedupe import without_near_duplicates
 from claimweave.operators.joins import best_overlaps
 from claimweave.session import store
 
@@ -162,20 +163,33 @@ def near_duplicate(a: set, b: set) -> bool:
     return len(a) >= 4 and len(b) >= 4 and both > 0 and (both / min(len(a), len(b)) >= W.DUP_OVERLAP or both / len(a | b) >= W.DUP_JACCARD)
 
 
-def greedy_dedupe(records: DataFrame, key: str) -> DataFrame:
-    """Records (key, ord, text) of each key in order, without near-duplicates of kept ones. A key is one report's records."""
-    rows = records.withColumn("_t", T.target_tokens(F.regexp_replace("text", r"\[\d+\]", "")))
+def greedy_dedupe(records: DataFrame, key: str, most: int = 2000) -> DataFrame:
+    """Records (key, ord, text) of each key in order, without near-duplicates of kept ones.
+
+    Keys of at most most records are one report's, each folded in order by a grouped task; larger ones
+    are worked off together by rounds over their pairs. Both give the same; of one ord the lesser text comes first.
+    """
+    rows = records.withColumns({"_t": F.array_distinct(T.target_tokens(F.regexp_replace("text", r"\[\d+\]", ""))), "_key": F.col(key)})
+    crowded = store(rows.groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(F.col("_key").alias("_big")), "crowded-keys").df
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         kept, sets = [], []
-        for i, tokens in enumerate(frame.sort_values("ord")["_t"]):
+        frame = frame.sort_values(["ord", "text"], kind="stable")
+        for i, tokens in enumerate(frame["_t"]):
             t = set(tokens)
             if not any(near_duplicate(t, s) for s in sets):
                 kept.append(i)
                 sets += [t] if t else []
-        return frame.sort_values("ord").iloc[kept].drop(columns="_t")
-
-    return rows.groupBy(key).applyInPandas(run, records.schema)
+        return frame.iloc[kept].drop(columns=["_t", "_key"])
+
+    if crowded.isEmpty():
+        return rows.groupBy(key).applyInPandas(run, records.schema)
+    big = F.broadcast(crowded) if crowded.count() <= 100_000 else crowded
+    on = F.col("_key").eqNullSafe(F.col("_big"))
+    few = rows.join(big, on, "left_anti").groupBy(key).applyInPandas(run, records.schema)
+    many = store(rows.join(big, on, "left_semi").withColumn("_at", F.monotonically_increasing_id()), "crowded-records").df
+    stay = without_near_duplicates(many.select(F.col("_key").alias("key"), F.struct("ord", "text", "_at").alias("id"), F.col("_t").alias("tokens")))
+    return few.unionByName(many.join(stay.select(F.col("id._at").alias("_at")), "_at", "left_semi").select(*records.columns))
 
 
 def diverse_top(arguments: DataFrame, key: str, limit: int = W.LIMITS["arguments"], most: float = W.DIVERSITY) -> DataFrame:

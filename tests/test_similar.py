@@ -157,3 +157,26 @@ def test_best_overlaps_by_index_and_by_terms(spark, monkeypatch, most, small):
     a, b = spark.createDataFrame(left, "id long, terms array<string>"), spark.createDataFrame(right, "id long, terms array<string>, weight long")
     got = joins.best_overlaps(a, b, 3, support_of, 2, 0.22).collect()
     assert {(r["left_id"], r["right_id"], r["shared"], round(r["score"], 9), r["place"]) for r in got} == want
+
+
+def test_a_crowded_key_is_deduped_as_in_order(spark):
+    """Rounds over pairs against the fold in order, on one key of many near-duplicates and on small keys beside it."""
+    from claimweave.operators import synth
+
+    rng = random.Random(6)
+    words = [f"term{i}" for i in range(60)]
+    base = [rng.sample(words, 9) for _ in range(12)]
+    said = lambda: " ".join(rng.sample(rng.choice(base), rng.randrange(5, 10)) + rng.sample(words, rng.randrange(0, 4)))
+    rows = [(1, i, said() if rng.random() < 0.9 else rng.choice(["", "two words", "term1 term2 term3"])) for i in range(400)] + [(None, i, said()) for i in range(30)] + [(3, 0, "alone and quite different words here"), (3, 0, "alone and quite different words here")]
+    frame = spark.createDataFrame(rows, "k int, ord int, text string")
+    plain = sorted(map(repr, map(tuple, synth.greedy_dedupe(frame, "k").collect())))
+    assert sorted(map(repr, map(tuple, synth.greedy_dedupe(frame, "k", most=10).collect()))) == plain
+    assert sorted(map(repr, map(tuple, synth.greedy_dedupe(frame, "k", most=0).collect()))) == plain
+    assert len(plain) < 300
+
+
+def test_one_key_of_a_hundred_thousand_records(spark):
+    from claimweave.operators import synth
+
+    rows = spark.range(100_000).select(F.lit(1).alias("k"), F.col("id").alias("ord"), F.concat_ws(" ", *[F.concat(F.lit("w"), F.pmod(F.xxhash64(F.floor(F.col("id") / 4), F.lit(j)), F.lit(5_000_000)).cast("string")) for j in range(8)]).alias("text"))
+    assert synth.greedy_dedupe(rows, "k").count() == 25_000
