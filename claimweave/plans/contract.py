@@ -285,6 +285,32 @@ def html_text(spark, d):
     return table(spark, d, "pages").select("page_id", blocks.html_text(F.col("html")).alias("text"))
 
 
+def decoded_sql(x: str) -> str:
+    for name, char in blocks.ENTITIES:
+        x = f"replace({x}, {duck.q(name)}, {duck.q(char)})"
+    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'), ' ')"
+
+
+_ASIDE, _NAMED, _INLINE = (duck.listed(x) for x in (blocks.NESTING, blocks.NAMED, blocks.INLINE))
+
+
+@query(
+    f"with t as (select page_id, regexp_extract_all(regexp_replace(html, {duck.q(blocks.UNREAD)}, ' ', 'g'), '<[^>]*>|[^<]+') as l from pages), r as (select page_id, unnest(l) as token, generate_subscripts(l, 1) - 1 as pos from t), "
+    f"n as (select *, lower(regexp_extract(token, {duck.q(blocks.TAG_NAME)}, 1)) as name from r), u as (select *, case when name = '' then 0 when starts_with(token, '</') then -1 else 1 end as turn from n), "
+    f"d as (select *, sum(case when list_contains({_ASIDE}, name) then turn else 0 end) over w as aside, sum(case when list_contains({_NAMED}, name) then turn else 0 end) over w as named from u window w as (partition by page_id order by pos)), "
+    f"s as (select *, case when name = '' and aside <= 0 then len(regexp_extract_all(token, '\\S+')) else 0 end as words, case when name = 'a' or list_contains({_INLINE}, name) then '' when name <> '' or aside > 0 or starts_with(token, '<') then ' ' else token end as shown, "
+    f"case when aside > 0 and turn = 0 then 0 when list_contains({_ASIDE}, name) then {blocks.ASIDE_COST} when name = 'a' then {blocks.LINK_COST} when name = '' or list_contains({_INLINE}, name) then 0 else {blocks.TAG_COST} end as cost from d), "
+    "p as (select *, sum(words - cost) over (partition by page_id order by pos) as total from s), "
+    "z as (select x.page_id, x.pos as fin, coalesce(y.pos, -1) as start, x.total - coalesce(y.total, 0) as gain from p x left join p y on y.page_id = x.page_id and y.pos < x.pos and y.total < 0), "
+    "b as (select page_id, fin, min(start) as start, gain from (select *, max(gain) over (partition by page_id) as best from z) where gain = best and gain > 0 group by page_id, fin, gain qualify row_number() over (partition by page_id order by fin) = 1), "
+    f"g as (select p.page_id, {decoded_sql('string_agg(shown, chr(0) order by pos) filter (pos > start and pos <= fin)').replace('chr(0)', chr(39) * 2)} as segment, {decoded_sql('string_agg(shown, chr(0) order by pos) filter (named > 0)').replace('chr(0)', chr(39) * 2)} as inner_text, max(case when named > 0 and words > 0 then 1 else 0 end) as has "
+    "from p left join b using (page_id) group by p.page_id) select page_id, case when has = 1 then coalesce(inner_text, '') else coalesce(segment, '') end as text, coalesce(segment, '') as segment from g"
+)
+def page_main_text(spark, d):
+    """Each page's main text, and the stretch of greatest sum beside it."""
+    return blocks.main_segments(table(spark, d, "pages").select("page_id", "html"))
+
+
 @query(
     "select page_id, case when regexp_matches(b, '^https?://[^/?#]+') then b else '' end as url, regexp_extract(b, '^(https?)://', 1) as scheme, regexp_extract(b, '^https?://([^/?#:]+)', 1) as host from (select page_id, trim(trim(url, ' '), '\"''<>[]()') as b from pages)"
 )

@@ -50,13 +50,14 @@ def merged_hits(*providers: DataFrame, limit: int = 16, offset: int = 0) -> Data
     return one.withColumn("place", rank - 1).where(F.col("place").between(offset, offset + limit - 1))
 
 
+#: Character references that are read.
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+
+
 def html_text(html: Column) -> Column:
     """The text of a page: scripts, styles and tags off, blanks squeezed."""
     t = F.regexp_replace(T.or_empty(html), r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", " ")
-    t = F.regexp_replace(t, r"<[^>]+>", " ")
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(name), F.lit(char))
-    return T.squeezed(t)
+    return decoded(F.regexp_replace(t, r"<[^>]+>", " "))
 
 
 #: Parts of a page that hold no running text.
@@ -76,6 +77,55 @@ def main_text(html: Column) -> Column:
     return html_text(body)
 
 
+#: Elements that name the main text, and those that flow with it; what a tag costs beside the words that it parts.
+NAMED = ["article", "main"]
+INLINE = ["abbr", "b", "cite", "code", "em", "font", "i", "img", "mark", "q", "s", "small", "span", "strong", "sub", "sup", "time", "u", "wbr"]
+TAG_COST, LINK_COST, ASIDE_COST = 4, 6, 10
+#: Removed with all they hold before a page is cut into tags and runs of text; these don't nest.
+UNREAD = r"(?is)<!--.*?-->|<(?:script|style|noscript|svg|title)\b[^>]*>.*?</(?:script|style|noscript|svg|title)\s*>"
+TAG_NAME = r"^</?([a-zA-Z][a-zA-Z0-9]*)"
+#: Elements of ASIDE that can nest.
+NESTING = [n for n in ASIDE if n not in ("script", "style", "noscript", "svg")]
+
+
+def main_segments(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """Key, text, segment of each page (key, html): its main text, nested elements and all.
+
+    A page is a line of tags and runs of text. Running sums along it tell how deep a token stands in
+    elements that hold no running text, which drop out, and in article or main, which is the text of
+    a page that has one. segment is the stretch of greatest sum, where words count one each and tags cost:
+    the text of a page that names none. Null and empty pages: empty. key: one row each.
+    """
+    runs = F.regexp_extract_all(F.regexp_replace(T.or_empty(F.col("html")), UNREAD, " "), F.lit("<[^>]*>|[^<]+"), F.lit(0))
+    rows = pages.select(key, F.posexplode_outer(runs).alias("pos", "token")).withColumns({"pos": F.coalesce("pos", F.lit(0)), "token": T.or_empty(F.col("token"))})
+    name = F.lower(F.regexp_extract("token", TAG_NAME, 1))
+    rows = rows.withColumn("name", name).withColumn("turn", F.when(F.col("name") == "", 0).when(F.col("token").startswith("</"), -1).otherwise(1))
+    line = Window.partitionBy(key).orderBy("pos")
+    deep = lambda names: F.sum(F.when(F.col("name").isin(*names), F.col("turn")).otherwise(0)).over(line)
+    rows = rows.withColumns({"aside": deep(NESTING), "named": deep(NAMED)})
+    words = F.when((F.col("name") == "") & (F.col("aside") <= 0), F.regexp_count("token", F.lit(r"\S+"))).otherwise(0)
+    cost = F.when(F.col("name").isin(*NESTING), ASIDE_COST).when(F.col("name") == "a", LINK_COST).when((F.col("name") == "") | F.col("name").isin(*INLINE), 0).otherwise(TAG_COST)
+    shown = F.when(F.col("name") != "", F.when(F.col("name").isin("a", *INLINE), "").otherwise(" ")).when((F.col("aside") > 0) | F.col("token").startswith("<"), " ").otherwise(F.col("token"))
+    rows = rows.withColumns({"words": words, "shown": shown}).withColumn("sum", F.sum(F.when(F.col("aside") > 0, F.lit(0)).otherwise(F.col("words")) - F.when((F.col("aside") > 0) & (F.col("turn") == 0), 0).otherwise(cost)).over(line))
+    low = F.min(F.struct(F.col("sum").alias("s"), F.col("pos").alias("p"))).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_low", low).withColumn("_from", F.when(F.col("_low.s") < 0, F.col("_low.p") + 1).otherwise(0)).withColumn("_gain", F.col("sum") - F.least(F.coalesce("_low.s", F.lit(0)), F.lit(0)))
+    whole = Window.partitionBy(key)
+    best = F.max(F.struct(F.col("_gain").alias("g"), (-F.col("pos")).alias("p"), F.col("_from").alias("f"))).over(whole)
+    rows = rows.withColumn("_best", best).withColumn("_in", F.col("pos").between(F.col("_best.f"), -F.col("_best.p")) & (F.col("_best.g") > 0))
+    has = F.max(F.when((F.col("named") > 0) & (F.col("words") > 0), 1).otherwise(0)).over(whole)
+    rows = rows.withColumn("_has", has)
+    told = lambda kept: decoded(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(kept, F.struct("pos", "shown")))), lambda x: x["shown"]), ""))
+    out = rows.groupBy(key).agg(told(F.col("named") > 0).alias("_named"), told(F.col("_in")).alias("segment"), F.max("_has").alias("_has"))
+    return out.select(key, F.when(F.col("_has") == 1, F.col("_named")).otherwise(F.col("segment")).alias("text"), "segment")
+
+
+def decoded(text: Column) -> Column:
+    """A text with its character references read and blanks squeezed."""
+    for name, char in ENTITIES:
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return T.squeezed(text)
+
+
 def clean_url(url: Column) -> Column:
     """A URL without quotes and brackets, '' unless it is http(s) with a host."""
     bare = F.btrim(F.trim(T.or_empty(url)), F.lit("\"'<>[]()"))

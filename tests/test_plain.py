@@ -346,3 +346,53 @@ def test_long_blocks_are_cut_into_successive_ones(spark):
     one = spark.createDataFrame([(1, 2, "", "s", text)], "block_id long, ord long, url string, source string, content string")
     got = [r["content"] for r in blocks.limited_blocks(one).orderBy("ord").collect()]
     assert all(len(c) <= 2400 for c in got) and " ".join(got).replace(" ", "") == text.replace(" ", "")
+
+
+def plain_segment(page):
+    """S4 by trying every stretch of a page's tags and runs of text."""
+    import re
+
+    from claimweave.sources import blocks
+
+    tokens = re.findall(r"<[^>]*>|[^<]+", re.sub(blocks.UNREAD, " ", page or ""))
+    score, shown, named, aside, inside = [], [], [], 0, 0
+    for t in tokens:
+        name = re.match(blocks.TAG_NAME, t)
+        name = name[1].lower() if name else ""
+        turn = 0 if not name else -1 if t.startswith("</") else 1
+        aside += turn if name in blocks.NESTING else 0
+        inside += turn if name in blocks.NAMED else 0
+        words = len(t.split()) if not name and aside <= 0 else 0
+        cost = blocks.ASIDE_COST if name in blocks.NESTING else 0 if aside > 0 and not name else blocks.LINK_COST if name == "a" else 0 if not name or name in blocks.INLINE else blocks.TAG_COST
+        score.append(words - cost)
+        shown.append("" if name == "a" or name in blocks.INLINE else " " if name or aside > 0 or t.startswith("<") else t)
+        named.append((inside > 0, words))
+    best = max(((sum(score[i : j + 1]), -j, i) for j in range(len(tokens)) for i in range(j + 1)), default=(0, 0, 0))
+    best = max(((g, j, -i) for g, j, i in [best]), default=None) if best[0] > 0 else None
+    stretch = ""
+    if best:
+        gain, j = best[0], -best[1]
+        i = min(i for i in range(j + 1) if sum(score[i : j + 1]) == gain)
+        stretch = "".join(shown[i : j + 1])
+    clean = lambda s: " ".join(s.replace("&lt;", "<").replace("&gt;", ">").replace("&amp;", "&").split())
+    text = "".join(s for s, (n, _) in zip(shown, named, strict=True) if n) if any(n and w for n, w in named) else stretch
+    return clean(text), clean(stretch)
+
+
+def test_main_segments_of_nested_pages(spark):
+    from claimweave.sources import blocks
+
+    words = lambda n, w="word": " ".join([w] * n)
+    pages = [
+        f"<div><ul><li><a href=/>Home</a></li><li><a href=/b>About us</a></li></ul></div><div><p>{words(30)}</p><p>short</p><div><p>{words(20, 'more')}</p></div></div><div>fin</div>",
+        f"<article><div>a<b>b</b> &lt;c</div><nav>x<nav>y</nav>z</nav><table><tr><td>{words(40)}<table><tr><td>in</table></table><p>tail</article><p>{words(50)}",
+        f"<main><article>one</article></main>{words(9)}",
+        "",
+        None,
+        "<nav>only</nav>",
+        f"<script>if (a < b) {{ x }}</script>{words(3)} <aside>{words(99)}</aside> end of it all",
+        words(5) + " <p>" + words(2) + "</p>" + words(5),
+    ]
+    got = {r["page_id"]: (r["text"], r["segment"]) for r in blocks.main_segments(spark.createDataFrame(list(enumerate(pages)), "page_id int, html string")).collect()}
+    assert got == {i: plain_segment(p) for i, p in enumerate(pages)}
+    assert got[0][0] == f"{words(30)} short {words(20, 'more')}" and got[1][0] == "ab <c tail"
