@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from claimweave.functions import text as T
 from claimweave.functions import words as W
 from claimweave.operators.joins import last_before
-from claimweave.session import discard, store
+from claimweave.session import Stored, discard, store
 
 SPECIFIC = "array<struct<kind:string,text:string,source:string>>"
 
@@ -164,11 +164,36 @@ def reach_masks(edges: DataFrame, starts: DataFrame, ends: DataFrame, max_rounds
     return Masks(origins, found.where("ahead").drop("ahead"), found.where("not ahead").drop("ahead"))
 
 
-def mask_levels(steps: DataFrame, starts: DataFrame, max_rounds: int | None = None) -> DataFrame:
-    """ahead, word, node, mask: the fixed point of passing masks along the steps (ahead, s, o)."""
+def extended_reach(reach: Masks, edges: DataFrame, late: DataFrame, max_rounds: int | None = None) -> Masks:
+    """What the origins of reach (over edges) reach once late edges (s, o) have come.
+
+    Only what late edges open is walked: bits that their ends did not have go on from there, over all
+    edges. Nothing that was known is asked for again.
+    """
+    two = lambda df: (d := df.select("s", "o").distinct()).select(F.lit(True).alias("ahead"), "s", "o").unionByName(d.select(F.lit(False).alias("ahead"), F.col("o").alias("s"), F.col("s").alias("o")))
+    known = store(reach.ahead.select(F.lit(True).alias("ahead"), "word", "node", "mask").unionByName(reach.back.select(F.lit(False).alias("ahead"), "word", "node", "mask")), "known-masks")
+    new = store(two(late), "late-steps").df
+    steps = store(two(edges.select("s", "o").unionByName(late.select("s", "o"))), "steps").df
+    on = (known.df["node"] == new["s"]) & (known.df["ahead"] == new["ahead"])
+    opened = known.df.join(new, on).select(known.df["ahead"], "word", F.col("o").alias("node"), "mask")
+    found = mask_levels(steps, opened, max_rounds, known)
+    return Masks(reach.origins, found.where("ahead").drop("ahead"), found.where("not ahead").drop("ahead"))
+
+
+def core_of(edges: DataFrame, reach: Masks) -> DataFrame:
+    """G2 from masks: edges whose start any origin reaches and whose end reaches any."""
+    ahead, back = reach.ahead.select(F.col("node").alias("s")).distinct(), reach.back.select(F.col("node").alias("o")).distinct()
+    return edges.join(ahead, "s", "left_semi").join(back, "o", "left_semi").select(*edges.columns)
+
+
+def mask_levels(steps: DataFrame, starts: DataFrame, max_rounds: int | None = None, known: Stored | None = None) -> DataFrame:
+    """ahead, word, node, mask: the fixed point of passing masks along the steps (ahead, s, o), beside what is known."""
     spark, key = steps.sparkSession, ["ahead", "word", "node"]
-    frontier = store(starts.groupBy(*key).agg(F.bit_or("mask").alias("mask")), "masks")
-    held = [frontier]
+    first = starts.groupBy(*key).agg(F.bit_or("mask").alias("mask"))
+    if known:
+        first = first.join(known.df.withColumnRenamed("mask", "_known"), key, "left").withColumn("mask", F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("_known", F.lit(0).cast("long"))))).drop("_known").where("mask <> 0")
+    frontier = store(first, "masks")
+    held = [known, frontier] if known else [frontier]
     together = lambda levels: reduce(DataFrame.unionByName, [level.df for level in levels]).groupBy(*key).agg(F.bit_or("mask").alias("mask"))
     for hop in count(1):
         if max_rounds and hop > max_rounds:

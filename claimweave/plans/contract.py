@@ -524,6 +524,20 @@ def route_metrics(spark, d):
     return graph.masked_metrics(e, graph.reach_masks(e, start("a"), start("b")), pairs)
 
 
+@query(f"{E}, {FWD}, {BACK} select edge_id_s as s, rel, o from (select s as edge_id_s, rel, o from ({CORE}))")
+def late_route_core(spark, d):
+    """The route core after three batches of late edges, each walked from what was known before it."""
+    e = structured_edges(spark, d).withColumn("batch", F.pmod(F.xxhash64("s", "o"), F.lit(16)))
+    start = lambda n: nodes(spark, n).select(F.col("node").alias("origin"), "node")
+    come = e.where("batch > 2")
+    reach = graph.reach_masks(come, start(SEED), start(GOAL))
+    for batch in range(3):
+        late = e.where(F.col("batch") == batch)
+        reach = graph.extended_reach(reach, come, late)
+        come = come.unionByName(late)
+    return graph.core_of(e, reach).select("s", "rel", "o")
+
+
 TARGETS = ("seg building", "region asia")
 
 

@@ -180,3 +180,19 @@ def test_one_key_of_a_hundred_thousand_records(spark):
 
     rows = spark.range(100_000).select(F.lit(1).alias("k"), F.col("id").alias("ord"), F.concat_ws(" ", *[F.concat(F.lit("w"), F.pmod(F.xxhash64(F.floor(F.col("id") / 4), F.lit(j)), F.lit(5_000_000)).cast("string")) for j in range(8)]).alias("text"))
     assert synth.greedy_dedupe(rows, "k").count() == 25_000
+
+
+def test_late_edges_open_what_a_fresh_walk_finds(spark):
+    rng = random.Random(9)
+    edges = [(i, f"n{rng.randrange(90)}", f"n{rng.randrange(90)}") for i in range(130)]
+    frame = spark.createDataFrame(edges, "edge_id long, s string, o string")
+    starts = spark.createDataFrame([(f"n{i}", f"n{i}") for i in range(6)], "origin string, node string")
+    early = frame.where("edge_id < 80")
+    reach = graph.reach_masks(early, starts, starts)
+    bits = lambda r, m: {(x["origin"], x["node"]) for x in m.join(r.origins, "word").where(F.getbit("mask", "bit") == 1).collect()}
+    for low, high in ((80, 81), (81, 130), (0, 10)):  # one, many, and some that are known
+        reach = graph.extended_reach(reach, frame.where(f"edge_id < {low}") if low else frame, frame.where(f"edge_id >= {low} and edge_id < {high}"))
+        fresh = graph.reach_masks(frame.where(f"edge_id < {max(high, low)}") if low else frame, starts, starts)
+        assert bits(reach, reach.ahead) == bits(fresh, fresh.ahead) and bits(reach, reach.back) == bits(fresh, fresh.back)
+    same = lambda df: sorted(r["edge_id"] for r in df.collect())
+    assert same(graph.core_of(frame, reach)) == same(graph.route_core(frame, starts, starts))
