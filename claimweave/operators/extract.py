@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimweave.functions import text as T
 from claimweave.functions import words as W
-from claimweave.sources.blocks import distinct_blocks, ordered_distinct
+from claimweave.session import store
+from claimweave.sources.blocks import cached, distinct_blocks, ordered_distinct
 
 
 def clause_rows(blocks: DataFrame, limited: bool = False) -> DataFrame:
@@ -90,16 +91,17 @@ def candidate(raw: Column) -> Column:
     return T.let(F.lower(T.clean_part(raw["relation"], True)), built)
 
 
-def claims(blocks: DataFrame, parser: Column | None = None, limited: bool = False) -> DataFrame:
+def claims(blocks: DataFrame, parser: Column | None = None, limited: bool = False, apart: bool = False) -> DataFrame:
     """The claims of blocks, one per subject, relation, predicate, source and text.
 
     limited: the limits of a page's block (W5) and of a job's claims (S12: the first 512 of a block).
+    apart: each block by itself, whatever other blocks say.
 
     A clause is read by the linking pattern; only where that does not match, by its action words
     in turn (the first valid one). parser: an optional column of struct<subject, relation,
     predicate> from a dependency parser, tried first where it is not null.
     """
-    rows = clause_rows(distinct_blocks(blocks), limited).where(F.size(T.tokens(F.col("clause"))) >= 3)
+    rows = clause_rows(blocks if apart else distinct_blocks(blocks), limited).where(F.size(T.tokens(F.col("clause"))) >= 3)
     rows = rows.withColumn("_link", linking(F.col("clause"))).withColumn("_acts", F.when(F.col("_link.relation") == "", action(F.col("clause"))))
     tried = F.when(F.col("_link.relation") != "", F.array(F.col("_link"))).otherwise(F.col("_acts"))
     if parser is not None:
@@ -107,7 +109,7 @@ def claims(blocks: DataFrame, parser: Column | None = None, limited: bool = Fals
     none = F.lit(None).cast("struct<subject:string,relation:string,predicate:string,subject_raw:string,predicate_raw:string>")
     first = F.aggregate(tried, none, lambda found, raw: F.when(found.isNotNull(), found).otherwise(candidate(raw)))  # stops at the first valid one
     flat = rows.select("block_id", "ord", "source", "sent_pos", "clause_pos", "clause", F.explode(F.filter(F.array(first), lambda c: c.isNotNull())).alias("c")).select("*", "c.*").drop("c")
-    one = ordered_distinct(flat, F.struct(F.lower("subject").alias("a"), F.col("relation").alias("b"), F.lower("predicate").alias("c"), F.col("source").alias("d"), F.col("clause").alias("e")), [F.col("ord"), F.col("sent_pos"), F.col("clause_pos")])
+    one = distinct_claims(flat, "clause", ["block_id"] if apart else [])
     evidence = T.clean_clause(F.col("clause"), cleaned=True)
     if limited:
         rank = F.row_number().over(Window.partitionBy("block_id", "source").orderBy("ord", "sent_pos", "clause_pos"))
@@ -121,6 +123,39 @@ def claims(blocks: DataFrame, parser: Column | None = None, limited: bool = Fals
     )
 
 
+def distinct_claims(rows: DataFrame, text: str, more: list[str] | None = None) -> DataFrame:
+    """One claim for each subject, relation, predicate, source and text, the first."""
+    key = F.struct(F.lower("subject").alias("a"), F.col("relation").alias("b"), F.lower("predicate").alias("c"), F.col("source").alias("d"), F.col(text).alias("e"), *(more or []))
+    return ordered_distinct(rows, key, [F.col("ord"), F.col("sent_pos"), F.col("clause_pos")])
+
+
+#: Raise it with any change that makes other claims of the same text; what was cached before isn't read then.
+VERSION = "1"
+
+
+def cached_claims(spark: SparkSession, blocks: DataFrame, name: str, version: str = VERSION) -> DataFrame:
+    """claims(blocks), of which those of blocks (source and content) that the named cache knows in this version are read.
+
+    A row of the cache is a block with the list of its claims, empty ones too; only blocks that are
+    not there are extracted, each by itself, and added.
+    """
+    key = F.to_json(F.struct(F.lit(version).alias("version"), "source", "content"))
+
+    def made(missing: DataFrame) -> DataFrame:
+        one = store(missing.dropDuplicates(["cache_key"]), "uncached").df
+        found = claims(one, apart=True)
+        kept = [c for c in found.columns if c not in ("block_id", "ord", "source")]
+        listed = found.groupBy("block_id").agg(F.sort_array(F.collect_list(F.struct("sent_pos", "clause_pos", *[c for c in kept if c not in ("sent_pos", "clause_pos")]))).alias("claims"))
+        none = F.array().cast(listed.schema["claims"].dataType)
+        return one.select("cache_key", "block_id").join(listed, "block_id", "left").select("cache_key", F.coalesce("claims", none).alias("claims"))
+
+    asked = distinct_blocks(blocks)
+    held = cached(spark, asked, key, made, f"{name}-claims")
+    rows = asked.withColumn("cache_key", F.sha2(key, 256)).join(held, "cache_key").select("block_id", "ord", "source", F.explode("claims").alias("c")).select("block_id", "ord", "c.*", "source")
+    order = ["block_id", "ord", "sent_pos", "clause_pos", "subject", "relation", "predicate", "s_quant", "p_quant", "tense", "truth", "s_specifics", "p_specifics", "c_specifics", "source", "evidence"]
+    return distinct_claims(rows, "evidence").select(*order)
+
+
 def expanded(claim_rows: DataFrame) -> DataFrame:
     """coordinated subjects and predicates multiplied out, at most eight claims from one."""
     parts = F.flatten(F.transform(T.coordinated(F.col("subject")), lambda s: F.transform(T.coordinated(F.col("predicate")), lambda p: F.struct(s.alias("s"), p.alias("p")))))

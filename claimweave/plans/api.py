@@ -73,7 +73,7 @@ def claim_edges(claims: DataFrame, embed=None, concept_path: str | None = None)
     return merged.withColumns({"edge_id": F.xxhash64("s", "rel", "o", "s_quant", "p_quant", "tense", "truth"), "n_specifics": F.size("specifics")})
 
 
-def connect(spark: SparkSession, target_a: str, target_b: str, source_blocks: DataFrame, more_edges: DataFrame | None = None, n_walks: int = 64, writer: Callable[[str], str] | None = None, later_blocks: DataFrame | None = None, concept_path: str | None = None, embed: Callable[[Column], Column] = concepts.hashed_vector) -> Connection:
+def connect(spark: SparkSession, target_a: str, target_b: str, source_blocks: DataFrame, more_edges: DataFrame | None = None, n_walks: int = 64, writer: Callable[[str], str] | None = None, later_blocks: DataFrame | None = None, concept_path: str | None = None, embed: Callable[[Column], Column] = concepts.hashed_vector, cache: str | None = None) -> Connection:
     """S19, then extraction, merging, anchors, routes, walks, arguments and a report.
 
     source_blocks: block_id, ord, url, source, content. more_edges: further edges (s, rel, o,
@@ -84,7 +84,8 @@ def connect(spark: SparkSession, target_a: str, target_b: str, source_blocks: Da
     """
     blocks.check_command(target_a, target_b)
     named = ["edge_id", "s", "rel", "o", "source", "evidence", "utility", "n_specifics"]
-    claims = store(extract.expanded(store(extract.claims(source_blocks), "claims").df), "expanded").df
+    found = extract.cached_claims(spark, source_blocks, cache) if cache else extract.claims(source_blocks)
+    claims = store(extract.expanded(store(found, "claims").df), "expanded").df
     if later_blocks is not None:
         ends = claims.select(F.col("subject").alias("label")).unionByName(claims.select(F.col("predicate").alias("label"))).distinct()
         late = extract.expanded(store(extract.claims(later_blocks), "late-claims").df)

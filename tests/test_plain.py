@@ -396,3 +396,24 @@ def test_main_segments_of_nested_pages(spark):
     got = {r["page_id"]: (r["text"], r["segment"]) for r in blocks.main_segments(spark.createDataFrame(list(enumerate(pages)), "page_id int, html string")).collect()}
     assert got == {i: plain_segment(p) for i, p in enumerate(pages)}
     assert got[0][0] == f"{words(30)} short {words(20, 'more')}" and got[1][0] == "ab <c tail"
+
+
+def test_cached_claims_are_those_of_the_blocks(spark, monkeypatch):
+    """The same claims with a cache, empty blocks known too; another version is extracted anew."""
+    import uuid
+
+    from claimweave.operators import extract
+
+    said = ["Rent control is a price ceiling. A price ceiling is a cause.", "Nothing here", "Urban sprawl is a commute problem; rent control was a law in 1974.", "Rent control is a price ceiling. Traffic is a cost.", ""]
+    block = lambda rows: spark.createDataFrame([(i, i, "", src, t) for i, (src, t) in enumerate(rows)], "block_id long, ord long, url string, source string, content string")
+    blocks = block([("doc|a.org", t) for t in said] + [("doc|b.org", said[0])])
+    plain = lambda df: sorted(map(repr, (tuple(r[c] for c in sorted(r.asDict()) if c != "block_id") for r in df.collect())))
+    want, name = plain(extract.claims(blocks)), uuid.uuid4().hex
+    asked = []
+    whole = extract.claims
+    monkeypatch.setattr(extract, "claims", lambda b, **more: asked.append(b.count()) or whole(b, **more))
+    assert plain(extract.cached_claims(spark, block([("doc|a.org", said[3])]), name)) != want
+    assert plain(extract.cached_claims(spark, blocks, name)) == want
+    assert plain(extract.cached_claims(spark, blocks, name)) == want
+    assert plain(extract.cached_claims(spark, blocks, name, version="2")) == want
+    assert asked == [1, 4, 0, 5]
