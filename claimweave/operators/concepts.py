@@ -7,6 +7,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -107,7 +108,7 @@ def cosine_search(queries: DataFrame, rows: DataFrame, least: float | None = Non
     out = None
     for k in range(parts):
         held = queries.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == k).select("id", "vector").toArrow()
-        ids, matrix = np.asarray(held["id"].to_pylist(), dtype=np.int64), unit_rows(held["vector"].to_pylist())
+        ids, matrix = np.asarray(held["id"].to_pylist(), dtype=np.int64), arrow_rows(held["vector"].combine_chunks())
         shared = queries.sparkSession.sparkContext.broadcast((ids, matrix))
 
         def run(batches, shared=shared):
@@ -117,7 +118,7 @@ def cosine_search(queries: DataFrame, rows: DataFrame, least: float | None = Non
                 for at in range(0, batch.num_rows, 512):
                     part = batch.slice(at, 512)
                     own = np.asarray(part.column(0).to_pylist(), dtype=np.int64)
-                    s = np.round(matrix @ fitted(unit_rows(part.column(1).to_pylist()), matrix.shape[1]).T, 6) + 0.0
+                    s = np.round(matrix @ fitted(arrow_rows(part.column(1)), matrix.shape[1]).T, 6) + 0.0
                     other = ids[:, None] != own[None]
                     if top is None:
                         q, r = np.nonzero(other & (s >= least))
@@ -150,6 +151,15 @@ def unit_rows(vectors: list) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
+def arrow_rows(column: pa.Array) -> np.ndarray:
+    """unit_rows of an Arrow column; vectors of one length without nulls are read as they lie in memory."""
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(column), -1))
+    if not len(lengths) or lengths[0] < 1 or (lengths != lengths[0]).any() or column.flatten().null_count:
+        return unit_rows(column.to_pylist())
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, int(lengths[0]))
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
 def fitted(x: np.ndarray, width: int) -> np.ndarray:
     return x if x.shape[1] == width else np.pad(x, ((0, 0), (0, max(0, width - x.shape[1]))))[:, :width]
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -187,21 +187,39 @@ def cached(spark: SparkSession, rows: DataFrame, key: Column, make, name: str) -
     return spark.read.parquet(path).join(keyed.select("cache_key").distinct(), "cache_key", "left_semi")
 
 
-def write_results(report: str, edges: DataFrame, arguments: DataFrame, path: str) -> str:
-    """A result folder: synthesis, connections and arguments as text, Spark's writers throughout."""
+def write_results(report: str, edges: DataFrame, arguments: DataFrame, path: str, targets: tuple[str, str] | None = None, pairs: DataFrame | None = None, walks: DataFrame | None = None) -> str:
+    """A result folder: synthesis, connections and arguments as text, Spark's writers throughout.
+
+    targets are kept beside the arguments, by which read_results tells them (S17). pairs and walks (S14): diagnostics of
+    the argument, the pairs of anchors that were and weren't chosen, and what became of the walks.
+    """
     spark = edges.sparkSession
     spark.createDataFrame([(report,)], "value string").coalesce(1).write.text(f"{path}/synthesis")
     edges.select(F.format_string("%s | %s | %s [%s] utility=%.4f", "s", "rel", "o", "source", "utility").alias("value")).write.text(f"{path}/connections")
     arguments.select(F.to_json(F.struct(*arguments.columns)).alias("value")).write.text(f"{path}/arguments")
+    if targets:
+        spark.createDataFrame([targets], "target_a string, target_b string").coalesce(1).write.json(f"{path}/targets")
+    if pairs is not None:
+        said = F.format_string("%s%s <-> %s rank=%s", F.when(F.col("selected"), "* ").otherwise("  "), "a", "b", F.to_json("rank"))
+        pairs.orderBy("place").select(said.alias("value")).coalesce(1).write.text(f"{path}/pairs")  # twelve rows at most
+    if walks is not None:
+        walks.groupBy("seed", "goal", "reason").agg(F.count("*").alias("n"), F.round(F.avg(F.size("path")), 2).alias("nodes")).select(F.to_json(F.struct("seed", "goal", "reason", "n", "nodes")).alias("value")).write.text(f"{path}/walks")
     return path
 
 
 def read_results(spark: SparkSession, root: str) -> DataFrame:
-    """Name, report of the result folders below root, newest name first."""
+    """Name, report, target_a, target_b (null where they weren't kept) of the result folders below root, newest name first."""
     if ".." in root.split("/"):
         raise ValueError("a result folder may not climb out of its root")
-    read = spark.read.text(f"{root}/*/synthesis", wholetext=True).select(F.regexp_extract(F.input_file_name(), r"/([^/]+)/synthesis/", 1).alias("name"), F.col("value").alias("report"))
-    return read.where("report <> ''").orderBy(F.desc("name"))
+    named = lambda part: F.regexp_extract(F.input_file_name(), rf"/([^/]+)/{part}/", 1).alias("name")
+    read = spark.read.text(f"{root}/*/synthesis", wholetext=True).select(named("synthesis"), F.col("value").alias("report")).where("report <> ''")
+    try:
+        told = spark.read.schema("target_a string, target_b string").json(f"{root}/*/targets").select(named("targets"), "target_a", "target_b")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        told = spark.createDataFrame([], "name string, target_a string, target_b string")
+    return read.join(told, "name", "left").orderBy(F.desc("name"))
 
 
 def command(data: Column) -> Column:

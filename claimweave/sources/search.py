@@ -81,6 +81,8 @@ class SearchReader(DataSourceReader):
         return [InputPartition(q) for q in self.queries]
 
     def read(self, partition):
+        if partition is None:  # no queries
+            return
         try:
             body = over_http(self.endpoint.format(query=urllib.parse.quote(partition.value)), self.timeout)
         except (OSError, ValueError) as error:
