@@ -644,7 +644,7 @@ def state_claims(spark, d):
     return link_rows(spark, d).select(
         end("subject").alias("s"), F.col("relation").alias("rel"), end("predicate").alias("o"), T.quantifier(F.col("subject")).alias("s_quant"), T.quantifier(F.col("predicate")).alias("p_quant"),
         T.tense(F.col("relation"), F.col("sentence")).alias("tense"), T.truth(F.col("sentence"), F.col("relation")).alias("truth"), F.lit(0.5).alias("utility"), F.array().cast(graph.SPECIFIC).alias("specifics"),
-        F.lit("documents|d").alias("source"), F.col("sentence").alias("evidence"), F.lit(None).cast("long").alias("prev"), F.struct("doc_id", "pos").alias("ord"),
+        F.lit("documents|d").alias("source"), F.col("sentence").alias("evidence"), F.lit(None).cast("long").alias("prev"), (F.col("doc_id").cast("decimal(20,0)") * F.lit(10**10).cast("decimal(11,0)") + F.col("pos")).cast("decimal(38,0)").alias("ord"),
     )
 
 
