@@ -214,3 +214,15 @@ def test_metrics_of_many_pairs_store_no_edge_for_each_pair(spark, monkeypatch):
     monkeypatch.undo()
     assert sum(stored) <= len(edges) and len(rows) > 150
     assert rows == sorted(map(tuple, plain.collect()), key=str)
+
+
+def test_pairs_of_anchors_are_measured_in_one_pass_both_ways(spark, monkeypatch):
+    from claimweave.plans import api
+
+    edges = spark.createDataFrame([(0, "p", "q", "s|a", 1), (1, "q", "r", "s|b", 0), (2, "r", "p", "s|a", 2), (3, "r", "z", "s|c", 1)], "edge_id long, s string, o string, source string, n_specifics int")
+    side = lambda names: spark.createDataFrame([(n, 1.0, 1.0, 2) for n in names], "node string, score double, grounding double, degree long")
+    passes, real = [], graph.masked_metrics
+    monkeypatch.setattr(graph, "masked_metrics", lambda *given: passes.append(1) or real(*given))
+    got = {(r["a"], r["b"]): (r["ab_edges"], r["ba_edges"], r["ab_sources"], r["ba_specific"]) for r in api.best_pairs(edges, side(["p", "q"]), side(["r", "p", "z"])).collect()}
+    assert passes == [1]
+    assert got == {("p", "r"): (3, 3, 2, 2), ("p", "z"): (4, 0, 3, 0), ("q", "r"): (3, 3, 2, 2), ("q", "p"): (3, 3, 2, 2), ("q", "z"): (4, 0, 3, 0)}
