@@ -238,3 +238,21 @@ def test_rows_of_the_same_keys_are_met_once(spark, monkeypatch):
     got = [tuple(r) for r in similar.overlap_pairs(spark.createDataFrame(rows, "id long, keys array<string>"), F.col("keys"), 3).collect()]
     assert set(got) == want and len(got) == len(want)
     assert asked[0] <= 3 * 10
+
+
+def test_only_names_that_may_match_are_scored(spark):
+    """Every name that scores passes the cheap test, by words, stems, initials of either side, and few others do; the graph's orders do not."""
+    from claimweave.functions import text as T
+    from claimweave.operators import synth
+
+    targets = ["seg building", "region asia", "city policies", "united states trade", "us", "the big running dogs", "Solid Earth Group", ""]
+    words = ["seg", "segs", "Buildings", "built", "building", "policy", "policies", "city", "cities", "USA", "us", "u.s", "union", "solar", "earth", "great", "run", "runner", "running", "dog", "asian", "asia", "states", "trade", "trading", "sb", "ust", "ra", "İstanbul", "", "order:12", "cust:7", "of", "the"]
+    rng = random.Random(8)
+    names = [(" ".join(rng.sample(words, rng.randrange(1, 5))),) for _ in range(1500)] + [(None,), ("union state",), ("solid İearth great",)]
+    frame = spark.createDataFrame(names, "name string")
+    for target in targets:
+        test = synth.may_name(spark, target)
+        rows = frame.select("name", T.lexical_score(F.col("name"), F.lit(target), True).alias("own"), T.lexical_score(F.col("name"), F.lit(target)).alias("plain"), test(F.col("name")).alias("may")).collect()
+        assert not [r for r in rows if (r["own"] > 0 or r["plain"] > 0) and not r["may"]]
+    seg = synth.may_name(spark, "seg building")
+    assert spark.createDataFrame([("order:1",), ("cust:2",), ("part:3",), ("supp:4",)], "name string").where(seg(F.col("name"))).isEmpty()
