@@ -256,3 +256,17 @@ def test_only_names_that_may_match_are_scored(spark):
         assert not [r for r in rows if (r["own"] > 0 or r["plain"] > 0) and not r["may"]]
     seg = synth.may_name(spark, "seg building")
     assert spark.createDataFrame([("order:1",), ("cust:2",), ("part:3",), ("supp:4",)], "name string").where(seg(F.col("name"))).isEmpty()
+
+
+def test_claims_about_subjects_are_scored_once(spark, monkeypatch):
+    """What is read twice holds its scores, and a clause that can't name a subject is not split further."""
+    from claimweave.operators import extract
+    from claimweave.plans import api
+
+    stored, real = [], api.store
+    monkeypatch.setattr(api, "store", lambda df, tag: stored.append((tag, df.columns)) or real(df, tag))
+    assert api.linking_slice(spark, "/root/testdata/sf0.001").count() > 0
+    assert [c for tag, c in stored if tag == "linking" and {"score_a", "score_b"} <= set(c)]
+    blocks = spark.createDataFrame([(1, 1, "s", "Housing costs are high in many towns. Rents are falling in most regions.")], "block_id long, ord long, source string, content string")
+    every = [r["clause"] for r in extract.clause_rows(blocks).collect()]
+    assert [r["clause"] for r in extract.clause_rows(blocks, only=lambda c: c.contains("Rents")).collect()] == [c for c in every if "Rents" in c] != every
