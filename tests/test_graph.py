@@ -272,3 +272,13 @@ def test_late_edges_walk_only_steps_that_may_still_pass_a_bit(spark):
     assert reach.held.groupBy("ahead", "word", "node").count().where("count > 1").count() == 0
     assert "Exchange" not in reach.held.groupBy("node").count()._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, graph.core_of(e.select("edge_id", "s", "o"), reach).collect())) == sorted(map(tuple, graph.core_of(e.select("edge_id", "s", "o"), whole).collect()))
+
+
+def test_only_sentences_that_may_fit_are_cut_into_clauses(spark):
+    rows = spark.createDataFrame([(1, 1, "s", "Tall trees hold dark rooms and red foxes run there. The old fox is quick but rents fall, and the city was large; small towns had parks. Grey cats slept."), (2, 2, "s", "No verb. [see <b>fox</b> is] it"), (3, 3, "s", None)], "block_id long, ord long, source string, content string")
+    only = lambda c: c.rlike(extract.HAS_LINK)
+    few, every = extract.clause_rows(rows, only=only), extract.clause_rows(rows)
+    assert sorted(few.collect()) == sorted(every.where(only(F.col("clause"))).collect()) and 0 < few.count() < every.count()
+    said = few._jdf.queryExecution().optimizedPlan().toString()
+    assert said.count("became") == 2  # sentences are tested too, not only their clauses
+    assert extract.clause_rows(rows, True, only).count() == extract.clause_rows(rows, True).where(only(F.col("clause"))).count()
